@@ -111,3 +111,164 @@ WITH {binary_hits(5, 64)}
 SELECT h.qid, h.rank::BIGINT AS rank, h.id, split_part(d.text, chr(10), 1) AS title, d.source AS dataset,
        length(d.text)::BIGINT AS text_chars
 FROM hits h JOIN documents d ON d.doc_id = h.id"""
+
+
+# ---------------------------------------------------------------- text
+import unicodedata  # noqa: E402
+
+TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
+BLANKS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
+TEXT_DIM = 64
+
+
+def _nfd_table():
+    """Canonical decompositions of the Latin-1 and Latin Extended-A letters, by rule."""
+    out = []
+    for cp in range(0xC0, 0x180):
+        ch = chr(cp)
+        d = unicodedata.normalize("NFD", ch)
+        if d != ch:
+            out.append((ch, d))
+    return out
+
+
+_NFD = _nfd_table()
+
+
+def nfd(x: str) -> str:
+    """NFD emulation, exact for text whose non-ASCII letters are Latin-1/Extended-A."""
+    for ch, d in _NFD:
+        x = f"replace({x}, '{ch}', '{d}')"
+    return x
+
+
+def tokens(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '{TOKEN}'), lambda t: lower(t))"
+
+
+def collapse(x: str, sep: str = " ") -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{BLANKS}|{BLANKS}$', '', 'g'), '{BLANKS}', '{sep}', 'g')"
+
+
+def joined(toks: str) -> str:
+    return f"(chr(1) || array_to_string({toks}, chr(1)) || chr(1))"
+
+
+def dpr_string(a: str, p: str) -> str:
+    at = tokens(nfd(a))
+    return f"(CASE WHEN len({at}) = 0 THEN true ELSE contains({joined(tokens(nfd(p)))}, {joined(at)}) END)"
+
+
+def bucket(t: str) -> str:
+    return f"((('0x' || substr(md5({t}), 1, 8))::BIGINT % {TEXT_DIM}) + 1)"
+
+
+def sign(t: str) -> str:
+    return f"(CASE WHEN ('0x' || substr(md5({t}), 9, 1))::INT % 2 = 1 THEN -1 ELSE 1 END)"
+
+
+def encoded(src: str, key: str, text: str) -> str:
+    """Hash encoder: `src` is a relation with columns `key` and `text`; yields (key, embedding)."""
+    return f"""(SELECT s.{key}, list(coalesce(hb.val, 0)::DOUBLE ORDER BY r.b) AS embedding
+   FROM {src} s CROSS JOIN (SELECT unnest(range(1, {TEXT_DIM + 1})) AS b) r
+   LEFT JOIN (SELECT {key}, {bucket('t')} AS b, sum({sign('t')}) AS val
+              FROM (SELECT {key}, unnest({tokens(text)}) AS t FROM {src}) GROUP BY ALL) hb
+     ON hb.{key} = s.{key} AND hb.b = r.b
+   GROUP BY s.{key})"""
+
+
+QUESTIONS = """(SELECT item_id AS qid, text AS question,
+   list_filter([regexp_extract_all(text, '\\S+')[1],
+                array_to_string(regexp_extract_all(text, '\\S+')[3:6], ' ')], lambda a: length(a) > 0) AS answers
+   FROM benchmark)"""
+PASSAGES = "(SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text, source AS dataset FROM documents)"
+
+
+def ham_vec(a: str, b: str) -> str:
+    return (f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: "
+            f"CASE WHEN ({a}[i] < 0) = ({b}[i] < 0) THEN 0 ELSE 1 END))::BIGINT")
+
+
+def text_hits(k: int, binary_k: int) -> str:
+    """CTE chain: qs, ps, qv, pv, tpairs, thits(qid, id, distance, score, rank, title, text, answers)."""
+    return f"""
+qs AS {QUESTIONS},
+ps AS {PASSAGES},
+qv AS {encoded("(SELECT qid, rtrim(question, '?') AS qtext FROM qs)", "qid", "qtext")},
+pv AS {encoded("(SELECT id, concat_ws(' ', title, text) AS ptext FROM ps)", "id", "ptext")},
+tpairs AS (SELECT q.qid, p.id, {ham_vec('q.embedding', 'p.embedding')} AS distance,
+                  {ip_sign('q.embedding', 'p.embedding')} AS score FROM qv q, pv p),
+tcand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS crn
+                         FROM tpairs) WHERE crn <= {binary_k}),
+thits0 AS (SELECT * FROM (SELECT qid, id, distance, score,
+                  row_number() OVER (PARTITION BY qid ORDER BY score DESC, distance, id) AS rank
+                  FROM tcand) WHERE rank <= {k}),
+thits AS (SELECT h.*, p.title, p.text, q.answers FROM thits0 h JOIN ps p ON p.id = h.id JOIN qs q ON q.qid = h.qid),
+tans AS (SELECT qid, id, unnest(answers) AS answer, generate_subscripts(answers, 1) - 1 AS idx FROM thits),
+tmatch AS (SELECT a.qid, a.id, a.idx, a.answer, concat_ws(' ', h.title, h.text) AS passage
+           FROM tans a JOIN thits h ON h.qid = a.qid AND h.id = a.id),
+tflag AS (SELECT h.qid, h.id, h.rank, h.distance, h.score,
+                 coalesce(bool_or({dpr_string('m.answer', 'm.passage')}), false) AS has_answer
+          FROM thits h LEFT JOIN tmatch m ON m.qid = h.qid AND m.id = h.id
+          GROUP BY h.qid, h.id, h.rank, h.distance, h.score)"""
+
+
+SQL["h1_nfd"] = f"SELECT doc_id, {nfd('text')} AS nfd_text FROM documents"
+SQL["h1_nfkc"] = "SELECT doc_id, nfc_normalize(text) AS nfkc_text FROM documents"
+SQL["h2_word_tokens"] = f"""
+SELECT doc_id, len({tokens('text')})::BIGINT AS n_tokens, array_to_string({tokens('text')}, ' ') AS tokens
+FROM documents"""
+SQL["b1_clean_question"] = """
+SELECT conv_id, turn, rtrim(text || repeat('?', (turn % 3)::INT), '?') AS question
+FROM conversations WHERE role = 'user'"""
+
+
+def norm_dpr(x: str) -> str:
+    t = f"lower({nfd(x)})"
+    t = f"regexp_replace({t}, '[!-/:-@\\[-`{{-~]', '', 'g')"
+    art = "'([^\\p{L}\\p{N}_])(a|an|the)([^\\p{L}\\p{N}_])'"
+    t = f"regexp_replace(regexp_replace(' ' || {t} || ' ', {art}, '\\1 \\3', 'g'), {art}, '\\1 \\3', 'g')"
+    return collapse(t)
+
+
+SQL["h5_normalize_answer"] = f"""
+WITH a AS (SELECT qid, unnest(answers) AS answer, generate_subscripts(answers, 1) - 1 AS idx FROM {QUESTIONS})
+SELECT qid, idx::BIGINT AS idx, {norm_dpr('answer')} AS n_dpr,
+       {collapse(f"lower({nfd('answer')})")} AS n_simple_nfd,
+       {collapse("lower(nfc_normalize(answer))", "")} AS n_simple_nfkc,
+       answer AS n_none
+FROM a"""
+
+SQL["j1_encode_questions"] = f"""
+WITH qs AS {QUESTIONS}
+SELECT qid, array_to_string(list_transform(embedding, lambda x: x::INT::VARCHAR), ',') AS vec
+FROM {encoded("(SELECT qid, rtrim(question, '?') AS qtext FROM qs)", "qid", "qtext")}"""
+
+SQL["j2_encode_passages"] = f"""
+WITH ps AS {PASSAGES}
+SELECT id, array_to_string(list_transform(embedding, lambda x: x::INT::VARCHAR), ',') AS vec
+FROM {encoded("(SELECT id, concat_ws(' ', title, text) AS ptext FROM ps)", "id", "ptext")}"""
+
+SQL["c5_has_answer_hits"] = f"""
+WITH {text_hits(20, 100)}
+SELECT qid, rank::BIGINT AS rank, id, distance, round(score, 6) AS score, has_answer FROM tflag"""
+
+SQL["p3_text_recall"] = f"""
+WITH {text_hits(20, 100)},
+ranks AS (SELECT q.qid, min(f.rank) FILTER (WHERE f.has_answer)::BIGINT AS positive_rank
+          FROM qs q LEFT JOIN tflag f ON f.qid = q.qid GROUP BY q.qid)
+SELECT k::BIGINT AS k, sum(CASE WHEN positive_rank <= k THEN 1 ELSE 0 END)::BIGINT AS n_correct,
+       count(*)::BIGINT AS n_questions,
+       round(sum(CASE WHEN positive_rank <= k THEN 1 ELSE 0 END) / count(*), 6) AS recall
+FROM ranks, (SELECT unnest([1, 5, 20]) AS k) ks GROUP BY k"""
+
+SQL["h3_match_types"] = f"""
+WITH {text_hits(20, 100)}
+SELECT qid, id, idx::BIGINT AS idx,
+       {dpr_string('answer', 'passage')} AS m_dpr_string,
+       regexp_matches({nfd('passage')}, {nfd('answer')}, 'i') AS m_dpr_regex,
+       contains({collapse(f"lower({nfd('passage')})")}, {collapse(f"lower({nfd('answer')})")}) AS m_simple_nfd,
+       contains({collapse("lower(nfc_normalize(passage))")}, {collapse("lower(nfc_normalize(answer))")})
+         AS m_simple_nfkc,
+       contains(passage, answer) AS m_none
+FROM tmatch"""

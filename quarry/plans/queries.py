@@ -118,3 +118,89 @@ def c1_hits_with_passages(spark, sf):
     joined = R.attach_passages(hits.select("qid", "id", "rank"), T.passages(spark, sf))
     return joined.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", "title", "dataset",
                          F.length("text").cast("bigint").alias("text_chars"))
+
+
+# ---------------------------------------------------------------- text
+
+from quarry.functions import inference as I  # noqa: E402
+from quarry.functions import text as X  # noqa: E402
+
+TEXT_DIM = 64
+
+
+@query("h1_nfd")
+def h1_nfd(spark, sf):
+    d = T.table(spark, sf, "documents")
+    return d.select("doc_id", X.nfd("text").alias("nfd_text"))
+
+
+@query("h1_nfkc")
+def h1_nfkc(spark, sf):
+    d = T.table(spark, sf, "documents")
+    return d.select("doc_id", X.nfkc("text").alias("nfkc_text"))
+
+
+@query("h2_word_tokens")
+def h2_word_tokens(spark, sf):
+    d = T.table(spark, sf, "documents")
+    toks = X.word_tokens("text")
+    return d.select("doc_id", F.size(toks).cast("bigint").alias("n_tokens"),
+                    F.array_join(toks, " ").alias("tokens"))
+
+
+@query("b1_clean_question")
+def b1_clean_question(spark, sf):
+    c = T.table(spark, sf, "conversations").where(F.col("role") == "user")
+    asked = F.concat(F.col("text"), F.repeat(F.lit("?"), F.pmod(F.col("turn"), F.lit(3)).cast("int")))
+    return c.select("conv_id", "turn", X.clean_question(asked).alias("question"))
+
+
+@query("h5_normalize_answer")
+def h5_normalize_answer(spark, sf):
+    q = T.questions(spark, sf).select("qid", F.posexplode("answers").alias("idx", "answer"))
+    return q.select("qid", F.col("idx").cast("bigint").alias("idx"),
+                    X.normalize_answer("answer", "dpr").alias("n_dpr"),
+                    X.normalize_answer("answer", "simple_nfd").alias("n_simple_nfd"),
+                    X.normalize_answer("answer", "simple_nfkc").alias("n_simple_nfkc"),
+                    X.normalize_answer("answer", "none").alias("n_none"))
+
+
+@query("j1_encode_questions")
+def j1_encode_questions(spark, sf):
+    qv = R.encode_questions(T.questions(spark, sf), TEXT_DIM)
+    return qv.select("qid", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")
+                     .alias("vec"))
+
+
+@query("j2_encode_passages")
+def j2_encode_passages(spark, sf):
+    pv = R.encode_passages(T.passages(spark, sf), TEXT_DIM)
+    return pv.select("id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")
+                     .alias("vec"))
+
+
+def _text_eval(spark, sf):
+    return R.text_retrieval_eval(T.questions(spark, sf), T.passages(spark, sf), k=20, binary_k=100,
+                                 dim=TEXT_DIM, ks=(1, 5, 20))
+
+
+@query("c5_has_answer_hits")
+def c5_has_answer_hits(spark, sf):
+    hits, _, _ = _text_eval(spark, sf)
+    return hits.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", "distance",
+                       _r6("score").alias("score"), "has_answer")
+
+
+@query("p3_text_recall")
+def p3_text_recall(spark, sf):
+    _, _, recall = _text_eval(spark, sf)
+    return recall
+
+
+@query("h3_match_types")
+def h3_match_types(spark, sf):
+    hits, _, _ = _text_eval(spark, sf)
+    pairs = hits.select("qid", "id", X.match_text("title", "text", True).alias("passage"),
+                        F.posexplode("answers").alias("idx", "answer"))
+    return pairs.select("qid", "id", F.col("idx").cast("bigint").alias("idx"),
+                        *[X.has_answer("answer", "passage", m).alias(f"m_{m}") for m in X.MATCH_TYPES])

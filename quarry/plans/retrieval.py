@@ -62,3 +62,37 @@ def binary_label_eval(vectors: DataFrame, *, k: int, binary_k: int, dim: int,
                .withColumn("is_positive", (F.col("label") == F.col("q_label")) & (F.col("id") != F.col("qid"))))
     ranks = first_positive_rank(questions, flagged)
     return flagged, ranks, recall_at_k(ranks, ks)
+
+
+def encode_questions(questions: DataFrame, dim: int, *, q_id: str = "qid", question: str = "question") -> DataFrame:
+    """J1 after B1: (qid, embedding) from question text."""
+    from quarry.functions.inference import hash_encoder
+    from quarry.functions.text import clean_question
+    return questions.select(F.col(q_id).alias("qid"), hash_encoder(clean_question(question), dim).alias("embedding"))
+
+
+def encode_passages(passages: DataFrame, dim: int) -> DataFrame:
+    """J2 (+H22): (id, embedding) from (title, text)."""
+    from quarry.functions.inference import hash_encoder, passage_encoder_input
+    return passages.select("id", hash_encoder(passage_encoder_input(F.col("title"), F.col("text")), dim)
+                           .alias("embedding"))
+
+
+def text_retrieval_eval(questions: DataFrame, passages: DataFrame, *, k: int, binary_k: int, dim: int,
+                        ks: Sequence[int], match_type: str = "dpr_string", include_title: bool = True,
+                        binary: bool = True):
+    """P3 with eval mode has_answer: returns (hits with has_answer, ranks, recall)."""
+    from quarry.functions.text import match_text, with_any_answer
+    qv = encode_questions(questions, dim)
+    pv = encode_passages(passages, dim)
+    if binary:
+        hits = knn.binary_retrieve(qv, code_table(pv), k=k, binary_k=binary_k, dim=dim)
+    else:
+        hits = knn.dense_knn(qv, pv, k=k, dim=dim)
+    fetched = attach_passages(hits, passages)
+    answers = questions.select("qid", "answers")
+    flagged = with_any_answer(fetched.join(answers, "qid"), "answers",
+                              match_text("title", "text", include_title), match_type) \
+        .withColumn("is_positive", F.col("has_answer"))
+    ranks = first_positive_rank(questions, flagged)
+    return flagged, ranks, recall_at_k(ranks, ks)

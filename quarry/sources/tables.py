@@ -41,7 +41,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers_of(text_col) -> "F.Column":
     """Fixture answers: first word, and words 3..6 joined by one blank."""
     words = F.regexp_extract_all(text_col, F.lit("\\S+"), 0)
-    first = F.element_at(words, 1)
+    first = F.get(words, 0)
     mid = F.array_join(F.slice(words, 3, 4), " ")
     return F.filter(F.array(first, mid), lambda a: F.length(a) > 0)
 
