@@ -272,3 +272,180 @@ SELECT qid, id, idx::BIGINT AS idx,
          AS m_simple_nfkc,
        contains(passage, answer) AS m_none
 FROM tmatch"""
+
+
+# ---------------------------------------------------------------- reader
+NUM_PASSAGES, MAX_LOAD, MAX_LEN, MAX_ANS = 8, 20, 64, 10
+
+
+def reader_input(q: str, title: str, text: str) -> str:
+    passage = f"({tokens(title)} || ['[SEP]'] || {tokens(text)})"
+    budget = f"greatest(0, {MAX_LEN} - len({q}) - 3)"
+    body = f"(['[CLS]'] || {q} || ['[SEP]'] || {passage}[1:{budget}] || ['[SEP]'])"
+    return f"({body} || list_transform(range(0, greatest(0, {MAX_LEN} - len({body}))), lambda i: '[PAD]'))"
+
+
+PAD_TOKENS = f"(['[CLS]', '[SEP]', '[SEP]', '[SEP]'] || list_transform(range(0, {MAX_LEN - 4}), lambda i: '[PAD]'))"
+
+
+def answer_spans(tok: str, a_tokens: str) -> str:
+    st = f"greatest(coalesce(list_position({tok}, '[SEP]'), 0) - 1, 0)"
+    return (f"flatten(list_transform(list_filter({a_tokens}, lambda a: len(a) > 0), lambda a: "
+            f"list_transform(list_filter(range({st}, len({tok}) - len(a) + 1), "
+            f"lambda i: {tok}[i + 1 : i + len(a)] = a), lambda i: {{'start': i, 'end': i + len(a) - 1}})))")
+
+
+def spans_str(sp: str) -> str:
+    return f"array_to_string(list_transform({sp}, lambda s: s.start::VARCHAR || '-' || s.end::VARCHAR), ',')"
+
+
+def ints_str(xs: str) -> str:
+    return f"array_to_string(list_transform({xs}, lambda x: x::BIGINT::VARCHAR), ',')"
+
+
+def logits(pid: str, tok: str, q: str, mul: int, add: int, mod: int) -> str:
+    return (f"list_transform({tok}, lambda t, i: (((({pid}) * {mul} + (i - 1) * {add}) % {mod} + {mod}) % {mod} "
+            f"+ CASE WHEN list_contains({q}, t) THEN 5 ELSE 0 END)::DOUBLE)")
+
+
+def ranked_spans(st: str, en: str) -> str:
+    return (f"list_sort(flatten(list_transform(range(0, len({st})), lambda s: "
+            f"list_transform(range(s, least(s + {MAX_ANS}, len({st}))), lambda e: "
+            f"{{'neg': -({st}[s + 1] + {en}[e + 1]), 'start': s, 'end': e, "
+            f"'sl': {st}[s + 1], 'el': {en}[e + 1]}}))))")
+
+
+def greedy_spans(ranked: str, n: int) -> str:
+    nested = ("coalesce(list_bool_or(list_transform(acc, lambda y: (x.start <= y.start AND y.end <= x.end) "
+              "OR (y.start <= x.start AND x.end <= y.end))), false)")
+    empty = "[]::STRUCT(neg DOUBLE, start BIGINT, \"end\" BIGINT, sl DOUBLE, el DOUBLE)[]"
+    return (f"list_reduce({ranked}, lambda acc, x: CASE WHEN len(acc) < {n} AND NOT {nested} "
+            f"THEN list_append(acc, x) ELSE acc END, {empty})")
+
+
+def detok(xs: str) -> str:
+    return f"trim(replace(array_to_string({xs}, ' '), ' ##', ''))"
+
+
+READER = f"""
+WITH {text_hits(20, 100)},
+qtok AS (SELECT qid, {tokens("rtrim(question, '?')")} AS q_tokens,
+                list_transform(answers, lambda a: {tokens('a')}) AS a_tokens, answers FROM qs),
+ctx AS (SELECT f.qid, (f.rank - 1)::INT AS idx, f.id AS pid, p.title, p.text, f.has_answer
+        FROM tflag f JOIN ps p ON p.id = f.id WHERE f.rank <= {MAX_LOAD}),
+loaded0 AS (SELECT c.qid, c.idx, c.pid, c.has_answer, t.q_tokens, t.a_tokens,
+                   {reader_input('t.q_tokens', 'c.title', 'c.text')} AS tokens
+            FROM ctx c JOIN qtok t ON t.qid = c.qid),
+loaded AS (SELECT *, {answer_spans('tokens', 'a_tokens')} AS spans FROM loaded0),
+flags AS (SELECT *, coalesce(has_answer, false) AND len(spans) > 0 AS is_positive,
+                 NOT coalesce(has_answer, false) AS is_negative FROM loaded),
+posneg AS (SELECT t.qid,
+                  coalesce(list_sort(list(f.idx) FILTER (WHERE f.is_positive)), []) AS positive_idxs,
+                  coalesce(list_sort(list(f.idx) FILTER (WHERE f.is_negative)), []) AS negative_idxs
+           FROM qtok t LEFT JOIN flags f ON f.qid = t.qid GROUP BY t.qid),
+nload AS (SELECT t.qid, count(c.idx) AS n FROM qtok t LEFT JOIN ctx c ON c.qid = t.qid GROUP BY t.qid),
+slots AS (SELECT qid, idx AS slot, idx, pid, q_tokens, tokens FROM loaded WHERE idx < {NUM_PASSAGES}
+          UNION ALL
+          SELECT qid, s AS slot, -1 AS idx, -1 AS pid, []::VARCHAR[] AS q_tokens, {PAD_TOKENS} AS tokens
+          FROM (SELECT qid, unnest(range(n::INT, {NUM_PASSAGES})) AS s FROM nload)),
+scores AS (SELECT *, (((pid % 23) + 23) % 23 + len(list_intersect(q_tokens, tokens)))::DOUBLE AS classifier_logit,
+                  {logits('pid', 'tokens', 'q_tokens', 7, 13, 17)} AS start_logits,
+                  {logits('pid', 'tokens', 'q_tokens', 11, 5, 19)} AS end_logits FROM slots)"""
+
+
+def candidates(n_read: int, n_spans: int) -> str:
+    return f""",
+readp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY classifier_logit DESC, slot) AS passage_rank
+          FROM scores QUALIFY passage_rank <= {n_read}),
+sp AS (SELECT qid, slot, idx, passage_rank, tokens, classifier_logit,
+              unnest({ranked_spans('start_logits', 'end_logits')}[1:{n_spans}]) AS s,
+              generate_subscripts({ranked_spans('start_logits', 'end_logits')}[1:{n_spans}], 1) AS span_rank
+       FROM readp),
+tx AS (SELECT *, {detok('tokens')} AS input_text, {detok('tokens[1:s.start]')} AS left_text,
+              {detok('tokens[s.start + 1 : s.end + 1]')} AS answer_text FROM sp),
+cands AS (SELECT qid, slot, idx, s.start AS span_start, s."end" AS span_end, input_text, answer_text,
+                 CASE WHEN instr(substring(input_text, length(left_text) + 1), answer_text) = 0 THEN -1
+                      ELSE instr(substring(input_text, length(left_text) + 1), answer_text) + length(left_text) - 1
+                 END AS answer_start,
+                 classifier_logit AS classifier_score, s.sl + s.el AS span_score,
+                 classifier_logit + s.sl + s.el AS score,
+                 row_number() OVER (PARTITION BY qid ORDER BY classifier_logit + s.sl + s.el DESC,
+                                    passage_rank, span_rank) AS rank
+          FROM tx)"""
+
+
+CAND_COLS = """qid, rank::BIGINT AS rank, slot::BIGINT AS slot, span_start::BIGINT AS span_start,
+       span_end::BIGINT AS span_end, answer_text, answer_start::BIGINT AS answer_start,
+       (answer_start + length(answer_text))::BIGINT AS answer_end, round(score, 6) AS score,
+       round(classifier_score, 6) AS classifier_score, round(span_score, 6) AS span_score"""
+
+SQL["p4_reader_set"] = f"""
+WITH {text_hits(20, 100)}
+SELECT q.qid, count(f.id)::BIGINT AS n_ctxs,
+       coalesce(array_to_string(list(f.id::VARCHAR ORDER BY f.rank), ','), '') AS ctx_ids,
+       coalesce(array_to_string(list(CASE WHEN f.has_answer THEN '1' ELSE '0' END ORDER BY f.rank), ''), '')
+         AS has_answer
+FROM qs q LEFT JOIN tflag f ON f.qid = q.qid GROUP BY q.qid"""
+
+SQL["h19_reader_input"] = READER + """
+SELECT qid, slot::BIGINT AS slot, idx::BIGINT AS idx, array_to_string(tokens, ' ') AS tokens FROM slots"""
+
+SQL["h20_answer_spans"] = READER + f"""
+SELECT qid, idx::BIGINT AS idx, {spans_str('spans')} AS spans FROM loaded"""
+
+SQL["b11_positive_negative"] = READER + f"""
+SELECT qid, {ints_str('positive_idxs')} AS positive_idxs, {ints_str('negative_idxs')} AS negative_idxs FROM posneg"""
+
+SQL["j3_reader_logits"] = READER + f"""
+SELECT qid, slot::BIGINT AS slot, classifier_logit, {ints_str('start_logits')} AS start_logits,
+       {ints_str('end_logits')} AS end_logits FROM scores"""
+
+SQL["f4_passages_to_read"] = READER + """
+SELECT qid, passage_rank::BIGINT AS passage_rank, slot::BIGINT AS slot, idx::BIGINT AS idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY classifier_logit DESC, slot) AS passage_rank FROM scores)
+WHERE passage_rank <= 3"""
+
+SQL["f5_best_spans"] = READER + f"""
+SELECT qid, slot::BIGINT AS slot,
+       {spans_str(ranked_spans('start_logits', 'end_logits') + '[1:3]')} AS spans_overlap,
+       {spans_str(greedy_spans(ranked_spans('start_logits', 'end_logits'), 3))} AS spans_nested_off
+FROM scores"""
+
+SQL["f6_answer_candidates"] = READER + candidates(2, 2) + f"\nSELECT {CAND_COLS} FROM cands"
+
+_HL = "input_text[:answer_start] || '**' || answer_text || '**' || input_text[answer_start + length(answer_text) + 1:]"
+SQL["h23_highlight"] = READER + candidates(1, 1) + f"""
+SELECT qid, trim(replace(replace(replace(replace(replace(replace(replace({_HL}, '[PAD]', ''),
+  '[UNK]', '`[UNK]`'), '[SEP]', '`[SEP]`'), '[PAD]', '`[PAD]`'), '[CLS]', '`[CLS]`'), '[MASK]', '`[MASK]`'),
+  '``', '')) AS highlighted FROM cands"""
+
+SQL["d4_classifier_precision"] = READER + """,
+top AS (SELECT qid, idx FROM scores QUALIFY row_number() OVER (PARTITION BY qid ORDER BY classifier_logit DESC, slot) = 1)
+SELECT round(avg(CASE WHEN list_contains(p.positive_idxs, t.idx) THEN 1.0 ELSE 0.0 END), 6) AS classifier_precision,
+       count(*)::BIGINT AS n_questions
+FROM top t JOIN posneg p ON p.qid = t.qid"""
+
+SQL["d5_answer_accuracy"] = READER + candidates(1, 1) + f""",
+gold AS (SELECT qid, list_distinct(list_transform(answers, lambda a: {norm_dpr('a')})) AS gold FROM qtok),
+pred AS (SELECT qid, {norm_dpr('answer_text')} AS pred FROM cands WHERE rank = 1)
+SELECT round(avg(CASE WHEN coalesce(list_contains(g.gold, p.pred), false) THEN 1.0 ELSE 0.0 END), 6)
+         AS answer_accuracy, count(*)::BIGINT AS n_questions
+FROM qtok q LEFT JOIN pred p ON p.qid = q.qid LEFT JOIN gold g ON g.qid = q.qid"""
+
+SQL["h4_sublist_positions"] = f"""
+WITH q AS (SELECT item_id AS qid, {tokens('text')} AS t FROM benchmark),
+g AS (SELECT qid, t, unnest(range(0, greatest(len(t) - 2, 0))) AS g FROM q)
+SELECT qid, g::BIGINT AS g,
+       {ints_str("list_filter(range(0, len(t) - 2), lambda i: t[i + 1 : i + 3] = t[g + 1 : g + 3])")} AS positions
+FROM g"""
+
+SQL["p6_batch_qa"] = f"""
+WITH {text_hits(10, 100)},
+qtok AS (SELECT qid, {tokens("rtrim(question, '?')")} AS q_tokens FROM qs),
+slots AS (SELECT h.qid, (h.rank - 1)::INT AS slot, (h.rank - 1)::INT AS idx, h.id AS pid, t.q_tokens,
+                 {reader_input('t.q_tokens', 'h.title', 'h.text')} AS tokens
+          FROM thits h JOIN qtok t ON t.qid = h.qid),
+scores AS (SELECT *, (((pid % 23) + 23) % 23 + len(list_intersect(q_tokens, tokens)))::DOUBLE AS classifier_logit,
+                  {logits('pid', 'tokens', 'q_tokens', 7, 13, 17)} AS start_logits,
+                  {logits('pid', 'tokens', 'q_tokens', 11, 5, 19)} AS end_logits FROM slots)""" + candidates(3, 1) + \
+    f"\nSELECT {CAND_COLS} FROM cands"

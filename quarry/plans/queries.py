@@ -204,3 +204,142 @@ def h3_match_types(spark, sf):
                         F.posexplode("answers").alias("idx", "answer"))
     return pairs.select("qid", "id", F.col("idx").cast("bigint").alias("idx"),
                         *[X.has_answer("answer", "passage", m).alias(f"m_{m}") for m in X.MATCH_TYPES])
+
+
+# ---------------------------------------------------------------- reader
+
+from quarry.functions import spans as SP  # noqa: E402
+from quarry.operators import reader as RD  # noqa: E402
+from quarry.plans import reading as RG  # noqa: E402
+
+
+def _ints(col):
+    return F.array_join(F.transform(col, lambda x: x.cast("bigint").cast("string")), ",")
+
+
+def _spans_str(col):
+    return F.array_join(F.transform(col, lambda s: F.concat_ws("-", s["start"].cast("string"),
+                                                               s["end"].cast("string"))), ",")
+
+
+def _examples(spark, sf):
+    return RG.reader_set(T.questions(spark, sf), T.passages(spark, sf))
+
+
+@query("p4_reader_set")
+def p4_reader_set(spark, sf):
+    ex = _examples(spark, sf)
+    return ex.select("qid", F.size("ctxs").cast("bigint").alias("n_ctxs"),
+                     _ints(F.transform("ctxs", lambda c: c["id"])).alias("ctx_ids"),
+                     F.array_join(F.transform("ctxs", lambda c: F.when(c["has_answer"], "1").otherwise("0")), "")
+                     .alias("has_answer"))
+
+
+@query("h19_reader_input")
+def h19_reader_input(spark, sf):
+    slots = RD.eval_slots(_examples(spark, sf), num_passages=RG.NUM_PASSAGES,
+                          max_load_passages=RG.MAX_LOAD_PASSAGES, max_input_length=RG.MAX_INPUT_LENGTH)
+    return slots.select("qid", F.col("slot").cast("bigint").alias("slot"), F.col("idx").cast("bigint").alias("idx"),
+                        F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("h20_answer_spans")
+def h20_answer_spans(spark, sf):
+    rows = RD.ctx_slots(_examples(spark, sf), max_load_passages=RG.MAX_LOAD_PASSAGES,
+                        max_input_length=RG.MAX_INPUT_LENGTH)
+    return rows.select("qid", F.col("idx").cast("bigint").alias("idx"), _spans_str("spans").alias("spans"))
+
+
+@query("h4_sublist_positions")
+def h4_sublist_positions(spark, sf):
+    """Every position of each question's token trigrams inside the question itself (H4 incl. overlaps)."""
+    q = T.questions(spark, sf).select("qid", X.word_tokens("question").alias("t"))
+    grams = q.select("qid", "t", F.posexplode(F.transform(
+        SP._range(F.lit(0), F.size("t") - 3), lambda i: F.slice("t", i + 1, 3))).alias("g", "gram"))
+    return grams.select("qid", F.col("g").cast("bigint").alias("g"),
+                        _ints(SP.sublist_positions("gram", "t")).alias("positions"))
+
+
+@query("b11_positive_negative")
+def b11_positive_negative(spark, sf):
+    rows = RD.ctx_slots(_examples(spark, sf), max_load_passages=RG.MAX_LOAD_PASSAGES,
+                        max_input_length=RG.MAX_INPUT_LENGTH)
+    pn = RD.positive_negative_lists(rows)
+    return pn.select("qid", _ints("positive_idxs").alias("positive_idxs"),
+                     _ints("negative_idxs").alias("negative_idxs"))
+
+
+def _scores(spark, sf):
+    slots = RD.eval_slots(_examples(spark, sf), num_passages=RG.NUM_PASSAGES,
+                          max_load_passages=RG.MAX_LOAD_PASSAGES, max_input_length=RG.MAX_INPUT_LENGTH)
+    return RG.score_slots(slots)
+
+
+@query("j3_reader_logits")
+def j3_reader_logits(spark, sf):
+    s = _scores(spark, sf)
+    return s.select("qid", F.col("slot").cast("bigint").alias("slot"),
+                    F.col("classifier_logit").alias("classifier_logit"),
+                    _ints("start_logits").alias("start_logits"), _ints("end_logits").alias("end_logits"))
+
+
+@query("f4_passages_to_read")
+def f4_passages_to_read(spark, sf):
+    top = RD.top_passages(_scores(spark, sf), 3)
+    return top.select("qid", F.col("passage_rank").cast("bigint").alias("passage_rank"),
+                      F.col("slot").cast("bigint").alias("slot"), F.col("idx").cast("bigint").alias("idx"))
+
+
+@query("f5_best_spans")
+def f5_best_spans(spark, sf):
+    s = _scores(spark, sf)
+    return s.select("qid", F.col("slot").cast("bigint").alias("slot"),
+                    _spans_str(SP.best_spans("tokens", "start_logits", "end_logits", num_spans=3,
+                                             max_answer_length=RG.MAX_ANSWER_LENGTH)).alias("spans_overlap"),
+                    _spans_str(SP.best_spans("tokens", "start_logits", "end_logits", num_spans=3,
+                                             max_answer_length=RG.MAX_ANSWER_LENGTH,
+                                             allow_overlap=False)).alias("spans_nested_off"))
+
+
+def _cand_cols(c):
+    return c.select("qid", F.col("rank").cast("bigint").alias("rank"), F.col("slot").cast("bigint").alias("slot"),
+                    F.col("span_start").cast("bigint").alias("span_start"),
+                    F.col("span_end").cast("bigint").alias("span_end"), "answer_text",
+                    F.col("answer_start").cast("bigint").alias("answer_start"),
+                    F.col("answer_end").cast("bigint").alias("answer_end"),
+                    _r6("score").alias("score"), _r6("classifier_score").alias("classifier_score"),
+                    _r6("span_score").alias("span_score"))
+
+
+@query("f6_answer_candidates")
+def f6_answer_candidates(spark, sf):
+    c = RD.answer_candidates(_scores(spark, sf), num_passages_to_read=2, num_spans=2,
+                             max_answer_length=RG.MAX_ANSWER_LENGTH)
+    return _cand_cols(c)
+
+
+@query("h23_highlight")
+def h23_highlight(spark, sf):
+    c = RD.answer_candidates(_scores(spark, sf), num_passages_to_read=1, num_spans=1,
+                             max_answer_length=RG.MAX_ANSWER_LENGTH)
+    return c.select("qid", SP.highlight("input_text", "answer_text", "answer_start", "answer_end")
+                    .alias("highlighted"))
+
+
+@query("d4_classifier_precision")
+def d4_classifier_precision(spark, sf):
+    _, prec, _ = RG.reader_eval(_examples(spark, sf))
+    return RD.mean_metric(prec, "classifier_precision")
+
+
+@query("d5_answer_accuracy")
+def d5_answer_accuracy(spark, sf):
+    _, _, acc = RG.reader_eval(_examples(spark, sf))
+    return RD.mean_metric(acc, "answer_accuracy")
+
+
+@query("p6_batch_qa")
+def p6_batch_qa(spark, sf):
+    c = RG.answer_questions(T.questions(spark, sf), T.passages(spark, sf), num_retrieval_passages=10,
+                            num_passages_to_read=3, num_answer_candidates_per_passage=1)
+    return _cand_cols(c)
