@@ -4,8 +4,9 @@ The reference calls neural encoders and a reader network; no weights exist
 here, so every model call is a pluggable Arrow-batched function:
 
 * ``hash_encoder``: a deterministic signed feature-hashing bag-of-tokens
-  encoder. Token hashing runs JVM-side (md5, reproducible in SQL); the
-  Python side is a single vectorised ``bincount`` per Arrow batch.
+  encoder (md5 of each H2 token, reproducible in SQL). It runs like a model
+  does: one Arrow batch in, one md5 per distinct token of the batch, one
+  vectorised ``bincount`` out.
 * ``onnx_encoder``: the same column contract for a real ONNX model file,
   loaded once per Python worker through ``predict_batch_udf``.
 * ``lexical_reader``: deterministic reader logits from integer arithmetic on
@@ -20,38 +21,52 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from quarry.functions.text import word_tokens
-
 
 def token_bucket(token: Column, dim: int) -> Column:
-    """Signed 1-based bucket of a token: +-(1 + md5-prefix mod dim)."""
+    """Signed 1-based bucket of a token, JVM form: +-(1 + md5-prefix mod dim)."""
     h = F.md5(token)
     bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim)) + 1
     odd = F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2)) == 1
     return F.when(odd, -bucket).otherwise(bucket).cast("int")
 
 
-def _bincount_udf(dim: int):
-    @F.pandas_udf(ArrayType(FloatType()))
-    def encode(signed_buckets: pd.Series) -> pd.Series:
-        n = len(signed_buckets)
-        lengths = np.fromiter((len(x) for x in signed_buckets), dtype=np.int64, count=n)
-        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in signed_buckets]) if n and lengths.sum() \
-            else np.zeros(0, dtype=np.int64)
+def _encode_batch(texts: pd.Series, dim: int) -> np.ndarray:
+    """Signed token counts for a batch of texts: one md5 per distinct token."""
+    import hashlib
+
+    import regex
+
+    from quarry.functions.text import TOKEN_PATTERN
+    pattern = regex.compile(TOKEN_PATTERN)
+    n = len(texts)
+    toks = [[x.lower() for x in pattern.findall(t)] if isinstance(t, str) else [] for t in texts]
+    lengths = np.fromiter((len(t) for t in toks), dtype=np.int64, count=n)
+    flat = [x for t in toks for x in t]
+    out = np.zeros(n * dim, dtype=np.float64)
+    if flat:
+        codes, uniques = pd.factorize(pd.Series(flat, dtype=object))
+        digests = [hashlib.md5(u.encode("utf-8")).hexdigest() for u in uniques]
+        ubucket = np.array([int(d[:8], 16) % dim for d in digests], dtype=np.int64)
+        usign = np.array([-1.0 if int(d[8], 16) % 2 else 1.0 for d in digests])
         rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        cells = rows * dim + (np.abs(flat) - 1)
-        mat = np.bincount(cells, weights=np.sign(flat).astype(np.float64), minlength=n * dim)
-        mat = mat.reshape(n, dim).astype(np.float32)
-        return pd.Series(list(mat))
-    return encode
+        out = np.bincount(rows * dim + ubucket[codes], weights=usign[codes], minlength=n * dim)
+    return out.reshape(n, dim).astype(np.float32)
 
 
 def hash_encoder(text: Column, dim: int = 64) -> Column:
-    """Text -> float vector of signed token counts (dimension `dim`)."""
+    """Text -> float vector of signed token counts (dimension `dim`).
+
+    Tokens are the lower-cased word tokens of H2; token t adds sign(t) to
+    component bucket(t), both read from md5(t) (bucket = first 8 hex digits
+    mod dim, sign = -1 when the 9th hex digit is odd)."""
     if dim <= 0 or dim % 8:
         raise ValueError("dim must be a positive multiple of 8")
-    signed = F.transform(word_tokens(text), lambda t: token_bucket(t, dim))
-    return _bincount_udf(dim)(signed)
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(_encode_batch(texts, dim)))
+
+    return encode(text)
 
 
 def passage_encoder_input(title: Column, text: Column) -> Column:

@@ -61,7 +61,7 @@ def list_column_matrix(col: pa.Array, width: int | None, dtype) -> np.ndarray:
         col = col.combine_chunks()
     n = len(col)
     if col.null_count:
-        raise ValueError("vector column contains nulls; filter them out first")
+        raise ValueError("vector column contains nulls; drop them first (see valid_rows)")
     lengths = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False)
     if n == 0:
         return np.zeros((0, width or 0), dtype=dtype)
@@ -73,6 +73,15 @@ def list_column_matrix(col: pa.Array, width: int | None, dtype) -> np.ndarray:
     return flat.astype(dtype, copy=False).reshape(n, width)
 
 
+def valid_rows(ids: pa.Array, col: pa.Array):
+    """Drop rows whose vector is null (done in the kernel: a Spark-side filter on a
+    derived vector would be pushed below the repartition and recompute the encoder)."""
+    if col.null_count == 0:
+        return ids, col
+    mask = col.is_valid()
+    return ids.filter(mask), col.filter(mask)
+
+
 def select_topk(rows: np.ndarray, keys: list[np.ndarray], k: int) -> np.ndarray:
     """Indices of the best k entries per row; ``keys`` are ascending sort keys
     (most significant first, the last one must make the order total)."""
@@ -127,8 +136,11 @@ def _dense_kernel(bc, k: int):
         for rb in batches:
             if rb.num_rows == 0 or m == 0:
                 continue
-            ids = rb.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            pmat = list_column_matrix(rb.column(1), dim, np.float64)
+            id_col, vec_col = valid_rows(rb.column(0), rb.column(1))
+            if len(id_col) == 0:
+                continue
+            ids = id_col.to_numpy(zero_copy_only=False).astype(np.int64)
+            pmat = list_column_matrix(vec_col, dim, np.float64)
             step = max(1, _CELL_BUDGET // max(1, len(ids)))
             for r0 in range(0, m, step):
                 scores = qmat[r0:r0 + step] @ pmat.T
@@ -153,8 +165,11 @@ def _binary_kernel(bc, k: int, dim: int, with_score: bool):
         for rb in batches:
             if rb.num_rows == 0 or m == 0:
                 continue
-            ids = rb.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            words = list_column_matrix(rb.column(1), None, np.int64)
+            id_col, code_col = valid_rows(rb.column(0), rb.column(1))
+            if len(id_col) == 0:
+                continue
+            ids = id_col.to_numpy(zero_copy_only=False).astype(np.int64)
+            words = list_column_matrix(code_col, None, np.int64)
             psign = unpack_sign_matrix(words, dim, np.float32)
             psign64 = psign.astype(np.float64) if with_score else None
             step = max(1, _CELL_BUDGET // max(1, len(ids)))
@@ -199,8 +214,8 @@ def _collect_block(block: DataFrame, q_id: str, q_col: str, block_bytes: int, ro
     table = block.select(F.col(q_id).cast("long").alias("qid"), F.col(q_col).alias("v")).toArrow()
     if table.num_rows * row_bytes > 2 * block_bytes:
         raise RuntimeError("question block exceeds its broadcast budget")
-    qids = table.column("qid").to_numpy().astype(np.int64)
-    return qids, table.column("v")
+    qid_col, vec_col = valid_rows(table.column("qid").combine_chunks(), table.column("v").combine_chunks())
+    return qid_col.to_numpy(zero_copy_only=False).astype(np.int64), vec_col
 
 
 def dense_knn(questions: DataFrame, vectors: DataFrame, k: int, *, q_id: str = "qid",
@@ -212,10 +227,8 @@ def dense_knn(questions: DataFrame, vectors: DataFrame, k: int, *, q_id: str = "
     if k <= 0:
         raise ValueError("k must be positive")
     spark = vectors.sparkSession
-    questions = questions.where(F.col(q_vec).isNotNull())
     row_bytes = 8 * (dim or 1024) + 16
-    passages = vectors.select(F.col(p_id).cast("long").alias("id"), F.col(p_vec).alias("v")) \
-        .where(F.col("v").isNotNull())
+    passages = vectors.select(F.col(p_id).cast("long").alias("id"), F.col(p_vec).alias("v"))
     parts = []
     for block in _question_blocks(questions, q_id, row_bytes, block_bytes):
         qids, col = _collect_block(block, q_id, q_vec, block_bytes, row_bytes)
@@ -233,10 +246,8 @@ def dense_knn(questions: DataFrame, vectors: DataFrame, k: int, *, q_id: str = "
 def _binary_partial(questions, codes, k, dim, q_id, q_col, q_kind, p_id, p_code, block_bytes,
                     with_score):
     spark = codes.sparkSession
-    questions = questions.where(F.col(q_col).isNotNull())
     row_bytes = 12 * dim + 16
-    passages = codes.select(F.col(p_id).cast("long").alias("id"), F.col(p_code).alias("c")) \
-        .where(F.col("c").isNotNull())
+    passages = codes.select(F.col(p_id).cast("long").alias("id"), F.col(p_code).alias("c"))
     parts = []
     for block in _question_blocks(questions, q_id, row_bytes, block_bytes):
         qids, col = _collect_block(block, q_id, q_col, block_bytes, row_bytes)

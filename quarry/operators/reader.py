@@ -69,9 +69,10 @@ def positive_negative_lists(slots: DataFrame) -> DataFrame:
 
 
 def eval_slots(examples: DataFrame, *, num_passages: int, max_load_passages: int | None,
-               max_input_length: int) -> DataFrame:
+               max_input_length: int, loaded: DataFrame | None = None) -> DataFrame:
     """I7 + I8: the first num_passages loaded ctxs in order, padded with idx -1 slots."""
-    loaded = ctx_slots(examples, max_load_passages=max_load_passages, max_input_length=max_input_length)
+    if loaded is None:
+        loaded = ctx_slots(examples, max_load_passages=max_load_passages, max_input_length=max_input_length)
     real = loaded.where(F.col("idx") < num_passages).select(
         "qid", F.col("idx").alias("slot"), "idx", F.col("ctx.id").alias("pid"), "q_tokens", "tokens")
     n_loaded = F.size("ctxs") if max_load_passages is None else F.least(F.size("ctxs"), F.lit(max_load_passages))

@@ -35,10 +35,10 @@ def reader_eval(examples: DataFrame, *, num_passages: int = NUM_PASSAGES,
                 max_load_passages: int | None = MAX_LOAD_PASSAGES, max_input_length: int = MAX_INPUT_LENGTH,
                 max_answer_length: int = MAX_ANSWER_LENGTH):
     """P5: (scores, classifier precision per question, answer accuracy per question)."""
+    loaded = RD.ctx_slots(examples, max_load_passages=max_load_passages, max_input_length=max_input_length)
     slots = RD.eval_slots(examples, num_passages=num_passages, max_load_passages=max_load_passages,
-                          max_input_length=max_input_length)
+                          max_input_length=max_input_length, loaded=loaded)
     scores = score_slots(slots)
-    loaded = RD.ctx_slots(examples, max_load_passages=max_load_passages, max_input_length=max_input_length)
     pos_neg = RD.positive_negative_lists(loaded)
     prec = RD.classifier_precision(scores, pos_neg)
     acc = RD.answer_accuracy(scores, examples, max_answer_length=max_answer_length)

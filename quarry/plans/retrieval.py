@@ -74,7 +74,8 @@ def encode_questions(questions: DataFrame, dim: int, *, q_id: str = "qid", quest
 def encode_passages(passages: DataFrame, dim: int) -> DataFrame:
     """J2 (+H22): (id, embedding) from (title, text)."""
     from quarry.functions.inference import hash_encoder, passage_encoder_input
-    return passages.select("id", hash_encoder(passage_encoder_input(F.col("title"), F.col("text")), dim)
+    from quarry.session import ensure_parallelism
+    return ensure_parallelism(passages).select("id", hash_encoder(passage_encoder_input(F.col("title"), F.col("text")), dim)
                            .alias("embedding"))
 
 

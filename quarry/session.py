@@ -57,3 +57,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread CPU-heavy per-row work (encoding, tokenisation) over the cluster.
+
+    Only inputs with fewer partitions than the default parallelism are
+    redistributed (round robin); a large, many-file input is left as it is,
+    so no shuffle is added at scale."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
