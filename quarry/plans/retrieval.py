@@ -31,10 +31,12 @@ def attach_passages(hits: DataFrame, passages: DataFrame, *, expected_rows: int
 
     The hit side is bounded by questions x k; when that bound is known to be
     small it is broadcast so the passage table is streamed, never shuffled."""
+    from quarry.session import ensure_parallelism
     side = hits
     if expected_rows is not None and expected_rows <= HITS_BROADCAST_ROWS:
         side = F.broadcast(hits)
-    return side.join(passages, id_col, "inner")
+    # Per-hit text work runs where the passage rows stream; keep that spread out.
+    return side.join(ensure_parallelism(passages), id_col, "inner")
 
 
 def restrict_to_dataset(hits: DataFrame, *, q_id: str = "qid", q_dataset: str = "q_dataset",
