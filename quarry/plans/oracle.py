@@ -449,3 +449,51 @@ scores AS (SELECT *, (((pid % 23) + 23) % 23 + len(list_intersect(q_tokens, toke
                   {logits('pid', 'tokens', 'q_tokens', 7, 13, 17)} AS start_logits,
                   {logits('pid', 'tokens', 'q_tokens', 11, 5, 19)} AS end_logits FROM slots)""" + candidates(3, 1) + \
     f"\nSELECT {CAND_COLS} FROM cands"
+
+
+# ---------------------------------------------------------------- sources, store
+SQL["a1_passage_tsv"] = """
+SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, source AS dataset, md5(text) AS text_md5,
+       (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS pos
+FROM documents"""
+
+SQL["a4_passage_store"] = """
+SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, source AS dataset, md5(text || ' [r2]') AS text_md5
+FROM documents"""
+
+SQL["a5_store_key_order"] = """
+SELECT doc_id AS id, (row_number() OVER (ORDER BY doc_id::VARCHAR) - 1)::BIGINT AS pos FROM documents"""
+
+SQL["a6_store_size"] = "SELECT count(*)::BIGINT AS n_passages FROM documents"
+
+SQL["a7_lookup"] = """
+SELECT l.doc_id AS id, l.quality, split_part(d.text, chr(10), 1) AS title, md5(d.text || ' [r2]') AS text_md5
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
+
+SQL["a8_passage_table"] = "SELECT doc_id AS id, upper(source) AS dataset, md5(text) AS text_md5 FROM documents"
+
+SQL["a9_qa_tsv"] = f"""
+SELECT (row_number() OVER (ORDER BY qid) - 1)::BIGINT AS pos, question, array_to_string(answers, '|') AS answers,
+       len(answers)::BIGINT AS n_answers
+FROM {QUESTIONS}"""
+
+SQL["a15_concat_files"] = """
+WITH f AS (SELECT 0 AS file_no, item_id AS k1, 0 AS k2, text AS q FROM benchmark
+           UNION ALL SELECT 1, conv_id, turn, text FROM conversations WHERE role = 'user')
+SELECT (row_number() OVER (ORDER BY file_no, k1, k2) - 1)::BIGINT AS index, file_no::BIGINT AS file_no,
+       md5(q) AS q_md5 FROM f"""
+
+SQL["a16_batches"] = """
+WITH p AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark)
+SELECT (pos // 7)::BIGINT AS batch_id, count(*)::BIGINT AS n, min(pos)::BIGINT AS first_pos FROM p GROUP BY 1"""
+
+SQL["a17_reader_set_json"] = f"""
+WITH {text_hits(20, 100)},
+r AS (SELECT q.qid, count(f.id)::BIGINT AS n_ctxs,
+       coalesce(array_to_string(list(f.id::VARCHAR ORDER BY f.rank), ','), '') AS ctx_ids,
+       coalesce(array_to_string(list(CASE WHEN f.has_answer THEN '1' ELSE '0' END ORDER BY f.rank), ''), '')
+         AS has_answer
+      FROM qs q LEFT JOIN tflag f ON f.qid = q.qid GROUP BY q.qid)
+SELECT r.qid, v.form, r.n_ctxs, r.ctx_ids, r.has_answer FROM r, (VALUES ('lines'), ('array')) v(form)"""
+
+SQL["a14_vector_table"] = SQL["h7_pack_bits"]

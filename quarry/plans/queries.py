@@ -343,3 +343,129 @@ def p6_batch_qa(spark, sf):
     c = RG.answer_questions(T.questions(spark, sf), T.passages(spark, sf), num_retrieval_passages=10,
                             num_passages_to_read=3, num_answer_candidates_per_passage=1)
     return _cand_cols(c)
+
+
+# ---------------------------------------------------------------- sources, store
+
+from quarry.session import scratch_path  # noqa: E402
+from quarry.sources import files as FS  # noqa: E402
+from quarry.sources import passages as PS  # noqa: E402
+
+
+def _ordered_pos(df, col="pos"):
+    return FS.dense_index(df, list(FS.INPUT_ORDER), col)
+
+
+@query("a1_passage_tsv")
+def a1_passage_tsv(spark, sf):
+    path = scratch_path(spark, "passages.tsv")
+    FS.write_passage_tsv(T.passages(spark, sf).orderBy("id"), path)
+    df = _ordered_pos(FS.read_passage_tsv(spark, path))
+    return df.select("id", "title", "dataset", F.md5("text").alias("text_md5"), "pos")
+
+
+def _store(spark, sf):
+    """A4 fixture: the corpus, then a revised copy of every passage twice over
+    (' [r1]' then ' [r2]'), as three ordered TSV inputs: the last copy must win."""
+    p = T.passages(spark, sf)
+    v1 = scratch_path(spark, "store-v1.tsv")
+    v2 = scratch_path(spark, "store-v2.tsv")
+    FS.write_passage_tsv(p.orderBy("id"), v1)
+    rev = p.select("id", "title", F.concat("text", F.lit(" [r1]")).alias("text"), "dataset", F.lit(1).alias("v")) \
+        .unionByName(p.select("id", "title", F.concat("text", F.lit(" [r2]")).alias("text"), "dataset",
+                              F.lit(2).alias("v")))
+    FS.write_passage_tsv(rev.orderBy("v", "id").drop("v"), v2)
+    store = scratch_path(spark, "store.parquet")
+    PS.build_passage_store(spark, [v1, v2], store)
+    return store
+
+
+@query("a4_passage_store")
+def a4_passage_store(spark, sf):
+    s = PS.scan_store(spark, _store(spark, sf))
+    return s.select("id", "title", "dataset", F.md5("text").alias("text_md5"))
+
+
+@query("a5_store_key_order")
+def a5_store_key_order(spark, sf):
+    s = PS.scan_store(spark, _store(spark, sf), key_order=True)
+    return FS.with_line_numbers(s, "pos").select("id", "pos")
+
+
+@query("a6_store_size")
+def a6_store_size(spark, sf):
+    return PS.store_size(PS.scan_store(spark, _store(spark, sf)))
+
+
+@query("a7_lookup")
+def a7_lookup(spark, sf):
+    store = PS.scan_store(spark, _store(spark, sf))
+    ids = T.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
+    return PS.lookup(ids, store).select("id", "quality", "title", F.md5("text").alias("text_md5"))
+
+
+@query("a8_passage_table")
+def a8_passage_table(spark, sf):
+    path = scratch_path(spark, "passages-mem.tsv")
+    p = T.passages(spark, sf)
+    FS.write_passage_tsv(p.unionByName(p.select("id", "title", F.upper("dataset").alias("dataset"), "text"))
+                         .orderBy(F.col("dataset").desc(), "id"), path)
+    return PS.passage_table(spark, path).select("id", "dataset", F.md5("text").alias("text_md5"))
+
+
+@query("a9_qa_tsv")
+def a9_qa_tsv(spark, sf):
+    path = scratch_path(spark, "qa.tsv")
+    FS.write_qa_tsv(T.questions(spark, sf).orderBy("qid"), path)
+    df = _ordered_pos(FS.read_qa_tsv(spark, path).withColumn("file_no", F.lit(0)))
+    return df.select("pos", "question", F.array_join("answers", "|").alias("answers"),
+                     F.size("answers").cast("bigint").alias("n_answers"))
+
+
+@query("a15_concat_files")
+def a15_concat_files(spark, sf):
+    """Two QA files read in order (benchmark questions, then user turns) + E4 index."""
+    p1, p2 = scratch_path(spark, "qa1.tsv"), scratch_path(spark, "qa2.tsv")
+    FS.write_qa_tsv(T.questions(spark, sf).orderBy("qid"), p1)
+    conv = T.table(spark, sf, "conversations").where(F.col("role") == "user")
+    FS.write_qa_tsv(conv.select(F.col("text").alias("question"), T.answers_of(F.col("text")).alias("answers"),
+                                "conv_id", "turn").orderBy("conv_id", "turn"), p2)
+    both = FS.concat_files([FS.read_qa_tsv(spark, p1), FS.read_qa_tsv(spark, p2)])
+    idx = FS.dense_index(both, list(FS.INPUT_ORDER), "index")
+    return idx.select("index", F.col("file_no").cast("bigint").alias("file_no"), F.md5("question").alias("q_md5"))
+
+
+@query("a16_batches")
+def a16_batches(spark, sf):
+    path = scratch_path(spark, "qa-batches.tsv")
+    FS.write_qa_tsv(T.questions(spark, sf).orderBy("qid"), path)
+    df = _ordered_pos(FS.read_qa_tsv(spark, path).withColumn("file_no", F.lit(0)), "pos")
+    b = FS.batch_ids(df, 7, order_col="pos")
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                     F.min("pos").cast("bigint").alias("first_pos"))
+
+
+@query("a17_reader_set_json")
+def a17_reader_set_json(spark, sf):
+    """A17 + A3 (lines and array forms) + A2/A12 read-back of the reader set."""
+    ex = _examples(spark, sf)
+    lines, arr = scratch_path(spark, "reader.jsonl.gz"), scratch_path(spark, "reader.json")
+    FS.write_json_items(ex, lines)
+    FS.write_json_items(ex, arr)
+    schema = f"qid bigint, question string, answers array<string>, ctxs array<{RD.CTX_TYPE}>"
+    a = FS.read_json_items(spark, lines, schema=schema)
+    b = FS.read_json_items(spark, arr, schema=schema)
+    both = a.select("qid", F.lit("lines").alias("form"), "ctxs").unionByName(
+        b.select("qid", F.lit("array").alias("form"), "ctxs"))
+    return both.select("qid", "form", F.size("ctxs").cast("bigint").alias("n_ctxs"),
+                       _ints(F.transform("ctxs", lambda c: c["id"])).alias("ctx_ids"),
+                       F.array_join(F.transform("ctxs", lambda c: F.when(c["has_answer"], "1").otherwise("0")), "")
+                       .alias("has_answer"))
+
+
+@query("a14_vector_table")
+def a14_vector_table(spark, sf):
+    path = scratch_path(spark, "codes.parquet")
+    FS.write_vector_table(R.code_table(T.vectors(spark, sf)), path)
+    back = FS.read_vector_table(spark, path)
+    return back.select("id", F.array_join(F.transform("code", lambda x: x.cast("string")), ",").alias("code"))

@@ -44,9 +44,10 @@ def restrict_to_dataset(hits: DataFrame, *, q_id: str = "qid", q_dataset: str =
     """B4 + E1: keep hits of the question's own dataset (after top-k), re-rank 1..n.
 
     A null question dataset is an error, as in the reference."""
-    checked = hits.withColumn(
-        "_chk", F.assert_true(F.col(q_dataset).isNotNull(), F.lit("question has no dataset value")))
-    kept = checked.where(F.col(dataset) == F.col(q_dataset)).drop("_chk")
+    from quarry.functions.checks import guard
+    checked = hits.withColumn(q_dataset, guard(q_dataset, F.col(q_dataset).isNotNull(),
+                                               "restricting to the same dataset needs a question dataset"))
+    kept = checked.where(F.col(dataset) == F.col(q_dataset))
     w = Window.partitionBy(q_id).orderBy(F.col(rank).asc())
     return kept.withColumn(rank, F.row_number().over(w).cast("bigint"))
 
