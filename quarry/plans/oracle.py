@@ -497,3 +497,137 @@ r AS (SELECT q.qid, count(f.id)::BIGINT AS n_ctxs,
 SELECT r.qid, v.form, r.n_ctxs, r.ctx_ids, r.has_answer FROM r, (VALUES ('lines'), ('array')) v(form)"""
 
 SQL["a14_vector_table"] = SQL["h7_pack_bits"]
+
+
+# ---------------------------------------------------------------- training sets
+def H(*parts: str) -> str:
+    """Seeded hash: first 8 hex digits of md5 of the '|'-joined parts, as BIGINT."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT)"
+
+
+def shuffled(arr: str, *key: str) -> str:
+    return (f"list_transform(list_sort(list_transform({arr}, lambda x, i: "
+            f"{{'h': {H(*key, '(i - 1)')}, 'i': i - 1, 'x': x}})), lambda s: s.x)")
+
+
+def _ids(arr: str) -> str:
+    return f"array_to_string(list_transform({arr}, lambda x: x.id), ',')"
+
+
+RETRIEVER_ITEMS = f"""
+rh AS (SELECT f.qid, f.id, f.rank, f.has_answer, p.title, p.text, p.dataset, l.quality
+       FROM tflag f JOIN ps p ON p.id = f.id LEFT JOIN labels l ON l.doc_id = f.id),
+items AS (SELECT qid,
+  coalesce(list({{'id': id::VARCHAR, 'title': title, 'text': text}} ORDER BY rank) FILTER (WHERE has_answer), [])
+    AS positives,
+  coalesce(list({{'id': id::VARCHAR, 'title': NULL::VARCHAR, 'text': NULL::VARCHAR}} ORDER BY rank)
+    FILTER (WHERE NOT has_answer AND quality = 0), []) AS hard,
+  coalesce(list({{'id': id::VARCHAR, 'title': title, 'text': text}} ORDER BY rank)
+    FILTER (WHERE NOT has_answer AND (quality IS NULL OR quality = 1)), []) AS normal,
+  arg_min(dataset, rank) AS dataset
+  FROM rh GROUP BY qid),
+ex AS (SELECT i.qid, q.question, i.dataset, i.positives[1:3] AS positives, i.hard[1:5] AS hard,
+              i.normal[1:5] AS normal
+       FROM items i JOIN qs q ON q.qid = i.qid
+       WHERE len(i.positives[1:3]) > 0 AND len(i.hard[1:5]) + len(i.normal[1:5]) > 0),
+nex AS (SELECT *, row_number() OVER (ORDER BY qid) - 1 AS index FROM ex)"""
+
+SQL["a10_retriever_file"] = f"""
+WITH {text_hits(20, 100)},{RETRIEVER_ITEMS}
+SELECT md5(q.question) AS q_md5, {_ids('i.positives')} AS positive_ids, i.dataset
+FROM items i JOIN qs q ON q.qid = i.qid"""
+
+SQL["a11_retriever_examples"] = f"""
+WITH {text_hits(20, 100)},{RETRIEVER_ITEMS}
+SELECT index::BIGINT AS index, dataset, {_ids('positives')} AS positives, {_ids('hard')} AS hard_negatives,
+       {_ids('normal')} AS normal_negatives, '{{"qid":' || qid || '}}' AS metadata
+FROM nex"""
+
+SQL["p7_biencoder_pairs"] = f"""
+WITH {text_hits(20, 100)},{RETRIEVER_ITEMS},
+picked AS (SELECT index, positives[({H("11", "1", "'pos'", "index")} % len(positives)) + 1] AS pos,
+                  ({shuffled('hard', "11", "1", "'hard'", "index")} ||
+                   {shuffled('normal', "11", "1", "'normal'", "index")})[1:2] AS negs
+           FROM nex),
+pairs AS (SELECT index, unnest(list_prepend(pos, negs)) AS p,
+                 generate_subscripts(list_prepend(pos, negs), 1) - 1 AS slot FROM picked)
+SELECT index::BIGINT AS index, slot::BIGINT AS slot, p.id AS passage_id,
+       md5(coalesce(p.title, split_part(d.text, chr(10), 1))) AS title_md5, md5(coalesce(p.text, d.text)) AS text_md5
+FROM pairs LEFT JOIN documents d ON d.doc_id = p.id::BIGINT"""
+
+SQL["d7_dataset_sizes"] = """
+SELECT source AS dataset, count(*)::BIGINT AS n_examples FROM documents GROUP BY ROLLUP (source)"""
+
+SQL["i1_multi_key_batches"] = f"""
+WITH ex AS (SELECT source AS dataset, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS key_idx
+            FROM documents),
+w AS (SELECT *, (CASE dataset WHEN 'src0' THEN 2.5 WHEN 'src1' THEN 0.5 WHEN 'src2' THEN 0.29 ELSE 1.0 END)::DOUBLE
+                AS w FROM ex),
+sizes AS (SELECT dataset, floor(count(*) * any_value(w))::BIGINT AS take FROM w GROUP BY dataset),
+reps AS (SELECT *, unnest(range(0, floor(w)::INT + 1)) AS rep FROM w),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY rep, {H("3", "1", "dataset", "rep", "key_idx")},
+                                        key_idx) - 1 AS pos FROM reps),
+kept AS (SELECT r.dataset, r.key_idx, r.pos // 8 AS chunk, r.pos % 8 AS slot
+         FROM ranked r JOIN sizes s ON s.dataset = r.dataset
+         WHERE r.pos < s.take AND r.pos // 8 < s.take // 8),
+chunks AS (SELECT dataset, chunk, row_number() OVER (ORDER BY {H("3", "1", "'chunk'", "dataset", "chunk")},
+                                                      dataset, chunk) - 1 AS batch_no
+           FROM (SELECT DISTINCT dataset, chunk FROM kept))
+SELECT c.batch_no::BIGINT AS batch_no, (k.slot // 2)::BIGINT AS batch_pos, k.dataset, k.key_idx::BIGINT AS key_idx
+FROM kept k JOIN chunks c ON c.dataset = k.dataset AND c.chunk = k.chunk WHERE k.slot % 2 = 1"""
+
+SQL["i9_plain_batches"] = f"""
+WITH o AS (SELECT doc_id AS index, row_number() OVER (ORDER BY {H("5", "2", "doc_id")}, doc_id) - 1 AS pos
+           FROM documents),
+m AS (SELECT index, pos // 2 AS p FROM o WHERE pos % 2 = 0)
+SELECT index, (p // 6)::BIGINT AS batch_id, (p % 6)::BIGINT AS batch_pos FROM m"""
+
+TRAIN = READER + f""",
+lists AS (SELECT qid, coalesce(list_sort(list(idx) FILTER (WHERE is_positive)), [])[1:3] AS pos,
+                 coalesce(list_sort(list(idx) FILTER (WHERE is_negative)), [])[1:10] AS neg
+          FROM flags GROUP BY qid),
+body AS (SELECT qid, [pos[({H("9", "0", "'rpos'", "qid")} % len(pos)) + 1]] ||
+                     {shuffled('neg', "9", "0", "'rneg'", "qid")}[1:3] AS b
+         FROM lists WHERE len(pos) > 0),
+tslots AS (SELECT qid, unnest(b || list_transform(range(0, greatest(0, 4 - len(b))), lambda i: -1)) AS idx,
+                  generate_subscripts(b || list_transform(range(0, greatest(0, 4 - len(b))), lambda i: -1), 1) - 1
+                    AS slot
+           FROM body),
+trows AS (SELECT t.qid, t.slot, t.idx, coalesce(f.pid, -1) AS pid, coalesce(f.q_tokens, []::VARCHAR[]) AS q_tokens,
+                 coalesce(f.tokens, {PAD_TOKENS}) AS tokens, coalesce(f.spans, []) AS spans
+          FROM tslots t LEFT JOIN flags f ON f.qid = t.qid AND f.idx = t.idx),
+tscores AS (SELECT *, (((pid % 23) + 23) % 23 + len(list_intersect(q_tokens, tokens)))::DOUBLE AS classifier_logit,
+                   {logits('pid', 'tokens', 'q_tokens', 7, 13, 17)} AS start_logits,
+                   {logits('pid', 'tokens', 'q_tokens', 11, 5, 19)} AS end_logits FROM trows),
+padded AS (SELECT qid, start_logits, end_logits,
+                  list_transform(spans[1:3], lambda s: s.start) || list_transform(range(0, 3 - len(spans[1:3])), lambda i: 0)
+                    AS starts,
+                  list_transform(spans[1:3], lambda s: s.end) || list_transform(range(0, 3 - len(spans[1:3])), lambda i: 0)
+                    AS ends,
+                  list_transform(spans[1:3], lambda s: 1) || list_transform(range(0, 3 - len(spans[1:3])), lambda i: 0)
+                    AS mask
+           FROM tscores WHERE slot = 0)"""
+
+SQL["i6_reader_training_slots"] = TRAIN + "\nSELECT qid, slot::BIGINT AS slot, idx::BIGINT AS idx FROM tslots"
+
+SQL["h21_padded_spans"] = TRAIN + f"""
+SELECT qid, {ints_str('starts')} AS starts, {ints_str('ends')} AS ends, {ints_str('mask')} AS mask FROM padded"""
+
+SQL["d12_classifier_loss"] = TRAIN + """,
+z AS (SELECT qid, slot, CASE WHEN idx >= 0 THEN classifier_logit ELSE -1e8 END AS z FROM tscores),
+per_q AS (SELECT qid, max(z) AS mx, any_value(z) FILTER (WHERE slot = 0) AS zl FROM z GROUP BY qid),
+lse AS (SELECT z.qid, ln(sum(exp(z.z - p.mx))) + p.mx - p.zl AS loss FROM z JOIN per_q p ON p.qid = z.qid
+        GROUP BY z.qid, p.mx, p.zl)
+SELECT round(sum(loss), 6) AS classifier_loss FROM lse"""
+
+
+def log_softmax_at(arr: str, pos: str) -> str:
+    return (f"({arr}[{pos} + 1] - (ln(list_sum(list_transform({arr}, lambda x: exp(x - list_max({arr}))))) "
+            f"+ list_max({arr})))")
+
+
+SQL["d13_span_loss"] = TRAIN + f""",
+probs AS (SELECT qid, list_sum(list_transform(range(1, 4), lambda j: CASE WHEN mask[j] = 1 THEN
+            exp({log_softmax_at('start_logits', 'starts[j]')} + {log_softmax_at('end_logits', 'ends[j]')})
+            ELSE 0.0 END)) AS total FROM padded)
+SELECT round(sum(-ln(total)), 6) AS span_loss FROM probs"""

@@ -469,3 +469,152 @@ def a14_vector_table(spark, sf):
     FS.write_vector_table(R.code_table(T.vectors(spark, sf)), path)
     back = FS.read_vector_table(spark, path)
     return back.select("id", F.array_join(F.transform("code", lambda x: x.cast("string")), ",").alias("code"))
+
+
+# ---------------------------------------------------------------- training sets
+
+from quarry.operators import training as TR  # noqa: E402
+
+P7_SEED, P7_EPOCH, P7_NEG = 11, 1, 2
+
+
+def _retriever_file(spark, sf):
+    """Retriever-set JSON Lines built from text-retrieval hits: positives = hits
+    with the answer; hard negatives = answerless hits labelled quality 0 (title
+    and text left null, to be taken from the passage store); normal negatives =
+    the other answerless hits. Extra field qid ends up in metadata."""
+    hits, _, _ = _text_eval(spark, sf)
+    lab = T.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
+    h = hits.join(lab, "id", "left")
+    ctx = F.struct(F.col("id").cast("string").alias("passage_id"), "title", "text")
+    bare = F.struct(F.col("id").cast("string").alias("passage_id"), F.lit(None).cast("string").alias("title"),
+                    F.lit(None).cast("string").alias("text"))
+
+    def ordered(cond, value):
+        return F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("rank", value.alias("c"))))),
+                           lambda x: x["c"])
+
+    items = h.groupBy("qid").agg(
+        ordered(F.col("has_answer"), ctx).alias("positive_ctxs"),
+        ordered(~F.col("has_answer") & (F.col("quality") == 0), bare).alias("hard_negative_ctxs"),
+        ordered(~F.col("has_answer") & (F.col("quality").isNull() | (F.col("quality") == 1)), ctx)
+        .alias("negative_ctxs"),
+        F.min_by("dataset", "rank").alias("dataset"))
+    q = T.questions(spark, sf)
+    path = scratch_path(spark, "retriever.jsonl")
+    FS.write_json_items(q.join(items, "qid").orderBy("qid"), path)
+    return path
+
+
+def _retriever_examples(spark, sf):
+    path = _retriever_file(spark, sf)
+    schema = FS.RETRIEVER_SCHEMA + ", qid bigint"
+    items = FS.read_json_items(spark, path, schema=schema).withColumn("file_no", F.lit(0))
+    ex = TR.retriever_examples(items, max_positives=3, max_hard_negatives=5, max_normal_negatives=5)
+    return TR.number_examples(ex)
+
+
+@query("a10_retriever_file")
+def a10_retriever_file(spark, sf):
+    path = _retriever_file(spark, sf)
+    r = FS.read_retriever_file(spark, path)
+    return r.select(F.md5("question").alias("q_md5"), F.array_join("positive_ids", ",").alias("positive_ids"),
+                    "dataset")
+
+
+@query("a11_retriever_examples")
+def a11_retriever_examples(spark, sf):
+    ex = _retriever_examples(spark, sf)
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",")
+    return ex.select("index", "dataset", ids("positives").alias("positives"),
+                     ids("hard_negatives").alias("hard_negatives"), ids("normal_negatives").alias("normal_negatives"),
+                     "metadata")
+
+
+@query("p7_biencoder_pairs")
+def p7_biencoder_pairs(spark, sf):
+    ex = _retriever_examples(spark, sf)
+    picked = TR.pick_pairs(ex, num_negatives=P7_NEG, training=True, seed=P7_SEED, epoch=P7_EPOCH)
+    pairs = TR.flatten_pairs(picked)
+    filled = TR.backfill_from_store(pairs, T.passages(spark, sf))
+    return filled.select("index", F.col("slot").cast("bigint").alias("slot"), "passage_id",
+                         F.md5("title").alias("title_md5"), F.md5("text").alias("text_md5"))
+
+
+def _doc_examples(spark, sf):
+    d = T.table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("index"), F.col("source").alias("dataset"))
+
+
+@query("d7_dataset_sizes")
+def d7_dataset_sizes(spark, sf):
+    return TR.dataset_sizes(_doc_examples(spark, sf))
+
+
+I1_WEIGHTS = {"src0": 2.5, "src1": 0.5, "src2": 0.29}
+
+
+@query("i1_multi_key_batches")
+def i1_multi_key_batches(spark, sf):
+    ex = TR.key_indices(_doc_examples(spark, sf))
+    b = TR.multi_key_batches(ex, batch_size=4, weights=I1_WEIGHTS, shuffle=True, seed=3, epoch=1,
+                             num_replicas=2, rank=1)
+    return b.select(F.col("batch_no").cast("bigint").alias("batch_no"),
+                    F.col("batch_pos").cast("bigint").alias("batch_pos"), "dataset",
+                    F.col("key_idx").cast("bigint").alias("key_idx"))
+
+
+@query("i9_plain_batches")
+def i9_plain_batches(spark, sf):
+    b = TR.plain_batches(_doc_examples(spark, sf), 6, shuffle=True, seed=5, epoch=2, num_replicas=2, rank=0)
+    return b.select("index", "batch_id", F.col("batch_pos").cast("bigint").alias("batch_pos"))
+
+
+READER_TRAIN_PASSAGES = 4
+
+
+def _reader_training(spark, sf, gold=None):
+    ex = _examples(spark, sf)
+    loaded = RD.ctx_slots(ex, max_load_passages=RG.MAX_LOAD_PASSAGES, max_input_length=RG.MAX_INPUT_LENGTH)
+    rows = TR.reader_training_rows(loaded, ex, num_passages=READER_TRAIN_PASSAGES, seed=9, epoch=0,
+                                   max_positives=3, max_negatives=10, gold=gold)
+    return ex, loaded, rows
+
+
+@query("i6_reader_training_slots")
+def i6_reader_training_slots(spark, sf):
+    _, _, rows = _reader_training(spark, sf)
+    return rows.select("qid", F.col("slot").cast("bigint").alias("slot"), F.col("idx").cast("bigint").alias("idx"))
+
+
+def _train_scores(spark, sf):
+    ex, loaded, rows = _reader_training(spark, sf)
+    real = rows.join(loaded.select("qid", "idx", F.col("ctx.id").alias("pid"), "q_tokens", "tokens", "spans"),
+                     ["qid", "idx"])
+    empty = F.array().cast("array<string>")
+    pad = rows.where(F.col("idx") < 0).select(
+        "qid", "idx", "slot", F.lit(None).cast("bigint").alias("pid"), empty.alias("q_tokens"),
+        SP.reader_input(empty, empty, empty, RG.MAX_INPUT_LENGTH).alias("tokens"),
+        F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    return RG.score_slots(real.unionByName(pad))
+
+
+@query("h21_padded_spans")
+def h21_padded_spans(spark, sf):
+    s = _train_scores(spark, sf).where(F.col("slot") == 0)
+    p = SP.pad_spans("spans", 3)
+    return s.select("qid", _ints(p["starts"]).alias("starts"), _ints(p["ends"]).alias("ends"),
+                    _ints(p["mask"]).alias("mask"))
+
+
+@query("d12_classifier_loss")
+def d12_classifier_loss(spark, sf):
+    return RD.classifier_loss(_train_scores(spark, sf))
+
+
+@query("d13_span_loss")
+def d13_span_loss(spark, sf):
+    s = _train_scores(spark, sf).where(F.col("slot") == 0)
+    p = SP.pad_spans("spans", 3)
+    return RD.span_loss(s.select("qid", "start_logits", "end_logits", p["starts"].alias("starts"),
+                                 p["ends"].alias("ends"), p["mask"].alias("mask")))
