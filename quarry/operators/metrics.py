@@ -2,11 +2,10 @@
 
 D1  recall@k for a list of k            D2  first positive rank per question
 D6  average in-batch rank               D7  sizes per dataset key + total
-D8  in-batch cross-entropy (dense)      D9  margin ranking / CE on code scores
+D8  in-batch cross-entropy (dense)      D9  margin ranking loss on code scores
 D10 rerank cross-entropy                D11 total loss, mean of batch means
-D4  classifier precision                D5  exact-match answer accuracy
-D12 masked classifier loss              D13 span loss
 D14 shard merge without wrap-around duplicates
+(D4, D5, D12, D13 live with the reader operators.)
 """
 
 from __future__ import annotations
@@ -44,43 +43,63 @@ def dataset_sizes(df: DataFrame, key: str = "dataset") -> DataFrame:
     return df.rollup(key).agg(F.count(F.lit(1)).cast("bigint").alias("n_examples"))
 
 
-def in_batch_scores(batches: DataFrame, *, batch_id: str, q_slot: str, q_vec: str,
-                    p_slot: str, p_vec: str, score_fn) -> DataFrame:
-    """Question x passage scores inside each batch (equi-join on batch id)."""
-    q = batches.select(F.col(batch_id).alias("b"), F.col(q_slot).alias("qi"), F.col(q_vec).alias("qv")) \
-        .dropDuplicates(["b", "qi"])
-    p = batches.select(F.col(batch_id).alias("b"), F.col(p_slot).alias("pj"), F.col(p_vec).alias("pv"))
-    return q.join(p, "b").select("b", "qi", "pj", score_fn(F.col("qv"), F.col("pv")).alias("s"))
-
-
-def in_batch_rank(scores: DataFrame, n_passages: int) -> DataFrame:
-    """1 + number of in-batch passages scoring strictly above the labelled one
-    (labelled passage of question i sits at slot i * n_passages)."""
-    pos = scores.where(F.col("pj") == F.col("qi") * n_passages) \
-        .select("b", "qi", F.col("s").alias("s_pos"))
-    return (scores.join(pos, ["b", "qi"])
-            .groupBy("b", "qi")
-            .agg((F.sum(F.when(F.col("s") > F.col("s_pos"), 1).otherwise(0)) + 1).cast("bigint").alias("rank")))
-
-
-def in_batch_cross_entropy(scores: DataFrame, n_passages: int) -> DataFrame:
-    """Per-batch mean of -log softmax(score)[label], log-sum-exp with max shift."""
-    mx = scores.groupBy("b", "qi").agg(F.max("s").alias("mx"))
-    lse = (scores.join(mx, ["b", "qi"])
-           .groupBy("b", "qi", "mx")
-           .agg(F.sum(F.exp(F.col("s") - F.col("mx"))).alias("z")))
-    pos = scores.where(F.col("pj") == F.col("qi") * n_passages).select("b", "qi", F.col("s").alias("s_pos"))
-    per_q = lse.join(pos, ["b", "qi"]).select(
-        "b", "qi", (F.log(F.col("z")) + F.col("mx") - F.col("s_pos")).alias("loss"))
-    return per_q.groupBy("b").agg(F.avg("loss").alias("loss"))
-
-
-def in_batch_margin_loss(scores: DataFrame, n_passages: int, margin: float = 0.1) -> DataFrame:
-    """Mean over (question, non-labelled passage) of max(0, margin - (s_pos - s_neg))."""
-    pos = scores.where(F.col("pj") == F.col("qi") * n_passages).select("b", "qi", F.col("s").alias("s_pos"))
-    neg = scores.where(F.col("pj") != F.col("qi") * n_passages)
-    hinge = F.greatest(F.lit(0.0), F.lit(float(margin)) - (F.col("s_pos") - F.col("s")))
-    return neg.join(pos, ["b", "qi"]).groupBy("b").agg(F.avg(hinge).alias("loss"))
+IN_BATCH_SCHEMA = ("batch_id long, n_questions long, rank_sum double, dpr_loss double, cand_loss double, "
+                   "rerank_loss double")
+
+
+def _ce(scores, labels):
+    """Mean cross-entropy of rows of `scores` against integer `labels` (log-sum-exp with max shift)."""
+    import numpy as np
+    mx = scores.max(axis=1, keepdims=True)
+    lse = np.log(np.exp(scores - mx).sum(axis=1)) + mx[:, 0]
+    return float(np.mean(lse - scores[np.arange(len(labels)), labels]))
+
+
+def in_batch_metrics(rows: DataFrame, *, n_passages: int, margin: float = 0.1) -> DataFrame:
+    """D6 + D8 + D9 + D10 (H11, H13, H14) per batch, one Arrow group per batch.
+
+    rows: batch_id, batch_pos, slot, q_vec, p_vec (question i's labelled passage
+    is slot 0, i.e. column i * n_passages of the batch score matrix). A batch
+    holds batch_size x n_passages rows, so the group is bounded by parameters;
+    the score matrix lives only inside the task and no pair rows are emitted.
+
+    Returns one row per batch: question count, sum of labelled-passage ranks
+    (1 + #passages scoring strictly higher), dense cross-entropy, margin
+    ranking loss on sign-code scores, cross-entropy of float question x sign code."""
+    def per_batch(pdf):
+        import numpy as np
+        import pandas as pd
+        pdf = pdf.sort_values(["batch_pos", "slot"])
+        qv = pdf.drop_duplicates("batch_pos")
+        q = np.stack(qv["q_vec"].to_numpy()).astype(np.float64)
+        p = np.stack(pdf["p_vec"].to_numpy()).astype(np.float64)
+        labels = np.arange(len(q)) * n_passages
+        s = q @ p.T
+        pos = s[np.arange(len(q)), labels]
+        ranks = (s > pos[:, None]).sum(axis=1) + 1.0
+        qb, pb = np.where(q < 0, -1.0, 1.0), np.where(p < 0, -1.0, 1.0)
+        sb = qb @ pb.T
+        pos_b = sb[np.arange(len(q)), labels]
+        mask = np.ones_like(sb, dtype=bool)
+        mask[np.arange(len(q)), labels] = False
+        hinge = np.maximum(0.0, margin - (pos_b[:, None] - sb))[mask]
+        return pd.DataFrame({"batch_id": [int(pdf["batch_id"].iloc[0])], "n_questions": [len(q)],
+                             "rank_sum": [float(ranks.sum())], "dpr_loss": [_ce(s, labels)],
+                             "cand_loss": [float(hinge.mean()) if hinge.size else 0.0],
+                             "rerank_loss": [_ce(q @ pb.T, labels)]})
+
+    return rows.groupBy("batch_id").applyInPandas(per_batch, IN_BATCH_SCHEMA)
+
+
+def epoch_summary(per_batch: DataFrame, *, binary: bool = True) -> DataFrame:
+    """D6 + D11: average rank over questions; losses as the mean of per-batch values.
+    In binary mode the total is candidate + rerank loss, otherwise the dense loss."""
+    total = (F.col("cand_loss") + F.col("rerank_loss")) if binary else F.col("dpr_loss")
+    return per_batch.agg(
+        F.round(F.sum("rank_sum") / F.sum("n_questions"), 6).alias("avg_rank"),
+        F.round(F.avg("dpr_loss"), 6).alias("dpr_loss"), F.round(F.avg("cand_loss"), 6).alias("cand_loss"),
+        F.round(F.avg("rerank_loss"), 6).alias("rerank_loss"), F.round(F.avg(total), 6).alias("total_loss"),
+        F.count(F.lit(1)).cast("bigint").alias("n_batches"))
 
 
 def epoch_mean(batch_losses: DataFrame, loss: str = "loss") -> DataFrame:

@@ -189,10 +189,10 @@ def ham_vec(a: str, b: str) -> str:
             f"CASE WHEN ({a}[i] < 0) = ({b}[i] < 0) THEN 0 ELSE 1 END))::BIGINT")
 
 
-def text_hits(k: int, binary_k: int) -> str:
+def text_hits(k: int, binary_k: int, questions: str = QUESTIONS) -> str:
     """CTE chain: qs, ps, qv, pv, tpairs, thits(qid, id, distance, score, rank, title, text, answers)."""
     return f"""
-qs AS {QUESTIONS},
+qs AS {questions},
 ps AS {PASSAGES},
 qv AS {encoded("(SELECT qid, rtrim(question, '?') AS qtext FROM qs)", "qid", "qtext")},
 pv AS {encoded("(SELECT id, concat_ws(' ', title, text) AS ptext FROM ps)", "id", "ptext")},
@@ -439,8 +439,9 @@ SELECT qid, g::BIGINT AS g,
        {ints_str("list_filter(range(0, len(t) - 2), lambda i: t[i + 1 : i + 3] = t[g + 1 : g + 3])")} AS positions
 FROM g"""
 
-SQL["p6_batch_qa"] = f"""
-WITH {text_hits(10, 100)},
+def p6_sql(questions: str = QUESTIONS) -> str:
+    return f"""
+WITH {text_hits(10, 100, questions)},
 qtok AS (SELECT qid, {tokens("rtrim(question, '?')")} AS q_tokens FROM qs),
 slots AS (SELECT h.qid, (h.rank - 1)::INT AS slot, (h.rank - 1)::INT AS idx, h.id AS pid, t.q_tokens,
                  {reader_input('t.q_tokens', 'h.title', 'h.text')} AS tokens
@@ -448,7 +449,10 @@ slots AS (SELECT h.qid, (h.rank - 1)::INT AS slot, (h.rank - 1)::INT AS idx, h.i
 scores AS (SELECT *, (((pid % 23) + 23) % 23 + len(list_intersect(q_tokens, tokens)))::DOUBLE AS classifier_logit,
                   {logits('pid', 'tokens', 'q_tokens', 7, 13, 17)} AS start_logits,
                   {logits('pid', 'tokens', 'q_tokens', 11, 5, 19)} AS end_logits FROM slots)""" + candidates(3, 1) + \
-    f"\nSELECT {CAND_COLS} FROM cands"
+        f"\nSELECT {CAND_COLS} FROM cands"
+
+
+SQL["p6_batch_qa"] = p6_sql()
 
 
 # ---------------------------------------------------------------- sources, store
@@ -631,3 +635,103 @@ probs AS (SELECT qid, list_sum(list_transform(range(1, 4), lambda j: CASE WHEN m
             exp({log_softmax_at('start_logits', 'starts[j]')} + {log_softmax_at('end_logits', 'ends[j]')})
             ELSE 0.0 END)) AS total FROM padded)
 SELECT round(sum(-ln(total)), 6) AS span_loss FROM probs"""
+
+
+# ---------------------------------------------------------------- evaluation modes, gold, P9, K1
+QMAP = "qmap AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS qidx FROM qs)"
+
+
+def recall_sql(ranks: str, ks: str) -> str:
+    return f"""
+SELECT k::BIGINT AS k, sum(CASE WHEN positive_rank <= k THEN 1 ELSE 0 END)::BIGINT AS n_correct,
+       count(*)::BIGINT AS n_questions,
+       round(sum(CASE WHEN positive_rank <= k THEN 1 ELSE 0 END) / count(*), 6) AS recall
+FROM {ranks}, (SELECT unnest({ks}) AS k) ks GROUP BY k"""
+
+
+SQL["c6_labelled_positive_recall"] = f"""
+WITH {text_hits(20, 100)},{RETRIEVER_ITEMS},
+pos AS (SELECT qid, list_transform(positives, lambda x: x.id) AS pids FROM items),
+f AS (SELECT h.qid, h.rank, list_contains(p.pids, h.id::VARCHAR) AS is_positive
+      FROM tflag h JOIN pos p ON p.qid = h.qid),
+ranks AS (SELECT q.qid, min(f.rank) FILTER (WHERE f.is_positive)::BIGINT AS positive_rank
+          FROM qs q LEFT JOIN f ON f.qid = q.qid GROUP BY q.qid)""" + recall_sql("ranks", "[1, 5, 20]")
+
+SQL["b4_same_dataset_hits"] = f"""
+WITH {text_hits(20, 100)},{RETRIEVER_ITEMS},{QMAP},
+kept AS (SELECT h.qid, h.id, h.rank FROM tflag h JOIN ps p ON p.id = h.id JOIN items i ON i.qid = h.qid
+         WHERE p.dataset = i.dataset)
+SELECT m.qidx AS qid, (row_number() OVER (PARTITION BY k.qid ORDER BY k.rank))::BIGINT AS rank, k.id
+FROM kept k JOIN qmap m ON m.qid = k.qid"""
+
+GOLD_TOP = """
+gtop AS (SELECT h.qid, h.id, p.title, q.question FROM tflag h JOIN ps p ON p.id = h.id JOIN qs q ON q.qid = h.qid
+         WHERE h.rank = 1)"""
+
+SQL["a13_gold_passages"] = f"""
+WITH {text_hits(20, 100)},{GOLD_TOP}
+SELECT DISTINCT md5(k) AS key_md5, id, md5(title) AS title_md5 FROM (
+  SELECT question AS k, id, title FROM gtop UNION ALL SELECT lower(question) AS k, id, title FROM gtop)"""
+
+SQL["b9_canonical_question"] = "SELECT item_id AS qid, md5(text) AS q_md5 FROM benchmark"
+
+_C7_LISTS = f"""lists0 AS (SELECT qid, coalesce(list_sort(list(idx) FILTER (WHERE is_positive)), []) AS pos_all,
+                 coalesce(list_sort(list(idx) FILTER (WHERE is_negative)), [])[1:10] AS neg
+          FROM flags GROUP BY qid),
+titles AS (SELECT qid, list(title ORDER BY idx) AS titles FROM ctx GROUP BY qid),{GOLD_TOP},
+lists AS (SELECT l.qid,
+            CASE WHEN g.title IS NOT NULL
+                  AND len(list_filter(l.pos_all, lambda i: lower(t.titles[i + 1]) = lower(g.title))) > 0
+                 THEN list_filter(l.pos_all, lambda i: lower(t.titles[i + 1]) = lower(g.title))
+                 ELSE l.pos_all[1:3] END AS pos, l.neg
+          FROM lists0 l JOIN titles t ON t.qid = l.qid LEFT JOIN gtop g ON g.qid = l.qid),"""
+_TRAIN_LISTS = TRAIN[TRAIN.index("lists AS ("):TRAIN.index("body AS (")]
+SQL["c7_gold_positives"] = TRAIN.replace(_TRAIN_LISTS, _C7_LISTS + "\n") + \
+    "\nSELECT qid, slot::BIGINT AS slot, idx::BIGINT AS idx FROM tslots"
+
+SQL["h22_encoder_input"] = f"""
+WITH t AS (SELECT doc_id AS id, {tokens("split_part(text, chr(10), 1)")} AS tt, {tokens('text')} AS xt FROM documents)
+SELECT id, array_to_string(['[CLS]'] || tt || ['[SEP]'] || xt[1:greatest(0, 32 - len(tt) - 3)] || ['[SEP]'], ' ')
+         AS tokens FROM t"""
+
+SQL["d14_merge_shards"] = SQL["d4_classifier_precision"]
+
+
+def sign_dot(a: str, b: str) -> str:
+    return (f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: (CASE WHEN {a}[i] < 0 THEN -1.0 ELSE 1.0 END)"
+            f" * (CASE WHEN {b}[i] < 0 THEN -1.0 ELSE 1.0 END)))")
+
+
+SQL["p9_biencoder_eval"] = f"""
+WITH {text_hits(20, 100)},{RETRIEVER_ITEMS},
+picked AS (SELECT index, qid, positives[1] AS pos, (hard || normal)[1:2] AS negs FROM nex),
+pairs AS (SELECT index, unnest(list_prepend(pos, negs)) AS p, generate_subscripts(list_prepend(pos, negs), 1) - 1
+                   AS slot FROM picked),
+filled AS (SELECT index, slot, coalesce(p.title, split_part(d.text, chr(10), 1)) AS title,
+                  coalesce(p.text, d.text) AS text
+           FROM pairs LEFT JOIN documents d ON d.doc_id = p.id::BIGINT),
+qsrc AS (SELECT n.index, rtrim(q.question, '?') AS qtext FROM nex n JOIN qs q ON q.qid = n.qid),
+qvec AS {encoded('qsrc', 'index', 'qtext')},
+psrc AS (SELECT index * 10 + slot AS pk, index, slot, concat_ws(' ', title, text) AS ptext FROM filled),
+pvec AS {encoded('psrc', 'pk', 'ptext')},
+qb AS (SELECT index // 4 AS b, index % 4 AS bp, embedding AS qv FROM qvec),
+pb AS (SELECT s.index // 4 AS b, s.index % 4 AS bp, s.slot, v.embedding AS pv FROM pvec v JOIN psrc s ON s.pk = v.pk),
+sc AS (SELECT q.b, q.bp AS qi, (p.bp = q.bp AND p.slot = 0) AS is_label, {ip('q.qv', 'p.pv')} AS s,
+              {sign_dot('q.qv', 'p.pv')} AS sb, {ip_sign('q.qv', 'p.pv')} AS sr
+       FROM qb q JOIN pb p ON p.b = q.b),
+perq AS (SELECT b, qi, max(s) AS mx, max(sr) AS mxr, any_value(s) FILTER (WHERE is_label) AS spos,
+                any_value(sr) FILTER (WHERE is_label) AS srpos, any_value(sb) FILTER (WHERE is_label) AS sbpos
+         FROM sc GROUP BY b, qi),
+qm AS (SELECT sc.b, sc.qi, 1 + sum(CASE WHEN sc.s > p.spos THEN 1 ELSE 0 END) AS rank,
+              ln(sum(exp(sc.s - p.mx))) + p.mx - p.spos AS ce, ln(sum(exp(sc.sr - p.mxr))) + p.mxr - p.srpos AS ce_r,
+              sum(CASE WHEN sc.is_label THEN 0.0 ELSE greatest(0.0, 0.1::DOUBLE - (p.sbpos - sc.sb)) END) AS hinge_sum,
+              sum(CASE WHEN sc.is_label THEN 0 ELSE 1 END) AS hinge_n
+       FROM sc JOIN perq p ON p.b = sc.b AND p.qi = sc.qi GROUP BY sc.b, sc.qi, p.mx, p.mxr, p.spos, p.srpos, p.sbpos),
+bm AS (SELECT b, count(*) AS nq, sum(rank) AS rank_sum, avg(ce) AS dpr, sum(hinge_sum) / sum(hinge_n) AS cand,
+              avg(ce_r) AS rer FROM qm GROUP BY b)
+SELECT round(sum(rank_sum) / sum(nq), 6) AS avg_rank, round(avg(dpr), 6) AS dpr_loss, round(avg(cand), 6) AS cand_loss,
+       round(avg(rer), 6) AS rerank_loss, round(avg(cand + rer), 6) AS total_loss, count(*)::BIGINT AS n_batches
+FROM bm"""
+
+SQL["k1_question_stream"] = p6_sql("""(SELECT conv_id * 1000 + turn AS qid, text AS question, []::VARCHAR[] AS answers
+   FROM conversations WHERE role = 'user')""")

@@ -618,3 +618,131 @@ def d13_span_loss(spark, sf):
     p = SP.pad_spans("spans", 3)
     return RD.span_loss(s.select("qid", "start_logits", "end_logits", p["starts"].alias("starts"),
                                  p["ends"].alias("ends"), p["mask"].alias("mask")))
+
+
+# ---------------------------------------------------------------- evaluation modes, gold passages, P9, K1
+
+from quarry.functions import inference as INF  # noqa: E402
+from quarry.operators import metrics as M  # noqa: E402
+from quarry.operators import knn as KNN  # noqa: E402
+
+
+def _retriever_questions(spark, sf):
+    r = FS.read_retriever_file(spark, _retriever_file(spark, sf)).withColumn("file_no", F.lit(0))
+    return FS.dense_index(r, list(FS.INPUT_ORDER), "qid")
+
+
+@query("c6_labelled_positive_recall")
+def c6_labelled_positive_recall(spark, sf):
+    """P3 in is_labeled_positive mode: a hit counts when its id (as a string) is listed."""
+    q = _retriever_questions(spark, sf)
+    hits = KNN.binary_retrieve(R.encode_questions(q, TEXT_DIM),
+                               R.code_table(R.encode_passages(T.passages(spark, sf), TEXT_DIM)),
+                               k=20, binary_k=100, dim=TEXT_DIM)
+    flagged = hits.join(q.select("qid", "positive_ids"), "qid") \
+        .withColumn("is_positive", F.array_contains("positive_ids", F.col("id").cast("string")))
+    return M.recall_at_k(M.first_positive_rank(q, flagged), (1, 5, 20))
+
+
+@query("b4_same_dataset_hits")
+def b4_same_dataset_hits(spark, sf):
+    q = _retriever_questions(spark, sf)
+    p = T.passages(spark, sf)
+    hits = KNN.binary_retrieve(R.encode_questions(q, TEXT_DIM), R.code_table(R.encode_passages(p, TEXT_DIM)),
+                               k=20, binary_k=100, dim=TEXT_DIM)
+    h = R.attach_passages(hits.select("qid", "id", "rank"), p.select("id", "dataset")) \
+        .join(q.select("qid", F.col("dataset").alias("q_dataset")), "qid")
+    kept = R.restrict_to_dataset(h)
+    return kept.select("qid", F.col("rank").cast("bigint").alias("rank"), "id")
+
+
+def _gold_file(spark, sf):
+    """Gold passages file: each question's rank-1 hit, keyed by the question and by
+    its lower-cased 'question_tokens' form. One JSON object (the file format), so
+    its size is bounded by the number of questions."""
+    hits, _, _ = _text_eval(spark, sf)
+    top = hits.where(F.col("rank") == 1).join(T.questions(spark, sf).select("qid", "question"), "qid")
+    item = F.struct(F.col("question"), F.lower("question").alias("question_tokens"),
+                    F.col("id").alias("example_id"), "title", F.col("text").alias("context"))
+    doc = top.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("qid", item.alias("d")))),
+                                                 lambda x: x["d"]).alias("data"))).alias("value"))
+    path = scratch_path(spark, "gold.json")
+    doc.write.text(path)
+    return path
+
+
+@query("a13_gold_passages")
+def a13_gold_passages(spark, sf):
+    gold, canon = FS.read_gold_passages(spark, _gold_file(spark, sf))
+    g = gold.select(F.md5("key").alias("key_md5"), F.col("id").alias("id"), F.md5("title").alias("title_md5"))
+    return g
+
+
+@query("b9_canonical_question")
+def b9_canonical_question(spark, sf):
+    _, canon = FS.read_gold_passages(spark, _gold_file(spark, sf))
+    ex = T.questions(spark, sf).select("qid", F.lower("question").alias("question"))
+    return TR.canonical_questions(ex, canon).select("qid", F.md5("question").alias("q_md5"))
+
+
+@query("c7_gold_positives")
+def c7_gold_positives(spark, sf):
+    gold, _ = FS.read_gold_passages(spark, _gold_file(spark, sf))
+    _, _, rows = _reader_training(spark, sf, gold=gold)
+    return rows.select("qid", F.col("slot").cast("bigint").alias("slot"), F.col("idx").cast("bigint").alias("idx"))
+
+
+@query("h22_encoder_input")
+def h22_encoder_input(spark, sf):
+    p = T.passages(spark, sf)
+    toks = SP.encoder_input(X.word_tokens("title"), X.word_tokens("text"), 32)
+    return p.select("id", F.array_join(toks, " ").alias("tokens"))
+
+
+@query("d14_merge_shards")
+def d14_merge_shards(spark, sf):
+    """Per-question precision laid out as 3 replicas would produce it (wrap-around
+    padding repeats the first examples), then merged back without duplicates."""
+    _, prec, _ = RG.reader_eval(_examples(spark, sf))
+    per = FS.dense_index(prec, ["qid"], "example_idx").withColumn("_k", F.lit(1))
+    replicas = 3
+    extra = per.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(1).alias("_k"), (F.ceil(F.col("n") / replicas) * replicas - F.col("n")).alias("extra"))
+    dup = per.join(F.broadcast(extra), "_k").where(F.col("example_idx") < F.col("extra")).drop("extra")
+    merged = M.merge_shards(per.unionByName(dup).drop("_k"))
+    return RD.mean_metric(merged, "classifier_precision")
+
+
+P9_BATCH = 4
+
+
+@query("p9_biencoder_eval")
+def p9_biencoder_eval(spark, sf):
+    ex = _retriever_examples(spark, sf)
+    picked = TR.pick_pairs(ex, num_negatives=P7_NEG, training=False)
+    pairs = TR.backfill_from_store(TR.flatten_pairs(picked, keep=("index",)), T.passages(spark, sf))
+    qv = ex.select("index", INF.hash_encoder(X.clean_question("question"), TEXT_DIM).alias("q_vec"))
+    batches = TR.plain_batches(ex.select("index"), P9_BATCH, shuffle=False)
+    rows = pairs.join(batches, "index").join(qv, "index").select(
+        "batch_id", "batch_pos", "slot", "q_vec",
+        INF.hash_encoder(INF.passage_encoder_input(F.col("title"), F.col("text")), TEXT_DIM).alias("p_vec"))
+    return M.epoch_summary(M.in_batch_metrics(rows, n_passages=1 + P7_NEG))
+
+
+@query("k1_question_stream")
+def k1_question_stream(spark, sf):
+    """User turns arrive as three files; each micro-batch is answered against the stored code table."""
+    from quarry.streaming.questions import read_answers, start_answer_stream
+    conv = T.table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+    src = scratch_path(spark, "question-stream")
+    conv.repartitionByRange(3, "qid").write.parquet(src)
+    p = T.passages(spark, sf)
+    codes_path = scratch_path(spark, "passage-codes.parquet")
+    FS.write_vector_table(R.code_table(R.encode_passages(p, TEXT_DIM)), codes_path)
+    sink, ckpt = scratch_path(spark, "answers"), scratch_path(spark, "answers-ckpt")
+    q = start_answer_stream(spark, src, "qid bigint, question string", p, FS.read_vector_table(spark, codes_path),
+                            sink, ckpt, num_retrieval_passages=10, num_passages_to_read=3,
+                            num_answer_candidates_per_passage=1)
+    q.awaitTermination()
+    return _cand_cols(read_answers(spark, sink).drop("batch_id"))

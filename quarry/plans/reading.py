@@ -48,13 +48,17 @@ def reader_eval(examples: DataFrame, *, num_passages: int = NUM_PASSAGES,
 def answer_questions(questions: DataFrame, passages: DataFrame, *, num_retrieval_passages: int = 10,
                      num_passages_to_read: int = 1, num_answer_candidates_per_passage: int = 1,
                      binary_k: int = 100, dim: int = 64, max_input_length: int = MAX_INPUT_LENGTH,
-                     max_answer_length: int = MAX_ANSWER_LENGTH) -> DataFrame:
-    """P6 (J4 -> H19 -> J3 -> F4 -> F5 -> H17 -> H18 -> F6) for a whole question table."""
+                     max_answer_length: int = MAX_ANSWER_LENGTH, codes: DataFrame | None = None) -> DataFrame:
+    """P6 (J4 -> H19 -> J3 -> F4 -> F5 -> H17 -> H18 -> F6) for a whole question table.
+
+    ``codes`` is the stored (id, code) table of the passages (P2); when absent
+    the passages are encoded on the fly."""
     from quarry.functions import spans as S
     from quarry.functions.text import clean_question, word_tokens
     qv = R.encode_questions(questions, dim)
-    pv = R.encode_passages(passages, dim)
-    hits = knn.binary_retrieve(qv, R.code_table(pv), k=num_retrieval_passages, binary_k=binary_k, dim=dim)
+    if codes is None:
+        codes = R.code_table(R.encode_passages(passages, dim))
+    hits = knn.binary_retrieve(qv, codes, k=num_retrieval_passages, binary_k=binary_k, dim=dim)
     fetched = R.attach_passages(hits.select("qid", "id", "rank"), passages)
     q = questions.select("qid", word_tokens(clean_question("question")).alias("q_tokens"))
     slots = fetched.join(q, "qid").select(
