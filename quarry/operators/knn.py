@@ -197,9 +197,10 @@ def _binary_kernel(bc, k: int, dim: int, with_score: bool):
 # driver-side planning
 # ----------------------------------------------------------------------------
 
-def _question_blocks(questions: DataFrame, q_id: str, row_bytes: int, block_bytes: int):
-    """Yield DataFrames of questions, each small enough to broadcast."""
+def _question_blocks(questions: DataFrame, q_id: str, row_bytes: int, block_bytes: int, sizes: list):
+    """Yield DataFrames of questions, each small enough to broadcast (count -> sizes)."""
     n = questions.count()
+    sizes.append(n)
     n_blocks = max(1, math.ceil(n * row_bytes / block_bytes))
     if n_blocks == 1:
         yield questions
@@ -229,8 +230,8 @@ def dense_knn(questions: DataFrame, vectors: DataFrame, k: int, *, q_id: str = "
     spark = vectors.sparkSession
     row_bytes = 8 * (dim or 1024) + 16
     passages = vectors.select(F.col(p_id).cast("long").alias("id"), F.col(p_vec).alias("v"))
-    parts = []
-    for block in _question_blocks(questions, q_id, row_bytes, block_bytes):
+    parts, sizes = [], []
+    for block in _question_blocks(questions, q_id, row_bytes, block_bytes, sizes):
         qids, col = _collect_block(block, q_id, q_vec, block_bytes, row_bytes)
         qmat = list_column_matrix(col, dim, np.float64)
         bc = spark.sparkContext.broadcast((qids, qmat))
@@ -239,17 +240,18 @@ def dense_knn(questions: DataFrame, vectors: DataFrame, k: int, *, q_id: str = "
     for p in parts[1:]:
         partial = partial.unionByName(p)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id").asc())
-    return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id))
+    out = (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+           .withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id))
+    return with_row_bound(out, sizes[0] * k)
 
 
 def _binary_partial(questions, codes, k, dim, q_id, q_col, q_kind, p_id, p_code, block_bytes,
-                    with_score):
+                    with_score, sizes):
     spark = codes.sparkSession
     row_bytes = 12 * dim + 16
     passages = codes.select(F.col(p_id).cast("long").alias("id"), F.col(p_code).alias("c"))
     parts = []
-    for block in _question_blocks(questions, q_id, row_bytes, block_bytes):
+    for block in _question_blocks(questions, q_id, row_bytes, block_bytes, sizes):
         qids, col = _collect_block(block, q_id, q_col, block_bytes, row_bytes)
         if q_kind == "code":
             qsign = unpack_sign_matrix(list_column_matrix(col, None, np.int64), dim, np.float32)
@@ -275,11 +277,13 @@ def hamming_knn(questions: DataFrame, codes: DataFrame, k: int, dim: int, *, q_i
     binarised on the fly). Returns (qid, id, distance, rank)."""
     if q_kind not in ("code", "float"):
         raise ValueError("q_kind must be 'code' or 'float'")
+    sizes = []
     partial = _binary_partial(questions, codes, k, dim, q_id, q_col, q_kind, p_id, p_code,
-                              block_bytes, with_score=False)
+                              block_bytes, with_score=False, sizes=sizes)
     w = Window.partitionBy("qid").orderBy(F.col("distance").asc(), F.col("id").asc())
-    return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .drop("score").withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id))
+    out = (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+           .drop("score").withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id))
+    return with_row_bound(out, sizes[0] * k)
 
 
 def binary_retrieve(questions: DataFrame, codes: DataFrame, k: int, binary_k: int, dim: int, *,
@@ -292,11 +296,24 @@ def binary_retrieve(questions: DataFrame, codes: DataFrame, k: int, binary_k: in
     score desc, distance asc, id asc. Returns (qid, id, distance, score, rank)."""
     if k <= 0 or binary_k <= 0:
         raise ValueError("k and binary_k must be positive")
+    sizes = []
     partial = _binary_partial(questions, codes, binary_k, dim, q_id, q_vec, "float", p_id, p_code,
-                              block_bytes, with_score=True)
+                              block_bytes, with_score=True, sizes=sizes)
     w1 = Window.partitionBy("qid").orderBy(F.col("distance").asc(), F.col("id").asc())
     w2 = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("distance").asc(),
                                            F.col("id").asc())
     cands = partial.withColumn("cand_rank", F.row_number().over(w1)).where(F.col("cand_rank") <= binary_k)
-    return (cands.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
-            .drop("cand_rank").withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id))
+    out = (cands.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+           .drop("cand_rank").withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id))
+    return with_row_bound(out, sizes[0] * k)
+
+
+def with_row_bound(df: DataFrame, bound: int) -> DataFrame:
+    """Attach a proven upper bound on the row count (questions x k), used to decide
+    whether the hit table may be broadcast to the passage scan."""
+    df.row_bound = int(bound)
+    return df
+
+
+def row_bound(df: DataFrame):
+    return getattr(df, "row_bound", None)

@@ -735,3 +735,10 @@ FROM bm"""
 
 SQL["k1_question_stream"] = p6_sql("""(SELECT conv_id * 1000 + turn AS qid, text AS question, []::VARCHAR[] AS answers
    FROM conversations WHERE role = 'user')""")
+
+SQL["c5_corpus_answer_search"] = f"""
+WITH a AS (SELECT qid * 10 + idx AS aid, answer FROM (
+             SELECT qid, unnest(answers) AS answer, generate_subscripts(answers, 1) - 1 AS idx FROM {QUESTIONS})),
+atk AS (SELECT aid, {tokens(nfd('answer'))} AS atoks FROM a),
+pt AS (SELECT doc_id AS id, {joined(tokens(nfd('text')))} AS pj FROM documents)
+SELECT atk.aid, pt.id FROM atk, pt WHERE len(atk.atoks) > 0 AND contains(pt.pj, {joined('atk.atoks')})"""

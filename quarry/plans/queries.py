@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
 from quarry.operators import knn
+from quarry.operators import knn as KNN_
 from quarry.plans import retrieval as R
 from quarry.sources import tables as T
 
@@ -115,7 +116,8 @@ def c1_hits_with_passages(spark, sf):
     v = T.vectors(spark, sf)
     hits = knn.binary_retrieve(v.select(F.col("id").alias("qid"), "embedding"), R.code_table(v),
                                k=5, binary_k=64, dim=DIM)
-    joined = R.attach_passages(hits.select("qid", "id", "rank"), T.passages(spark, sf))
+    joined = R.attach_passages(hits.select("qid", "id", "rank"), T.passages(spark, sf),
+                               expected_rows=KNN_.row_bound(hits))
     return joined.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", "title", "dataset",
                          F.length("text").cast("bigint").alias("text_chars"))
 
@@ -650,7 +652,8 @@ def b4_same_dataset_hits(spark, sf):
     p = T.passages(spark, sf)
     hits = KNN.binary_retrieve(R.encode_questions(q, TEXT_DIM), R.code_table(R.encode_passages(p, TEXT_DIM)),
                                k=20, binary_k=100, dim=TEXT_DIM)
-    h = R.attach_passages(hits.select("qid", "id", "rank"), p.select("id", "dataset")) \
+    h = R.attach_passages(hits.select("qid", "id", "rank"), p.select("id", "dataset"),
+                          expected_rows=KNN_.row_bound(hits)) \
         .join(q.select("qid", F.col("dataset").alias("q_dataset")), "qid")
     kept = R.restrict_to_dataset(h)
     return kept.select("qid", F.col("rank").cast("bigint").alias("rank"), "id")
@@ -746,3 +749,17 @@ def k1_question_stream(spark, sf):
                             num_answer_candidates_per_passage=1)
     q.awaitTermination()
     return _cand_cols(read_answers(spark, sink).drop("batch_id"))
+
+
+# ---------------------------------------------------------------- corpus-wide answer search (C5 corpus form)
+
+from quarry.operators import matching as MT  # noqa: E402
+
+
+@query("c5_corpus_answer_search")
+def c5_corpus_answer_search(spark, sf):
+    """Every document containing each benchmark answer (dpr_string), without a hit list."""
+    ans = T.questions(spark, sf).select("qid", F.posexplode("answers").alias("idx", "answer")) \
+        .select((F.col("qid") * 10 + F.col("idx")).alias("aid"), "answer")
+    occ = MT.answer_occurrences(ans, T.passages(spark, sf))
+    return occ.select("aid", "id")

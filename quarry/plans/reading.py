@@ -59,7 +59,8 @@ def answer_questions(questions: DataFrame, passages: DataFrame, *, num_retrieval
     if codes is None:
         codes = R.code_table(R.encode_passages(passages, dim))
     hits = knn.binary_retrieve(qv, codes, k=num_retrieval_passages, binary_k=binary_k, dim=dim)
-    fetched = R.attach_passages(hits.select("qid", "id", "rank"), passages)
+    fetched = R.attach_passages(hits.select("qid", "id", "rank"), passages,
+                                expected_rows=knn.row_bound(hits))
     q = questions.select("qid", word_tokens(clean_question("question")).alias("q_tokens"))
     slots = fetched.join(q, "qid").select(
         "qid", (F.col("rank") - 1).cast("int").alias("slot"), (F.col("rank") - 1).cast("int").alias("idx"),

@@ -29,9 +29,13 @@ def attach_passages(hits: DataFrame, passages: DataFrame, *, expected_rows: int
                     id_col: str = "id") -> DataFrame:
     """Fetch title/text/dataset for the hits, after the top-k cut.
 
-    The hit side is bounded by questions x k; when that bound is known to be
-    small it is broadcast so the passage table is streamed, never shuffled."""
+    The hit side is bounded by questions x k (the k-NN operators carry that
+    bound); under HITS_BROADCAST_ROWS it is broadcast, so the passage table is
+    streamed and never shuffled. Above it, Spark's runtime planning decides
+    (a passage table bucketed by id avoids the passage shuffle)."""
     from quarry.session import ensure_parallelism
+    if expected_rows is None:
+        expected_rows = knn.row_bound(hits)
     side = hits
     if expected_rows is not None and expected_rows <= HITS_BROADCAST_ROWS:
         side = F.broadcast(hits)
