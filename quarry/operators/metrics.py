@@ -55,7 +55,8 @@ def _ce(scores, labels):
     return float(np.mean(lse - scores[np.arange(len(labels)), labels]))
 
 
-def in_batch_metrics(rows: DataFrame, *, n_passages: int, margin: float = 0.1) -> DataFrame:
+def in_batch_metrics(rows: DataFrame, *, n_passages: int, margin: float = 0.1,
+                     cand_cross_entropy: bool = False) -> DataFrame:
     """D6 + D8 + D9 + D10 (H11, H13, H14) per batch, one Arrow group per batch.
 
     rows: batch_id, batch_pos, slot, q_vec, p_vec (question i's labelled passage
@@ -65,7 +66,8 @@ def in_batch_metrics(rows: DataFrame, *, n_passages: int, margin: float = 0.1) -
 
     Returns one row per batch: question count, sum of labelled-passage ranks
     (1 + #passages scoring strictly higher), dense cross-entropy, margin
-    ranking loss on sign-code scores, cross-entropy of float question x sign code."""
+    ranking loss on sign-code scores (or their cross-entropy with
+    ``cand_cross_entropy``), cross-entropy of float question x sign code."""
     def per_batch(pdf):
         import numpy as np
         import pandas as pd
@@ -83,9 +85,10 @@ def in_batch_metrics(rows: DataFrame, *, n_passages: int, margin: float = 0.1) -
         mask = np.ones_like(sb, dtype=bool)
         mask[np.arange(len(q)), labels] = False
         hinge = np.maximum(0.0, margin - (pos_b[:, None] - sb))[mask]
+        cand = _ce(sb, labels) if cand_cross_entropy else (float(hinge.mean()) if hinge.size else 0.0)
         return pd.DataFrame({"batch_id": [int(pdf["batch_id"].iloc[0])], "n_questions": [len(q)],
                              "rank_sum": [float(ranks.sum())], "dpr_loss": [_ce(s, labels)],
-                             "cand_loss": [float(hinge.mean()) if hinge.size else 0.0],
+                             "cand_loss": [cand],
                              "rerank_loss": [_ce(q @ pb.T, labels)]})
 
     return rows.groupBy("batch_id").applyInPandas(per_batch, IN_BATCH_SCHEMA)

@@ -215,6 +215,19 @@ def gold_positives(pos_idxs: Column, ctxs: Column, gold_title: Column, cap: int
     return F.when(gold_title.isNotNull() & (F.size(gold) > 0), gold).otherwise(fallback)
 
 
+def append_gold_passage(ctxs: Column, pos_idxs: Column, gold: Column, gold_has_span: Column):
+    """C8 (off by default, as in the reference): when the gold passage is not
+    already a positive (by id) and an answer span survives in its reader input,
+    append it to the ctxs and its index to the positives.
+
+    Returns struct(ctxs, positive_idxs)."""
+    already = F.exists(pos_idxs, lambda i: F.get(ctxs, i)["id"] == gold["id"])
+    add = gold.isNotNull() & ~already & gold_has_span
+    return F.struct(F.when(add, F.concat(ctxs, F.array(gold))).otherwise(ctxs).alias("ctxs"),
+                    F.when(add, F.concat(pos_idxs, F.array(F.size(ctxs)))).otherwise(pos_idxs)
+                    .alias("positive_idxs"))
+
+
 def reader_training_rows(loaded: DataFrame, examples: DataFrame, *, num_passages: int, seed: int = 0,
                          epoch: int = 0, max_positives: int | None = None, max_negatives: int | None = None,
                          gold: DataFrame | None = None) -> DataFrame:

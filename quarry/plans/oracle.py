@@ -742,3 +742,17 @@ WITH a AS (SELECT qid * 10 + idx AS aid, answer FROM (
 atk AS (SELECT aid, {tokens(nfd('answer'))} AS atoks FROM a),
 pt AS (SELECT doc_id AS id, {joined(tokens(nfd('text')))} AS pj FROM documents)
 SELECT atk.aid, pt.id FROM atk, pt WHERE len(atk.atoks) > 0 AND contains(pt.pj, {joined('atk.atoks')})"""
+
+SQL["j4_dense_text_retrieval"] = f"""
+WITH qs AS {QUESTIONS}, ps AS {PASSAGES},
+qv AS {encoded("(SELECT qid, rtrim(question, '?') AS qtext FROM qs)", "qid", "qtext")},
+pv AS {encoded("(SELECT id, concat_ws(' ', title, text) AS ptext FROM ps)", "id", "ptext")},
+r AS (SELECT q.qid, p.id, {ip('q.embedding', 'p.embedding')} AS score,
+             row_number() OVER (PARTITION BY q.qid ORDER BY {ip('q.embedding', 'p.embedding')} DESC, p.id) AS rank
+      FROM qv q, pv p)
+SELECT qid, rank::BIGINT AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 20"""
+
+SQL["p2_passage_codes"] = f"""
+WITH ps AS {PASSAGES},
+pv AS {encoded("(SELECT id, concat_ws(' ', title, text) AS ptext FROM ps)", "id", "ptext")}
+SELECT id, array_to_string({pack('embedding')}, ',') AS code FROM pv"""

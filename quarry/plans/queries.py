@@ -763,3 +763,20 @@ def c5_corpus_answer_search(spark, sf):
         .select((F.col("qid") * 10 + F.col("idx")).alias("aid"), "answer")
     occ = MT.answer_occurrences(ans, T.passages(spark, sf))
     return occ.select("aid", "id")
+
+
+@query("j4_dense_text_retrieval")
+def j4_dense_text_retrieval(spark, sf):
+    """J4 in dense mode: question text -> vector -> exact inner-product top 20."""
+    hits = KNN.dense_knn(R.encode_questions(T.questions(spark, sf), TEXT_DIM),
+                         R.encode_passages(T.passages(spark, sf), TEXT_DIM), k=20, dim=TEXT_DIM)
+    return hits.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", _r6("score").alias("score"))
+
+
+@query("p2_passage_codes")
+def p2_passage_codes(spark, sf):
+    """Passage table -> encoder -> sign codes -> stored vector table, read back."""
+    path = scratch_path(spark, "p2-codes.parquet")
+    FS.write_vector_table(R.code_table(R.encode_passages(T.passages(spark, sf), TEXT_DIM)), path)
+    return FS.read_vector_table(spark, path).select(
+        "id", F.array_join(F.transform("code", lambda x: x.cast("string")), ",").alias("code"))

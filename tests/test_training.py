@@ -93,3 +93,21 @@ def test_shuffles_are_reproducible(spark):
     a = TR.pick_pairs(ex, num_negatives=1, training=True, seed=3, epoch=1).collect()
     b = TR.pick_pairs(ex, num_negatives=1, training=True, seed=3, epoch=1).collect()
     assert [r["negatives"] for r in a] == [r["negatives"] for r in b]
+
+
+def test_dataset_keys_filter(spark):
+    ex = TR.retriever_examples(_items(spark), dataset_keys=["d"]).collect()
+    assert [r["question"] for r in ex] == ["q3"]
+
+
+def test_append_gold_passage(spark):
+    sch = ("ctxs array<struct<id:bigint,title:string>>, pos array<int>, "
+           "gold struct<id:bigint,title:string>, span boolean")
+    rows = [([(1, "a"), (2, "b")], [0], (9, "g"), True),    # appended as index 2
+            ([(1, "a"), (9, "g")], [1], (9, "g"), True),    # already a positive
+            ([(1, "a")], [0], (9, "g"), False),             # no answer span in it
+            ([(1, "a")], [0], None, True)]                  # no gold passage
+    df = spark.createDataFrame(rows, sch)
+    got = df.select(TR.append_gold_passage(F.col("ctxs"), F.col("pos"), F.col("gold"), F.col("span")).alias("r")) \
+        .collect()
+    assert [(len(r["r"]["ctxs"]), r["r"]["positive_idxs"]) for r in got] == [(3, [0, 2]), (2, [1]), (1, [0]), (1, [0])]
