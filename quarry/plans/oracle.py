@@ -551,7 +551,7 @@ SQL["p7_biencoder_pairs"] = f"""
 WITH {text_hits(20, 100)},{RETRIEVER_ITEMS},
 picked AS (SELECT index, positives[({H("11", "1", "'pos'", "index")} % len(positives)) + 1] AS pos,
                   ({shuffled('hard', "11", "1", "'hard'", "index")} ||
-                   {shuffled('normal', "11", "1", "'normal'", "index")})[1:2] AS negs
+                   {shuffled('normal', "11", "1", "'normal'", "index")})[1:1] AS negs
            FROM nex),
 pairs AS (SELECT index, unnest(list_prepend(pos, negs)) AS p,
                  generate_subscripts(list_prepend(pos, negs), 1) - 1 AS slot FROM picked)
@@ -704,7 +704,7 @@ def sign_dot(a: str, b: str) -> str:
 
 SQL["p9_biencoder_eval"] = f"""
 WITH {text_hits(20, 100)},{RETRIEVER_ITEMS},
-picked AS (SELECT index, qid, positives[1] AS pos, (hard || normal)[1:2] AS negs FROM nex),
+picked AS (SELECT index, qid, positives[1] AS pos, (hard || normal)[1:1] AS negs FROM nex),
 pairs AS (SELECT index, unnest(list_prepend(pos, negs)) AS p, generate_subscripts(list_prepend(pos, negs), 1) - 1
                    AS slot FROM picked),
 filled AS (SELECT index, slot, coalesce(p.title, split_part(d.text, chr(10), 1)) AS title,
