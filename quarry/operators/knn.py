@@ -197,28 +197,43 @@ def _binary_kernel(bc, k: int, dim: int, with_score: bool):
 # driver-side planning
 # ----------------------------------------------------------------------------
 
-def _question_blocks(questions: DataFrame, q_id: str, row_bytes: int, block_bytes: int, sizes: list):
-    """Yield DataFrames of questions, each small enough to broadcast (count -> sizes)."""
-    n = questions.count()
-    sizes.append(n)
-    n_blocks = max(1, math.ceil(n * row_bytes / block_bytes))
-    if n_blocks == 1:
-        yield questions
+def _question_blocks(questions: DataFrame, q_id: str, q_col: str, row_bytes: int, block_bytes: int,
+                     sizes: list):
+    """Yield (qids, vector column) blocks, each small enough to broadcast.
+
+    One bounded collect (limit max_rows + 1) covers the common case; only a
+    question table above the budget is counted and split into hash blocks,
+    each collected and checked separately. The total count goes to `sizes`."""
+    max_rows = max(1, block_bytes // row_bytes)
+    proj = questions.select(F.col(q_id).cast("long").alias("qid"), F.col(q_col).alias("v"))
+    first = proj.limit(max_rows + 1).toArrow()
+    if first.num_rows <= max_rows:
+        sizes.append(first.num_rows)
+        yield _arrow_block(first)
         return
-    # A hash split keeps blocks near n / n_blocks; slack of 2x is plenty for xxhash.
-    block = F.pmod(F.xxhash64(F.col(q_id)), F.lit(n_blocks))
+    n = proj.count()
+    sizes.append(n)
+    n_blocks = max(2, math.ceil(n * row_bytes / block_bytes))
+    block = F.pmod(F.xxhash64(F.col("qid")), F.lit(n_blocks))
     for b in range(n_blocks):
-        yield questions.where(block == b)
+        table = proj.where(block == b).toArrow()
+        if table.num_rows * row_bytes > 2 * block_bytes:
+            raise RuntimeError("question block exceeds its broadcast budget")
+        yield _arrow_block(table)
 
 
-def _collect_block(block: DataFrame, q_id: str, q_col: str, block_bytes: int, row_bytes: int):
-    table = block.select(F.col(q_id).cast("long").alias("qid"), F.col(q_col).alias("v")).toArrow()
-    if table.num_rows * row_bytes > 2 * block_bytes:
-        raise RuntimeError("question block exceeds its broadcast budget")
+def _arrow_block(table):
     qid_col, vec_col = valid_rows(table.column("qid").combine_chunks(), table.column("v").combine_chunks())
     return qid_col.to_numpy(zero_copy_only=False).astype(np.int64), vec_col
 
 
+def _vector_side(df: DataFrame) -> DataFrame:
+    """The scanned side of the kernel; a table that arrives as fewer splits than
+    there are cores (small single-file inputs) is spread first."""
+    from quarry.session import ensure_parallelism
+    return ensure_parallelism(df)
+
+
 def dense_knn(questions: DataFrame, vectors: DataFrame, k: int, *, q_id: str = "qid",
               q_vec: str = "embedding", p_id: str = "id", p_vec: str = "embedding",
               dim: int | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
@@ -231,8 +246,8 @@ def dense_knn(questions: DataFrame, vectors: DataFrame, k: int, *, q_id: str = "
     row_bytes = 8 * (dim or 1024) + 16
     passages = vectors.select(F.col(p_id).cast("long").alias("id"), F.col(p_vec).alias("v"))
     parts, sizes = [], []
-    for block in _question_blocks(questions, q_id, row_bytes, block_bytes, sizes):
-        qids, col = _collect_block(block, q_id, q_vec, block_bytes, row_bytes)
+    passages = _vector_side(passages)
+    for qids, col in _question_blocks(questions, q_id, q_vec, row_bytes, block_bytes, sizes):
         qmat = list_column_matrix(col, dim, np.float64)
         bc = spark.sparkContext.broadcast((qids, qmat))
         parts.append(passages.mapInArrow(_dense_kernel(bc, k), "qid long, id long, score double"))
@@ -251,8 +266,8 @@ def _binary_partial(questions, codes, k, dim, q_id, q_col, q_kind, p_id, p_code,
     row_bytes = 12 * dim + 16
     passages = codes.select(F.col(p_id).cast("long").alias("id"), F.col(p_code).alias("c"))
     parts = []
-    for block in _question_blocks(questions, q_id, row_bytes, block_bytes, sizes):
-        qids, col = _collect_block(block, q_id, q_col, block_bytes, row_bytes)
+    passages = _vector_side(passages)
+    for qids, col in _question_blocks(questions, q_id, q_col, row_bytes, block_bytes, sizes):
         if q_kind == "code":
             qsign = unpack_sign_matrix(list_column_matrix(col, None, np.int64), dim, np.float32)
             qfloat = qsign.astype(np.float64)

@@ -734,12 +734,13 @@ def p9_biencoder_eval(spark, sf):
 
 @query("k1_question_stream")
 def k1_question_stream(spark, sf):
-    """User turns arrive as three files; each micro-batch is answered against the stored code table."""
+    """User turns arrive as two files, one per micro-batch; each micro-batch is
+    answered against the stored code table."""
     from quarry.streaming.questions import read_answers, start_answer_stream
     conv = T.table(spark, sf, "conversations").where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
     src = scratch_path(spark, "question-stream")
-    conv.repartitionByRange(3, "qid").write.parquet(src)
+    conv.repartitionByRange(2, "qid").write.parquet(src)
     p = T.passages(spark, sf)
     codes_path = scratch_path(spark, "passage-codes.parquet")
     FS.write_vector_table(R.code_table(R.encode_passages(p, TEXT_DIM)), codes_path)
