@@ -122,42 +122,25 @@ def _regex_udf(answers: pd.Series, passages: pd.Series) -> pd.Series:
                       for a, p in zip(answers, passages)], dtype=bool)
 
 
-def has_answer(answer, passage, match_type: str = "dpr_string", *, passage_tokens: Column | None = None,
-               passage_norm: Column | None = None) -> Column:
+def has_answer(answer, passage, match_type: str = "dpr_string") -> Column:
     """H3: does `answer` occur in `passage` under one of five match types.
 
-    `passage_tokens` / `passage_norm` let callers compute the passage side once
-    per passage instead of once per (answer, passage)."""
+    One (answer, passage) pair per row; for an answer list per passage use
+    ``with_any_answer``, which normalises each passage once."""
     a, p = _c(answer), _c(passage)
     if match_type == "dpr_string":
         at = word_tokens(nfd(a))
-        pj = passage_norm if passage_norm is not None else _joined(
-            passage_tokens if passage_tokens is not None else word_tokens(nfd(p)))
-        return F.when(F.size(at) == 0, F.lit(True)).otherwise(F.contains(pj, _joined(at)))
+        return F.when(F.size(at) == 0, F.lit(True)).otherwise(F.contains(_joined(word_tokens(nfd(p))), _joined(at)))
     if match_type == "dpr_regex":
         return _regex_udf(a, p)
     if match_type in ("simple_nfd", "simple_nfkc"):
         norm = nfd if match_type == "simple_nfd" else nfkc
-        an = collapse_blanks(F.lower(norm(a)))
-        pn = passage_norm if passage_norm is not None else collapse_blanks(F.lower(norm(p)))
-        return F.contains(pn, an)
+        return F.contains(collapse_blanks(F.lower(norm(p))), collapse_blanks(F.lower(norm(a))))
     if match_type == "none":
         return F.contains(p, a)
     raise ValueError(f"invalid match_type: {match_type!r}")
 
 
-def passage_side(passage, match_type: str) -> Column | None:
-    """Pre-computable passage side of ``has_answer`` (None when not applicable)."""
-    p = _c(passage)
-    if match_type == "dpr_string":
-        return _joined(word_tokens(nfd(p)))
-    if match_type == "simple_nfd":
-        return collapse_blanks(F.lower(nfd(p)))
-    if match_type == "simple_nfkc":
-        return collapse_blanks(F.lower(nfkc(p)))
-    return None
-
-
 def _words(col) -> Column:
     return F.transform(F.regexp_extract_all(col, F.lit(TOKEN_PATTERN), 0), lambda t: F.lower(t))
 

@@ -15,9 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-PASSAGE_COLUMNS = ("id", "text", "title", "dataset")
-
-
 # ------------------------------------------------------------------ ordering helpers
 
 def with_line_numbers(df: DataFrame, col: str = "line_no") -> DataFrame:
@@ -204,11 +201,11 @@ def read_gold_passages(spark: SparkSession, path: str):
     keyed = items.select(F.col("question").alias("key"), (F.col("pos") * 2).alias("ord"), "id", "title", "text") \
         .unionByName(items.select(F.col("question_tokens").alias("key"), (F.col("pos") * 2 + 1).alias("ord"),
                                   "id", "title", "text"))
-    last = Window.partitionBy("key").orderBy(F.col("ord").desc())
-    gold = keyed.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "ord")
-    canon = items.select(F.col("question_tokens").alias("key"), "pos", F.col("question").alias("canonical"))
-    canon = canon.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.col("pos").desc()))) \
-        .where("_r = 1").drop("_r", "pos")
+    # later items win: a max over (position, value) per key, combined map-side
+    gold = keyed.groupBy("key").agg(F.max(F.struct("ord", "id", "title", "text")).alias("b")) \
+        .select("key", "b.id", "b.title", "b.text")
+    canon = items.groupBy(F.col("question_tokens").alias("key")) \
+        .agg(F.max(F.struct("pos", "question")).alias("b")).select("key", F.col("b.question").alias("canonical"))
     return gold, canon
 
 
