@@ -167,8 +167,10 @@ def multi_key_batches(examples: DataFrame, *, batch_size: int, weights: Mapping[
     # Global range sort by (key, rep, order) spreads even a dominant key over many tasks.
     ranked = with_line_numbers(reps.orderBy(key, "_rep", "_o", idx), "_g")
     first = ranked.groupBy(key).agg(F.min("_g").alias("_g0"))
-    pos = ranked.join(F.broadcast(first), key).withColumn("_pos", F.col("_g") - F.col("_g0")) \
-        .join(F.broadcast(sizes.select(key, "_take")), key)
+    # per-key tables (one row per key) are joined without hints: AQE broadcasts them
+    # after measuring their runtime size, and shuffles them otherwise
+    pos = ranked.join(first, key).withColumn("_pos", F.col("_g") - F.col("_g0")) \
+        .join(sizes.select(key, "_take"), key)
     full_chunks = F.floor(F.col("_take") / chunk)
     kept = pos.where(F.col("_pos") < F.col("_take")).withColumn("_chunk", F.floor(F.col("_pos") / chunk)) \
         .where(F.col("_chunk") < full_chunks)
@@ -195,7 +197,7 @@ def key_indices(examples: DataFrame, key: str = "dataset", order: str = "index",
     distributed sort and per-key offsets rather than a per-key window."""
     g = with_line_numbers(examples.orderBy(key, order), "_g")
     first = g.groupBy(key).agg(F.min("_g").alias("_g0"))
-    return g.join(F.broadcast(first), key).withColumn(col, (F.col("_g") - F.col("_g0")).cast("bigint")) \
+    return g.join(first, key).withColumn(col, (F.col("_g") - F.col("_g0")).cast("bigint")) \
         .drop("_g", "_g0")
 
 
