@@ -16,9 +16,12 @@ a running top-k per question. Ties are broken exactly as the SQL form does
 (primary key, then passage id ascending), so the two-stage result equals
 ``row_number() over (partition by qid order by ...)`` on the full cross product.
 
-The question side is bounded by ``block_bytes``; larger question tables are cut
-into hash blocks that are processed one after the other (one vector scan per
-block), like any batched exhaustive search.
+The question side is bounded by ``block_bytes`` and by the per-task top-k state
+(questions x k within STATE_BYTES); larger question tables are cut into hash
+blocks processed one after the other (one vector scan per block), like any
+batched exhaustive search. The vector scan runs as KERNEL_TASKS_PER_CORE tasks
+per core (narrow coalesce of a many-split input), so the shuffle volume is
+cores x questions x k, independent of the size of the vector table.
 """
 
 from __future__ import annotations
@@ -32,6 +35,11 @@ from pyspark.sql import functions as F
 
 WORD_BITS = 32
 DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024
+# Per-task running top-k state: questions x k candidates x ~40 bytes.
+STATE_BYTES = 256 * 1024 * 1024
+# Kernel tasks per core: the partial top-k shuffle carries tasks x questions x k rows,
+# so the vector scan runs as a few large tasks per core rather than one per split.
+KERNEL_TASKS_PER_CORE = 2
 # Cap on score-matrix cells materialised at once inside a task (float64 cells).
 _CELL_BUDGET = 1 << 22
 
@@ -198,13 +206,15 @@ def _binary_kernel(bc, k: int, dim: int, with_score: bool):
 # ----------------------------------------------------------------------------
 
 def _question_blocks(questions: DataFrame, q_id: str, q_col: str, row_bytes: int, block_bytes: int,
-                     sizes: list):
-    """Yield (qids, vector column) blocks, each small enough to broadcast.
+                     sizes: list, k: int = 1):
+    """Yield (qids, vector column) blocks, each small enough to broadcast and to
+    keep a running top-k for in one task (questions x k within STATE_BYTES).
 
     One bounded collect (limit max_rows + 1) covers the common case; only a
     question table above the budget is counted and split into hash blocks,
     each collected and checked separately. The total count goes to `sizes`."""
-    max_rows = max(1, block_bytes // row_bytes)
+    max_rows = max(1, min(block_bytes // row_bytes, STATE_BYTES // (40 * max(1, k))))
+    block_bytes = max_rows * row_bytes
     proj = questions.select(F.col(q_id).cast("long").alias("qid"), F.col(q_col).alias("v"))
     first = proj.limit(max_rows + 1).toArrow()
     if first.num_rows <= max_rows:
@@ -228,9 +238,16 @@ def _arrow_block(table):
 
 
 def _vector_side(df: DataFrame) -> DataFrame:
-    """The scanned side of the kernel; a table that arrives as fewer splits than
-    there are cores (small single-file inputs) is spread first."""
+    """The scanned side of the kernel, sized to the cluster rather than to the input.
+
+    Fewer splits than cores (small single-file inputs): spread round robin.
+    Many more splits than cores (a large table): merged by a narrow coalesce into
+    KERNEL_TASKS_PER_CORE tasks per core, so each task scans many vectors and the
+    partial top-k shuffle stays proportional to cores x questions x k."""
     from quarry.session import ensure_parallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > KERNEL_TASKS_PER_CORE * cores:
+        return df.coalesce(KERNEL_TASKS_PER_CORE * cores)
     return ensure_parallelism(df)
 
 
@@ -247,7 +264,7 @@ def dense_knn(questions: DataFrame, vectors: DataFrame, k: int, *, q_id: str = "
     passages = vectors.select(F.col(p_id).cast("long").alias("id"), F.col(p_vec).alias("v"))
     parts, sizes = [], []
     passages = _vector_side(passages)
-    for qids, col in _question_blocks(questions, q_id, q_vec, row_bytes, block_bytes, sizes):
+    for qids, col in _question_blocks(questions, q_id, q_vec, row_bytes, block_bytes, sizes, k):
         qmat = list_column_matrix(col, dim, np.float64)
         bc = spark.sparkContext.broadcast((qids, qmat))
         parts.append(passages.mapInArrow(_dense_kernel(bc, k), "qid long, id long, score double"))
@@ -267,7 +284,7 @@ def _binary_partial(questions, codes, k, dim, q_id, q_col, q_kind, p_id, p_code,
     passages = codes.select(F.col(p_id).cast("long").alias("id"), F.col(p_code).alias("c"))
     parts = []
     passages = _vector_side(passages)
-    for qids, col in _question_blocks(questions, q_id, q_col, row_bytes, block_bytes, sizes):
+    for qids, col in _question_blocks(questions, q_id, q_col, row_bytes, block_bytes, sizes, k):
         if q_kind == "code":
             qsign = unpack_sign_matrix(list_column_matrix(col, None, np.int64), dim, np.float32)
             qfloat = qsign.astype(np.float64)

@@ -95,3 +95,23 @@ def test_select_topk_exact_ties():
     keys = [np.array([1.0, 1.0, 0.5, 2.0, 2.0]), np.array([9, 3, 5, 2, 1])]
     keep = knn.select_topk(rows, keys, 2)
     assert sorted(keep.tolist()) == [1, 2, 3, 4]
+
+
+def test_vector_side_sized_to_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(1000).repartition(cores * 10)
+    assert knn._vector_side(many).rdd.getNumPartitions() == knn.KERNEL_TASKS_PER_CORE * cores
+    one = spark.range(1000).coalesce(1)
+    assert knn._vector_side(one).rdd.getNumPartitions() == cores
+
+
+def test_many_questions_with_large_k_are_blocked(spark):
+    p, q, pdf, qdf = _tables(spark, n=30, nq=12, integer=False, seed=9)
+    old = knn.STATE_BYTES
+    knn.STATE_BYTES = 40 * 8 * 5     # room for 5 questions x k=8 per task
+    try:
+        got = sorted((r["qid"], r["rank"], r["id"]) for r in knn.dense_knn(qdf, pdf, k=8, dim=16).collect())
+    finally:
+        knn.STATE_BYTES = old
+    ref = sorted((r["qid"], r["rank"], r["id"]) for r in knn.dense_knn(qdf, pdf, k=8, dim=16).collect())
+    assert got == ref and len(got) == 12 * 8
