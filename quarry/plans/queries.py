@@ -660,17 +660,20 @@ def b4_same_dataset_hits(spark, sf):
 
 
 def _gold_file(spark, sf):
-    """Gold passages file: each question's rank-1 hit, keyed by the question and by
-    its lower-cased 'question_tokens' form. One JSON object (the file format), so
-    its size is bounded by the number of questions."""
+    """Gold passages: each question's rank-1 hit, keyed by the question and by its
+    lower-cased 'question_tokens' form. Written as one {"data": [...]} document
+    per partition of the question table, so no document holds more than a
+    partition's questions."""
     hits, _, _ = _text_eval(spark, sf)
     top = hits.where(F.col("rank") == 1).join(T.questions(spark, sf).select("qid", "question"), "qid")
     item = F.struct(F.col("question"), F.lower("question").alias("question_tokens"),
                     F.col("id").alias("example_id"), "title", F.col("text").alias("context"))
-    doc = top.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("qid", item.alias("d")))),
-                                                 lambda x: x["d"]).alias("data"))).alias("value"))
-    path = scratch_path(spark, "gold.json")
-    doc.write.text(path)
+    docs = (top.withColumn("_part", F.spark_partition_id()).groupBy("_part")
+            .agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("qid", item.alias("d")))),
+                                                lambda x: x["d"]).alias("data"))).alias("value"))
+            .select("value"))
+    path = scratch_path(spark, "gold.jsonl")
+    docs.write.text(path)
     return path
 
 

@@ -55,11 +55,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared checkpoint folder."""
+    """A fresh, unique path below the shared checkpoint folder; the path ends in
+    `name`, so extension-driven formats (.jsonl, .gz) are honoured."""
     base = ensure_checkpoint_dir(spark)
     if base.startswith("file:"):
         base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(base, f"run-{uuid.uuid4().hex[:12]}", name)
 
 
 def ensure_parallelism(df, min_partitions: int | None = None):

@@ -186,26 +186,32 @@ def read_retriever_file(spark: SparkSession, path: str, lines: bool | None = Non
                         .alias("positive_ids"), "dataset", "src_file", "line_no")
 
 
-def read_gold_passages(spark: SparkSession, path: str):
-    """A13 (+G3): gold passages file {"data": [...]}.
+def read_gold_passages(spark: SparkSession, path: str, lines: bool | None = None):
+    """A13 (+G3): gold passages: one {"data": [...]} document per file, or (for
+    ``.jsonl`` paths / lines=True) one document per line.
 
     Returns (gold: key -> passage, canonical: question_tokens -> question); a key
-    may be a question or its question_tokens form; later items win."""
+    may be a question or its question_tokens form; later items win (order:
+    file, line, position in the document)."""
     schema = ("data array<struct<question:string,question_tokens:string,example_id:bigint,title:string,"
               "context:string>>")
-    doc = spark.read.schema(schema).option("multiLine", "true").json(path)
-    items = doc.select(F.posexplode("data").alias("pos", "d")).select(
-        "pos", F.col("d.question").alias("question"),
+    doc = with_file_line_numbers(
+        spark.read.schema(schema).option("multiLine", str(not _is_lines(path, lines)).lower()).json(path))
+    items = doc.select("src_file", "line_no", F.posexplode("data").alias("pos", "d")).select(
+        "src_file", "line_no", "pos", F.col("d.question").alias("question"),
         F.coalesce(F.col("d.question_tokens"), F.col("d.question")).alias("question_tokens"),
         F.col("d.example_id").alias("id"), F.col("d.title").alias("title"), F.col("d.context").alias("text"))
-    keyed = items.select(F.col("question").alias("key"), (F.col("pos") * 2).alias("ord"), "id", "title", "text") \
-        .unionByName(items.select(F.col("question_tokens").alias("key"), (F.col("pos") * 2 + 1).alias("ord"),
-                                  "id", "title", "text"))
-    # later items win: a max over (position, value) per key, combined map-side
-    gold = keyed.groupBy("key").agg(F.max(F.struct("ord", "id", "title", "text")).alias("b")) \
+    keyed = items.select(F.col("question").alias("key"), "src_file", "line_no", (F.col("pos") * 2).alias("ord"),
+                         "id", "title", "text") \
+        .unionByName(items.select(F.col("question_tokens").alias("key"), "src_file", "line_no",
+                                  (F.col("pos") * 2 + 1).alias("ord"), "id", "title", "text"))
+    # later items win: a max over (file, line, position, value) per key, combined map-side
+    gold = keyed.groupBy("key").agg(
+        F.max(F.struct("src_file", "line_no", "ord", "id", "title", "text")).alias("b")) \
         .select("key", "b.id", "b.title", "b.text")
     canon = items.groupBy(F.col("question_tokens").alias("key")) \
-        .agg(F.max(F.struct("pos", "question")).alias("b")).select("key", F.col("b.question").alias("canonical"))
+        .agg(F.max(F.struct("src_file", "line_no", "pos", "question")).alias("b")) \
+        .select("key", F.col("b.question").alias("canonical"))
     return gold, canon
 
 
