@@ -40,8 +40,11 @@ STATE_BYTES = 256 * 1024 * 1024
 # Kernel tasks per core: the partial top-k shuffle carries tasks x questions x k rows,
 # so the vector scan runs as a few large tasks per core rather than one per split.
 KERNEL_TASKS_PER_CORE = 2
-# Cap on score-matrix cells materialised at once inside a task (float64 cells).
+# Cap on score-matrix cells materialised at once inside a task (float64 cells),
+# assuming Arrow batches of up to _BATCH_ROWS rows (Spark's default batch size).
 _CELL_BUDGET = 1 << 22
+_BATCH_ROWS = 10_000
+_Q_STEP = max(1, _CELL_BUDGET // _BATCH_ROWS)
 
 
 # ----------------------------------------------------------------------------
@@ -136,11 +139,19 @@ class _Running:
         return {n: (np.concatenate(v) if v else np.zeros(0)) for n, v in self.parts.items()}
 
 
+def _merged(states: dict, names: list[str]) -> dict:
+    parts = [st.result() for _, st in sorted(states.items())]
+    return {n: (np.concatenate([p[n] for p in parts]) if parts else np.zeros(0)) for n in names}
+
+
 def _dense_kernel(bc, k: int):
     def run(batches):
         qids, qmat = bc.value
         m, dim = qmat.shape
-        state = _Running(["row", "id", "neg", "score"])
+        names = ["row", "id", "neg", "score"]
+        # one running state per question sub-block, trimmed right after that block:
+        # memory stays within sub-block x (batch + k) candidates
+        states = {r0: _Running(names) for r0 in range(0, m, _Q_STEP)}
         for rb in batches:
             if rb.num_rows == 0 or m == 0:
                 continue
@@ -149,14 +160,13 @@ def _dense_kernel(bc, k: int):
                 continue
             ids = id_col.to_numpy(zero_copy_only=False).astype(np.int64)
             pmat = list_column_matrix(vec_col, dim, np.float64)
-            step = max(1, _CELL_BUDGET // max(1, len(ids)))
-            for r0 in range(0, m, step):
-                scores = qmat[r0:r0 + step] @ pmat.T
+            for r0, state in states.items():
+                scores = qmat[r0:r0 + _Q_STEP] @ pmat.T
                 rows, cols = candidate_cells(-scores, k)
                 s = scores[rows, cols]
                 state.add(row=rows + r0, id=ids[cols], neg=-s, score=s)
-            state.trim(k, ["neg", "id"])
-        out = state.result()
+                state.trim(k, ["neg", "id"])
+        out = _merged(states, names)
         rows = out["row"].astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(qids[rows], pa.int64()), pa.array(out["id"].astype(np.int64), pa.int64()),
@@ -169,7 +179,8 @@ def _binary_kernel(bc, k: int, dim: int, with_score: bool):
     def run(batches):
         qids, qsign, qfloat = bc.value
         m = len(qids)
-        state = _Running(["row", "id", "distance", "score"])
+        names = ["row", "id", "distance", "score"]
+        states = {r0: _Running(names) for r0 in range(0, m, _Q_STEP)}
         for rb in batches:
             if rb.num_rows == 0 or m == 0:
                 continue
@@ -180,18 +191,19 @@ def _binary_kernel(bc, k: int, dim: int, with_score: bool):
             words = list_column_matrix(code_col, None, np.int64)
             psign = unpack_sign_matrix(words, dim, np.float32)
             psign64 = psign.astype(np.float64) if with_score else None
-            step = max(1, _CELL_BUDGET // max(1, len(ids)))
-            for r0 in range(0, m, step):
-                agree = qsign[r0:r0 + step] @ psign.T
+            for r0, state in states.items():
+                agree = qsign[r0:r0 + _Q_STEP] @ psign.T
                 dist = np.rint((dim - agree) / 2).astype(np.int64)
                 rows, cols = candidate_cells(dist, k)
                 if with_score:
-                    sc = (qfloat[r0:r0 + step][rows] * psign64[cols]).sum(axis=1)
+                    # one (questions x batch) product, bounded by _CELL_BUDGET, then a gather;
+                    # never a (candidates x dim) temporary
+                    sc = (qfloat[r0:r0 + _Q_STEP] @ psign64.T)[rows, cols]
                 else:
                     sc = np.zeros(rows.size)
                 state.add(row=rows + r0, id=ids[cols], distance=dist[rows, cols], score=sc)
-            state.trim(k, ["distance", "id"])
-        out = state.result()
+                state.trim(k, ["distance", "id"])
+        out = _merged(states, names)
         rows = out["row"].astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(qids[rows], pa.int64()), pa.array(out["id"].astype(np.int64), pa.int64()),
