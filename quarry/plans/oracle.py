@@ -35,7 +35,7 @@ def ip_sign(a: str, b: str) -> str:
 
 
 def ham(a: str, b: str) -> str:
-    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: bit_count(xor({a}[i], {b}[i]))::BIGINT))"
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: bit_count(xor({a}[i], {b}[i]))::BIGINT))::BIGINT"
 
 
 V = "SELECT vec_id AS id, embedding, label FROM embeddings"
