@@ -9,10 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import inference as INF
+from quarry.functions import spans as SP
+from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import knn
-from quarry.operators import knn as KNN_
+from quarry.operators import matching as MT
+from quarry.operators import metrics as M
+from quarry.operators import reader as RD
+from quarry.operators import training as TR
+from quarry.plans import reading as RG
 from quarry.plans import retrieval as R
+from quarry.session import scratch_path
+from quarry.sources import files as FS
+from quarry.sources import passages as PS
 from quarry.sources import tables as T
 
 DIM = 64
@@ -117,15 +127,13 @@ def c1_hits_with_passages(spark, sf):
     hits = knn.binary_retrieve(v.select(F.col("id").alias("qid"), "embedding"), R.code_table(v),
                                k=5, binary_k=64, dim=DIM)
     joined = R.attach_passages(hits.select("qid", "id", "rank"), T.passages(spark, sf),
-                               expected_rows=KNN_.row_bound(hits))
+                               expected_rows=knn.row_bound(hits))
     return joined.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", "title", "dataset",
                          F.length("text").cast("bigint").alias("text_chars"))
 
 
 # ---------------------------------------------------------------- text
 
-from quarry.functions import inference as I  # noqa: E402
-from quarry.functions import text as X  # noqa: E402
 
 TEXT_DIM = 64
 
@@ -210,10 +218,6 @@ def h3_match_types(spark, sf):
 
 # ---------------------------------------------------------------- reader
 
-from quarry.functions import spans as SP  # noqa: E402
-from quarry.operators import reader as RD  # noqa: E402
-from quarry.plans import reading as RG  # noqa: E402
-
 
 def _ints(col):
     return F.array_join(F.transform(col, lambda x: x.cast("bigint").cast("string")), ",")
@@ -349,10 +353,6 @@ def p6_batch_qa(spark, sf):
 
 # ---------------------------------------------------------------- sources, store
 
-from quarry.session import scratch_path  # noqa: E402
-from quarry.sources import files as FS  # noqa: E402
-from quarry.sources import passages as PS  # noqa: E402
-
 
 def _ordered_pos(df, col="pos"):
     return FS.dense_index(df, list(FS.INPUT_ORDER), col)
@@ -475,7 +475,6 @@ def a14_vector_table(spark, sf):
 
 # ---------------------------------------------------------------- training sets
 
-from quarry.operators import training as TR  # noqa: E402
 
 P7_SEED, P7_EPOCH, P7_NEG = 11, 1, 1  # one negative: B2 guarantees it for every kept example
 
@@ -624,10 +623,6 @@ def d13_span_loss(spark, sf):
 
 # ---------------------------------------------------------------- evaluation modes, gold passages, P9, K1
 
-from quarry.functions import inference as INF  # noqa: E402
-from quarry.operators import metrics as M  # noqa: E402
-from quarry.operators import knn as KNN  # noqa: E402
-
 
 def _retriever_questions(spark, sf):
     r = FS.read_retriever_file(spark, _retriever_file(spark, sf)).withColumn("file_no", F.lit(0))
@@ -638,7 +633,7 @@ def _retriever_questions(spark, sf):
 def c6_labelled_positive_recall(spark, sf):
     """P3 in is_labeled_positive mode: a hit counts when its id (as a string) is listed."""
     q = _retriever_questions(spark, sf)
-    hits = KNN.binary_retrieve(R.encode_questions(q, TEXT_DIM),
+    hits = knn.binary_retrieve(R.encode_questions(q, TEXT_DIM),
                                R.code_table(R.encode_passages(T.passages(spark, sf), TEXT_DIM)),
                                k=20, binary_k=100, dim=TEXT_DIM)
     flagged = hits.join(q.select("qid", "positive_ids"), "qid") \
@@ -650,10 +645,10 @@ def c6_labelled_positive_recall(spark, sf):
 def b4_same_dataset_hits(spark, sf):
     q = _retriever_questions(spark, sf)
     p = T.passages(spark, sf)
-    hits = KNN.binary_retrieve(R.encode_questions(q, TEXT_DIM), R.code_table(R.encode_passages(p, TEXT_DIM)),
+    hits = knn.binary_retrieve(R.encode_questions(q, TEXT_DIM), R.code_table(R.encode_passages(p, TEXT_DIM)),
                                k=20, binary_k=100, dim=TEXT_DIM)
     h = R.attach_passages(hits.select("qid", "id", "rank"), p.select("id", "dataset"),
-                          expected_rows=KNN_.row_bound(hits)) \
+                          expected_rows=knn.row_bound(hits)) \
         .join(q.select("qid", F.col("dataset").alias("q_dataset")), "qid")
     kept = R.restrict_to_dataset(h)
     return kept.select("qid", F.col("rank").cast("bigint").alias("rank"), "id")
@@ -757,8 +752,6 @@ def k1_question_stream(spark, sf):
 
 # ---------------------------------------------------------------- corpus-wide answer search (C5 corpus form)
 
-from quarry.operators import matching as MT  # noqa: E402
-
 
 @query("c5_corpus_answer_search")
 def c5_corpus_answer_search(spark, sf):
@@ -772,7 +765,7 @@ def c5_corpus_answer_search(spark, sf):
 @query("j4_dense_text_retrieval")
 def j4_dense_text_retrieval(spark, sf):
     """J4 in dense mode: question text -> vector -> exact inner-product top 20."""
-    hits = KNN.dense_knn(R.encode_questions(T.questions(spark, sf), TEXT_DIM),
+    hits = knn.dense_knn(R.encode_questions(T.questions(spark, sf), TEXT_DIM),
                          R.encode_passages(T.passages(spark, sf), TEXT_DIM), k=20, dim=TEXT_DIM)
     return hits.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", _r6("score").alias("score"))
 
