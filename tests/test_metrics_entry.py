@@ -43,3 +43,19 @@ def test_entry_contract(spark):
     assert len(rows) == 7 and set(df.columns) == {"k", "n_correct", "n_questions", "recall"}
     recall = [r["recall"] for r in sorted(rows, key=lambda r: r["k"])]
     assert recall == sorted(recall)
+
+
+def test_restrict_to_dataset_renumbers_and_requires_dataset(spark):
+    from quarry.plans.retrieval import restrict_to_dataset
+    hits = spark.createDataFrame([(1, 1, 10, "a", "a"), (1, 2, 11, "b", "a"), (1, 3, 12, "a", "a")],
+                                 "qid long, rank int, id long, dataset string, q_dataset string")
+    got = sorted((r["rank"], r["id"]) for r in restrict_to_dataset(hits).collect())
+    assert got == [(1, 10), (2, 12)]
+    bad = spark.createDataFrame([(1, 1, 10, "a", None)],
+                                "qid long, rank int, id long, dataset string, q_dataset string")
+    try:
+        restrict_to_dataset(bad).collect()
+    except Exception as exc:  # noqa: BLE001
+        assert "dataset" in str(exc)
+    else:
+        raise AssertionError("missing question dataset accepted")

@@ -94,3 +94,13 @@ def test_lookup_strict_and_loose(spark):
         assert "invalid passage id" in str(exc)
     else:
         raise AssertionError("unknown id accepted in strict mode")
+
+
+def test_json_lines_gzip_line_order(spark):
+    d = tempfile.mkdtemp()
+    path = os.path.join(d, "items.jsonl.gz")
+    with gzip.open(path, "wt") as f:
+        for i in range(50):
+            f.write('{"question": "q%d", "answers": ["a"]}\n' % i)
+    df = FS.read_json_items(spark, path, schema="question string, answers array<string>")
+    assert [r["question"] for r in df.orderBy("line_no").collect()] == [f"q{i}" for i in range(50)]
