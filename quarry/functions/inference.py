@@ -74,6 +74,24 @@ def passage_encoder_input(title: Column, text: Column) -> Column:
     return F.concat_ws(" ", title, text)
 
 
+def model_encoder(make_predict_fn, *, batch_size: int = 64):
+    """J1/J2 with any model: ``make_predict_fn()`` is called once per Python worker
+    and returns ``predict(texts: np.ndarray[str]) -> np.ndarray[n, dim]``.
+
+    Spark batches the column into Arrow batches of ``batch_size`` rows."""
+    from pyspark.ml.functions import predict_batch_udf
+    return predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)
+
+
+def hash_predict_fn(dim: int):
+    """The hash encoder as a model factory for ``model_encoder``."""
+    def make():
+        def predict(texts: np.ndarray) -> np.ndarray:
+            return _encode_batch(pd.Series(list(texts)), dim)
+        return predict
+    return make
+
+
 def onnx_encoder(model_path: str, *, input_name: str = "input_ids", batch_size: int = 64,
                  max_length: int = 256):
     """J1 with a real model: returns a column function over an array<int> token-id column.

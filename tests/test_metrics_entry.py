@@ -59,3 +59,14 @@ def test_restrict_to_dataset_renumbers_and_requires_dataset(spark):
         assert "dataset" in str(exc)
     else:
         raise AssertionError("missing question dataset accepted")
+
+
+def test_model_encoder_hook_matches_hash_encoder(spark):
+    from quarry.functions import inference as INF
+    df = spark.createDataFrame([("Héllo wörld, héllo!",), ("",), ("a b c d e f g",)], "t string")
+    enc = INF.model_encoder(INF.hash_predict_fn(16), batch_size=2)
+    got = df.select(enc("t").alias("a"), INF.hash_encoder(F.col("t"), 16).alias("b")).collect()
+    for r in got:
+        assert list(r["a"]) == list(r["b"])
+    assert all(x == 0 for x in got[1]["b"])              # no tokens -> zero vector
+    assert 0 < sum(abs(x) for x in got[0]["b"]) <= 5       # five tokens, signed counts
