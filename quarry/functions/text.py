@@ -154,24 +154,38 @@ def _any_regex_udf(answers: pd.Series, passages: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def with_any_answer(df, answers: str, passage, match_type: str = "dpr_string", out: str = "has_answer"):
+def normalized_answers(answers, match_type: str) -> Column:
+    """The answer side of ``with_any_answer`` for a match type, to compute once per
+    question (before answers meet their hits) rather than once per hit."""
+    a = _c(answers)
+    if match_type in ("dpr_string", "simple_nfd"):
+        return nfd_all(a)
+    if match_type == "simple_nfkc":
+        return nfkc_all(a)
+    return a
+
+
+def with_any_answer(df, answers: str, passage, match_type: str = "dpr_string", out: str = "has_answer",
+                    *, prenormalized: bool = False):
     """D3 on a DataFrame: does any answer of the list match the passage.
 
     Unicode normalisation of both sides is materialised as columns first (one
     Arrow UDF call per row, ASCII rows skipped) so that the per-answer lambda
-    body stays JVM-side."""
+    body stays JVM-side. With ``prenormalized`` the answers column already holds
+    ``normalized_answers(...)`` (dpr_regex and none always take raw answers)."""
     a, p = F.col(answers), _c(passage)
     if match_type == "dpr_regex":
         return df.withColumn(out, _any_regex_udf(a, p))
     if match_type == "none":
         return df.withColumn(out, F.exists(a, lambda x: F.contains(p, x)))
+    aside = a if prenormalized else normalized_answers(a, match_type)
     if match_type == "dpr_string":
-        staged = df.withColumn("_pside", _joined(word_tokens(nfd(p)))).withColumn("_aside", nfd_all(a))
+        staged = df.withColumn("_pside", _joined(word_tokens(nfd(p)))).withColumn("_aside", aside)
         test = F.exists(F.col("_aside"), lambda x: F.when(F.size(_words(x)) == 0, F.lit(True))
                         .otherwise(F.contains(F.col("_pside"), _joined(_words(x)))))
     elif match_type in ("simple_nfd", "simple_nfkc"):
-        norm, norm_all = (nfd, nfd_all) if match_type == "simple_nfd" else (nfkc, nfkc_all)
-        staged = df.withColumn("_pside", collapse_blanks(F.lower(norm(p)))).withColumn("_aside", norm_all(a))
+        norm = nfd if match_type == "simple_nfd" else nfkc
+        staged = df.withColumn("_pside", collapse_blanks(F.lower(norm(p)))).withColumn("_aside", aside)
         test = F.exists(F.col("_aside"), lambda x: F.contains(F.col("_pside"), collapse_blanks(F.lower(x))))
     else:
         raise ValueError(f"invalid match_type: {match_type!r}")

@@ -90,7 +90,7 @@ def text_retrieval_eval(questions: DataFrame, passages: DataFrame, *, k: int, bi
                         ks: Sequence[int], match_type: str = "dpr_string", include_title: bool = True,
                         binary: bool = True):
     """P3 with eval mode has_answer: returns (hits with has_answer, ranks, recall)."""
-    from quarry.functions.text import match_text, with_any_answer
+    from quarry.functions.text import match_text, normalized_answers, with_any_answer
     qv = encode_questions(questions, dim)
     pv = encode_passages(passages, dim)
     if binary:
@@ -98,9 +98,13 @@ def text_retrieval_eval(questions: DataFrame, passages: DataFrame, *, k: int, bi
     else:
         hits = knn.dense_knn(qv, pv, k=k, dim=dim)
     fetched = attach_passages(hits, passages)
-    answers = questions.select("qid", "answers")
-    flagged = with_any_answer(fetched.join(answers, "qid"), "answers",
-                              match_text("title", "text", include_title), match_type) \
-        .withColumn("is_positive", F.col("has_answer"))
+    # answers are normalised once per question, before they meet their k hits
+    pre = match_type not in ("dpr_regex", "none")
+    answers = questions.select("qid", "answers",
+                               (normalized_answers("answers", match_type) if pre else F.col("answers"))
+                               .alias("_answers_norm"))
+    flagged = with_any_answer(fetched.join(answers, "qid"), "_answers_norm",
+                              match_text("title", "text", include_title), match_type, prenormalized=pre) \
+        .drop("_answers_norm").withColumn("is_positive", F.col("has_answer"))
     ranks = first_positive_rank(questions, flagged)
     return flagged, ranks, recall_at_k(ranks, ks)
