@@ -332,15 +332,23 @@ def h23_highlight(spark, sf):
                     .alias("highlighted"))
 
 
+def _examples_from_file(spark, sf):
+    """P4 -> A17 (reader set written as JSON Lines) -> A12 (read back), as P5 consumes it."""
+    path = scratch_path(spark, "reader-set.jsonl")
+    FS.write_json_items(_examples(spark, sf), path)
+    schema = f"qid bigint, question string, answers array<string>, ctxs array<{RD.CTX_TYPE}>"
+    return FS.read_json_items(spark, path, schema=schema).drop("src_file", "line_no")
+
+
 @query("d4_classifier_precision")
 def d4_classifier_precision(spark, sf):
-    _, prec, _ = RG.reader_eval(_examples(spark, sf))
+    _, prec, _ = RG.reader_eval(_examples_from_file(spark, sf))
     return RD.mean_metric(prec, "classifier_precision")
 
 
 @query("d5_answer_accuracy")
 def d5_answer_accuracy(spark, sf):
-    _, _, acc = RG.reader_eval(_examples(spark, sf))
+    _, _, acc = RG.reader_eval(_examples_from_file(spark, sf))
     return RD.mean_metric(acc, "answer_accuracy")
 
 
