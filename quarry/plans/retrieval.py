@@ -18,6 +18,9 @@ from quarry.operators.metrics import first_positive_rank, recall_at_k
 
 # A hit table larger than this is joined to the passage table by shuffle, not broadcast.
 HITS_BROADCAST_ROWS = 2_000_000
+# Question-side tables (one row per question: answers, dataset) up to this many rows are
+# broadcast to the hits, so hits that already carry passage text are never shuffled for them.
+QUESTIONS_BROADCAST_ROWS = 500_000
 
 
 def code_table(vectors: DataFrame, *, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -103,6 +106,9 @@ def text_retrieval_eval(questions: DataFrame, passages: DataFrame, *, k: int, bi
     answers = questions.select("qid", "answers",
                                (normalized_answers("answers", match_type) if pre else F.col("answers"))
                                .alias("_answers_norm"))
+    bound = knn.row_bound(hits)
+    if bound is not None and bound // max(1, k) <= QUESTIONS_BROADCAST_ROWS:
+        answers = F.broadcast(answers)       # proven: one row per question, question count known
     flagged = with_any_answer(fetched.join(answers, "qid"), "_answers_norm",
                               match_text("title", "text", include_title), match_type, prenormalized=pre) \
         .drop("_answers_norm").withColumn("is_positive", F.col("has_answer"))
