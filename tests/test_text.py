@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,25 @@ def test_nfd_nfkc(spark):
     assert _one(spark, X.nfd("s"), s="é") == "é"
     assert _one(spark, X.nfkc("s"), s="ﬁ") == "fi"
     assert _one(spark, X.nfd("s"), s="plain ascii") == "plain ascii"
+
+
+def test_corpus_answer_search_with_hot_token(spark):
+    from quarry.operators.matching import answer_occurrences, empty_answers
+    texts = [f"the common word {'alpha' if i % 3 == 0 else 'beta'} item{i}" for i in range(60)]
+    passages = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    answers = spark.createDataFrame([(1, "the common"), (2, "Alpha"), (3, "item7"), (4, "beta item"),
+                                     (5, "nowhere"), (6, "  ")], "aid long, answer string")
+    got = sorted((r["aid"], r["id"]) for r in answer_occurrences(answers, passages).collect())
+
+    def toks(s):
+        return [t.lower() for t in re.findall(r"\w+|[^\w\s]", s)]
+
+    exp = []
+    for aid, a in [(1, "the common"), (2, "Alpha"), (3, "item7"), (4, "beta item"), (5, "nowhere")]:
+        at = toks(a)
+        for pid, t in enumerate(texts):
+            pt = toks(t)
+            if any(pt[i:i + len(at)] == at for i in range(len(pt) - len(at) + 1)):
+                exp.append((aid, pid))
+    assert got == sorted(exp)
+    assert [r["aid"] for r in empty_answers(answers).collect()] == [6]
