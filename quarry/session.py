@@ -1,13 +1,13 @@
 """Session construction and shared scratch locations.
 
 On a cluster the scratch location is the shared folder named by
-``spark.checkpoint.dir``; we only invent one (under the system temp dir)
-when the session has none, which is the local-test situation.
+``spark.checkpoint.dir``; only a local master gets an invented one (under the
+system temp dir) when the session has none.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -43,24 +43,27 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint dir, creating a local one only if unset."""
+    """The session's checkpoint folder, which all executors share.
+
+    Only a purely local master, where driver and executors are one process, may
+    be given a temporary one; a cluster must name its own."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared checkpoint folder; the path ends in
-    `name`, so extension-driven formats (.jsonl, .gz) are honoured."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"run-{uuid.uuid4().hex[:12]}", name)
+    """A fresh, unique path below the shared checkpoint folder, with that folder's
+    scheme; the path ends in `name`, so extension-driven formats (.jsonl, .gz) are
+    honoured."""
+    return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), f"run-{uuid.uuid4().hex[:12]}", name])
 
 
 def ensure_parallelism(df, min_partitions: int | None = None):
