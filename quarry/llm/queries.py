@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, sharding
-from quarry.llm.common import table
+from quarry.llm import mixing, packing, sharding, simhash
+from quarry.llm.common import table, tokenizer
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +29,15 @@ def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_mix_sources": op2_mix_sources,
     "op3_byte_shards": op3_byte_shards,
+    "op9_pack": op9_pack,
 }
 
 ORACLE_SQL: dict[str, str] = {}
