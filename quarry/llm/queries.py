@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, chunks, mixing, packing, sharding, simhash
+from quarry.llm import chat, chunks, lm, mixing, packing, sharding, simhash
 from quarry.llm.common import table, tokenizer
 
 
@@ -44,6 +44,10 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mix_sources": op2_mix_sources,
@@ -51,6 +55,7 @@ QUERIES = {
     "op6_chunk_fingerprints": op6_chunk_fingerprints,
     "op8_chat": op8_chat,
     "op9_pack": op9_pack,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {}
