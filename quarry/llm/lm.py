@@ -46,7 +46,7 @@ from quarry.llm.common import materialise
 
 SEED = 42
 BLOCK_BYTES = 16 << 20
-MU = 8.0
+MU = 64.0
 #: Local ids of the end token and the start context; no word holds white space.
 _END, _START = 0, 1
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, chunks, lm, mixing, packing, sharding, simhash
+from quarry.llm import chat, chunks, lm, mixing, packing, rules, sharding, simhash
 from quarry.llm.common import table, tokenizer
 
 
@@ -29,6 +29,12 @@ def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = rules.apply_rules(docs, rules.learn_rules(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mix_sources": op2_mix_sources,
     "op3_byte_shards": op3_byte_shards,
+    "op4_quality_rules": op4_quality_rules,
     "op6_chunk_fingerprints": op6_chunk_fingerprints,
     "op8_chat": op8_chat,
     "op9_pack": op9_pack,
