@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, chunks, lm, mixing, packing, rules, sharding, simhash
+from quarry.llm import chat, chunks, html_main, lm, mixing, packing, rules, sharding, simhash
 from quarry.llm.common import table, tokenizer
 
 
@@ -35,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_byte_shards": op3_byte_shards,
     "op4_quality_rules": op4_quality_rules,
+    "op5_main_text": op5_main_text,
     "op6_chunk_fingerprints": op6_chunk_fingerprints,
     "op8_chat": op8_chat,
     "op9_pack": op9_pack,
