@@ -189,6 +189,6 @@ def taken_words() -> Column:
 
 def shard_pieces(mixed: DataFrame) -> DataFrame:
     """The mixture itself: one row per piece, shuffled inside each shard and stored by shard."""
-    flat = mixed.select("doc_id", "source", F.explode("pieces").alias("p"), *[c for c in mixed.columns if c == "carried"])
+    flat = mixed.select("doc_id", "source", "size", F.explode("pieces").alias("p"), *[c for c in mixed.columns if c == "carried"])
     return (flat.select("p.*", *[c for c in flat.columns if c != "p"])
             .repartition("shard", F.substring("shuffle_key", 1, 1)).sortWithinPartitions("shard", "shuffle_key"))

@@ -105,6 +105,10 @@ def _segments(max_distance: int) -> tuple[int, int]:
     return n, max_distance // n
 
 
+def _segment_key(segment: int, mask: int):
+    return lambda x: F.xxhash64(F.lit(segment), x["point"].bitwiseAND(F.lit(mask)))
+
+
 def _walk(run: np.ndarray, max_distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Spanning forest of the links inside one run of distinct fingerprints, as (root, member) arrays."""
     edges, rest = [], run
@@ -192,7 +196,7 @@ def links(distinct: DataFrame, max_distance: int = 4, run_limit: int = RUN_LIMIT
         mask = ((1 << bits) - 1) << low
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
         # A key names its segment: all other bits are replaced by the segment's number, hashed.
-        tables.append(F.transform(ball, lambda x, s=s, mask=mask: F.xxhash64(F.lit(s), x["point"].bitwiseAND(F.lit(mask)))))
+        tables.append(F.transform(ball, _segment_key(s, mask)))
     keyed = distinct.select(F.explode(F.concat(*tables)).alias("key"), "fp")
     met = (keyed.repartition("key").sortWithinPartitions("key", "fp")
            .mapInArrow(_linked_runs(max_distance, run_limit), "a long, b long"))
