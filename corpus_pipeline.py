@@ -1,5 +1,57 @@
-"""Corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: quality rules, SimHash near-dedup, mixing, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns a DataFrame, which is written as Parquet and read again as the next
+stage's `docs`. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import mixing, packing, rules, simhash
+from quarry.llm.common import materialise, table, tokenizer
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the learned list rejects go."""
+    return rules.keep_good(docs, rules.learn_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id stays."""
+    return simhash.keep_one(docs, shingle=4, max_distance=4)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture's pieces as documents: a document's row per piece that a shard takes of it, with the piece's words as text."""
+    columns = docs.columns
+    pieces = mixing.shard_pieces(mixing.mix_documents(docs, carry=tuple(columns)))
+    words = F.expr(r"slice(regexp_extract_all(carried.text, '[^\\x20\\x09-\\x0D]+', 0), CAST(start + 1 AS INT), CAST(n_words AS INT))")
+    whole = (F.col("start") == 0) & (F.col("n_words") == F.col("size"))
+    text = F.when(whole, F.col("carried.text")).otherwise(F.array_join(words, " "))
+    cut = pieces.select("carried", text.alias("text"))
+    return cut.select(*[(F.col("text") if c == "text" else F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+                         if c == "n_chars" else F.col("carried")[c].alias(c)) for c in columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and place there."""
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
+
+#: SQL can't express learned rules, fingerprints or packing; tests/llm compares with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each result but the last is a table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{i}")
+    return docs
