@@ -17,11 +17,13 @@ root's arc, and the state is then that token's.
 Scale: counts grow with the corpus and are never broadcast or gathered.
 Documents are in blocks of `BLOCK_BYTES` of consecutive text. A block counts its
 words and bigrams itself and sends each distinct one once, as a 64-bit hash with
-its count. Per hash, the totals are summed over blocks, and a total returns to
-the blocks that named the hash, if it differs from what the block counted
-itself. Each block then has the part of the automaton that its texts can reach
-and scores its documents. A hash is named once per block at most, however
-frequent the word.
+its count. Hashes are sent sorted, cut into as many ranges as keep the hashes of
+a range (over all blocks) within one task's memory: a row holds a block's hashes
+of one range as differences, in byte planes that compress. Per range, the counts
+of equal hashes are summed, and each block gets the totals of the hashes it
+named back in the order in which it sent them, so no hash returns. Each block
+then has the part of the automaton that its texts can reach and scores its
+documents. A hash is named once per block at most, however frequent the word.
 
 Defined cases: a null or empty text is the end token alone; a null id is hashed
 as an empty string when the training documents are drawn; repeated rows count as
@@ -38,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -46,6 +48,8 @@ from quarry.llm.common import materialise
 
 SEED = 42
 BLOCK_BYTES = 16 << 20
+#: Ranges of hashes per block of text: a range has the distinct words and bigrams of about half a block's bytes.
+RANGES_PER_BLOCK = 2
 MU = 64.0
 #: Local ids of the end token and the start context; no word holds white space.
 _END, _START = 0, 1
@@ -106,13 +110,18 @@ class _Block:
     def pair_keys(self) -> np.ndarray:
         return _pair_keys(self.hash[self.first], self.hash[self.second])
 
-    def replace(self, own: np.ndarray, keys: np.ndarray, totals: np.ndarray, counts: np.ndarray) -> None:
-        """Counts whose corpus total came back."""
-        if len(keys):
-            order = np.argsort(own)
-            place = order[np.minimum(np.searchsorted(own, keys, sorter=order), len(own) - 1)]
-            hit = own[place] == keys
-            counts[place[hit]] = totals[hit]
+    def sent(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(hashes in order, their own counts) of the words and of the pairs."""
+        out = []
+        for keys, counts in ((self.hash, self.n_word), (self.pair_keys(), self.n_pair)):
+            order = np.argsort(keys, kind="stable")
+            out.append((keys[order], counts[order]))
+        return out
+
+    def take_totals(self, words: np.ndarray, pairs: np.ndarray) -> None:
+        """The corpus totals, in the order of `sent`, in the place of the block's own counts."""
+        for keys, counts, totals in ((self.hash, self.n_word, words), (self.pair_keys(), self.n_pair, pairs)):
+            counts[np.argsort(keys, kind="stable")] = totals
 
     def score(self, n: int, v: int, mu: float) -> Iterator[tuple]:
         """(doc_id, held_out, n_tokens, n_known, base_score, score) by one traversal of each sequence."""
@@ -132,50 +141,114 @@ class _Block:
             yield (doc_id, held_out, len(tokens), int((self.n_word[tokens] > 0).sum()), float(base[tokens].sum()), float(step[path].sum()))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values as eight planes of bytes, lowest first: the high planes of small values are runs of zeros."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _values(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, doc_id, text as lower-cased UTF-8): consecutive rows of a task in blocks, written to the shared folder."""
+    """(block, row, doc_id, text as lower-cased UTF-8): consecutive rows of a task in blocks, written to the shared folder."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 32, 0
+        block, row, size = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             texts = [(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
-            blocks = []
+            blocks, rows = [], []
             for t in texts:
                 if size and size + len(t) > block_bytes:
-                    block, size = block + 1, 0
+                    block, row, size = block + 1, 0, 0
                 size += len(t)
                 blocks.append(block)
-            yield pa.record_batch([pa.array(blocks, pa.int64()), batch.column(0), pa.array(texts, pa.binary())], names=["block", "doc_id", "text"])
+                rows.append(row)
+                row += 1
+            yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array(rows, pa.int64()), batch.column(0), pa.array(texts, pa.binary())],
+                                  names=["block", "row", "doc_id", "text"])
 
-    cut = docs.mapInArrow(run, f"block long, doc_id {kind}, text binary")
+    cut = docs.mapInArrow(run, f"block long, row long, doc_id {kind}, text binary")
     return materialise(cut, "lm-blocks")
 
 
-def _named(blocks: DataFrame, folds: int, fold: int) -> DataFrame:
-    """(pair, key, block, c): every distinct word and bigram of a block with its count in the block's training documents."""
+def _named(blocks: DataFrame, folds: int, fold: int, ranges: int) -> DataFrame:
+    """(block, row, part, words, word_counts, pairs, pair_counts): what a block's training documents hold of one range of hashes.
+
+    `row` is the first of the rows that were counted together: all of a block,
+    or those of its rows that one task read, if the stored file was split.
+    """
+    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
+    names = ["block", "row", "part", "words", "word_counts", "pairs", "pair_counts"]
+
+    def close(at: int, first: int, block: _Block) -> Iterator[pa.RecordBatch]:
+        block.count()
+        (words, n_word), (pairs, n_pair) = block.sent()
+        word_cuts, pair_cuts = ([0, *np.searchsorted(k, bounds).tolist(), len(k)] for k in (words, pairs))
+        for part in range(ranges):
+            w, p = slice(*word_cuts[part:part + 2]), slice(*pair_cuts[part:part + 2])
+            if w.stop > w.start or p.stop > p.start:
+                columns = [_planes(np.diff(words[w], prepend=np.uint64(0))), _planes(n_word[w]),
+                           _planes(np.diff(pairs[p], prepend=np.uint64(0))), _planes(n_pair[p])]
+                yield pa.record_batch([pa.array([x], pa.int64()) for x in (at, first, part)] + [pa.array([c], pa.binary()) for c in columns],
+                                      names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(at: int, block: _Block) -> Iterator[pa.RecordBatch]:
-            block.count()
-            for pair, keys, counts in ((False, block.hash, block.n_word), (True, block.pair_keys(), block.n_pair)):
-                for lo in range(0, len(keys), 1 << 16):
-                    k, c = keys[lo:lo + (1 << 16)].view(np.int64), counts[lo:lo + (1 << 16)]
-                    yield pa.record_batch([pa.array(np.full(len(k), pair)), pa.array(k), pa.array(np.full(len(k), at)), pa.array(c)],
-                                          names=["pair", "key", "block", "c"])
-
-        at, block = None, None
+        at = first = after = block = None
         for batch in batches:
-            for b, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != at:
+            for b, row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (b, row) != (at, after):
                     if block:
-                        yield from close(at, block)
-                    at, block = b, _Block()
+                        yield from close(at, first, block)
+                    at, first, block = b, row, _Block()
+                after = row + 1
                 block.add(doc_id, text, is_held_out(doc_id, folds, fold))
         if block:
-            yield from close(at, block)
+            yield from close(at, first, block)
+
+    return blocks.select("block", "row", "doc_id", "text").mapInArrow(
+        run, "block long, row long, part long, words binary, word_counts binary, pairs binary, pair_counts binary")
+
 
-    return blocks.select("block", "doc_id", "text").mapInArrow(run, "pair boolean, key long, block long, c long")
+def _summed(sent: list[tuple[bytes, bytes]]) -> tuple[list[bytes], np.ndarray]:
+    """Each sender's totals in its own order, and the totals of the distinct hashes."""
+    keys = [np.cumsum(_values(k), dtype=np.uint64) for k, _ in sent]
+    _, place = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(place, np.concatenate([_values(c) for _, c in sent])).astype(np.int64)
+    back = totals[place]
+    ends = np.cumsum([len(k) for k in keys])
+    return [_planes(x) for x in np.split(back, ends[:-1])], totals
+
+
+def _totals(named: DataFrame) -> DataFrame:
+    """(block, row, part, words, pairs, v, n): totals for each sender, and once per range its distinct trained words and their sum."""
+    names = ["block", "row", "part", "words", "pairs", "v", "n"]
+
+    def close(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        words, of_words = _summed([(r["words"], r["word_counts"]) for r in rows])
+        pairs, _ = _summed([(r["pairs"], r["pair_counts"]) for r in rows])
+        v, n = int((of_words > 0).sum()), int(of_words.sum())
+        for i, r in enumerate(rows):
+            yield pa.record_batch([pa.array([r["block"]], pa.int64()), pa.array([r["row"]], pa.int64()), pa.array([r["part"]], pa.int64()),
+                                   pa.array([words[i]], pa.binary()), pa.array([pairs[i]], pa.binary()),
+                                   pa.array([0 if i else v], pa.int64()), pa.array([0 if i else n], pa.int64())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if rows and rows[0]["part"] != r["part"]:
+                    yield from close(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield from close(rows)
+
+    summed = (named.repartition("part").sortWithinPartitions("part")
+              .mapInArrow(run, "block long, row long, part long, words binary, pairs binary, v long, n long"))
+    return materialise(summed, "lm-totals")
 
 
 def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, mu: float = MU, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id",
@@ -187,56 +260,46 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, mu: float =
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = kept.schema["doc_id"].dataType
     blocks = _cut(kept, block_bytes)
-    one_key = Window.partitionBy("pair", "key")
-    totals = (_named(blocks, folds, fold)
-              .withColumn("total", F.sum("c").over(one_key))
-              .withColumn("owner", F.col("block") == F.min("block").over(one_key))
-              .where((F.col("total") > 0) & ((F.col("total") != F.col("c")) | (F.col("owner") & ~F.col("pair")))))
-    totals = materialise(totals.select("pair", "key", "block", "total", "owner"), "lm-totals")
-    # A block that two tasks read may name a word twice; one owner counts.
-    words = totals.where(~F.col("pair") & F.col("owner")).groupBy("key", "block").agg(F.max("total").alias("total"))
-    v, n = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    ranges = max(1, RANGES_PER_BLOCK * blocks.select(F.count_distinct("block")).first()[0])
+    totals = _totals(_named(blocks, folds, fold, ranges))
+    v, n = totals.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def close(block: _Block, words: list[bytes], pairs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        block.count()
+        block.take_totals(*(np.concatenate([_values(x) for x in back]).astype(np.int64) for back in (words, pairs)))
+        ids, held, tokens, known, base, score = zip(*block.score(n, v, mu), strict=True)
+        yield pa.record_batch([pa.array(ids, to_arrow_type(id_type)), pa.array(held), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
+                               pa.array([n] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
+                              names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(block: _Block, back: list) -> Iterator[pa.RecordBatch]:
-            if not block.rows:
-                return
-            block.count()
-            for pair, own, counts in ((0, block.hash, block.n_word), (1, block.pair_keys(), block.n_pair)):
-                keys = [k for p, k, _ in back if p == pair]
-                if keys:
-                    block.replace(own, np.concatenate(keys).view(np.uint64), np.concatenate([t for p, _, t in back if p == pair]), counts)
-            ids, held, tokens, known, base, score = zip(*block.score(n, v, mu), strict=True)
-            out = pa.record_batch([pa.array(ids, to_arrow_type(id_type)), pa.array(held), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                                   pa.array([n] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
-                                  names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-            yield out
-
-        at, block, back = None, _Block(), []
+        # Per block first the totals, by the first row counted and the range, then the texts by row.
+        at, back, open_, block = None, {}, None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            where = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), len(where)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if where[lo] != at:
-                    yield from close(block, back)
-                    at, block, back = where[lo], _Block(), []
-                part = batch.slice(lo, hi - lo)
-                kind = part.column(1).to_numpy()
-                keys, total = part.column(2).to_numpy(), part.column(3).to_numpy()
-                for pair in (0, 1):
-                    if (kind == pair).any():
-                        back.append((pair, keys[kind == pair], total[kind == pair]))
-                for i in np.flatnonzero(kind == 2).tolist():
-                    doc_id = part.column(4)[i].as_py()
-                    block.add(doc_id, part.column(5)[i].as_py(), is_held_out(doc_id, folds, fold))
-        yield from close(block, back)
-
-    none = F.lit(0).cast("long")
-    entries = totals.select("block", F.col("pair").cast("int").alias("kind"), "key", "total", F.lit(None).cast(id_type).alias("doc_id"),
-                            F.lit(None).cast("binary").alias("text"))
-    texts = blocks.select("block", F.lit(2).alias("kind"), none.alias("key"), none.alias("total"), "doc_id", "text")
-    return (entries.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+            for i in range(batch.num_rows):
+                b, kind, row, _, words, pairs, doc_id, text = (c[i].as_py() for c in batch.columns)
+                if b != at or (kind == 1 and row in back):
+                    if block:
+                        yield from close(block, *back.pop(open_))
+                        block = None
+                    if b != at:
+                        at, back = b, {}
+                if kind == 0:
+                    held = back.setdefault(row, ([], []))
+                    held[0].append(words)
+                    held[1].append(pairs)
+                else:
+                    if block is None:
+                        open_, block = row, _Block()
+                    block.add(doc_id, text, is_held_out(doc_id, folds, fold))
+        if block:
+            yield from close(block, *back.pop(open_))
+
+    none, no_bytes = F.lit(None).cast("long"), F.lit(None).cast("binary")
+    entries = totals.select("block", F.lit(0).alias("kind"), "row", "part", "words", "pairs", F.lit(None).cast(id_type).alias("doc_id"),
+                            no_bytes.alias("text"))
+    texts = blocks.select("block", F.lit(1).alias("kind"), "row", none.alias("part"), no_bytes.alias("words"), no_bytes.alias("pairs"),
+                          "doc_id", "text")
+    return (entries.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "row", "part")
             .mapInArrow(run, f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                              "base_score double, score double"))
