@@ -47,7 +47,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quarry.llm.common import materialise
 
 SEED = 42
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Ranges of hashes per block of text: a range has the distinct words and bigrams of about half a block's bytes.
 RANGES_PER_BLOCK = 2
 MU = 64.0
@@ -221,7 +221,7 @@ def _summed(sent: list[tuple[bytes, bytes]]) -> tuple[list[bytes], np.ndarray]:
     return [_planes(x) for x in np.split(back, ends[:-1])], totals
 
 
-def _totals(named: DataFrame) -> DataFrame:
+def _totals(named: DataFrame, partitions: int) -> DataFrame:
     """(block, row, part, words, pairs, v, n): totals for each sender, and once per range its distinct trained words and their sum."""
     names = ["block", "row", "part", "words", "pairs", "v", "n"]
 
@@ -246,7 +246,7 @@ def _totals(named: DataFrame) -> DataFrame:
         if rows:
             yield from close(rows)
 
-    summed = (named.repartition("part").sortWithinPartitions("part")
+    summed = (named.repartition(partitions, "part").sortWithinPartitions("part")
               .mapInArrow(run, "block long, row long, part long, words binary, pairs binary, v long, n long"))
     return materialise(summed, "lm-totals")
 
@@ -260,8 +260,10 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, mu: float =
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = kept.schema["doc_id"].dataType
     blocks = _cut(kept, block_bytes)
-    ranges = max(1, RANGES_PER_BLOCK * blocks.select(F.count_distinct("block")).first()[0])
-    totals = _totals(_named(blocks, folds, fold, ranges))
+    n_blocks = max(1, blocks.select(F.count_distinct("block")).first()[0])
+    ranges = RANGES_PER_BLOCK * n_blocks
+    # Few ranges or blocks a task: a task's batches hold whole rows of packed hashes.
+    totals = _totals(_named(blocks, folds, fold, ranges), -(-ranges // 4))
     v, n = totals.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def close(block: _Block, words: list[bytes], pairs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +302,6 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, mu: float =
                             no_bytes.alias("text"))
     texts = blocks.select("block", F.lit(1).alias("kind"), "row", none.alias("part"), no_bytes.alias("words"), no_bytes.alias("pairs"),
                           "doc_id", "text")
-    return (entries.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "row", "part")
+    return (entries.unionByName(texts).repartition(-(-n_blocks // 2), "block").sortWithinPartitions("block", "kind", "row", "part")
             .mapInArrow(run, f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                              "base_score double, score double"))
