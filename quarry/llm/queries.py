@@ -75,4 +75,33 @@ QUERIES = {
     "op10_lm_scores": op10_lm_scores,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The words that the mix takes depend on a document's place on its source's line and the quota alone,
+#: not on the splitting tree's draws. The other operators learn, fingerprint, tokenise, or need a CRC-32.
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": """
+        WITH sized AS (
+            SELECT doc_id, source, md5('17' || coalesce('|' || CAST(doc_id AS VARCHAR), '')) AS draw,
+                   CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+            FROM documents),
+        sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+        ranked AS (
+            SELECT *, list_extract([5.0, 2.0, 1.0], CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INT))::DOUBLE AS weight,
+                   row_number() OVER (ORDER BY source ASC NULLS LAST) AS pos, 2.0::DOUBLE * source_size AS cap
+            FROM sources),
+        levelled AS (
+            SELECT *, cap / weight AS ratio,
+                   (1.5::DOUBLE * sum(source_size) OVER ()
+                    - coalesce(sum(cap) OVER (ORDER BY cap / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+                   / sum(weight) OVER (ORDER BY cap / weight, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM ranked),
+        settled AS (SELECT *, max(CASE WHEN ratio >= level THEN level END) OVER () AS common FROM levelled),
+        targets AS (SELECT source, source_size, least(cap, weight * coalesce(common, ratio)) AS target FROM settled),
+        line AS (
+            SELECT s.doc_id, s.size, t.source_size, t.target, CAST(least(floor(t.target + 0.5), 2 * t.source_size) AS BIGINT) AS quota,
+                   CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.draw, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS start
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)) AS BIGINT) AS taken
+        FROM line
+    """,
+}

@@ -119,6 +119,39 @@ def test_scores_by_brute_force(spark):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
 
 
+def test_scores_of_blocks_whose_files_are_split(spark):
+    """A stored block that several tasks read in parts gives the same scores."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    whole = sorted(map(tuple, lm.score_documents(docs).collect()))
+    small = {"spark.sql.files.maxPartitionBytes": "10k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, value in small.items():
+            spark.conf.set(k, value)
+        hadoop.set("parquet.block.size", "30000")
+        hadoop.set("parquet.block.size.row.check.min", "5")
+        split = sorted(map(tuple, lm.score_documents(docs).collect()))
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+        hadoop.unset("parquet.block.size")
+        hadoop.unset("parquet.block.size.row.check.min")
+    assert [r[:5] for r in split] == [r[:5] for r in whole]
+    assert [r[6] for r in split] == pytest.approx([r[6] for r in whole])
+
+
+def test_mixture_against_sql(spark):
+    import duckdb
+
+    from quarry.llm import queries
+
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        expected = sorted(db.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.ORACLE_SQL['op2_mix_sources']})").fetchall())
+    assert sorted(map(tuple, queries.op2_mix_sources(spark, SF).collect())) == expected
+
+
 def test_components_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.near_duplicates(docs).collect())
