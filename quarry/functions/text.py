@@ -61,27 +61,37 @@ _NFD_ARRAY = _array_normalizer("NFD")
 _NFKC_ARRAY = _array_normalizer("NFKC")
 
 
+def _non_ascii(c: Column) -> Column:
+    """`c` where it needs normalising, else null: Python UDFs are evaluated for every
+    row whatever branch of a condition they stand in, so rows are spared by a null input."""
+    return F.when(~c.rlike(_ASCII_ONLY), c)
+
+
+def _non_ascii_array(c: Column) -> Column:
+    return F.when(~F.forall(c, lambda x: F.coalesce(x.rlike(_ASCII_ONLY), F.lit(True))), c)
+
+
 def nfd_all(col) -> Column:
-    """H1 over an array<string>; arrays of pure-ASCII strings bypass Python."""
+    """H1 over an array<string>; arrays of pure-ASCII strings reach Python as nulls only."""
     c = _c(col)
-    return F.when(F.forall(c, lambda x: x.rlike(_ASCII_ONLY)), c).otherwise(_NFD_ARRAY(c))
+    return F.coalesce(_NFD_ARRAY(_non_ascii_array(c)), c)
 
 
 def nfkc_all(col) -> Column:
     c = _c(col)
-    return F.when(F.forall(c, lambda x: x.rlike(_ASCII_ONLY)), c).otherwise(_NFKC_ARRAY(c))
+    return F.coalesce(_NFKC_ARRAY(_non_ascii_array(c)), c)
 
 
 def nfd(col) -> Column:
-    """H1: Unicode NFD; ASCII rows bypass Python."""
+    """H1: Unicode NFD; ASCII rows reach Python as nulls only."""
     c = _c(col)
-    return F.when(c.rlike(_ASCII_ONLY), c).otherwise(_NFD(c))
+    return F.coalesce(_NFD(_non_ascii(c)), c)
 
 
 def nfkc(col) -> Column:
-    """H1: Unicode NFKC; ASCII rows bypass Python."""
+    """H1: Unicode NFKC; ASCII rows reach Python as nulls only."""
     c = _c(col)
-    return F.when(c.rlike(_ASCII_ONLY), c).otherwise(_NFKC(c))
+    return F.coalesce(_NFKC(_non_ascii(c)), c)
 
 
 def word_tokens(col) -> Column:
@@ -110,10 +120,12 @@ def match_text(title, text, include_title: bool) -> Column:
 
 
 def _regex_search(answer: str, passage: str) -> bool:
+    """A pattern that Python cannot compile matches nothing."""
     try:
-        return re.compile(answer, flags=re.IGNORECASE | re.UNICODE | re.MULTILINE).search(passage) is not None
-    except BaseException:  # noqa: BLE001 - a bad pattern is simply "no match"
+        pattern = re.compile(answer, re.IGNORECASE | re.UNICODE | re.MULTILINE)
+    except (re.error, RecursionError, OverflowError):
         return False
+    return bool(pattern.search(passage))
 
 
 @F.pandas_udf(BooleanType())

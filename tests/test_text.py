@@ -79,6 +79,33 @@ def test_nfd_nfkc(spark):
     assert _one(spark, X.nfd("s"), s="plain ascii") == "plain ascii"
 
 
+def test_ascii_rows_do_not_reach_python(spark, monkeypatch):
+    import pandas as pd
+    from pyspark.sql.types import ArrayType, StringType
+
+    def strict(kind):
+        @F.pandas_udf(kind)
+        def only_non_ascii(s: pd.Series) -> pd.Series:
+            for x in s.dropna():
+                if all(v.isascii() for v in ([x] if isinstance(x, str) else x)):
+                    raise ValueError("an ASCII row reached Python")
+            return s
+        return only_non_ascii
+
+    for name, kind in (("_NFD", StringType()), ("_NFKC", StringType()), ("_NFD_ARRAY", ArrayType(StringType())),
+                       ("_NFKC_ARRAY", ArrayType(StringType()))):
+        monkeypatch.setattr(X, name, strict(kind))
+    rows = [("plain", ["a", "b"]), ("é", ["a", "é"]), (None, None), ("", [])]
+    df = spark.createDataFrame(rows, "s string, a array<string>")
+    got = df.select(X.nfd("s"), X.nfkc("s"), X.nfd_all("a"), X.nfkc_all("a")).collect()
+    assert [tuple(r) for r in got] == [(s, s, a, a) for s, a in rows]
+
+
+@pytest.mark.parametrize("raw,expected", [("ﬁ", "fi"), ("Ｔｏｋｙｏ", "Tokyo"), ("①", "1"), ("㎏", "kg"), ("e\u0301", "é")])
+def test_nfkc_compatibility_characters(spark, raw, expected):
+    assert _one(spark, X.nfkc("s"), s=raw) == expected
+
+
 def test_corpus_answer_search_with_hot_token(spark):
     from quarry.operators.matching import answer_occurrences, empty_answers
     texts = [f"the common word {'alpha' if i % 3 == 0 else 'beta'} item{i}" for i in range(60)]
