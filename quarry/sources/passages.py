@@ -12,9 +12,9 @@ from quarry.sources.files import read_passage_tsv
 def last_wins(df: DataFrame, key: str = "id", order=("file_no", "src_file", "line_no")) -> DataFrame:
     """Keyed upsert, the row latest in input order wins.
 
-    A max over a struct(order..., row) per key: a partial/final hash aggregate,
-    so even a key repeated on a third of all rows is pre-reduced map-side
-    instead of being sorted in one task."""
+    A max over a struct(order..., row) per key, partial then final, so even a key
+    repeated on a third of all rows is reduced before the shuffle. With strings
+    in the row both steps are sort aggregates."""
     cols = [c for c in df.columns if c != key]
     best = F.max(F.struct(*[F.col(o) for o in order], *[F.col(c).alias(f"_v_{c}") for c in cols])).alias("_b")
     agg = df.groupBy(key).agg(best)
