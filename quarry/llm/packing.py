@@ -3,14 +3,16 @@
 A document's ids and an end id form one item, or several pieces if it is longer
 than a sequence. The pieces' lengths are dealt round-robin into blocks of about
 `BLOCK_PIECES` (`BLOCK_TOKENS` where ids are carried), and each block is packed
-by one task: best fit by decreasing length gives a start, then local search
+by one task; best fit by decreasing length gives a start, then local search
 works on the bins that are not full. It takes the emptiest bin and gives its
-documents away: a move into a bin with room, else the exchange of one document
-for a smaller one, two for one, or one for two, each of which raises the squared
-fill, until the bin is empty and goes. It stops at the block's lower bound
-(tokens / capacity) or when no bin can be emptied any more. Blocks are dealt by
-row, never by key, so no document id or length can load one task; as blocks
-are packed apart, each may cost one underfull sequence.
+documents away: one or two for none, one or two smaller ones of a bin at least as
+full, each of which raises the squared fill, until the bin is empty and goes.
+Open bins are indexed by their room under every such sum, so all of them are
+asked. It stops at the block's lower bound (tokens / capacity) or when no bin
+has an improving exchange any more. Blocks are dealt by row, never by key, so no
+document id or length can load one task. The underfull bins of all blocks are
+then dealt anew, as whole bins, and searched again in further rounds, until one
+block holds them or a round saves no bin.
 
 Tokens: white space separates what the tokenizer merges, so the ids of a text
 are the ids of its white-space separated parts in order, and each distinct part
@@ -25,7 +27,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,6 @@ BLOCK_PIECES = 32768
 BLOCK_TOKENS = 4_000_000
 #: Distinct parts that a worker remembers (some 200 bytes each).
 _REMEMBERED = 400_000
-#: Donor bins that may fail in a row, and receivers tried for one document, before a block's search ends.
-_FAILURES, _RECEIVERS = 64, 48
 
 _tokenizers: dict = {}
 _known: dict[str, dict[bytes, bytes]] = {}
@@ -124,79 +126,124 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(give: list[int], take: list[int], room: int, lengths: list[int]) -> tuple[list[int], list[int]] | None:
-    """Documents of the donor for documents of a receiver that fill most of its room: one for one, two for one, one for two."""
-    best, gain = None, 0
-    for a in take:
-        for x, b in enumerate(give):
-            if gain < (d := lengths[b] - lengths[a]) <= room:
-                best, gain = ([b], [a]), d
-            for c in give[x + 1:]:
-                if gain < (d := lengths[b] + lengths[c] - lengths[a]) <= room:
-                    best, gain = ([b, c], [a]), d
-        if gain == room:
-            return best
-    for x, a in enumerate(take):
-        for a2 in take[x + 1:]:
-            for b in give:
-                if gain < (d := lengths[b] - lengths[a] - lengths[a2]) <= room:
-                    best, gain = ([b], [a, a2]), d
-    return best
+def _sums(members: list[int], lengths: list[int]) -> np.ndarray:
+    """The sums of none, one and two documents of a bin, each once."""
+    found, counts = np.unique([lengths[i] for i in members], return_counts=True)
+    pairs = (found[:, None] + found)[np.triu_indices(len(found), 1)]
+    return np.unique(np.concatenate([[0], found, pairs, 2 * found[counts > 1]]))
+
+
+def _members(total: int, members: list[int], lengths: list[int]) -> list[int]:
+    """None, one or two documents of a bin whose lengths add up to `total`, one of its `_sums`."""
+    if not total:
+        return []
+    seen: dict[int, int] = {}
+    pair: list[int] = []
+    for i in members:
+        n = lengths[i]
+        if n == total:
+            return [i]
+        if not pair and total - n in seen:
+            pair = [seen[total - n], i]
+        seen.setdefault(n, i)
+    return pair
+
+
+class _Rooms:
+    """Bins by room, per sum that a bin can give back for what it takes."""
+
+    def __init__(self, capacity: int, bins: int) -> None:
+        self.bins = bins
+        self.by_sum: dict[int, list[int]] = {}  # room * bins + bin, ascending
+        self.reach = np.full(capacity + 1, -1, np.int64)  # the largest sum that some bin takes for this one
+
+    def _set_reach(self, total: int, keys: list[int]) -> None:
+        self.reach[total] = total + keys[-1] // self.bins if keys else -1
+
+    def add(self, at: int, room: int, sums: np.ndarray) -> None:
+        for total in sums.tolist():
+            insort(keys := self.by_sum.setdefault(total, []), room * self.bins + at)
+            self._set_reach(total, keys)
+
+    def remove(self, at: int, room: int, sums: np.ndarray) -> None:
+        for total in sums.tolist():
+            keys = self.by_sum[total]
+            del keys[bisect_left(keys, room * self.bins + at)]
+            self._set_reach(total, keys)
+
+    def best(self, sums: np.ndarray) -> tuple[int, int, int] | None:
+        """The largest net gift: the sum given, the sum taken back, and the bin whose room is the closest."""
+        back = np.searchsorted(np.maximum.accumulate(self.reach), sums)
+        gift = sums - back
+        n = int(np.argmax(gift))
+        if gift[n] <= 0:
+            return None
+        keys = self.by_sum[int(back[n])]
+        return int(sums[n]), int(back[n]), keys[bisect_left(keys, int(gift[n]) * self.bins)] % self.bins
 
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search over the bins that are not full; never returns more bins than it was given."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    bound = -(-sum(fill) // capacity)
-    full = [b for b, n in zip(bins, fill, strict=True) if n == capacity]
-    open_ = [[n, b] for b, n in zip(bins, fill, strict=True) if n < capacity]
-    failures = 0
-    while len(full) + len(open_) > bound and len(open_) > 1 and failures < _FAILURES:
-        open_.sort(key=lambda x: x[0])
-        # After a failure the next emptiest bin gives.
-        if failures >= len(open_) - 1:
-            break
-        donor = open_.pop(failures)
-        before = donor[0]
-        changed = True
-        while donor[1] and changed:
-            changed = False
-            donor[1].sort(key=lambda i: -lengths[i])
-            for i in donor[1]:  # a move: the bin whose room is the closest
-                fits = [o for o in open_ if capacity - o[0] >= lengths[i]]
-                if fits:
-                    to = max(fits, key=lambda o: o[0])
-                    to[0] += lengths[i]
-                    to[1].append(i)
-                    donor[0] -= lengths[i]
-                    donor[1].remove(i)
-                    changed = True
-                    break
-            if changed:
+    bins = [list(b) for b in bins]
+    room = [capacity - sum(lengths[i] for i in b) for b in bins]
+    left, bound = len(bins), -(-sum(capacity - r for r in room) // capacity)
+    sums = {x: _sums(b, lengths) for x, b in enumerate(bins) if room[x]}
+    changed = True
+    while changed and left > bound:
+        changed = False
+        rooms = _Rooms(capacity, len(bins))
+        for x in sums:
+            rooms.add(x, room[x], sums[x])
+        donors = [(-room[x], x) for x in sums]
+        heapify(donors)
+        # Only bins at least as full as the donor take: so each exchange raises the squared fill, and the search ends.
+        level, settled = None, []
+        failed: set[tuple[int, ...]] = set()  # lengths of donors that found nothing since the last exchange
+        while donors and left > bound:
+            at = heappop(donors)
+            donor = at[1]
+            if donor not in sums or at[0] != -room[donor]:
                 continue
-            # Only bins at least as full as the donor take: so each exchange raises the squared fill.
-            for to in sorted((o for o in open_ if capacity > o[0] >= donor[0]), key=lambda o: o[0])[:_RECEIVERS]:
-                swap = _exchange(donor[1][:_RECEIVERS], to[1][:_RECEIVERS], capacity - to[0], lengths)
-                if swap:
-                    there, back = swap
-                    moved = sum(lengths[i] for i in there) - sum(lengths[i] for i in back)
-                    donor[1] = [i for i in donor[1] if i not in there] + back
-                    to[1] = [i for i in to[1] if i not in back] + there
-                    donor[0] -= moved
-                    to[0] += moved
-                    changed = True
-                    break
-        full += [o[1] for o in open_ if o[0] == capacity]
-        open_ = [o for o in open_ if o[0] < capacity]
-        if donor[1]:
-            open_.append(donor)
-            failures = 0 if donor[0] < before and failures else failures + 1
-        else:
-            failures = 0
-    return full + [o[1] for o in open_]
-
-
-def _pack_block(capacity: int):
+            if at[0] != level:
+                for x in settled:
+                    if x in sums and room[x] == -level:
+                        rooms.remove(x, room[x], sums[x])
+                level, settled = at[0], []
+            mark = tuple(sorted(lengths[i] for i in bins[donor]))
+            if mark in failed:
+                settled.append(donor)
+                continue
+            rooms.remove(donor, room[donor], sums[donor])
+            gave = False
+            while bins[donor] and (found := rooms.best(sums[donor])):
+                given, back, to = found
+                there, here = _members(given, bins[donor], lengths), _members(back, bins[to], lengths)
+                rooms.remove(to, room[to], sums[to])
+                bins[donor] = [i for i in bins[donor] if i not in there] + here
+                bins[to] = [i for i in bins[to] if i not in here] + there
+                room[donor] += given - back
+                room[to] -= given - back
+                if room[to]:
+                    sums[to] = _sums(bins[to], lengths)
+                    rooms.add(to, room[to], sums[to])
+                    heappush(donors, (-room[to], to))
+                else:
+                    del sums[to]
+                sums[donor] = _sums(bins[donor], lengths)
+                gave = changed = True
+            if gave:
+                failed.clear()
+                if not bins[donor]:
+                    del sums[donor]
+                    left -= 1
+            else:
+                failed.add(mark)
+                rooms.add(donor, room[donor], sums[donor])
+                settled.append(donor)
+    return [b for b in bins if b]
+
+
+def _pack_block(capacity: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
@@ -204,15 +251,24 @@ def _pack_block(capacity: int):
         rows = pa.Table.from_batches(batches)
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = rows.column("length").to_pylist()
-        packed = improve(best_fit(lengths, capacity), lengths, capacity)
-        sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-        base = TaskContext.get().partitionId() << 32
+        start = best_fit(lengths, capacity)
+        if "sequence_id" in rows.column_names:  # bins of an earlier round, unless fewer do
+            bins: dict[int, list[int]] = {}
+            for i, n in enumerate(rows.column("sequence_id").to_pylist()):
+                bins.setdefault(n, []).append(i)
+            start = min(list(bins.values()), start, key=len)
+            rows = rows.drop_columns(["sequence_id", "offset", "sequence_length"])
+        packed = improve(start, lengths, capacity)
+        sequence, offset, filled = (np.empty(len(lengths), np.int64) for _ in range(3))
+        base = (turn << 54) + (TaskContext.get().partitionId() << 32)
         for n, members in enumerate(packed):
             at = 0
             for i in members:
                 sequence[i], offset[i] = base + n, at
                 at += lengths[i]
+            filled[members] = at
         rows = rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        rows = rows.append_column("sequence_length", pa.array(filled))
         yield from rows.combine_chunks().to_batches(max_chunksize=8192)
 
     return run
@@ -221,10 +277,32 @@ def _pack_block(capacity: int):
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`items` (from `pieces`, written to the shared folder here) with sequence_id and offset."""
     items = materialise(items, "pack-pieces")
-    n, tokens = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK_PIECES), -(-tokens // BLOCK_TOKENS) if "ids" in items.columns else 1)
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
-    return items.repartition(blocks).mapInArrow(_pack_block(capacity), columns + ", sequence_id long, offset long")
+    size = F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))
+    n, tokens = items.agg(*size).first()
+
+    def blocks(n: int, tokens: int) -> int:
+        return max(1, -(-n // BLOCK_PIECES), -(-tokens // BLOCK_TOKENS) if "ids" in items.columns else 1)
+
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, sequence_length long"
+    parts, turn = blocks(n, tokens), 0
+    packed = items.repartition(parts).mapInArrow(_pack_block(capacity, turn), columns)
+    done, given, starts = [], None, F.count_if(F.col("offset") == 0)
+    while parts > 1:
+        # Underfull bins of all blocks meet again, whole, until a round saves none.
+        made = materialise(packed, f"pack-{turn}")
+        done.append(made.where(F.col("sequence_length") == capacity))
+        packed = made.where(F.col("sequence_length") < capacity)
+        if made.agg(starts).first()[0] == given:
+            break
+        n, tokens, given = packed.agg(*size, starts).first()
+        if given <= -(-tokens // capacity):
+            break
+        turn += 1
+        parts = blocks(n, tokens)
+        packed = packed.repartition(parts, F.xxhash64("sequence_id", F.lit(turn))).mapInArrow(_pack_block(capacity, turn), columns)
+    for part in done:
+        packed = packed.unionByName(part)
+    return packed.drop("sequence_length")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

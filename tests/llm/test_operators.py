@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import math
 import re
 import zlib
@@ -224,3 +225,40 @@ def test_attribution_conserves_tokens(spark, rule):
         assert sum(r["n_tokens"] for r in own) == len(offsets)
         if rule == "first":
             assert [r["n_tokens"] for r in own] == [sum(r["start"] <= a < r["start"] + r["n_chars"] for a, _ in offsets) for r in own]
+
+
+def test_search_asks_every_open_bin():
+    lengths = [1400] * 200 + [2696, 200] * 50
+    bins = [[2 * x, 2 * x + 1] for x in range(150)]
+    got = packing.improve(bins, lengths, 4096)
+    assert sorted(i for b in got for i in b) == list(range(300))
+    assert max(sum(lengths[i] for i in b) for b in got) <= 4096
+    assert len(got) <= 130
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=80))
+def test_search_ends_where_no_gift_improves(lengths):
+    lengths.sort(reverse=True)
+    got = packing.improve(packing.best_fit(lengths, 30), lengths, 30)
+    assert sorted(i for b in got for i in b) == list(range(len(lengths)))
+    fill = [sum(lengths[i] for i in b) for b in got]
+    assert max(fill, default=0) <= 30
+    if len(got) > -(-sum(fill) // 30):
+        few = [[c for k in range(3) for c in itertools.combinations([lengths[i] for i in b], k)] for b in got]
+        assert not [1 for x in range(len(got)) for y in range(len(got)) if x != y and fill[x] <= fill[y]
+                    for a in few[x] for c in few[y] if 0 < sum(a) - sum(c) <= 30 - fill[y]]
+
+
+def test_underfull_bins_of_all_blocks_are_packed_again(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 7)
+    items = spark.createDataFrame([(i, 0, 0, 2, i) for i in range(40)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(items, 10).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(40))
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(b)]).tolist()]
+        assert [a for a, _ in sorted(b)] == ends[:-1] and ends[-1] <= 10
+    assert len(bins) == 8
