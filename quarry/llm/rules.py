@@ -38,7 +38,7 @@ WINDOW = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_LABELLED = 100_000
 PRECISION = 0.9
-MAX_RULES, MAX_CONDITIONS, CUTS = 12, 4, 64
+MAX_RULES, MAX_CONDITIONS = 12, 4
 #: Least number of rejected growing rows that a rule covers.
 MIN_COVER = 3
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -135,8 +135,6 @@ def _grow(rows: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
             order = np.argsort(v, kind="stable")
             v, b = v[order], b[order]
             cuts = np.flatnonzero(v[1:] > v[:-1]) + 1
-            if len(cuts) > CUTS:  # only where the class changes can a cut be best
-                cuts = cuts[(b[cuts] != b[cuts - 1]) | (v[np.minimum(cuts + 1, len(v) - 1)] == v[cuts])]
             if not len(cuts):
                 continue
             below_p = np.concatenate([[0], np.cumsum(b)])[cuts]

@@ -262,3 +262,11 @@ def test_underfull_bins_of_all_blocks_are_packed_again(spark, monkeypatch):
         ends = [0, *np.cumsum([n for _, n in sorted(b)]).tolist()]
         assert [a for a, _ in sorted(b)] == ends[:-1] and ends[-1] <= 10
     assert len(bins) == 8
+
+
+def test_cut_beside_a_mixed_tied_group():
+    values = np.concatenate([np.zeros(900), np.arange(1, 101)])
+    bad = values > 0
+    bad[810:900] = True  # the last zero row is a rejected one
+    rule = rules._grow({"a": values}, bad)
+    assert (rules._covered(rule, {"a": values}, 1000) == (values > 0)).all()
