@@ -234,14 +234,19 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text",
-                    run_limit: int = RUN_LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id that links reach from each document, itself included."""
+def _rooted(docs: DataFrame, shingle: int, max_distance: int, id_col: str, text_col: str, run_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, first_id, root) of each fingerprint with its component's root."""
     marked = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash-fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(nodes.select("fp"), max_distance, run_limit))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "simhash-roots")
+    return marked, materialise(rooted, "simhash-roots")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                    run_limit: int = RUN_LIMIT) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest id that links reach from each document, itself included."""
+    marked, rooted = _rooted(docs, shingle, max_distance, id_col, text_col, run_limit)
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(smallest, "root").select("fp", "component_id")
     # A fingerprint that a third of all rows share is a skewed key of a plain join, which adaptive execution splits.
@@ -249,8 +254,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose component has a smaller id; of rows with that id too, one stays. Rows without id stay."""
-    found = near_duplicates(docs, shingle, max_distance, id_col, text_col)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    with_id = docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
-    return with_id.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """`docs` with one row of each component: that of the smallest id, of several with that id that of the smallest fingerprint.
+
+    A null id comes after all others. Rows with the same id and fingerprint are
+    told apart by a number that each row is given here.
+    """
+    fields = docs.columns
+    whole = docs.select(F.struct(*[docs[c] for c in fields]).alias("doc"), F.monotonically_increasing_id().alias("row_key"))
+    whole = materialise(whole, "simhash-rows")  # the numbers must not change between the two readings
+    keyed = whole.select(F.struct(F.col("doc")[id_col].alias("id"), "row_key").alias("key"), F.col("doc")[text_col].alias("text"))
+    marked, rooted = _rooted(keyed, shingle, max_distance, "key", "text", RUN_LIMIT)
+    # Least first, with maps' partial sums: per fingerprint, then per root.
+    rank = F.struct(F.col("doc_id.id").isNull().alias("no_id"), F.col("doc_id.id").alias("id"), "fp", F.col("doc_id.row_key").alias("row_key"))
+    of_fp = marked.groupBy("fp").agg(F.min(rank).alias("least"))
+    kept = of_fp.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row_key").alias("kept_key"))
+    return whole.join(kept, whole["row_key"] == kept["kept_key"], "left_semi").select("doc.*")

@@ -270,3 +270,10 @@ def test_cut_beside_a_mixed_tied_group():
     bad[810:900] = True  # the last zero row is a rejected one
     rule = rules._grow({"a": values}, bad)
     assert (rules._covered(rule, {"a": values}, 1000) == (values > 0)).all()
+
+
+def test_one_row_stays_of_each_component(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(3, a), (7, a), (7, b), (7, b), (None, a), (None, c), (None, c), (9, None), (None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(3, a), (7, b), (9, None), (None, c)]))
