@@ -11,13 +11,13 @@ labelled pages (`labelled_pages`: generated from a grammar of page layouts,
 
 The text of a page is that of its main blocks in page order, each with its white
 space as single spaces and trimmed, joined by line feeds; nothing else is cut.
-Scripts, styles, the head, comments in markup and options of forms give no
-blocks. Character references are decoded once.
+Scripts, styles, the head, comments in markup, options of forms and the
+annotations of formulas give no blocks. Character references are decoded once.
 
 Defined cases: a null or empty page, or one without main blocks, has the empty
 text; text outside all elements is a block without ancestors; unclosed elements
 end with their parent, or with the next element of their kind where HTML says
-so; repeated rows are extracted each; an empty table gives no rows. Other
+so, a head with the first thing it can't hold; repeated rows are extracted each; an empty table gives no rows. Other
 columns are not looked at.
 """
 
@@ -39,9 +39,13 @@ TRAINING_PAGES, EPOCHS, RATE, DECAY = 400, 12, 0.3, 1e-4
 
 # Element kinds of HTML, by name.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = set("head script style noscript template svg math iframe object select datalist textarea title".split())
-_INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img"
-              .split())
+_SILENT = set("head script style noscript template svg iframe object select datalist textarea title annotation annotation-xml".split())
+#: What may stand in a head; anything else ends it.
+_HEAD = set("html head base basefont bgsound link meta title style script noscript template noframes".split())
+_INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img "
+              # Formulas stand in the line, apart from their annotations, which are not shown.
+              "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
+              "mmultiscripts mprescripts none mtable mtr mtd semantics annotation annotation-xml maction menclose mfenced".split())
 #: Elements that a start of the same group closes.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _IN_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul"
@@ -103,8 +107,15 @@ class _Reader(HTMLParser):
             self.silent -= e.tag in _SILENT
         del self.stack[depth:]
 
+    def _end_head(self) -> None:
+        """A head without an end tag ends before what it can't hold."""
+        if self.stack and self.stack[-1].tag == "head":
+            self._pop_to(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "body":  # an unclosed head ends here
+        if tag not in _HEAD:
+            self._end_head()
+        if tag == "body":  # a head with an unclosed element ends here
             self._pop_to(next((i for i, e in enumerate(self.stack) if e.tag == "head"), len(self.stack)))
         closes = _CLOSES.get(tag, set()) | ({"p"} if tag in _IN_P else set())
         if closes:
@@ -137,6 +148,8 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not self.silent:
             self.parts.append(data)
             if self.links:

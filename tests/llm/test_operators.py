@@ -277,3 +277,16 @@ def test_one_row_stays_of_each_component(spark):
     rows = [(3, a), (7, a), (7, b), (7, b), (None, a), (None, c), (None, c), (9, None), (None, None)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(3, a), (7, b), (9, None), (None, c)]))
+
+
+def test_formulas_and_open_heads():
+    model = html_main.default_field()
+    long = "This sentence of the article is long enough to be its text, and it ends as sentences do."
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1 in TeX</annotation></semantics></math>"
+    body = f"<article><h1>A title</h1><p>{long}</p><p>{long} Here {formula} holds.</p><p>{long}</p></article>"
+    expected = f"A title\n{long}\n{long} Here x=1 holds.\n{long}"
+    for page in (f"<html><head><title>t</title></head><body>{body}</body></html>", f"<head><title>t</title>{body}",
+                 f"<html><head><noscript><p>{long}</p></noscript><title>t</title>{body}"):
+        assert html_main.extract(page, model) == expected
+    blocks = html_main.leaf_blocks(f"<head><title>t</title> {long}")
+    assert [x.text for x in blocks] == [long]
