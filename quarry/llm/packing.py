@@ -14,9 +14,8 @@ document id or length can load one task. The underfull bins of all blocks are
 then dealt anew, as whole bins, and searched again in further rounds, until one
 block holds them or a round saves no bin.
 
-Tokens: white space separates what the tokenizer merges, so the ids of a text
-are the ids of its white-space separated parts in order, and each distinct part
-is encoded once per worker (in a dictionary that is emptied when it is full).
+Tokens come from `encoding`: each distinct white-space separated part is encoded
+once per worker while the worker remembers it.
 
 Defined cases: a null or empty text is the end id alone; a null id is an id
 like any other; repeated rows are documents of their own; an empty table
@@ -25,7 +24,6 @@ gives no rows. Other columns are not looked at.
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,62 +36,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialise
+from quarry.llm.encoding import encoder, slices, with_end
 
 CAPACITY = 4096
 END_ID = 1
 BLOCK_PIECES = 32768
 BLOCK_TOKENS = 4_000_000
-#: Distinct parts that a worker remembers (some 200 bytes each).
-_REMEMBERED = 400_000
-
-_tokenizers: dict = {}
-_known: dict[str, dict[bytes, bytes]] = {}
-
-
-def _encoder(path: str):
-    """A function from UTF-8 texts to their ids as little-endian 32-bit bytes."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _known[path] = {}
-    tokenizer, known = _tokenizers[path], _known[path]
-
-    def encode(text: bytes) -> bytes:
-        parts = text.split()
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > _REMEMBERED:
-                known.clear()
-                new = list(set(parts))
-            # A document's own parts stay until it is done, however many they are.
-            for part, got in zip(new, tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-                known[part] = np.array(got.ids, dtype="<u4").tobytes()
-        return b"".join([known[p] for p in parts])
-
-    return encode
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id",
            text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the items to pack; `ids` are little-endian 32-bit bytes."""
-    step, end = 4 * capacity, np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for batch in batches:
-            rows, cut = [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
-                ids = encode(text.as_py() or b"") + end
-                for p, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at:at + step]
-                    rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part)))
-                    if with_ids:
-                        cut.append(part)
-            if rows:
-                i, p, start, length, crc = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
-                columns = [batch.column(0).take(pa.array(i)), pa.array(p.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+            for first, texts in slices(batch.column(1)):
+                ids, sizes = with_end(*encode.encode(texts), end_id)
+                counts = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), counts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[row] - start)
+                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(length) * 4
+                cut = [raw[b - 4 * n:b] for b, n in zip(ends.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(first + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+                           pa.array([zlib.crc32(c) for c in cut], pa.int64())]
                 yield pa.record_batch(columns + ([pa.array(cut, pa.binary())] if with_ids else []), names=names)
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
