@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import attribution, chat, chunks, html_main, lm, mixing, packing, rules, sharding, simhash
+from quarry.llm import attribution, chat, chunks, html_main, lm, manifest, mixing, packing, repair, rules, sharding, simhash
 from quarry.llm.common import table, tokenizer
 
 
@@ -62,6 +62,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mix_sources": op2_mix_sources,
@@ -73,8 +81,61 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_pack": op9_pack,
     "op10_lm_scores": op10_lm_scores,
+    "op12_manifest": op12_manifest,
+    "op13_repair": op13_repair,
 }
 
+def _manifest_sql(levels: int = 10, group_levels: int = 5) -> str:
+    """The manifest level by level; enough levels for 8 ** 10 rows a language and 8 ** 5 languages."""
+    def coded(value: str) -> str:
+        return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(coded(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def beside(level: str) -> str:
+        run = "OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+        return (f"SELECT g, i, count(*) OVER (PARTITION BY g) AS n, h, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre, "
+                f"coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM {level}")
+
+    def climb(name: str, count: int) -> list[str]:
+        found = []
+        for k in range(count):
+            found.append(f"{name}{k}s AS ({beside(f'{name}{k}')})")
+            found.append(f"{name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h "
+                         f"FROM {name}{k}s GROUP BY g, i // 8)")
+        return found
+
+    def walk(source: str, name: str, count: int, rank: str, group: str) -> list[str]:
+        """Each row's tampered digest folded with what is beside it, and the proof so far."""
+        found = []
+        for k in range(count):
+            before = source if k == 0 else f"{name}{k - 1}w"
+            found.append(f"{name}{k}w AS (SELECT w.* EXCLUDE (f, proof), CASE WHEN s.n > 1 THEN sha256(s.pre || w.f || s.post) ELSE w.f END AS f, "
+                         f"w.proof || CASE WHEN s.n > 1 THEN s.pre || s.post ELSE '' END AS proof FROM {before} w "
+                         f"JOIN {name}{k}s s ON s.g IS NOT DISTINCT FROM w.{group} AND s.i = w.{rank} // {8 ** k})")
+        return found
+
+    crc = ("xor(list_reduce(flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda p: "
+           "[256 + ascii(substr(CAST(doc_id AS VARCHAR), CAST(p AS INT), 1)), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[])), "
+           "lambda x, e: CASE WHEN e >= 256 THEN xor(x, e - 256) ELSE xor(x >> 1, 3988292384 * (x & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT)")
+    lowered = f"CASE WHEN {crc} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    steps = [
+        f"leaves AS (SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf('t')} AS seen FROM (SELECT *, {lowered} AS t FROM documents))",
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM leaves)",
+        "a0 AS (SELECT lang AS g, rank AS i, leaf AS h FROM ranked)",
+        *climb("a", levels),
+        f"langs AS (SELECT g AS lang, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS lang_rank, 0 AS one FROM a{levels})",
+        "b0 AS (SELECT one AS g, lang_rank AS i, h FROM langs)",
+        *climb("b", group_levels),
+        "start AS (SELECT r.*, l.lang_rank, l.one, l.h AS subroot, r.seen AS f, '' AS proof FROM ranked r JOIN langs l ON l.lang IS NOT DISTINCT FROM r.lang)",
+        *walk("start", "a", levels, "rank", "lang"),
+        *walk(f"a{levels - 1}w", "b", group_levels, "lang_rank", "one"),
+    ]
+    return ("WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.h AS verified "
+            f"FROM b{group_levels - 1}w CROSS JOIN b{group_levels} t")
+
+
 #: The words that the mix takes depend on a document's place on its source's line and the quota alone,
 #: not on the splitting tree's draws. The other operators learn, fingerprint, tokenise, or need a CRC-32.
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +165,5 @@ ORACLE_SQL: dict[str, str] = {
                CAST(greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)) AS BIGINT) AS taken
         FROM line
     """,
+    "op12_manifest": _manifest_sql(),
 }
