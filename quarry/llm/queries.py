@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import attribution, chat, chunks, html_main, lm, manifest, mixing, packing, repair, rules, sharding, simhash
+from quarry.llm import attribution, chat, chunks, html_main, lm, manifest, mixing, packing, repair, rules, sharding, simhash, token_files
 from quarry.llm.common import table, tokenizer
 
 
@@ -62,6 +62,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify_documents(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_pack": op9_pack,
     "op10_lm_scores": op10_lm_scores,
+    "op11_token_files": op11_token_files,
     "op12_manifest": op12_manifest,
     "op13_repair": op13_repair,
 }
