@@ -1,45 +1,41 @@
 """Exhaustive k-nearest-neighbour joins: inner product (dense) and Hamming (binary).
 
-Physical plan, the same for both kinds::
-
-    question block (size-checked, broadcast once)
-        |
-    vector table scan --mapInArrow--> per-task partial top-k  (numpy, exact ties)
-        |
-    Exchange hashpartitioning(qid)    <- volume: tasks x questions x k rows
-        |
-    Window row_number() per qid <= k  (WindowGroupLimit partial+final)
-
-The question x passage score matrix is never materialised as rows: each task
-multiplies its Arrow batches against the broadcast question matrix and keeps
-a running top-k per question. Ties are broken exactly as the SQL form does
-(primary key, then passage id ascending), so the two-stage result equals
-``row_number() over (partition by qid order by ...)`` on the full cross product.
-
-The question side is bounded by ``block_bytes`` and by the per-task top-k state
-(questions x k within STATE_BYTES); larger question tables are cut into hash
-blocks processed one after the other (one vector scan per block), like any
-batched exhaustive search. The vector scan runs as KERNEL_TASKS_PER_CORE tasks
-per core (narrow coalesce of a many-split input), so the shuffle volume is
-cores x questions x k, independent of the size of the vector table.
+Questions are dealt into blocks, vectors into slabs, and every (block, slab) pair
+is a tile that one task works on::
+
+    questions --one row per slab--+
+                                  +-- Exchange(tile) -- Sort(tile, side) -- mapInArrow kernel
+    vectors ---one row per block--+                                             |
+                                                              partial top-k per tile and question
+                                                                                |
+                                         Exchange(qid) -- Window row_number() <= k -- rerank
+
+A tile's questions come first in the sorted stream and are held as one matrix; its
+vectors then stream past it in Arrow batches, so a slab may have any size. The number
+of blocks is the question count over the rows that a task may hold (a scalar
+subquery of the same plan, so nothing runs when the plan is built and nothing comes
+to the driver), and slabs are added until there are as many tiles as
+shuffle partitions. The question side is thus written about (partitions x rows of
+a block) times at most, and the vectors once per block. The scores of a tile never
+become rows: the merging shuffle carries tiles x questions of a block x k rows.
+
+Ties are broken as the SQL form does (primary key, then passage id ascending), so the
+result equals ``row_number() over (partition by qid order by ...)`` on the cross product.
+A null vector is no question and no passage. A pair whose inner product is NaN is never
+a hit; in a rerank NaN scores come last. Both hold for every batch size and tiling.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD_BITS = 32
-DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024
-# Per-task running top-k state: questions x k candidates x ~40 bytes.
-STATE_BYTES = 256 * 1024 * 1024
-# Kernel tasks per core: the partial top-k shuffle carries tasks x questions x k rows,
-# so the vector scan runs as a few large tasks per core rather than one per split.
-KERNEL_TASKS_PER_CORE = 2
+# What a task holds of a question block: its rows x (vector bytes + k running candidates of ~40 bytes).
+BLOCK_BYTES = 256 * 1024 * 1024
+BLOCK_ROWS = 4096
 # Cap on score-matrix cells materialised at once inside a task (float64 cells),
 # assuming Arrow batches of up to _BATCH_ROWS rows (Spark's default batch size).
 _CELL_BUDGET = 1 << 22
@@ -85,8 +81,8 @@ def list_column_matrix(col: pa.Array, width: int | None, dtype) -> np.ndarray:
 
 
 def valid_rows(ids: pa.Array, col: pa.Array):
-    """Drop rows whose vector is null (done in the kernel: a Spark-side filter on a
-    derived vector would be pushed below the repartition and recompute the encoder)."""
+    """Rows whose vector is not null (sorted out in the kernel: a Spark-side filter on a
+    derived vector would be pushed below the shuffle and run the encoder twice)."""
     if col.null_count == 0:
         return ids, col
     mask = col.is_valid()
@@ -107,257 +103,225 @@ def select_topk(rows: np.ndarray, keys: list[np.ndarray], k: int) -> np.ndarray:
 
 
 def candidate_cells(primary: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, col) of all cells whose primary key is <= the row's k-th smallest.
+    """(row, col) of all cells whose primary key is at most the row's k-th smallest.
 
     Cells tied with the k-th value are all kept, so an exact tie-break can run
-    afterwards on a small set."""
-    m, n = primary.shape
-    if n <= k:
-        return np.nonzero(np.ones((m, n), dtype=bool))
-    kth = np.partition(primary, k - 1, axis=1)[:, k - 1]
-    return np.nonzero(primary <= kth[:, None])
+    afterwards on a small set. NaN cells are never kept."""
+    if np.issubdtype(primary.dtype, np.floating):
+        usable = ~np.isnan(primary)
+        primary = np.where(usable, primary, np.inf)
+    else:
+        usable = np.ones(primary.shape, dtype=bool)
+    if primary.shape[1] > k:
+        kth = np.partition(primary, k - 1, axis=1)[:, k - 1]
+        usable &= primary <= kth[:, None]
+    return np.nonzero(usable)
 
 
 class _Running:
-    """Running candidate set (question row, passage id, keys...) trimmed to k."""
+    """Candidates (question row, passage id, keys...) of one question sub-block, trimmed to k per question."""
 
-    def __init__(self, names: list[str]):
-        self.names = names
-        self.parts: dict[str, list[np.ndarray]] = {n: [] for n in names}
+    def __init__(self, names: list[str], key_names: list[str], k: int):
+        self.names, self.key_names, self.k = names, key_names, k
+        self.cols = {n: np.zeros(0, dtype=np.float64 if n in ("neg", "score") else np.int64) for n in names}
 
-    def add(self, **cols):
-        for n in self.names:
-            self.parts[n].append(cols[n])
+    def add(self, **cols) -> None:
+        self.cols = {n: np.concatenate([self.cols[n], cols[n]]) for n in self.names}
+        keep = select_topk(self.cols["row"], [self.cols[n] for n in self.key_names], self.k)
+        self.cols = {n: v[keep] for n, v in self.cols.items()}
 
-    def trim(self, k: int, key_names: list[str]):
-        merged = {n: np.concatenate(v) if v else np.zeros(0) for n, v in self.parts.items()}
-        keep = select_topk(merged["row"], [merged[n] for n in key_names], k)
-        for n in self.names:
-            self.parts[n] = [merged[n][keep]]
 
-    def result(self) -> dict[str, np.ndarray]:
-        return {n: (np.concatenate(v) if v else np.zeros(0)) for n, v in self.parts.items()}
+class _DenseTile:
+    """Running inner-product top-k of one tile."""
 
+    fields = (("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64()))
 
-def _merged(states: dict, names: list[str]) -> dict:
-    parts = [st.result() for _, st in sorted(states.items())]
-    return {n: (np.concatenate([p[n] for p in parts]) if parts else np.zeros(0)) for n in names}
+    def __init__(self, qids: np.ndarray, matrix: np.ndarray, k: int, dim: int | None):
+        self.qids, self.q = qids, matrix
+        self.state = {r: _Running(["row", "id", "neg"], ["neg", "id"], k) for r in range(0, len(qids), _Q_STEP)}
+        self.k = k
 
+    def batch(self, ids: np.ndarray, col: pa.Array) -> None:
+        p = list_column_matrix(col, self.q.shape[1], np.float64)
+        for r, state in self.state.items():
+            neg = -(self.q[r:r + _Q_STEP] @ p.T)
+            rows, cols = candidate_cells(neg, self.k)
+            state.add(row=rows, id=ids[cols], neg=neg[rows, cols])
+
+    def result(self):
+        for r, state in self.state.items():
+            c = state.cols
+            yield [self.qids[r + c["row"]], c["id"], -c["neg"]]
 
-def _dense_kernel(bc, k: int):
-    def run(batches):
-        qids, qmat = bc.value
-        m, dim = qmat.shape
-        names = ["row", "id", "neg", "score"]
-        # one running state per question sub-block, trimmed right after that block:
-        # memory stays within sub-block x (batch + k) candidates
-        states = {r0: _Running(names) for r0 in range(0, m, _Q_STEP)}
-        for rb in batches:
-            if rb.num_rows == 0 or m == 0:
-                continue
-            id_col, vec_col = valid_rows(rb.column(0), rb.column(1))
-            if len(id_col) == 0:
-                continue
-            ids = id_col.to_numpy(zero_copy_only=False).astype(np.int64)
-            pmat = list_column_matrix(vec_col, dim, np.float64)
-            for r0, state in states.items():
-                scores = qmat[r0:r0 + _Q_STEP] @ pmat.T
-                rows, cols = candidate_cells(-scores, k)
-                s = scores[rows, cols]
-                state.add(row=rows + r0, id=ids[cols], neg=-s, score=s)
-                state.trim(k, ["neg", "id"])
-        out = _merged(states, names)
-        rows = out["row"].astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids[rows], pa.int64()), pa.array(out["id"].astype(np.int64), pa.int64()),
-             pa.array(out["score"].astype(np.float64), pa.float64())],
-            names=["qid", "id", "score"])
-    return run
 
+class _BinaryTile:
+    """Running Hamming top-k of one tile; only candidates that survive a batch's trim are scored."""
 
-def _binary_kernel(bc, k: int, dim: int, with_score: bool):
+    fields = (("qid", pa.int64()), ("id", pa.int64()), ("distance", pa.int64()), ("score", pa.float64()))
+
+    def __init__(self, qids: np.ndarray, matrix: np.ndarray, k: int, dim: int, with_score: bool):
+        self.qids, self.dim, self.k, self.with_score = qids, dim, k, with_score
+        self.q, self.signs = matrix, sign_matrix(matrix)
+        self.state = {r: _Running(["row", "id", "distance", "score", "src"], ["distance", "id"], k)
+                      for r in range(0, len(qids), _Q_STEP)}
+
+    def batch(self, ids: np.ndarray, col: pa.Array) -> None:
+        signs = unpack_sign_matrix(list_column_matrix(col, None, np.int64), self.dim)
+        for r, state in self.state.items():
+            distance = np.rint((self.dim - self.signs[r:r + _Q_STEP] @ signs.T) / 2).astype(np.int64)
+            rows, cols = candidate_cells(distance, self.k)
+            state.add(row=rows, id=ids[cols], distance=distance[rows, cols], score=np.zeros(len(rows)), src=cols)
+            if not self.with_score:
+                continue
+            c = state.cols
+            new = np.flatnonzero(c["src"] >= 0)
+            step = max(1, _CELL_BUDGET // self.dim)
+            for at in range(0, len(new), step):
+                some = new[at:at + step]
+                c["score"][some] = np.einsum("ij,ij->i", self.q[r + c["row"][some]], signs[c["src"][some]], dtype=np.float64)
+            c["src"][:] = -1
+
+    def result(self):
+        for r, state in self.state.items():
+            c = state.cols
+            yield [self.qids[r + c["row"]], c["id"], c["distance"], c["score"]]
+
+
+def _kernel(make_tile, q_matrix, fields):
+    """A mapInArrow function over the sorted tile stream (tile, side, id, q, v)."""
     def run(batches):
-        qids, qsign, qfloat = bc.value
-        m = len(qids)
-        names = ["row", "id", "distance", "score"]
-        states = {r0: _Running(names) for r0 in range(0, m, _Q_STEP)}
+        tile = current = None
+        held: list[tuple[np.ndarray, pa.Array]] = []
+
+        def build():
+            ids = np.concatenate([i for i, _ in held]) if held else np.zeros(0, np.int64)
+            return make_tile(ids, q_matrix(pa.concat_arrays([c for _, c in held]))) if len(ids) else None
+
+        def close():
+            for cols in (tile.result() if tile is not None else ()):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)],
+                                                 names=[n for n, _ in fields])
+
         for rb in batches:
-            if rb.num_rows == 0 or m == 0:
-                continue
-            id_col, code_col = valid_rows(rb.column(0), rb.column(1))
-            if len(id_col) == 0:
+            if rb.num_rows == 0:
                 continue
-            ids = id_col.to_numpy(zero_copy_only=False).astype(np.int64)
-            words = list_column_matrix(code_col, None, np.int64)
-            psign = unpack_sign_matrix(words, dim, np.float32)
-            psign64 = psign.astype(np.float64) if with_score else None
-            for r0, state in states.items():
-                agree = qsign[r0:r0 + _Q_STEP] @ psign.T
-                dist = np.rint((dim - agree) / 2).astype(np.int64)
-                rows, cols = candidate_cells(dist, k)
-                if with_score:
-                    # one (questions x batch) product, bounded by _CELL_BUDGET, then a gather;
-                    # never a (candidates x dim) temporary
-                    sc = (qfloat[r0:r0 + _Q_STEP] @ psign64.T)[rows, cols]
-                else:
-                    sc = np.zeros(rows.size)
-                state.add(row=rows + r0, id=ids[cols], distance=dist[rows, cols], score=sc)
-                state.trim(k, ["distance", "id"])
-        out = _merged(states, names)
-        rows = out["row"].astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids[rows], pa.int64()), pa.array(out["id"].astype(np.int64), pa.int64()),
-             pa.array(out["distance"].astype(np.int64), pa.int64()),
-             pa.array(out["score"].astype(np.float64), pa.float64())],
-            names=["qid", "id", "distance", "score"])
+            key = rb.column(0).to_numpy() * 2 + rb.column(1).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                number, side = divmod(int(key[a]), 2)
+                if number != current:
+                    yield from close()
+                    tile, current, held = None, number, []
+                ids, col = valid_rows(rb.column(2).slice(a, b - a), rb.column(3 + side).slice(a, b - a))
+                if not len(ids):
+                    continue
+                ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+                if side == 0:
+                    held.append((ids, col))
+                    continue
+                if tile is None and held:
+                    tile, held = build(), []
+                if tile is not None:
+                    tile.batch(ids, col)
+        yield from close()
     return run
 
 
 # ----------------------------------------------------------------------------
-# driver-side planning
+# the plan
 # ----------------------------------------------------------------------------
 
-def _question_blocks(questions: DataFrame, q_id: str, q_col: str, row_bytes: int, block_bytes: int,
-                     sizes: list, k: int = 1):
-    """Yield (qids, vector column) blocks, each small enough to broadcast and to
-    keep a running top-k for in one task (questions x k within STATE_BYTES).
-
-    One bounded collect (limit max_rows + 1) covers the common case; only a
-    question table above the budget is counted and split into hash blocks,
-    each collected and checked separately. The total count goes to `sizes`."""
-    max_rows = max(1, min(block_bytes // row_bytes, STATE_BYTES // (40 * max(1, k))))
-    block_bytes = max_rows * row_bytes
-    proj = questions.select(F.col(q_id).cast("long").alias("qid"), F.col(q_col).alias("v"))
-    first = proj.limit(max_rows + 1).toArrow()
-    if first.num_rows <= max_rows:
-        sizes.append(first.num_rows)
-        yield _arrow_block(first)
-        return
-    n = proj.count()
-    sizes.append(n)
-    n_blocks = max(2, math.ceil(n * row_bytes / block_bytes))
-    block = F.pmod(F.xxhash64(F.col("qid")), F.lit(n_blocks))
-    for b in range(n_blocks):
-        table = proj.where(block == b).toArrow()
-        if table.num_rows * row_bytes > 2 * block_bytes:
-            raise RuntimeError("question block exceeds its broadcast budget")
-        yield _arrow_block(table)
-
-
-def _arrow_block(table):
-    qid_col, vec_col = valid_rows(table.column("qid").combine_chunks(), table.column("v").combine_chunks())
-    return qid_col.to_numpy(zero_copy_only=False).astype(np.int64), vec_col
-
-
-def _vector_side(df: DataFrame) -> DataFrame:
-    """The scanned side of the kernel, sized to the cluster rather than to the input.
-
-    Fewer splits than cores (small single-file inputs): spread round robin.
-    Many more splits than cores (a large table): merged by a narrow coalesce into
-    KERNEL_TASKS_PER_CORE tasks per core, so each task scans many vectors and the
-    partial top-k shuffle stays proportional to cores x questions x k."""
-    from quarry.session import ensure_parallelism
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > KERNEL_TASKS_PER_CORE * cores:
-        return df.coalesce(KERNEL_TASKS_PER_CORE * cores)
-    return ensure_parallelism(df)
+def _block_rows(row_bytes: int, k: int) -> int:
+    return max(1, min(BLOCK_ROWS, BLOCK_BYTES // (row_bytes + 40 * k)))
+
+
+def _tiles(questions: DataFrame, vectors: DataFrame, block_rows: int) -> DataFrame:
+    """(tile, side, id, q, v) sorted by tile and side: questions are side 0, vectors side 1.
+
+    questions: qid, q. vectors: id, v. The block and slab of a row depend on its content
+    alone, so a task that runs again deals its rows alike."""
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = questions.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int").alias("n")).scalar()
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("blocks", blocks).withColumn("slabs", F.ceil(F.lit(partitions) / F.col("blocks")).cast("int"))
+
+    q = dealt(questions).select("qid", "q", "slabs", F.pmod(F.xxhash64("qid", "q"), F.col("blocks")).cast("int").alias("block"),
+                                F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("slab"))
+    v = dealt(vectors).select("id", "v", "slabs", F.pmod(F.xxhash64("id", "v"), F.col("slabs")).cast("int").alias("slab"),
+                              F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    tile = (F.col("block") * F.col("slabs") + F.col("slab")).alias("tile")
+    both = q.select(tile, F.lit(0).alias("side"), F.col("qid").alias("id"), "q", F.lit(None).cast(v.schema["v"].dataType).alias("v")).unionByName(
+        v.select(tile, F.lit(1).alias("side"), "id", F.lit(None).cast(q.schema["q"].dataType).alias("q"), "v"))
+    return both.repartitionById(partitions, F.col("tile") % partitions).sortWithinPartitions("tile", "side")
+
+
+def _top(partial: DataFrame, order: list, k: int, rank: str) -> DataFrame:
+    window = Window.partitionBy("qid").orderBy(*order)
+    return partial.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
 def dense_knn(questions: DataFrame, vectors: DataFrame, k: int, *, q_id: str = "qid",
               q_vec: str = "embedding", p_id: str = "id", p_vec: str = "embedding",
-              dim: int | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+              dim: int | None = None, block_rows: int | None = None) -> DataFrame:
     """Top-k passages per question by inner product (score desc, id asc).
 
-    Returns (qid, id, score, rank) with rank 1..k."""
+    Returns (qid, id, score, rank) with rank 1..k. ``block_rows`` bounds the questions
+    that a task holds (default: by ``BLOCK_BYTES``)."""
     if k <= 0:
         raise ValueError("k must be positive")
-    spark = vectors.sparkSession
-    row_bytes = 8 * (dim or 1024) + 16
-    passages = vectors.select(F.col(p_id).cast("long").alias("id"), F.col(p_vec).alias("v"))
-    parts, sizes = [], []
-    passages = _vector_side(passages)
-    for qids, col in _question_blocks(questions, q_id, q_vec, row_bytes, block_bytes, sizes, k):
-        qmat = list_column_matrix(col, dim, np.float64)
-        bc = spark.sparkContext.broadcast((qids, qmat))
-        parts.append(passages.mapInArrow(_dense_kernel(bc, k), "qid long, id long, score double"))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id").asc())
-    out = (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-           .withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id))
-    return with_row_bound(out, sizes[0] * k)
-
-
-def _binary_partial(questions, codes, k, dim, q_id, q_col, q_kind, p_id, p_code, block_bytes,
-                    with_score, sizes):
-    spark = codes.sparkSession
-    row_bytes = 12 * dim + 16
-    passages = codes.select(F.col(p_id).cast("long").alias("id"), F.col(p_code).alias("c"))
-    parts = []
-    passages = _vector_side(passages)
-    for qids, col in _question_blocks(questions, q_id, q_col, row_bytes, block_bytes, sizes, k):
+    q = questions.select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("q"))
+    v = vectors.select(F.col(p_id).cast("long").alias("id"), F.col(p_vec).alias("v"))
+    tiles = _tiles(q, v, block_rows or _block_rows(8 * (dim or 1024), k))
+    run = _kernel(lambda ids, m: _DenseTile(ids, m, k, dim), lambda col: list_column_matrix(col, dim, np.float64), _DenseTile.fields)
+    partial = tiles.mapInArrow(run, "qid long, id long, score double")
+    hits = _top(partial, [F.col("score").desc(), F.col("id").asc()], k, "rank")
+    return hits.withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id)
+
+
+def _binary_partial(questions: DataFrame, codes: DataFrame, k: int, dim: int, q_id: str, q_col: str, q_kind: str,
+                    p_id: str, p_code: str, block_rows: int | None, with_score: bool) -> DataFrame:
+    q = questions.select(F.col(q_id).cast("long").alias("qid"), F.col(q_col).alias("q"))
+    v = codes.select(F.col(p_id).cast("long").alias("id"), F.col(p_code).alias("v"))
+
+    def matrix(col: pa.Array) -> np.ndarray:
         if q_kind == "code":
-            qsign = unpack_sign_matrix(list_column_matrix(col, None, np.int64), dim, np.float32)
-            qfloat = qsign.astype(np.float64)
-        else:
-            qfloat = list_column_matrix(col, dim, np.float64)
-            qsign = sign_matrix(qfloat, np.float32)
-        bc = spark.sparkContext.broadcast((qids, qsign, qfloat))
-        parts.append(passages.mapInArrow(_binary_kernel(bc, k, dim, with_score),
-                                         "qid long, id long, distance long, score double"))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    return partial
+            return unpack_sign_matrix(list_column_matrix(col, None, np.int64), dim, np.float64)
+        return list_column_matrix(col, dim, np.float64)
+
+    run = _kernel(lambda ids, m: _BinaryTile(ids, m, k, dim, with_score), matrix, _BinaryTile.fields)
+    tiles = _tiles(q, v, block_rows or _block_rows(12 * dim, k))
+    return tiles.mapInArrow(run, "qid long, id long, distance long, score double")
 
 
 def hamming_knn(questions: DataFrame, codes: DataFrame, k: int, dim: int, *, q_id: str = "qid",
                 q_col: str = "code", q_kind: str = "code", p_id: str = "id", p_code: str = "code",
-                block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                block_rows: int | None = None) -> DataFrame:
     """Nearest k codes per question by Hamming distance (distance asc, id asc).
 
     ``q_kind`` is "code" (packed question codes) or "float" (question vectors,
     binarised on the fly). Returns (qid, id, distance, rank)."""
+    if k <= 0:
+        raise ValueError("k must be positive")
     if q_kind not in ("code", "float"):
         raise ValueError("q_kind must be 'code' or 'float'")
-    sizes = []
-    partial = _binary_partial(questions, codes, k, dim, q_id, q_col, q_kind, p_id, p_code,
-                              block_bytes, with_score=False, sizes=sizes)
-    w = Window.partitionBy("qid").orderBy(F.col("distance").asc(), F.col("id").asc())
-    out = (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-           .drop("score").withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id))
-    return with_row_bound(out, sizes[0] * k)
+    partial = _binary_partial(questions, codes, k, dim, q_id, q_col, q_kind, p_id, p_code, block_rows, with_score=False)
+    hits = _top(partial.drop("score"), [F.col("distance").asc(), F.col("id").asc()], k, "rank")
+    return hits.withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id)
 
 
 def binary_retrieve(questions: DataFrame, codes: DataFrame, k: int, binary_k: int, dim: int, *,
                     q_id: str = "qid", q_vec: str = "embedding", p_id: str = "id",
-                    p_code: str = "code", block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                    p_code: str = "code", block_rows: int | None = None) -> DataFrame:
     """C3+F1+C4+F2: Hamming candidates (binary_k) reranked by float question . +-1 code.
 
-    The rerank score is computed in the same pass as the distance, so the code
-    table is scanned once and never joined back. Order within the final k:
-    score desc, distance asc, id asc. Returns (qid, id, distance, score, rank)."""
+    A tile scores the candidates that its trim leaves, so the code table is scanned once
+    and never joined back. Order within the final k: score desc (NaN last), distance asc,
+    id asc. Returns (qid, id, distance, score, rank)."""
     if k <= 0 or binary_k <= 0:
         raise ValueError("k and binary_k must be positive")
-    sizes = []
-    partial = _binary_partial(questions, codes, binary_k, dim, q_id, q_vec, "float", p_id, p_code,
-                              block_bytes, with_score=True, sizes=sizes)
-    w1 = Window.partitionBy("qid").orderBy(F.col("distance").asc(), F.col("id").asc())
-    w2 = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("distance").asc(),
-                                           F.col("id").asc())
-    cands = partial.withColumn("cand_rank", F.row_number().over(w1)).where(F.col("cand_rank") <= binary_k)
-    out = (cands.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
-           .drop("cand_rank").withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id))
-    return with_row_bound(out, sizes[0] * k)
-
-
-def with_row_bound(df: DataFrame, bound: int) -> DataFrame:
-    """Attach a proven upper bound on the row count (questions x k), used to decide
-    whether the hit table may be broadcast to the passage scan."""
-    df.row_bound = int(bound)
-    return df
-
-
-def row_bound(df: DataFrame):
-    return getattr(df, "row_bound", None)
+    partial = _binary_partial(questions, codes, binary_k, dim, q_id, q_vec, "float", p_id, p_code, block_rows, with_score=True)
+    candidates = _top(partial, [F.col("distance").asc(), F.col("id").asc()], binary_k, "cand_rank")
+    best = F.when(F.isnan("score"), None).otherwise(F.col("score")).desc_nulls_last()
+    hits = _top(candidates, [best, F.col("distance").asc(), F.col("id").asc()], k, "rank")
+    return hits.drop("cand_rank").withColumnRenamed("qid", q_id).withColumnRenamed("id", p_id)

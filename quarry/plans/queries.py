@@ -126,8 +126,7 @@ def c1_hits_with_passages(spark, sf):
     v = T.vectors(spark, sf)
     hits = knn.binary_retrieve(v.select(F.col("id").alias("qid"), "embedding"), R.code_table(v),
                                k=5, binary_k=64, dim=DIM)
-    joined = R.attach_passages(hits.select("qid", "id", "rank"), T.passages(spark, sf),
-                               expected_rows=knn.row_bound(hits))
+    joined = R.attach_passages(hits.select("qid", "id", "rank"), T.passages(spark, sf))
     return joined.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", "title", "dataset",
                          F.length("text").cast("bigint").alias("text_chars"))
 
@@ -655,9 +654,8 @@ def b4_same_dataset_hits(spark, sf):
     p = T.passages(spark, sf)
     hits = knn.binary_retrieve(R.encode_questions(q, TEXT_DIM), R.code_table(R.encode_passages(p, TEXT_DIM)),
                                k=20, binary_k=100, dim=TEXT_DIM)
-    h = R.attach_passages(hits.select("qid", "id", "rank"), p.select("id", "dataset"),
-                          expected_rows=knn.row_bound(hits)) \
-        .join(q.select("qid", F.col("dataset").alias("q_dataset")), "qid")
+    asked = hits.select("qid", "id", "rank").join(q.select("qid", F.col("dataset").alias("q_dataset")), "qid")
+    h = R.attach_passages(asked, p.select("id", "dataset"))
     kept = R.restrict_to_dataset(h)
     return kept.select("qid", F.col("rank").cast("bigint").alias("rank"), "id")
 

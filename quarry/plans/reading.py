@@ -59,13 +59,9 @@ def answer_questions(questions: DataFrame, passages: DataFrame, *, num_retrieval
     if codes is None:
         codes = R.code_table(R.encode_passages(passages, dim))
     hits = knn.binary_retrieve(qv, codes, k=num_retrieval_passages, binary_k=binary_k, dim=dim)
-    fetched = R.attach_passages(hits.select("qid", "id", "rank"), passages,
-                                expected_rows=knn.row_bound(hits))
     q = questions.select("qid", word_tokens(clean_question("question")).alias("q_tokens"))
-    bound = knn.row_bound(hits)
-    if bound is not None and bound // num_retrieval_passages <= R.QUESTIONS_BROADCAST_ROWS:
-        q = F.broadcast(q)                   # one row per question, count known from the k-NN
-    slots = fetched.join(q, "qid").select(
+    fetched = R.attach_passages(hits.select("qid", "id", "rank").join(q, "qid"), passages)
+    slots = fetched.select(
         "qid", (F.col("rank") - 1).cast("int").alias("slot"), (F.col("rank") - 1).cast("int").alias("idx"),
         F.col("id").alias("pid"), "q_tokens",
         S.reader_input("q_tokens", word_tokens("title"), word_tokens("text"), max_input_length).alias("tokens"))

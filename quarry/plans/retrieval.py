@@ -15,35 +15,22 @@ from pyspark.sql import functions as F
 from quarry.functions import vectors as V
 from quarry.operators import knn
 from quarry.operators.metrics import first_positive_rank, recall_at_k
-
-# A hit table larger than this is joined to the passage table by shuffle, not broadcast.
-HITS_BROADCAST_ROWS = 2_000_000
-# Question-side tables (one row per question: answers, dataset) up to this many rows are
-# broadcast to the hits, so hits that already carry passage text are never shuffled for them.
-QUESTIONS_BROADCAST_ROWS = 500_000
-
+from quarry.session import ensure_parallelism, stored
 
 def code_table(vectors: DataFrame, *, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """P2 tail / A14: (id, code) from (id, float vector)."""
     return vectors.select(F.col(id_col).alias("id"), V.sign_code(vec_col).alias("code"))
 
 
-def attach_passages(hits: DataFrame, passages: DataFrame, *, expected_rows: int | None = None,
-                    id_col: str = "id") -> DataFrame:
+def attach_passages(hits: DataFrame, passages: DataFrame, *, id_col: str = "id") -> DataFrame:
     """Fetch title/text/dataset for the hits, after the top-k cut.
 
-    The hit side is bounded by questions x k (the k-NN operators carry that
-    bound); under HITS_BROADCAST_ROWS it is broadcast, so the passage table is
-    streamed and never shuffled. Above it, Spark's runtime planning decides
-    (a passage table bucketed by id avoids the passage shuffle)."""
-    from quarry.session import ensure_parallelism
-    if expected_rows is None:
-        expected_rows = knn.row_bound(hits)
-    side = hits
-    if expected_rows is not None and expected_rows <= HITS_BROADCAST_ROWS:
-        side = F.broadcast(hits)
+    The narrow hits (with what belongs to their questions) are stored first, so the
+    join knows their bytes: below Spark's broadcast threshold the passage table is
+    streamed and never shuffled, above it both sides are shuffled by id (a passage
+    table bucketed by id is not). A job runs here."""
     # Per-hit text work runs where the passage rows stream; keep that spread out.
-    return side.join(ensure_parallelism(passages), id_col, "inner")
+    return stored(hits, "hits").join(ensure_parallelism(passages), id_col, "inner")
 
 
 def restrict_to_dataset(hits: DataFrame, *, q_id: str = "qid", q_dataset: str = "q_dataset",
@@ -84,7 +71,6 @@ def encode_questions(questions: DataFrame, dim: int, *, q_id: str = "qid", quest
 def encode_passages(passages: DataFrame, dim: int) -> DataFrame:
     """J2 (+H22): (id, embedding) from (title, text)."""
     from quarry.functions.inference import hash_encoder, passage_encoder_input
-    from quarry.session import ensure_parallelism
     return ensure_parallelism(passages).select("id", hash_encoder(passage_encoder_input(F.col("title"), F.col("text")), dim)
                            .alias("embedding"))
 
@@ -100,16 +86,13 @@ def text_retrieval_eval(questions: DataFrame, passages: DataFrame, *, k: int, bi
         hits = knn.binary_retrieve(qv, code_table(pv), k=k, binary_k=binary_k, dim=dim)
     else:
         hits = knn.dense_knn(qv, pv, k=k, dim=dim)
-    fetched = attach_passages(hits, passages)
-    # answers are normalised once per question, before they meet their k hits
+    # Answers are normalised once per question and meet the narrow hits, before the text does.
     pre = match_type not in ("dpr_regex", "none")
     answers = questions.select("qid", "answers",
                                (normalized_answers("answers", match_type) if pre else F.col("answers"))
                                .alias("_answers_norm"))
-    bound = knn.row_bound(hits)
-    if bound is not None and bound // max(1, k) <= QUESTIONS_BROADCAST_ROWS:
-        answers = F.broadcast(answers)       # proven: one row per question, question count known
-    flagged = with_any_answer(fetched.join(answers, "qid"), "_answers_norm",
+    fetched = attach_passages(hits.join(answers, "qid"), passages)
+    flagged = with_any_answer(fetched, "_answers_norm",
                               match_text("title", "text", include_title), match_type, prenormalized=pre) \
         .drop("_answers_norm").withColumn("is_positive", F.col("has_answer"))
     ranks = first_positive_rank(questions, flagged)

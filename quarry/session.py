@@ -11,7 +11,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -66,14 +66,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), f"run-{uuid.uuid4().hex[:12]}", name])
 
 
-def ensure_parallelism(df, min_partitions: int | None = None):
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (for files: their bytes); no job runs for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread CPU-heavy per-row work (encoding, tokenisation) over the cluster.
 
-    Only inputs with fewer partitions than the default parallelism are
-    redistributed (round robin); a large, many-file input is left as it is,
-    so no shuffle is added at scale."""
+    Only an input that is known to be too small for a split per core is
+    redistributed (round robin); a larger one, or one of unknown size, is left as it
+    is, so no shuffle is added at scale."""
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if plan_bytes(df) < target * split:
         return df.repartition(target)
     return df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a Parquet table below the shared checkpoint folder and read back.
+
+    Runs a job. The lineage ends at files that every executor can read, and later plans
+    know the table's size in bytes: Spark broadcasts it only if that is below its threshold."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,7 +50,7 @@ def test_question_blocks_give_same_result(spark):
     one = sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9))
                  for r in knn.dense_knn(qdf, pdf, k=5, dim=16).collect())
     many = sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9))
-                  for r in knn.dense_knn(qdf, pdf, k=5, dim=16, block_bytes=300).collect())
+                  for r in knn.dense_knn(qdf, pdf, k=5, dim=16, block_rows=2).collect())
     assert one == many
 
 
@@ -97,21 +97,63 @@ def test_select_topk_exact_ties():
     assert sorted(keep.tolist()) == [1, 2, 3, 4]
 
 
-def test_vector_side_sized_to_cores(spark):
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(1000).repartition(cores * 10)
-    assert knn._vector_side(many).rdd.getNumPartitions() == knn.KERNEL_TASKS_PER_CORE * cores
-    one = spark.range(1000).coalesce(1)
-    assert knn._vector_side(one).rdd.getNumPartitions() == cores
+def _rows(df, *cols):
+    return sorted(tuple(r[c] for c in ("qid", "rank", *cols)) for r in df.collect())
 
 
-def test_many_questions_with_large_k_are_blocked(spark):
+@pytest.mark.parametrize("block_rows", [1, 3, 5])
+def test_many_tiles_equal_one(spark, block_rows):
+    """13 to 3 blocks x up to 8 slabs against one block, ties included."""
+    p, q, pdf, qdf = _tables(spark, n=90, nq=13, dim=32)
+    codes = pdf.select("id", V.sign_code("embedding").alias("code"))
+    qc = qdf.select("qid", V.sign_code("embedding").alias("code"))
+    for one, many, cols in (
+            (knn.dense_knn(qdf, pdf, k=8, dim=32), knn.dense_knn(qdf, pdf, k=8, dim=32, block_rows=block_rows), ("id", "score")),
+            (knn.hamming_knn(qc, codes, k=8, dim=32), knn.hamming_knn(qc, codes, k=8, dim=32, block_rows=block_rows), ("id", "distance")),
+            (knn.hamming_knn(qc, codes, k=8, dim=32), knn.hamming_knn(qdf, codes, k=8, dim=32, q_col="embedding", q_kind="float",
+                                                                      block_rows=block_rows), ("id", "distance")),
+            (knn.binary_retrieve(qdf, codes, k=5, binary_k=20, dim=32),
+             knn.binary_retrieve(qdf, codes, k=5, binary_k=20, dim=32, block_rows=block_rows), ("id", "distance", "score"))):
+        assert _rows(one, *cols) == _rows(many, *cols)
+
+
+def test_many_questions_with_large_k_are_blocked(spark, monkeypatch):
     p, q, pdf, qdf = _tables(spark, n=30, nq=12, integer=False, seed=9)
-    old = knn.STATE_BYTES
-    knn.STATE_BYTES = 40 * 8 * 5     # room for 5 questions x k=8 per task
+    ref = _rows(knn.dense_knn(qdf, pdf, k=8, dim=16), "id")
+    monkeypatch.setattr(knn, "BLOCK_BYTES", (8 * 16 + 40 * 8) * 5)     # room for 5 questions x k=8 per task
+    assert knn._block_rows(8 * 16, 8) == 5
+    assert _rows(knn.dense_knn(qdf, pdf, k=8, dim=16), "id") == ref and len(ref) == 12 * 8
+
+
+@pytest.mark.parametrize("n", [4, 30, 300])
+def test_nan_is_no_hit_for_any_number_of_vectors(spark, n):
+    nan = float("nan")
+    rows = [(i, [nan, 1.0] + [0.0] * 30 if i % 3 == 0 else [float(i), 1.0] + [0.0] * 30) for i in range(n)]
+    pdf = spark.createDataFrame(rows, "id long, embedding array<double>")
+    qdf = spark.createDataFrame([(1, [1.0, 0.0] + [0.0] * 30), (2, [nan] * 32)], "qid long, embedding array<double>")
+    want = [(1, r + 1, i) for r, i in enumerate(sorted((i for i in range(n) if i % 3), reverse=True)[:5])]
+    assert _rows(knn.dense_knn(qdf, pdf, k=5, dim=32), "id") == want
+    codes = pdf.select("id", V.sign_code("embedding").alias("code"))
+    found = knn.binary_retrieve(qdf, codes, k=2, binary_k=3, dim=32).collect()
+    # A NaN component has sign +1, so it has a distance; its rerank score is NaN and comes last.
+    assert sorted(r["qid"] for r in found) == [1, 1, 2, 2]
+
+
+def test_null_vectors_of_either_side_and_empty_tables(spark):
+    some = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id long, embedding array<double>")
+    asked = some.withColumnRenamed("id", "qid")
+    assert _rows(knn.dense_knn(asked, some, k=3, dim=2), "id") == [(1, 1, 1)]
+    assert knn.dense_knn(asked, some.limit(0), k=3, dim=2).count() == 0
+    assert knn.dense_knn(asked.limit(0), some, k=3, dim=2).count() == 0
+
+
+def test_no_job_runs_when_the_plan_is_built(spark):
+    p, q, pdf, qdf = _tables(spark, n=20, nq=4, dim=32)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("knn-plan", "plan only")
     try:
-        got = sorted((r["qid"], r["rank"], r["id"]) for r in knn.dense_knn(qdf, pdf, k=8, dim=16).collect())
+        knn.dense_knn(qdf, pdf, k=3, dim=32)
+        knn.binary_retrieve(qdf, pdf.select("id", V.sign_code("embedding").alias("code")), k=3, binary_k=5, dim=32)
+        assert list(tracker.getJobIdsForGroup("knn-plan")) == []
     finally:
-        knn.STATE_BYTES = old
-    ref = sorted((r["qid"], r["rank"], r["id"]) for r in knn.dense_knn(qdf, pdf, k=8, dim=16).collect())
-    assert got == ref and len(got) == 12 * 8
+        spark.sparkContext._jsc.clearJobGroup()
