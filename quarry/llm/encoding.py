@@ -6,8 +6,10 @@ numbered by Arrow kernels, each part that the worker doesn't know yet goes
 through the tokenizer once, and the ids of all parts are gathered by numpy. A
 worker remembers its latest parts, up to `REMEMBERED`, as Arrow strings
 and one array of ids. If the tokenizer lower-cases, ASCII capitals are lowered first, so
-that a word at the start of a sentence is the same part. A tokenizer for which
-white space matters encodes whole texts instead.
+that a word at the start of a sentence is the same part. A new part of plain letters,
+with or without punctuation behind it, is encoded by the tokenizer's model without
+its normalizer, where a check at the start finds that this changes nothing. A
+tokenizer for which white space matters encodes whole texts instead.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ REMEMBERED = 1_000_000
 SLICE_BYTES = 16 << 20
 _JOINED = 512
 _MARK = "\x01"
+#: Letters that normalizers for lower case leave alone, and punctuation that ends a word.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz\u00df\u00e0\u00e1\u00e2\u00e3\u00e4\u00e5\u00e6\u00e7\u00e8\u00e9\u00ea\u00eb\u00ec\u00ed\u00ee\u00ef\u00f1\u00f2\u00f3\u00f4\u00f5\u00f6\u00f9\u00fa\u00fb\u00fc"
+_POINTS = ".,;:!?"
+_PLAIN = f"^(?P<word>[{_LETTERS}]+)(?P<points>[{_POINTS}]*)$"
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -48,6 +54,7 @@ class Encoder:
         self.by_part = self._ids("a b \t\na") == self._ids("a") + self._ids("b") + self._ids("a")
         mark = self._ids(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        self.light = self._without_normalizer(path, Tokenizer) if self.by_part else None
         self.parts = pa.array([], pa.string())
         self.starts = self.lengths = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -55,20 +62,35 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _without_normalizer(self, path: str, kind):
+        """The same model behind white-space splitting alone, or None if plain words would get other ids."""
+        from tokenizers import pre_tokenizers
+
+        light = kind.from_file(path)
+        light.normalizer = None
+        light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(),
+                                                       pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        cleaned = _LETTERS if self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(_LETTERS)
+        one = self.tokenizer.pre_tokenizer is not None and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(_LETTERS)) == 1
+        words = ["".join(_LETTERS[i:i + n]) for n in (1, 3, 8) for i in range(0, len(_LETTERS), 5)]
+        same = all(light.encode(w, add_special_tokens=False).ids == self._ids(w) and self._ids(w + p) == self._ids(w) + self._ids(p)
+                   for w in words for p in (*_POINTS, _POINTS, "..", "!?"))
+        return light if cleaned == _LETTERS and one and same else None
+
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.array([len(x) for x in found], np.int64)
         return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
 
-    def _new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, tokenizer, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of parts, many to a call, with a mark between them that no part holds."""
-        ids, lengths = [], []
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(parts), _JOINED):
             some = parts[at:at + _JOINED]
             joined = f" {_MARK} ".join(some)
             got = None
             if self.mark is not None and joined.count(_MARK) == len(some) - 1:
-                got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                got = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
                 marks = np.flatnonzero(got == self.mark)
             if got is not None and len(marks) == len(some) - 1:
                 ids.append(np.delete(got, marks))
@@ -78,9 +100,41 @@ class Encoder:
                     kept.append(found)
         return np.concatenate(ids), np.concatenate(lengths)
 
+    def _new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts: a plain word's and its points' one after the other, any other part's as a whole."""
+        if self.light is None:
+            return self._joined(self.tokenizer, parts.to_pylist())
+        split = pc.extract_regex(parts, _PLAIN)
+        plain = pc.is_valid(split).to_numpy(zero_copy_only=False)
+        starts, lengths = np.zeros((len(parts), 2), np.int64), np.zeros((len(parts), 2), np.int64)
+        pools = [self.pool]
+
+        def place(rows: np.ndarray, column: int, texts: pa.Array, tokenizer, known: bool) -> None:
+            coded = texts.dictionary_encode()
+            words, index = coded.dictionary, coded.indices.to_numpy()
+            at = pc.index_in(words, value_set=self.parts) if known else pa.nulls(len(words), pa.int32())
+            there = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            old = at.drop_null().to_numpy()
+            start[there], size[there] = self.starts[old], self.lengths[old]
+            ids, new = self._joined(tokenizer, words.filter(pa.array(~there)).to_pylist())
+            start[~there], size[~there] = sum(map(len, pools)) + np.cumsum(new) - new, new
+            pools.append(ids)
+            starts[rows, column], lengths[rows, column] = start[index], size[index]
+
+        rows = np.flatnonzero(plain)
+        if len(rows):
+            found = split.filter(pa.array(plain))
+            place(rows, 0, found.field("word"), self.light, True)
+            place(rows, 1, found.field("points"), self.tokenizer, False)
+        rows = np.flatnonzero(~plain)
+        if len(rows):
+            place(rows, 0, parts.filter(pa.array(~plain)), self.tokenizer, False)
+        return np.concatenate(pools)[gather(starts.reshape(-1), lengths.reshape(-1))], lengths.sum(axis=1)
+
     def _remember(self, new: pa.Array) -> None:
         """Put `new` parts behind the known ones; the oldest half goes when there are too many."""
-        ids, lengths = self._new(new.to_pylist())
+        ids, lengths = self._new(new)
         if len(self.parts) + len(new) > REMEMBERED and len(self.parts):
             keep = len(self.parts) // 2
             first = int(self.starts[keep])
@@ -111,7 +165,7 @@ class Encoder:
                 self._remember(words.filter(at.is_null()))
                 at = pc.index_in(words, value_set=self.parts)
         if at.null_count:  # more parts in one slice than are remembered
-            ids, lengths = self._new(words.to_pylist())
+            ids, lengths = self._new(words)
             starts, pool = np.cumsum(lengths) - lengths, ids
         else:
             at = at.to_numpy()

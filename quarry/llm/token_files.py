@@ -31,13 +31,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.encoding import encoder, slices, with_end
+from quarry.llm.encoding import encoder, gather, slices, with_end
 from quarry.session import scratch_path
 
 END_ID = 1
@@ -65,7 +66,8 @@ def _round(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray] | No
         return None
     keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
     places, found = _frequent(keys, LEAST)
-    pairs, which, counts = np.unique(found, return_inverse=True, return_counts=True)
+    which, pairs = pd.factorize(found)
+    counts = np.bincount(which, minlength=len(pairs))
     if not len(pairs) or counts.max() < LEAST:
         return None
     take = counts >= max(LEAST, int(counts.max() * SHARE))
@@ -123,8 +125,8 @@ def _spans(symbols: np.ndarray, base: int, spans: np.ndarray) -> np.ndarray:
     return np.where(symbols < base, 1, spans[np.maximum(symbols.astype(np.int64) - base, 0)])
 
 
-def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """The ids behind symbols, each nonterminal replaced by its pair until none is left."""
+def _unfold(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
+    """Each nonterminal replaced by its pair until none is left."""
     while (high := symbols >= base).any():
         out = np.repeat(symbols, 1 + high)
         at = np.cumsum(1 + high) - 1 - high
@@ -134,6 +136,20 @@ def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
     return symbols
 
 
+def expand(symbols: np.ndarray, base: int, rules: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """The ids behind symbols: the nonterminals that occur are unfolded once each, then all ids are gathered."""
+    high = symbols >= base
+    if not high.any():
+        return symbols
+    used, which = np.unique(symbols[high] - base, return_inverse=True)
+    pool = _unfold((base + used).astype(np.uint32), base, rules)
+    lengths = np.ones(len(symbols), np.int64)
+    starts = np.arange(len(pool), len(pool) + len(symbols))
+    lengths[high] = spans[used][which]
+    starts[high] = (np.cumsum(spans[used]) - spans[used])[which]
+    return np.concatenate([pool, symbols])[gather(starts, lengths)]
+
+
 def decode_range(base: int, rules: np.ndarray, spans: np.ndarray, symbols: np.ndarray, start: int, stop: int) -> np.ndarray:
     """The ids [start, stop) of a block: only the symbols that cover them are expanded."""
     if stop <= start:
@@ -141,7 +157,7 @@ def decode_range(base: int, rules: np.ndarray, spans: np.ndarray, symbols: np.nd
     ends = np.cumsum(_spans(symbols, base, spans))
     low, high = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left"))
     before = int(ends[low - 1]) if low else 0
-    return expand(symbols[low:high + 1], base, rules)[start - before:stop - before]
+    return expand(symbols[low:high + 1], base, rules, spans)[start - before:stop - before]
 
 
 def pack_numbers(numbers: np.ndarray, width: int) -> bytes:
@@ -167,7 +183,7 @@ class Block:
         self.spans = np.frombuffer(row["spans"], "<u4").astype(np.int64)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.base, self.rules)
+        return expand(self.symbols, self.base, self.rules, self.spans)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         return decode_range(self.base, self.rules, self.spans, self.symbols, start, stop)

@@ -24,10 +24,10 @@ def expanded(symbol, base, rules):
     return [i for s in rules[symbol - base] for i in expanded(int(s), base, rules)]
 
 
-def check_block(ids, monkeypatch_least=None):
+def check_block(ids):
     ids = np.array(ids, np.uint32)
     base, rules, spans, symbols = T.compress(ids)
-    assert T.expand(symbols, base, rules).tolist() == ids.tolist()
+    assert T.expand(symbols, base, rules, spans).tolist() == ids.tolist()
     assert all(int(s) < base + i for i, pair in enumerate(rules) for s in pair)  # a rule uses what was made before it
     assert [len(expanded(base + i, base, rules)) for i in range(len(rules))] == spans.tolist()
     return base, rules, spans, symbols
