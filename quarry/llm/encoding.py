@@ -54,6 +54,7 @@ class Encoder:
         self.by_part = self._ids("a b \t\na") == self._ids("a") + self._ids("b") + self._ids("a")
         mark = self._ids(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        self.last = self._last_tokens()
         self.light = self._without_normalizer(path, Tokenizer) if self.by_part else None
         self.parts = pa.array([], pa.string())
         self.starts = self.lengths = np.zeros(0, np.int64)
@@ -63,26 +64,53 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _without_normalizer(self, path: str, kind):
-        """The same model behind white-space splitting alone, or None if plain words would get other ids."""
+        """The same model behind white-space splitting alone, for ASCII letters and for the others, or None if plain words would get other ids."""
         from tokenizers import pre_tokenizers
 
-        light = kind.from_file(path)
-        light.normalizer = None
-        light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(),
+        ascii_words, words = kind.from_file(path), kind.from_file(path)
+        for light in (ascii_words, words):
+            light.normalizer = None
+            light.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(),
                                                        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         cleaned = _LETTERS if self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(_LETTERS)
         one = self.tokenizer.pre_tokenizer is not None and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(_LETTERS)) == 1
-        words = ["".join(_LETTERS[i:i + n]) for n in (1, 3, 8) for i in range(0, len(_LETTERS), 5)]
-        same = all(light.encode(w, add_special_tokens=False).ids == self._ids(w) and self._ids(w + p) == self._ids(w) + self._ids(p)
-                   for w in words for p in (*_POINTS, _POINTS, "..", "!?"))
-        return light if cleaned == _LETTERS and one and same else None
+        probes = ["".join(_LETTERS[i:i + n]) for n in (1, 3, 8) for i in range(0, len(_LETTERS), 5)]
+        same = all((ascii_words if w.isascii() else words).encode(w, add_special_tokens=False).ids == self._ids(w)
+                   and self._ids(w + p) == self._ids(w) + self._ids(p) for w in probes for p in (*_POINTS, _POINTS, "..", "!?"))
+        return (ascii_words, words) if cleaned == _LETTERS and one and same and self.last is not None else None
+
+    def _last_tokens(self) -> np.ndarray | None:
+        """Which ids end a word, if the model marks them."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        found = np.zeros(max(vocabulary.values()) + 1, bool)
+        found[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        return found
+
+    def _words(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, many to a call: each ends with its only last token."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), _JOINED):
+            some = words[at:at + _JOINED]
+            got = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[got])
+            if len(ends) == len(some):
+                ids.append(got)
+                lengths.append(np.diff(ends, prepend=-1))
+            else:
+                for kept, found in zip((ids, lengths), self._each(some), strict=True):
+                    kept.append(found)
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.array([len(x) for x in found], np.int64)
         return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
 
-    def _joined(self, tokenizer, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of parts, many to a call, with a mark between them that no part holds."""
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(parts), _JOINED):
@@ -90,7 +118,7 @@ class Encoder:
             joined = f" {_MARK} ".join(some)
             got = None
             if self.mark is not None and joined.count(_MARK) == len(some) - 1:
-                got = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
                 marks = np.flatnonzero(got == self.mark)
             if got is not None and len(marks) == len(some) - 1:
                 ids.append(np.delete(got, marks))
@@ -103,13 +131,13 @@ class Encoder:
     def _new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of parts: a plain word's and its points' one after the other, any other part's as a whole."""
         if self.light is None:
-            return self._joined(self.tokenizer, parts.to_pylist())
+            return self._joined(parts.to_pylist())
         split = pc.extract_regex(parts, _PLAIN)
         plain = pc.is_valid(split).to_numpy(zero_copy_only=False)
         starts, lengths = np.zeros((len(parts), 2), np.int64), np.zeros((len(parts), 2), np.int64)
         pools = [self.pool]
 
-        def place(rows: np.ndarray, column: int, texts: pa.Array, tokenizer, known: bool) -> None:
+        def place(rows: np.ndarray, column: int, texts: pa.Array, encode, known: bool) -> None:
             coded = texts.dictionary_encode()
             words, index = coded.dictionary, coded.indices.to_numpy()
             at = pc.index_in(words, value_set=self.parts) if known else pa.nulls(len(words), pa.int32())
@@ -117,19 +145,19 @@ class Encoder:
             start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
             old = at.drop_null().to_numpy()
             start[there], size[there] = self.starts[old], self.lengths[old]
-            ids, new = self._joined(tokenizer, words.filter(pa.array(~there)).to_pylist())
+            ids, new = encode(words.filter(pa.array(~there)).to_pylist())
             start[~there], size[~there] = sum(map(len, pools)) + np.cumsum(new) - new, new
             pools.append(ids)
             starts[rows, column], lengths[rows, column] = start[index], size[index]
 
-        rows = np.flatnonzero(plain)
-        if len(rows):
-            found = split.filter(pa.array(plain))
-            place(rows, 0, found.field("word"), self.light, True)
-            place(rows, 1, found.field("points"), self.tokenizer, False)
-        rows = np.flatnonzero(~plain)
-        if len(rows):
-            place(rows, 0, parts.filter(pa.array(~plain)), self.tokenizer, False)
+        simple = pc.string_is_ascii(parts).to_numpy(zero_copy_only=False)
+        for chosen, tokenizer in ((plain & simple, self.light[0]), (plain & ~simple, self.light[1])):
+            if chosen.any():
+                rows, found = np.flatnonzero(chosen), split.filter(pa.array(chosen))
+                place(rows, 0, found.field("word"), lambda words, t=tokenizer: self._words(t, words), True)
+                place(rows, 1, found.field("points"), self._joined, False)
+        if not plain.all():
+            place(np.flatnonzero(~plain), 0, parts.filter(pa.array(~plain)), self._joined, False)
         return np.concatenate(pools)[gather(starts.reshape(-1), lengths.reshape(-1))], lengths.sum(axis=1)
 
     def _remember(self, new: pa.Array) -> None:

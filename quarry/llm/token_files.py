@@ -44,9 +44,9 @@ from quarry.session import scratch_path
 END_ID = 1
 BLOCK_IDS = 1 << 20
 #: A rule must replace so many pairs of its block.
-LEAST = 8
+LEAST = 12
 #: A round takes pairs down to this share of the highest count.
-SHARE = 1 / 64
+SHARE = 1 / 256
 #: Rounds stop when one replaces less than this share of the symbols.
 WORTH = 0.001
 _BUCKETS = 1 << 20
@@ -55,8 +55,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, keys there) of the pairs whose bucket holds at least `least` pairs: all frequent ones and few others."""
-    buckets = ((keys * _MIX) >> np.uint64(44)).astype(np.int32)
-    places = np.flatnonzero(np.bincount(buckets, minlength=_BUCKETS)[buckets] >= least)
+    buckets = ((keys * _MIX) >> np.uint64(44)).view(np.int64)
+    hot = np.bincount(buckets, minlength=_BUCKETS) >= least
+    places = np.flatnonzero(hot[buckets])
     return places, keys[places]
 
 
@@ -70,13 +71,14 @@ def _round(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray] | No
     counts = np.bincount(which, minlength=len(pairs))
     if not len(pairs) or counts.max() < LEAST:
         return None
-    take = counts >= max(LEAST, int(counts.max() * SHARE))
-    chosen = take[which]
-    places, which = places[chosen], which[chosen]
+    taken = np.flatnonzero(counts >= max(LEAST, int(counts.max() * SHARE)))
     # Of two pairs that share a symbol the more frequent wins; equal counts fall to the smaller pair.
-    rank = np.empty(len(pairs), np.int64)
-    rank[np.lexsort((pairs, -counts))] = np.arange(len(pairs))
+    order = taken[np.lexsort((pairs[taken], -counts[taken]))]
+    pairs, rank = pairs[order], np.full(len(counts), -1, np.int64)
+    rank[order] = np.arange(len(order))
     mine = rank[which]
+    chosen = mine >= 0
+    places, mine = places[chosen], mine[chosen]
     beside = np.diff(places) == 1
     same = beside & (mine[1:] == mine[:-1])
     # In a run of one symbol every other pair counts.
@@ -89,16 +91,15 @@ def _round(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray] | No
     lost[1:] |= beside & (mine[:-1] < mine[1:])
     lost[:-1] |= beside & (mine[1:] < mine[:-1])
     wins &= ~lost
-    places, which = places[wins], which[wins]
-    used = np.bincount(which, minlength=len(pairs))
-    good = used >= LEAST
+    places, mine = places[wins], mine[wins]
+    good = np.bincount(mine, minlength=len(pairs)) >= LEAST
     if not good.any():
         return None
-    wins = good[which]
-    places, which = places[wins], which[wins]
+    wins = good[mine]
+    places, mine = places[wins], mine[wins]
     number = np.cumsum(good) - 1
     out = symbols.copy()
-    out[places] = (base + number[which]).astype(out.dtype)
+    out[places] = (base + number[mine]).astype(out.dtype)
     keep = np.ones(len(out), bool)
     keep[places + 1] = False
     kept = pairs[good]
