@@ -7,10 +7,11 @@ here, so every model call is a pluggable Arrow-batched function:
   encoder (md5 of each H2 token, reproducible in SQL). It runs like a model
   does: one Arrow batch in, one md5 per distinct token of the batch, one
   vectorised ``bincount`` out.
-* ``onnx_encoder``: the same column contract for a real ONNX model file,
-  loaded once per Python worker through ``predict_batch_udf``.
-* ``lexical_reader``: deterministic reader logits from integer arithmetic on
-  (passage id, token position, question overlap), reproducible in SQL.
+* ``model_encoder`` and ``model_reader``: any model behind the same column
+  contracts, loaded once per Python worker through ``predict_batch_udf``.
+* ``lexical_reader``: the default where no reader is given: deterministic logits
+  from integer arithmetic on (passage id, token position, question overlap),
+  reproducible in SQL.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 
 def token_bucket(token: Column, dim: int) -> Column:
@@ -69,9 +70,30 @@ def hash_encoder(text: Column, dim: int = 64) -> Column:
     return encode(text)
 
 
-def passage_encoder_input(title: Column, text: Column) -> Column:
-    """(title, text) pair as one encoder input (title first)."""
-    return F.concat_ws(" ", title, text)
+def question_encoder_input(question: Column, max_length: int | None = None) -> Column:
+    """H22, question form, as the text that is encoded: the cleaned question, cut to the
+    tokens of an input of ``max_length`` (None: whole)."""
+    from quarry.functions import spans as S
+    from quarry.functions.text import clean_question, word_tokens
+    cleaned = clean_question(question)
+    return cleaned if max_length is None else _plain(S.question_input(word_tokens(cleaned), max_length))
+
+
+def passage_encoder_input(title: Column, text: Column, max_length: int | None = None) -> Column:
+    """The (title, text) pair as one text, title first; with ``max_length`` only the
+    text is cut, to the tokens of an input of that length (None: whole)."""
+    from quarry.functions import spans as S
+    from quarry.functions.text import word_tokens
+    if max_length is None:
+        return F.concat_ws(" ", title, text)
+    blank = F.lit("")
+    return _plain(S.encoder_input(word_tokens(F.coalesce(title, blank)), word_tokens(F.coalesce(text, blank)), max_length))
+
+
+def _plain(tokens: Column) -> Column:
+    """An encoder input without its special tokens, blank-joined: models add their own."""
+    from quarry.functions import spans as S
+    return F.array_join(F.filter(tokens, lambda t: ~t.isin(S.CLS, S.SEP)), " ")
 
 
 def model_encoder(make_predict_fn, *, batch_size: int = 64):
@@ -92,23 +114,24 @@ def hash_predict_fn(dim: int):
     return make
 
 
-def onnx_encoder(model_path: str, *, input_name: str = "input_ids", batch_size: int = 64,
-                 max_length: int = 256):
-    """J1 with a real model: returns a column function over an array<int> token-id column.
+READER_TYPE = "struct<classifier_logit:double,start_logits:array<double>,end_logits:array<double>>"
 
-    The session is created once per Python worker by ``predict_batch_udf``."""
-    from pyspark.ml.functions import predict_batch_udf
 
-    def make_predict_fn():
-        import onnxruntime as ort
-        session = ort.InferenceSession(model_path)
+def model_reader(make_predict_fn, *, batch_size: int = 64):
+    """J3 with any model, as a reader of (pid, tokens, question tokens) -> READER_TYPE.
 
-        def predict(inputs: np.ndarray) -> np.ndarray:
-            return session.run(None, {input_name: inputs.astype(np.int64)})[0].astype(np.float32)
-        return predict
+    ``make_predict_fn()`` is called once per Python worker and returns ``predict(pids,
+    inputs, questions)`` over numpy arrays of numbers and blank-joined tokens; it gives a
+    dict with classifier_logit (n), start_logits and end_logits (n x tokens, or a list of
+    arrays where inputs differ in length)."""
+    from pyspark.ml.functions import predict_batch_udf
+    udf = predict_batch_udf(make_predict_fn, return_type=StructType([
+        StructField("classifier_logit", DoubleType()), StructField("start_logits", ArrayType(DoubleType())),
+        StructField("end_logits", ArrayType(DoubleType()))]), batch_size=batch_size)
 
-    return predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()),
-                             batch_size=batch_size, input_tensor_shapes=[[max_length]])
+    def read(pid: Column, tokens: Column, question_tokens: Column) -> Column:
+        return udf(pid, F.array_join(tokens, " "), F.array_join(question_tokens, " "))
+    return read
 
 
 # --------------------------------------------------------------------------- reader
@@ -119,7 +142,7 @@ def onnx_encoder(model_path: str, *, input_name: str = "input_ids", batch_size:
 #   classifier     = (pid % 23) + number of distinct question tokens in the passage
 # Integer arithmetic only, so any engine reproduces it exactly.
 
-def lexical_reader(pid: Column, tokens: Column, question_tokens: Column) -> tuple[Column, Column, Column]:
+def lexical_reader(pid: Column, tokens: Column, question_tokens: Column) -> Column:
     def in_q(t):
         return F.when(F.array_contains(question_tokens, t), F.lit(5)).otherwise(F.lit(0))
 
@@ -127,4 +150,4 @@ def lexical_reader(pid: Column, tokens: Column, question_tokens: Column) -> tupl
     end = F.transform(tokens, lambda t, i: (F.pmod(pid * 11 + i * 5, F.lit(19)) + in_q(t)).cast("double"))
     overlap = F.size(F.array_intersect(F.array_distinct(question_tokens), tokens))
     classifier = (F.pmod(pid, F.lit(23)) + overlap).cast("double")
-    return classifier, start, end
+    return F.struct(classifier.alias("classifier_logit"), start.alias("start_logits"), end.alias("end_logits"))

@@ -38,14 +38,55 @@ def sublist_positions(small, large, start=0, end=None) -> Column:
                     lambda i: F.slice(big, i + 1, F.size(s)) == s)
 
 
+def _room(q_size: Column, max_length: int) -> Column:
+    """Passage tokens that fit behind a question: three special tokens go off."""
+    return F.greatest(F.lit(0), F.lit(max_length) - q_size - 3)
+
+
+def _input(q: Column, part: Column, max_length: int) -> Column:
+    body = F.concat(F.array(F.lit(CLS)), q, F.array(F.lit(SEP)), part, F.array(F.lit(SEP)))
+    return F.concat(body, F.array_repeat(F.lit(PAD), F.greatest(F.lit(0), F.lit(max_length) - F.size(body))))
+
+
+def passage_part(title_tokens, text_tokens) -> Column:
+    """title [SEP] text: the second part of a reader input."""
+    return F.concat(_c(title_tokens), F.array(F.lit(SEP)), _c(text_tokens))
+
+
 def reader_input(q_tokens, title_tokens, text_tokens, max_length: int) -> Column:
     """[CLS] q [SEP] title [SEP] text [SEP] + [PAD]...; only the passage part is cut."""
     q = _c(q_tokens)
-    passage = F.concat(_c(title_tokens), F.array(F.lit(SEP)), _c(text_tokens))
-    budget = F.greatest(F.lit(0), F.lit(max_length) - F.size(q) - 3)
-    body = F.concat(F.array(F.lit(CLS)), q, F.array(F.lit(SEP)), F.slice(passage, 1, budget), F.array(F.lit(SEP)))
-    pad = F.array_repeat(F.lit(PAD), F.greatest(F.lit(0), F.lit(max_length) - F.size(body)))
-    return F.concat(body, pad)
+    return _input(q, F.slice(passage_part(title_tokens, text_tokens), 1, _room(F.size(q), max_length)), max_length)
+
+
+def reader_windows(q_tokens, passage, max_length: int, overlap) -> Column:
+    """H19 over a whole passage: array<struct<win, offset, first, stop, tokens>>.
+
+    ``passage`` (a column of `passage_part`) is cut into runs of as many tokens as fit
+    behind the question, neighbours sharing ``overlap`` tokens (an int or a column), so
+    every span of up to overlap + 1 tokens lies whole in some window. Window 0 is the
+    input of H19. ``offset`` is the place of the window's first passage token; spans that
+    start in [first, stop) of the input belong to this window, each passage token to
+    exactly one (window 0 also owns the question, the last one its padding). A question
+    that leaves no room for passage tokens has one window without any."""
+    q, p = _c(q_tokens), _c(passage)
+    room = _room(F.size(q), max_length)
+    stride = F.greatest(F.lit(1), room - F.least(_lit_int(overlap), room - 1))
+    last = F.when((F.size(p) <= room) | (room == 0), F.lit(0)).otherwise(F.ceil((F.size(p) - room) / stride).cast("int"))
+
+    def window(w):
+        offset = (w * stride).cast("int")
+        return F.struct(w.cast("int").alias("win"), offset.alias("offset"),
+                        F.when(w == 0, F.lit(0)).otherwise(F.size(q) + 2).alias("first"),
+                        F.when(w == last, F.greatest(F.lit(max_length), F.size(q) + 3)).otherwise(F.size(q) + 2 + stride).cast("int").alias("stop"),
+                        _input(q, F.slice(p, offset + 1, room), max_length).alias("tokens"))
+
+    return F.transform(F.sequence(F.lit(0), last), window)
+
+
+def question_input(q_tokens, max_length: int) -> Column:
+    """H22, question form: [CLS] question [SEP], cut to max_length."""
+    return F.concat(F.array(F.lit(CLS)), F.slice(_c(q_tokens), 1, max(0, max_length - 2)), F.array(F.lit(SEP)))
 
 
 def encoder_input(title_tokens, text_tokens, max_length: int) -> Column:
@@ -100,29 +141,63 @@ def grow_end(tokens, e) -> Column:
     return F.coalesce(nxt, n) - 1
 
 
-def all_spans(start_logits, end_logits, max_answer_length: int) -> Column:
+def _span(st: Column, en: Column, s: Column, e: Column) -> Column:
+    return F.struct((-(F.get(st, s) + F.get(en, e))).alias("neg_score"), s.alias("start"), e.alias("end"),
+                    F.get(st, s).alias("start_logit"), F.get(en, e).alias("end_logit"))
+
+
+def all_spans(start_logits, end_logits, max_answer_length: int, first=0, stop=None) -> Column:
     """Every (s, e) with s <= e < s + max_answer_length, clipped at the end, sorted
-    by start+end logit descending; ties keep enumeration order (s, then e)."""
+    by start+end logit descending; ties keep enumeration order (s, then e). Only starts
+    in [first, stop) are looked at."""
     st, en = _c(start_logits), _c(end_logits)
     n = F.size(st)
+    top = n if stop is None else F.least(n, _c(stop))
     spans = F.flatten(F.transform(
-        _range(F.lit(0), n - 1),
-        lambda s: F.transform(
-            _range(s, F.least(s + max_answer_length - 1, n - 1)),
-            lambda e: F.struct((-(F.get(st, s) + F.get(en, e))).alias("neg_score"), s.alias("start"),
-                               e.alias("end"), F.get(st, s).alias("start_logit"),
-                               F.get(en, e).alias("end_logit")))))
+        _range(_c(first) if isinstance(first, str) else _lit_int(first), top - 1),
+        lambda s: F.transform(_range(s, F.least(s + max_answer_length - 1, n - 1)), lambda e: _span(st, en, s, e))))
     return F.sort_array(spans)
 
 
+def top_spans(start_logits, end_logits, max_answer_length: int, num_spans: int, first=0, stop=None) -> Column:
+    """The first ``num_spans`` of `all_spans`, without making them all.
+
+    Per start only the best end is looked up (a maximum over a slice); the
+    num_spans-th best of these bounds the score from below, so spans are made for the
+    starts that reach it only."""
+    st, en = _c(start_logits), _c(end_logits)
+    n = F.size(st)
+    low = _c(first) if isinstance(first, str) else _lit_int(first)
+    top = n if stop is None else F.least(n, _c(stop))
+
+    def best_of(s):
+        return F.get(st, s) + F.array_max(F.slice(en, s + 1, max_answer_length))
+
+    bests = F.transform(_range(low, top - 1), lambda s: F.struct(best_of(s).alias("score"), s.alias("start")))
+
+    def bounded(bests: Column) -> Column:
+        # Ascending, so the bound is the num_spans-th from the end, or the least if there are fewer.
+        ranked = F.array_sort(F.transform(bests, lambda b: b["score"]))
+        return F.struct(bests.alias("bests"), F.get(ranked, F.greatest(F.size(ranked) - num_spans, F.lit(0))).alias("bound"))
+
+    def made(x: Column) -> Column:
+        spans = F.flatten(F.transform(
+            F.filter(x["bests"], lambda b: b["score"] >= x["bound"]),
+            lambda b: F.transform(_range(b["start"], F.least(b["start"] + max_answer_length - 1, n - 1)),
+                                  lambda e: _span(st, en, b["start"], e))))
+        return F.slice(F.sort_array(spans), 1, num_spans)
+
+    # One-element transforms, so that the bests and the bound are evaluated once.
+    return F.flatten(F.transform(F.transform(F.array(bests), bounded), made))
+
+
 def best_spans(tokens, start_logits, end_logits, *, num_spans: int = 1, max_answer_length: int = 10,
-               allow_overlap: bool = True, expand_subwords: bool = True) -> Column:
-    """F5 (+H16, H17): the best ``num_spans`` spans of one passage.
+               allow_overlap: bool = True, expand_subwords: bool = True, first=0, stop=None) -> Column:
+    """F5 (+H16, H17): the best ``num_spans`` spans of one reader input, starting in [first, stop).
 
     Returns array<struct<start, end, start_logit, end_logit>> in selection order;
     start/end are the grown edges, the logits those of the original edges (Q21)."""
     tok = _c(tokens)
-    ranked = all_spans(start_logits, end_logits, max_answer_length)
 
     def grown(sp):
         s = grow_start(tok, sp["start"]) if expand_subwords else sp["start"]
@@ -131,8 +206,9 @@ def best_spans(tokens, start_logits, end_logits, *, num_spans: int = 1, max_answ
                         sp["start_logit"].alias("start_logit"), sp["end_logit"].alias("end_logit"))
 
     if allow_overlap:
-        return F.transform(F.slice(ranked, 1, num_spans), grown)
+        return F.transform(top_spans(start_logits, end_logits, max_answer_length, num_spans, first, stop), grown)
 
+    ranked = all_spans(start_logits, end_logits, max_answer_length, first, stop)
     empty = F.array().cast("array<struct<start:int,end:int,start_logit:double,end_logit:double>>")
 
     def step(acc, sp):

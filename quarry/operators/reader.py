@@ -3,10 +3,13 @@
 Row layouts
 -----------
 examples : qid, question, answers array<string>, ctxs array<struct<id,title,text,dataset,score,has_answer>>
-slots    : qid, slot (0..num_passages-1), idx (ctx index, -1 = padding), tokens array<string>, ...
+loaded   : qid, idx (ctx index), win, offset, first, stop, pid, q_tokens, tokens, spans, is_positive, is_negative
+slots    : qid, slot (0..num_passages-1), idx (-1 = padding), win, offset, first, stop, pid, q_tokens, tokens
 scores   : slots + classifier_logit double, start_logits array<double>, end_logits array<double>
 
-All per-question work is keyed by qid; a question holds at most
+A passage longer than a reader input is read in windows (`spans.reader_windows`) that
+together cover it: a row is one window, and a passage's score is the best of its
+windows'. All per-question work is keyed by qid; a question holds at most
 ``max_load_passages`` ctxs, so nothing unbounded is ever collected.
 """
 
@@ -43,84 +46,110 @@ def tokenize_examples(examples: DataFrame) -> DataFrame:
 
 
 def ctx_slots(examples: DataFrame, *, max_load_passages: int | None, max_input_length: int,
-              from_start: bool = False) -> DataFrame:
-    """B10 (cap) + H19 + H20 + B11 per loaded ctx: one row per (qid, idx).
+              max_answer_length: int = 10, from_start: bool = False) -> DataFrame:
+    """B10 (cap) + H19 + H20 + B11 per loaded ctx: one row per (qid, idx, win).
 
-    is_positive = has_answer and some answer span survives truncation;
-    is_negative = not has_answer (null has_answer counts as negative)."""
+    Windows share as many tokens as the longest span or answer has, less one, so none of
+    these is cut. is_positive = has_answer and an answer span lies in this window;
+    is_negative = not has_answer (null has_answer counts as negative). With a column
+    ``gold`` (a ctx struct or null, C8) that passage follows the loaded ones, as neither."""
     ex = tokenize_examples(examples)
     if max_load_passages is not None:
         ex = ex.withColumn("ctxs", F.slice("ctxs", 1, max_load_passages))
-    rows = ex.select("qid", "q_tokens", "a_tokens", F.posexplode("ctxs").alias("idx", "ctx"))
-    tokens = S.reader_input("q_tokens", word_tokens(F.col("ctx.title")), word_tokens(F.col("ctx.text")),
-                            max_input_length)
-    rows = rows.withColumn("tokens", tokens)
-    rows = rows.withColumn("spans", S.answer_spans("tokens", "a_tokens", from_start=from_start))
+    ex = ex.withColumn("_n", F.size("ctxs"))
+    if "gold" in ex.columns:
+        ex = ex.withColumn("ctxs", F.when(F.col("gold").isNotNull(), F.concat("ctxs", F.array("gold"))).otherwise(F.col("ctxs")))
+    rows = ex.select("qid", "q_tokens", "a_tokens", "_n", F.posexplode("ctxs").alias("idx", "ctx"))
+    rows = rows.withColumn("_p", S.passage_part(word_tokens(F.coalesce(F.col("ctx.title"), F.lit(""))),
+                                                word_tokens(F.coalesce(F.col("ctx.text"), F.lit("")))))
+    longest = F.coalesce(F.array_max(F.transform("a_tokens", lambda a: F.size(a))), F.lit(0))
+    windows = S.reader_windows("q_tokens", "_p", max_input_length, F.greatest(F.lit(max_answer_length), longest) - 1)
     has = F.coalesce(F.col("ctx.has_answer"), F.lit(False))
-    return rows.select("qid", F.col("idx").cast("int").alias("idx"), "ctx", "q_tokens", "tokens", "spans",
-                       (has & (F.size("spans") > 0)).alias("is_positive"), (~has).alias("is_negative"))
+    rows = rows.select("qid", F.col("idx").cast("int").alias("idx"), F.col("ctx.id").alias("pid"), has.alias("_has"),
+                       (F.col("idx") >= F.col("_n")).alias("is_gold"), "q_tokens", "a_tokens", F.explode(windows).alias("w"))
+    rows = rows.select("qid", "idx", "pid", "_has", "is_gold", "q_tokens", "a_tokens", "w.*")
+    rows = rows.withColumn("spans", S.answer_spans("tokens", "a_tokens", from_start=from_start))
+    return rows.select("qid", "idx", "win", "offset", "first", "stop", "pid", "q_tokens", "tokens", "spans", "is_gold",
+                       (F.col("_has") & (F.size("spans") > 0)).alias("is_positive"), (~F.col("_has") & ~F.col("is_gold")).alias("is_negative"))
 
 
 def positive_negative_lists(slots: DataFrame) -> DataFrame:
-    """B11 per question: ordered positive and negative ctx indices."""
+    """B11 per question: ordered positive and negative ctx indices; a ctx is positive if one of its windows is."""
     return slots.groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_positive"), F.col("idx")))).alias("positive_idxs"),
-        F.array_sort(F.collect_list(F.when(F.col("is_negative"), F.col("idx")))).alias("negative_idxs"))
+        F.array_sort(F.collect_set(F.when(F.col("is_positive") & ~F.col("is_gold"), F.col("idx")))).alias("positive_idxs"),
+        F.array_sort(F.collect_set(F.when(F.col("is_negative"), F.col("idx")))).alias("negative_idxs"))
+
+
+def padding_columns(max_input_length: int) -> list:
+    """I8: the input of a slot without a passage, after qid, slot and idx."""
+    none = F.array().cast("array<string>")
+    return [F.lit(0).alias("win"), F.lit(0).alias("offset"), F.lit(0).alias("first"), F.lit(max(max_input_length, 4)).alias("stop"),
+            F.lit(None).cast("bigint").alias("pid"), none.alias("q_tokens"), S.reader_input(none, none, none, max_input_length).alias("tokens")]
 
 
 def eval_slots(examples: DataFrame, *, num_passages: int, max_load_passages: int | None,
-               max_input_length: int, loaded: DataFrame | None = None) -> DataFrame:
-    """I7 + I8: the first num_passages loaded ctxs in order, padded with idx -1 slots."""
+               max_input_length: int, max_answer_length: int = 10, loaded: DataFrame | None = None) -> DataFrame:
+    """I7 + I8: the windows of the first num_passages loaded ctxs in order, padded with idx -1 slots."""
     if loaded is None:
-        loaded = ctx_slots(examples, max_load_passages=max_load_passages, max_input_length=max_input_length)
+        loaded = ctx_slots(examples, max_load_passages=max_load_passages, max_input_length=max_input_length,
+                           max_answer_length=max_answer_length)
     real = loaded.where(F.col("idx") < num_passages).select(
-        "qid", F.col("idx").alias("slot"), "idx", F.col("ctx.id").alias("pid"), "q_tokens", "tokens")
+        "qid", F.col("idx").alias("slot"), "idx", "win", "offset", "first", "stop", "pid", "q_tokens", "tokens")
     n_loaded = F.size("ctxs") if max_load_passages is None else F.least(F.size("ctxs"), F.lit(max_load_passages))
     pad = (examples.select("qid", S._range(n_loaded, F.lit(num_passages - 1)).alias("pads"))
            .select("qid", F.explode("pads").alias("slot"))
-           .select("qid", F.col("slot").cast("int").alias("slot"), F.lit(-1).alias("idx"),
-                   F.lit(None).cast("bigint").alias("pid"),
-                   F.array().cast("array<string>").alias("q_tokens"),
-                   S.reader_input(F.array().cast("array<string>"), F.array().cast("array<string>"),
-                                  F.array().cast("array<string>"), max_input_length).alias("tokens")))
+           .select("qid", F.col("slot").cast("int").alias("slot"), F.lit(-1).alias("idx"), *padding_columns(max_input_length)))
     return real.unionByName(pad)
 
 
 def top_passages(scores: DataFrame, n: int) -> DataFrame:
-    """the n slots with the highest classifier logit per question (ties: lowest slot)."""
-    w = Window.partitionBy("qid").orderBy(F.col("classifier_logit").desc(), F.col("slot").asc())
-    return scores.withColumn("passage_rank", F.row_number().over(w)).where(F.col("passage_rank") <= n)
+    """the slots of the n highest classifier logits per question (ties: lowest slot), all
+    their windows; a passage's logit is its best window's."""
+    whole = Window.partitionBy("qid", "slot")
+    order = Window.partitionBy("qid").orderBy(F.col("_best").desc(), F.col("slot").asc())
+    # Both windows need rows dealt by question only.
+    ranked = (scores.repartition("qid").withColumn("_best", F.max("classifier_logit").over(whole))
+              .withColumn("passage_rank", F.dense_rank().over(order)))
+    return ranked.where(F.col("passage_rank") <= n).drop("_best")
 
 
 def answer_candidates(scores: DataFrame, *, num_passages_to_read: int = 1, num_spans: int = 1,
                       max_answer_length: int = 10, allow_overlap: bool = True) -> DataFrame:
     """F4 -> F5 -> H17 -> H18 -> F6: ranked answer candidates per question.
 
-    score = classifier logit + start logit + end logit (logits of the original
-    span edges); order: score desc, then passage order, then span order."""
+    Spans are found per window; of all windows of a passage its num_spans best stay. score =
+    classifier logit of the window + start logit + end logit (logits of the original span
+    edges); order: score desc, then passage order, then span order. span_start and span_end
+    are places in the window's input, passage_start is the place among the passage's tokens
+    (title, separator, text; null for a span that starts before them)."""
     read = top_passages(scores, num_passages_to_read)
     best = S.best_spans("tokens", "start_logits", "end_logits", num_spans=num_spans,
-                        max_answer_length=max_answer_length, allow_overlap=allow_overlap)
-    cands = (read.select("qid", "slot", "idx", "passage_rank", "tokens", "classifier_logit",
-                         F.posexplode(best).alias("span_rank", "span")))
+                        max_answer_length=max_answer_length, allow_overlap=allow_overlap, first="first", stop="stop")
+    found = read.select("qid", "slot", "idx", "win", "offset", "passage_rank", "q_tokens", "tokens", "classifier_logit",
+                        F.posexplode(best).alias("nth", "span"))
+    total = F.col("classifier_logit") + F.col("span.start_logit") + F.col("span.end_logit")
+    per_passage = Window.partitionBy("qid", "slot").orderBy(total.desc(), F.col("win").asc(), F.col("nth").asc())
+    cands = found.withColumn("span_rank", F.row_number().over(per_passage)).where(F.col("span_rank") <= num_spans)
     texts = S.answer_texts("tokens", F.col("span.start"), F.col("span.end"))
+    place = F.col("span.start") - F.size("q_tokens") - 2 + F.col("offset")
     cands = cands.select(
-        "qid", "slot", "idx", "passage_rank", "span_rank", texts.alias("t"),
+        "qid", "slot", "idx", "win", "passage_rank", "span_rank", texts.alias("t"),
         F.col("classifier_logit").alias("classifier_score"),
         (F.col("span.start_logit") + F.col("span.end_logit")).alias("span_score"),
-        F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
+        F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"),
+        F.when(F.col("span.start") >= F.size("q_tokens") + 2, place).alias("passage_start"))
     cands = cands.withColumn("score", F.col("classifier_score") + F.col("span_score"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("passage_rank").asc(),
                                           F.col("span_rank").asc())
     return cands.withColumn("rank", F.row_number().over(w)).select(
-        "qid", "rank", "slot", "idx", "span_start", "span_end", F.col("t.input_text").alias("input_text"),
+        "qid", "rank", "slot", "idx", "win", "span_start", "span_end", "passage_start", F.col("t.input_text").alias("input_text"),
         F.col("t.answer_text").alias("answer_text"), F.col("t.answer_start").alias("answer_start"),
         F.col("t.answer_end").alias("answer_end"), "score", "classifier_score", "span_score")
 
 
 def classifier_precision(scores: DataFrame, pos_neg: DataFrame) -> DataFrame:
     """D4 per question: is the arg-max slot (padding included, Q10) a positive ctx."""
-    w = Window.partitionBy("qid").orderBy(F.col("classifier_logit").desc(), F.col("slot").asc())
+    w = Window.partitionBy("qid").orderBy(F.col("classifier_logit").desc(), F.col("slot").asc(), F.col("win").asc())
     top = scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("qid", "idx")
     return top.join(pos_neg, "qid", "left").select(
         "qid", F.coalesce(F.array_contains("positive_idxs", F.col("idx")), F.lit(False)).alias("correct"))

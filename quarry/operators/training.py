@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import spans as S
 from quarry.functions.checks import guard
+from quarry.operators import reader as RD
 from quarry.sources.files import with_line_numbers
 
 PASSAGE_TYPE = "struct<id:string,title:string,text:string>"
@@ -201,7 +203,7 @@ def key_indices(examples: DataFrame, key: str = "dataset", order: str = "index",
         .drop("_g", "_g0")
 
 
-# ------------------------------------------------------------------ reader training set
+# ------------------------------------------------------------------ reader training set
 
 def canonical_questions(examples: DataFrame, canonical: DataFrame) -> DataFrame:
     """Replace a question by its canonical form when one is known."""
@@ -209,6 +211,13 @@ def canonical_questions(examples: DataFrame, canonical: DataFrame) -> DataFrame:
         .withColumn("question", F.coalesce("canonical", "question")).drop("canonical")
 
 
+def with_gold(examples: DataFrame, gold: DataFrame) -> DataFrame:
+    """The gold passage of each question as a ctx struct in ``gold`` (null if there is none)."""
+    ctx = F.struct("id", "title", "text", F.lit(None).cast("string").alias("dataset"), F.lit(None).cast("double").alias("score"),
+                   F.lit(None).cast("boolean").alias("has_answer"))
+    return examples.join(gold.select(F.col("key").alias("question"), ctx.alias("gold")), "question", "left")
+
+
 def gold_positives(pos_idxs: Column, ctxs: Column, gold_title: Column, cap: int | None) -> Column:
     """C7 (+B10 positives cap): positives whose title equals the gold title
     (lower-cased); when none does, the first ``cap`` positives."""
@@ -232,20 +241,25 @@ def append_gold_passage(ctxs: Column, pos_idxs: Column, gold: Column, gold_has_s
 
 def reader_training_rows(loaded: DataFrame, examples: DataFrame, *, num_passages: int, seed: int = 0,
                          epoch: int = 0, max_positives: int | None = None, max_negatives: int | None = None,
-                         gold: DataFrame | None = None) -> DataFrame:
-    """B11 lists -> C7 -> B10 caps -> B8 -> I6 -> I8: training slots per question.
-
-    loaded: ctx_slots output (qid, idx, ctx, is_positive, is_negative, tokens, spans).
-    Slot 0 holds a seeded-random positive, then seeded-shuffled negatives up to
-    num_passages, then padding (idx -1). Returns (qid, slot, idx)."""
+                         max_load_passages: int | None = None, gold: DataFrame | None = None,
+                         include_gold: bool = False) -> DataFrame:
+    """B11 lists -> C7 -> B10 caps -> C8 -> B8 -> I6 -> I8: training slots per question.
+
+    loaded: `ctx_slots` output; with ``include_gold`` it was made from examples with a
+    ``gold`` column (`with_gold`). Slot 0 holds a seeded-random positive, then
+    seeded-shuffled negatives up to num_passages, then padding (idx -1). Returns
+    (qid, slot, idx)."""
     lists = loaded.groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_positive"), F.col("idx")))).alias("pos"),
-        F.array_sort(F.collect_list(F.when(F.col("is_negative"), F.col("idx")))).alias("neg"))
-    ex = examples.select("qid", "question", "ctxs").join(lists, "qid", "left")
+        F.array_sort(F.collect_set(F.when(F.col("is_positive"), F.col("idx")))).alias("pos"),
+        F.array_sort(F.collect_set(F.when(F.col("is_negative"), F.col("idx")))).alias("neg"),
+        F.coalesce(F.bool_or(F.col("is_gold") & (F.size("spans") > 0)), F.lit(False)).alias("gold_span"))
+    ctxs = F.col("ctxs") if max_load_passages is None else F.slice("ctxs", 1, max_load_passages)
+    ex = examples.select("qid", "question", ctxs.alias("ctxs")).join(lists, "qid", "left")
     if gold is not None:
-        g = gold.select(F.col("key").alias("question"), F.col("title").alias("gold_title"))
-        ex = ex.join(g, "question", "left")
-        pos = gold_positives(F.col("pos"), F.col("ctxs"), F.col("gold_title"), max_positives)
+        ex = with_gold(ex, gold)
+        pos = gold_positives(F.col("pos"), F.col("ctxs"), F.col("gold.title"), max_positives)
+        if include_gold:
+            pos = append_gold_passage(F.col("ctxs"), pos, F.col("gold"), F.col("gold_span"))["positive_idxs"]
     else:
         pos = F.col("pos") if max_positives is None else F.slice("pos", 1, max_positives)
     neg = F.col("neg") if max_negatives is None else F.slice("neg", 1, max_negatives)
@@ -258,6 +272,39 @@ def reader_training_rows(loaded: DataFrame, examples: DataFrame, *, num_passages
         "qid", F.col("slot").cast("int").alias("slot"), F.col("idx").cast("int").alias("idx"))
 
 
+def reader_training_table(examples: DataFrame, *, num_passages: int, max_input_length: int, max_answer_length: int = 10,
+                          max_answer_spans: int = 8, max_load_passages: int | None = None, max_positives: int | None = None,
+                          max_negatives: int | None = None, gold: DataFrame | None = None, canonical: DataFrame | None = None,
+                          include_gold: bool = False, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """B9 -> B10 -> H19/H20 -> B11 -> C7 -> C8 -> B8 -> I6 -> H21 -> I8 in one plan.
+
+    Returns a row per slot: qid, slot, idx, win, pid, q_tokens, tokens, spans and
+    starts/ends/mask padded to max_answer_spans. Of a passage's windows a slot takes one by
+    seed and epoch, the positive's slot one that has an answer span, so that over the
+    epochs the whole text is read. `training_batches` nests the slots per question."""
+    if canonical is not None:
+        examples = canonical_questions(examples, canonical)
+    asked = with_gold(examples, gold) if gold is not None and include_gold else examples
+    loaded = RD.ctx_slots(asked, max_load_passages=max_load_passages, max_input_length=max_input_length,
+                          max_answer_length=max_answer_length)
+    rows = reader_training_rows(loaded, examples, num_passages=num_passages, seed=seed, epoch=epoch, max_positives=max_positives,
+                                max_negatives=max_negatives, max_load_passages=max_load_passages, gold=gold, include_gold=include_gold)
+    fits = rows.join(loaded, ["qid", "idx"]).where((F.col("slot") > 0) | (F.size("spans") > 0))
+    draw = Window.partitionBy("qid", "slot").orderBy(seeded_hash(seed, epoch, "rwin", F.col("qid"), F.col("idx"), F.col("win")), F.col("win"))
+    columns = ["qid", "slot", "idx", "win", "offset", "first", "stop", "pid", "q_tokens", "tokens", "spans"]
+    real = fits.withColumn("_draw", F.row_number().over(draw)).where(F.col("_draw") == 1).select(*columns)
+    none = F.array().cast(loaded.schema["spans"].dataType).alias("spans")
+    pad = rows.where(F.col("idx") < 0).select("qid", "slot", "idx", *RD.padding_columns(max_input_length), none)
+    table = real.unionByName(pad).withColumn("_spans", S.pad_spans("spans", max_answer_spans))
+    return table.select(*columns, "_spans.*")
+
+
+def training_batches(table: DataFrame) -> DataFrame:
+    """(qid, inputs): the slots of each question as one array, in slot order."""
+    inputs = F.array_sort(F.collect_list(F.struct("slot", "idx", "win", "pid", "tokens", "starts", "ends", "mask")))
+    return table.groupBy("qid").agg(inputs.alias("inputs"))
+
+
 def dataset_sizes(examples: DataFrame, key: str = "dataset") -> DataFrame:
     """Examples per dataset key plus the total (key null)."""
     return examples.rollup(key).agg(F.count(F.lit(1)).cast("bigint").alias("n_examples"))

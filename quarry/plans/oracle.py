@@ -275,17 +275,31 @@ FROM tmatch"""
 
 
 # ---------------------------------------------------------------- reader
-NUM_PASSAGES, MAX_LOAD, MAX_LEN, MAX_ANS = 8, 20, 64, 10
+NUM_PASSAGES, MAX_LOAD, MAX_LEN, MAX_ANS = 8, 20, 350, 10
 
 
-def reader_input(q: str, title: str, text: str) -> str:
-    passage = f"({tokens(title)} || ['[SEP]'] || {tokens(text)})"
-    budget = f"greatest(0, {MAX_LEN} - len({q}) - 3)"
-    body = f"(['[CLS]'] || {q} || ['[SEP]'] || {passage}[1:{budget}] || ['[SEP]'])"
+def padded_input(q: str, part: str) -> str:
+    body = f"(['[CLS]'] || {q} || ['[SEP]'] || {part} || ['[SEP]'])"
     return f"({body} || list_transform(range(0, greatest(0, {MAX_LEN} - len({body}))), lambda i: '[PAD]'))"
 
 
 PAD_TOKENS = f"(['[CLS]', '[SEP]', '[SEP]', '[SEP]'] || list_transform(range(0, {MAX_LEN - 4}), lambda i: '[PAD]'))"
+PAD_WINDOW = f"0 AS win, 0 AS first, {MAX_LEN} AS stop"
+
+
+def windows(name: str, source: str) -> str:
+    """CTEs ending in `name`: `source` (title, text, q_tokens, overlap, ...) by window (win, "offset", first, stop, tokens)."""
+    return f"""
+{name}_p AS MATERIALIZED (SELECT * EXCLUDE (title, text), ({tokens("coalesce(title, '')")} || ['[SEP]'] || {tokens("coalesce(text, '')")}) AS p,
+             greatest(0, {MAX_LEN} - len(q_tokens) - 3) AS room FROM {source}),
+{name}_s AS (SELECT *, greatest(1, room - least(overlap, room - 1)) AS stride FROM {name}_p),
+{name}_l AS (SELECT *, CASE WHEN len(p) <= room OR room = 0 THEN 0 ELSE ceil((len(p) - room) / stride)::INT END AS last FROM {name}_s),
+{name}_w AS (SELECT * EXCLUDE (p), unnest(list_transform(range(0, last + 1), lambda w:
+               {{'win': w, 'part': p[w * stride + 1 : w * stride + room]}})) AS w FROM {name}_l),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (w), w.win::INT AS win, (w.win * stride)::INT AS "offset",
+               CASE WHEN w.win = 0 THEN 0 ELSE len(q_tokens) + 2 END AS first,
+               CASE WHEN w.win = last THEN greatest({MAX_LEN}, len(q_tokens) + 3) ELSE len(q_tokens) + 2 + stride END AS stop,
+               {padded_input('q_tokens', 'w.part')} AS tokens FROM {name}_w)"""
 
 
 def answer_spans(tok: str, a_tokens: str) -> str:
@@ -308,8 +322,8 @@ def logits(pid: str, tok: str, q: str, mul: int, add: int, mod: int) -> str:
             f"+ CASE WHEN list_contains({q}, t) THEN 5 ELSE 0 END)::DOUBLE)")
 
 
-def ranked_spans(st: str, en: str) -> str:
-    return (f"list_sort(flatten(list_transform(range(0, len({st})), lambda s: "
+def ranked_spans(st: str, en: str, first: str = "first", stop: str = "stop") -> str:
+    return (f"list_sort(flatten(list_transform(range({first}, least({stop}, len({st}))), lambda s: "
             f"list_transform(range(s, least(s + {MAX_ANS}, len({st}))), lambda e: "
             f"{{'neg': -({st}[s + 1] + {en}[e + 1]), 'start': s, 'end': e, "
             f"'sl': {st}[s + 1], 'el': {en}[e + 1]}}))))")
@@ -327,43 +341,48 @@ def detok(xs: str) -> str:
     return f"trim(replace(array_to_string({xs}, ' '), ' ##', ''))"
 
 
+SCORES = f"""*, (((pid % 23) + 23) % 23 + len(list_intersect(q_tokens, tokens)))::DOUBLE AS classifier_logit,
+                  {logits('pid', 'tokens', 'q_tokens', 7, 13, 17)} AS start_logits,
+                  {logits('pid', 'tokens', 'q_tokens', 11, 5, 19)} AS end_logits"""
+
 READER = f"""
 WITH {text_hits(20, 100)},
-qtok AS (SELECT qid, {tokens("rtrim(question, '?')")} AS q_tokens,
-                list_transform(answers, lambda a: {tokens('a')}) AS a_tokens, answers FROM qs),
+qtok AS (SELECT *, greatest({MAX_ANS}, coalesce(list_max(list_transform(a_tokens, lambda a: len(a))), 0)) - 1 AS overlap FROM (
+           SELECT qid, {tokens("rtrim(question, '?')")} AS q_tokens,
+                  list_transform(answers, lambda a: {tokens('a')}) AS a_tokens, answers FROM qs)),
 ctx AS (SELECT f.qid, (f.rank - 1)::INT AS idx, f.id AS pid, p.title, p.text, f.has_answer
         FROM tflag f JOIN ps p ON p.id = f.id WHERE f.rank <= {MAX_LOAD}),
-loaded0 AS (SELECT c.qid, c.idx, c.pid, c.has_answer, t.q_tokens, t.a_tokens,
-                   {reader_input('t.q_tokens', 'c.title', 'c.text')} AS tokens
-            FROM ctx c JOIN qtok t ON t.qid = c.qid),
+asked AS (SELECT c.*, t.q_tokens, t.a_tokens, t.overlap FROM ctx c JOIN qtok t ON t.qid = c.qid),
+{windows('loaded0', 'asked')},
 loaded AS (SELECT *, {answer_spans('tokens', 'a_tokens')} AS spans FROM loaded0),
 flags AS (SELECT *, coalesce(has_answer, false) AND len(spans) > 0 AS is_positive,
                  NOT coalesce(has_answer, false) AS is_negative FROM loaded),
 posneg AS (SELECT t.qid,
-                  coalesce(list_sort(list(f.idx) FILTER (WHERE f.is_positive)), []) AS positive_idxs,
-                  coalesce(list_sort(list(f.idx) FILTER (WHERE f.is_negative)), []) AS negative_idxs
+                  coalesce(list_sort(list(DISTINCT f.idx) FILTER (WHERE f.is_positive)), []) AS positive_idxs,
+                  coalesce(list_sort(list(DISTINCT f.idx) FILTER (WHERE f.is_negative)), []) AS negative_idxs
            FROM qtok t LEFT JOIN flags f ON f.qid = t.qid GROUP BY t.qid),
 nload AS (SELECT t.qid, count(c.idx) AS n FROM qtok t LEFT JOIN ctx c ON c.qid = t.qid GROUP BY t.qid),
-slots AS (SELECT qid, idx AS slot, idx, pid, q_tokens, tokens FROM loaded WHERE idx < {NUM_PASSAGES}
+slots AS (SELECT qid, idx AS slot, idx, win, first, stop, "offset", pid, q_tokens, tokens FROM loaded WHERE idx < {NUM_PASSAGES}
           UNION ALL
-          SELECT qid, s AS slot, -1 AS idx, -1 AS pid, []::VARCHAR[] AS q_tokens, {PAD_TOKENS} AS tokens
+          SELECT qid, s AS slot, -1 AS idx, {PAD_WINDOW}, 0 AS "offset", -1 AS pid, []::VARCHAR[] AS q_tokens, {PAD_TOKENS} AS tokens
           FROM (SELECT qid, unnest(range(n::INT, {NUM_PASSAGES})) AS s FROM nload)),
-scores AS (SELECT *, (((pid % 23) + 23) % 23 + len(list_intersect(q_tokens, tokens)))::DOUBLE AS classifier_logit,
-                  {logits('pid', 'tokens', 'q_tokens', 7, 13, 17)} AS start_logits,
-                  {logits('pid', 'tokens', 'q_tokens', 11, 5, 19)} AS end_logits FROM slots)"""
+scores AS MATERIALIZED (SELECT {SCORES} FROM slots)"""
 
 
 def candidates(n_read: int, n_spans: int) -> str:
     return f""",
-readp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY classifier_logit DESC, slot) AS passage_rank
-          FROM scores QUALIFY passage_rank <= {n_read}),
-sp AS (SELECT qid, slot, idx, passage_rank, tokens, classifier_logit,
-              unnest({ranked_spans('start_logits', 'end_logits')}[1:{n_spans}]) AS s,
-              generate_subscripts({ranked_spans('start_logits', 'end_logits')}[1:{n_spans}], 1) AS span_rank
-       FROM readp),
+bestw AS (SELECT *, max(classifier_logit) OVER (PARTITION BY qid, slot) AS best_logit FROM scores),
+readp AS (SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY best_logit DESC, slot) AS passage_rank
+          FROM bestw QUALIFY passage_rank <= {n_read}),
+tops AS MATERIALIZED (SELECT * EXCLUDE (start_logits, end_logits), {ranked_spans('start_logits', 'end_logits')}[1:{n_spans}] AS found FROM readp),
+sp0 AS (SELECT qid, slot, idx, win, "offset", passage_rank, q_tokens, tokens, classifier_logit,
+               unnest(found) AS s, generate_subscripts(found, 1) AS nth FROM tops),
+sp AS (SELECT *, row_number() OVER (PARTITION BY qid, slot ORDER BY classifier_logit + s.sl + s.el DESC, win, nth) AS span_rank
+       FROM sp0 QUALIFY span_rank <= {n_spans}),
 tx AS (SELECT *, {detok('tokens')} AS input_text, {detok('tokens[1:s.start]')} AS left_text,
               {detok('tokens[s.start + 1 : s.end + 1]')} AS answer_text FROM sp),
-cands AS (SELECT qid, slot, idx, s.start AS span_start, s."end" AS span_end, input_text, answer_text,
+cands AS (SELECT qid, slot, idx, win, s.start AS span_start, s."end" AS span_end, input_text, answer_text,
+                 CASE WHEN s.start >= len(q_tokens) + 2 THEN s.start - len(q_tokens) - 2 + "offset" END AS passage_start,
                  CASE WHEN instr(substring(input_text, length(left_text) + 1), answer_text) = 0 THEN -1
                       ELSE instr(substring(input_text, length(left_text) + 1), answer_text) + length(left_text) - 1
                  END AS answer_start,
@@ -374,7 +393,7 @@ cands AS (SELECT qid, slot, idx, s.start AS span_start, s."end" AS span_end, inp
           FROM tx)"""
 
 
-CAND_COLS = """qid, rank::BIGINT AS rank, slot::BIGINT AS slot, span_start::BIGINT AS span_start,
+CAND_COLS = """qid, rank::BIGINT AS rank, slot::BIGINT AS slot, win::BIGINT AS win, passage_start::BIGINT AS passage_start, span_start::BIGINT AS span_start,
        span_end::BIGINT AS span_end, answer_text, answer_start::BIGINT AS answer_start,
        (answer_start + length(answer_text))::BIGINT AS answer_end, round(score, 6) AS score,
        round(classifier_score, 6) AS classifier_score, round(span_score, 6) AS span_score"""
@@ -388,28 +407,29 @@ SELECT q.qid, count(f.id)::BIGINT AS n_ctxs,
 FROM qs q LEFT JOIN tflag f ON f.qid = q.qid GROUP BY q.qid"""
 
 SQL["h19_reader_input"] = READER + """
-SELECT qid, slot::BIGINT AS slot, idx::BIGINT AS idx, array_to_string(tokens, ' ') AS tokens FROM slots"""
+SELECT qid, slot::BIGINT AS slot, idx::BIGINT AS idx, win::BIGINT AS win, array_to_string(tokens, ' ') AS tokens FROM slots"""
 
 SQL["h20_answer_spans"] = READER + f"""
-SELECT qid, idx::BIGINT AS idx, {spans_str('spans')} AS spans FROM loaded"""
+SELECT qid, idx::BIGINT AS idx, win::BIGINT AS win, {spans_str('spans')} AS spans FROM loaded"""
 
 SQL["b11_positive_negative"] = READER + f"""
 SELECT qid, {ints_str('positive_idxs')} AS positive_idxs, {ints_str('negative_idxs')} AS negative_idxs FROM posneg"""
 
 SQL["j3_reader_logits"] = READER + f"""
-SELECT qid, slot::BIGINT AS slot, classifier_logit, {ints_str('start_logits')} AS start_logits,
+SELECT qid, slot::BIGINT AS slot, win::BIGINT AS win, classifier_logit, {ints_str('start_logits')} AS start_logits,
        {ints_str('end_logits')} AS end_logits FROM scores"""
 
 SQL["f4_passages_to_read"] = READER + """
 SELECT qid, passage_rank::BIGINT AS passage_rank, slot::BIGINT AS slot, idx::BIGINT AS idx FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY classifier_logit DESC, slot) AS passage_rank FROM scores)
+  SELECT qid, slot, idx, row_number() OVER (PARTITION BY qid ORDER BY max(classifier_logit) DESC, slot) AS passage_rank
+  FROM scores GROUP BY qid, slot, idx)
 WHERE passage_rank <= 3"""
 
-SQL["f5_best_spans"] = READER + f"""
-SELECT qid, slot::BIGINT AS slot,
-       {spans_str(ranked_spans('start_logits', 'end_logits') + '[1:3]')} AS spans_overlap,
-       {spans_str(greedy_spans(ranked_spans('start_logits', 'end_logits'), 3))} AS spans_nested_off
-FROM scores"""
+SQL["f5_best_spans"] = READER + f""",
+ranked AS MATERIALIZED (SELECT qid, slot, win, {ranked_spans('start_logits', 'end_logits')} AS found FROM scores)
+SELECT qid, slot::BIGINT AS slot, win::BIGINT AS win, {spans_str('found[1:3]')} AS spans_overlap,
+       {spans_str(greedy_spans('found', 3))} AS spans_nested_off
+FROM ranked"""
 
 SQL["f6_answer_candidates"] = READER + candidates(2, 2) + f"\nSELECT {CAND_COLS} FROM cands"
 
@@ -420,7 +440,7 @@ SELECT qid, trim(replace(replace(replace(replace(replace(replace(replace({_HL},
   '``', '')) AS highlighted FROM cands"""
 
 SQL["d4_classifier_precision"] = READER + """,
-top AS (SELECT qid, idx FROM scores QUALIFY row_number() OVER (PARTITION BY qid ORDER BY classifier_logit DESC, slot) = 1)
+top AS (SELECT qid, idx FROM scores QUALIFY row_number() OVER (PARTITION BY qid ORDER BY classifier_logit DESC, slot, win) = 1)
 SELECT round(avg(CASE WHEN list_contains(p.positive_idxs, t.idx) THEN 1.0 ELSE 0.0 END), 6) AS classifier_precision,
        count(*)::BIGINT AS n_questions
 FROM top t JOIN posneg p ON p.qid = t.qid"""
@@ -443,13 +463,10 @@ def p6_sql(questions: str = QUESTIONS) -> str:
     return f"""
 WITH {text_hits(10, 100, questions)},
 qtok AS (SELECT qid, {tokens("rtrim(question, '?')")} AS q_tokens FROM qs),
-slots AS (SELECT h.qid, (h.rank - 1)::INT AS slot, (h.rank - 1)::INT AS idx, h.id AS pid, t.q_tokens,
-                 {reader_input('t.q_tokens', 'h.title', 'h.text')} AS tokens
+asked AS (SELECT h.qid, (h.rank - 1)::INT AS slot, (h.rank - 1)::INT AS idx, h.id AS pid, t.q_tokens, h.title, h.text, {MAX_ANS - 1} AS overlap
           FROM thits h JOIN qtok t ON t.qid = h.qid),
-scores AS (SELECT *, (((pid % 23) + 23) % 23 + len(list_intersect(q_tokens, tokens)))::DOUBLE AS classifier_logit,
-                  {logits('pid', 'tokens', 'q_tokens', 7, 13, 17)} AS start_logits,
-                  {logits('pid', 'tokens', 'q_tokens', 11, 5, 19)} AS end_logits FROM slots)""" + candidates(3, 1) + \
-        f"\nSELECT {CAND_COLS} FROM cands"
+{windows('slots', 'asked')},
+scores AS MATERIALIZED (SELECT {SCORES} FROM slots)""" + candidates(3, 1) + f"\nSELECT {CAND_COLS} FROM cands"
 
 
 SQL["p6_batch_qa"] = p6_sql()
@@ -586,36 +603,38 @@ WITH o AS (SELECT doc_id AS index, row_number() OVER (ORDER BY {H("5", "2", "doc
 m AS (SELECT index, pos // 2 AS p FROM o WHERE pos % 2 = 0)
 SELECT index, (p // 6)::BIGINT AS batch_id, (p % 6)::BIGINT AS batch_pos FROM m"""
 
-TRAIN = READER + f""",
-lists AS (SELECT qid, coalesce(list_sort(list(idx) FILTER (WHERE is_positive)), [])[1:3] AS pos,
-                 coalesce(list_sort(list(idx) FILTER (WHERE is_negative)), [])[1:10] AS neg
-          FROM flags GROUP BY qid),
+def train(lists: str, flags: str = "flags", spans: int = 3) -> str:
+    """CTEs from `lists` (qid, pos, neg) to tscores (a row per slot, its window drawn) and padded (slot 0's spans)."""
+    pads = "list_transform(range(0, greatest(0, 4 - len(b))), lambda i: -1)"
+
+    def padded(value: str, fill: str = "0") -> str:
+        return f"list_transform(spans[1:{spans}], lambda s: {value}) || list_transform(range(0, {spans} - len(spans[1:{spans}])), lambda i: {fill})"
+
+    return f""",
+{lists},
 body AS (SELECT qid, [pos[({H("9", "0", "'rpos'", "qid")} % len(pos)) + 1]] ||
                      {shuffled('neg', "9", "0", "'rneg'", "qid")}[1:3] AS b
          FROM lists WHERE len(pos) > 0),
-tslots AS (SELECT qid, unnest(b || list_transform(range(0, greatest(0, 4 - len(b))), lambda i: -1)) AS idx,
-                  generate_subscripts(b || list_transform(range(0, greatest(0, 4 - len(b))), lambda i: -1), 1) - 1
-                    AS slot
-           FROM body),
-trows AS (SELECT t.qid, t.slot, t.idx, coalesce(f.pid, -1) AS pid, coalesce(f.q_tokens, []::VARCHAR[]) AS q_tokens,
-                 coalesce(f.tokens, {PAD_TOKENS}) AS tokens, coalesce(f.spans, []) AS spans
-          FROM tslots t LEFT JOIN flags f ON f.qid = t.qid AND f.idx = t.idx),
-tscores AS (SELECT *, (((pid % 23) + 23) % 23 + len(list_intersect(q_tokens, tokens)))::DOUBLE AS classifier_logit,
-                   {logits('pid', 'tokens', 'q_tokens', 7, 13, 17)} AS start_logits,
-                   {logits('pid', 'tokens', 'q_tokens', 11, 5, 19)} AS end_logits FROM trows),
-padded AS (SELECT qid, start_logits, end_logits,
-                  list_transform(spans[1:3], lambda s: s.start) || list_transform(range(0, 3 - len(spans[1:3])), lambda i: 0)
-                    AS starts,
-                  list_transform(spans[1:3], lambda s: s.end) || list_transform(range(0, 3 - len(spans[1:3])), lambda i: 0)
-                    AS ends,
-                  list_transform(spans[1:3], lambda s: 1) || list_transform(range(0, 3 - len(spans[1:3])), lambda i: 0)
-                    AS mask
-           FROM tscores WHERE slot = 0)"""
+tslots AS (SELECT qid, unnest(b || {pads}) AS idx, generate_subscripts(b || {pads}, 1) - 1 AS slot FROM body),
+trows AS (SELECT t.qid, t.slot, t.idx, f.win, f.pid, f.q_tokens, f.tokens, f.spans
+          FROM tslots t JOIN {flags} f ON f.qid = t.qid AND f.idx = t.idx WHERE t.slot > 0 OR len(f.spans) > 0
+          QUALIFY row_number() OVER (PARTITION BY t.qid, t.slot ORDER BY {H("9", "0", "'rwin'", "t.qid", "t.idx", "f.win")}, f.win) = 1
+          UNION ALL
+          SELECT qid, slot, idx, 0 AS win, -1 AS pid, []::VARCHAR[] AS q_tokens, {PAD_TOKENS} AS tokens, [] AS spans FROM tslots WHERE idx < 0),
+tscores AS (SELECT {SCORES} FROM trows),
+padded AS (SELECT qid, slot, start_logits, end_logits, {padded('s.start')} AS starts, {padded('s.end')} AS ends, {padded('1')} AS mask
+           FROM tscores)"""
+
+
+_LISTS = """lists AS (SELECT qid, coalesce(list_sort(list(DISTINCT idx) FILTER (WHERE is_positive)), [])[1:3] AS pos,
+                 coalesce(list_sort(list(DISTINCT idx) FILTER (WHERE is_negative)), [])[1:10] AS neg
+          FROM flags GROUP BY qid)"""
+TRAIN = READER + train(_LISTS)
 
 SQL["i6_reader_training_slots"] = TRAIN + "\nSELECT qid, slot::BIGINT AS slot, idx::BIGINT AS idx FROM tslots"
 
 SQL["h21_padded_spans"] = TRAIN + f"""
-SELECT qid, {ints_str('starts')} AS starts, {ints_str('ends')} AS ends, {ints_str('mask')} AS mask FROM padded"""
+SELECT qid, {ints_str('starts')} AS starts, {ints_str('ends')} AS ends, {ints_str('mask')} AS mask FROM padded WHERE slot = 0"""
 
 SQL["d12_classifier_loss"] = TRAIN + """,
 z AS (SELECT qid, slot, CASE WHEN idx >= 0 THEN classifier_logit ELSE -1e8 END AS z FROM tscores),
@@ -633,7 +652,7 @@ def log_softmax_at(arr: str, pos: str) -> str:
 SQL["d13_span_loss"] = TRAIN + f""",
 probs AS (SELECT qid, list_sum(list_transform(range(1, 4), lambda j: CASE WHEN mask[j] = 1 THEN
             exp({log_softmax_at('start_logits', 'starts[j]')} + {log_softmax_at('end_logits', 'ends[j]')})
-            ELSE 0.0 END)) AS total FROM padded)
+            ELSE 0.0 END)) AS total FROM padded WHERE slot = 0)
 SELECT round(sum(-ln(total)), 6) AS span_loss FROM probs"""
 
 
@@ -675,8 +694,8 @@ SELECT DISTINCT md5(k) AS key_md5, id, md5(title) AS title_md5 FROM (
 
 SQL["b9_canonical_question"] = "SELECT item_id AS qid, md5(text) AS q_md5 FROM benchmark"
 
-_C7_LISTS = f"""lists0 AS (SELECT qid, coalesce(list_sort(list(idx) FILTER (WHERE is_positive)), []) AS pos_all,
-                 coalesce(list_sort(list(idx) FILTER (WHERE is_negative)), [])[1:10] AS neg
+_C7_LISTS = f"""lists0 AS (SELECT qid, coalesce(list_sort(list(DISTINCT idx) FILTER (WHERE is_positive)), []) AS pos_all,
+                 coalesce(list_sort(list(DISTINCT idx) FILTER (WHERE is_negative)), [])[1:10] AS neg
           FROM flags GROUP BY qid),
 titles AS (SELECT qid, list(title ORDER BY idx) AS titles FROM ctx GROUP BY qid),{GOLD_TOP},
 lists AS (SELECT l.qid,
@@ -684,16 +703,44 @@ lists AS (SELECT l.qid,
                   AND len(list_filter(l.pos_all, lambda i: lower(t.titles[i + 1]) = lower(g.title))) > 0
                  THEN list_filter(l.pos_all, lambda i: lower(t.titles[i + 1]) = lower(g.title))
                  ELSE l.pos_all[1:3] END AS pos, l.neg
-          FROM lists0 l JOIN titles t ON t.qid = l.qid LEFT JOIN gtop g ON g.qid = l.qid),"""
-_TRAIN_LISTS = TRAIN[TRAIN.index("lists AS ("):TRAIN.index("body AS (")]
-SQL["c7_gold_positives"] = TRAIN.replace(_TRAIN_LISTS, _C7_LISTS + "\n") + \
-    "\nSELECT qid, slot::BIGINT AS slot, idx::BIGINT AS idx FROM tslots"
+          FROM lists0 l JOIN titles t ON t.qid = l.qid LEFT JOIN gtop g ON g.qid = l.qid)"""
+SQL["c7_gold_positives"] = READER + train(_C7_LISTS) + "\nSELECT qid, slot::BIGINT AS slot, idx::BIGINT AS idx FROM tslots"
+
+# The question's own text is its gold passage, behind the loaded ones.
+_C8_LISTS = f"""gold AS (SELECT t.qid, n.n AS idx, 1000000 + t.qid AS pid, 'item' AS title, q.question AS text, t.q_tokens, t.a_tokens, t.overlap
+          FROM qtok t JOIN qs q ON q.qid = t.qid JOIN nload n ON n.qid = t.qid),
+{windows('gold0', 'gold')},
+goldw AS (SELECT *, {answer_spans('tokens', 'a_tokens')} AS spans FROM gold0),
+allw AS (SELECT qid, idx, win, pid, q_tokens, tokens, spans FROM flags UNION ALL SELECT qid, idx, win, pid, q_tokens, tokens, spans FROM goldw),
+gspan AS (SELECT qid, max(idx) AS gidx, bool_or(len(spans) > 0) AS has FROM goldw GROUP BY qid),
+lists AS (SELECT p.qid, p.positive_idxs[1:3] || CASE WHEN g.has THEN [g.gidx] ELSE [] END AS pos, p.negative_idxs[1:10] AS neg
+          FROM posneg p JOIN gspan g ON g.qid = p.qid)"""
+_P8 = READER + train(_C8_LISTS, "allw", spans=8)
+SQL["c8_gold_passage"] = _P8 + "\nSELECT qid, slot::BIGINT AS slot, idx::BIGINT AS idx FROM tslots"
+SQL["p8_reader_training_table"] = _P8 + f"""
+SELECT t.qid, t.slot::BIGINT AS slot, t.idx::BIGINT AS idx, t.win::BIGINT AS win, md5(array_to_string(t.tokens, ' ')) AS tokens_md5,
+       {ints_str('p.starts')} AS starts, {ints_str('p.ends')} AS ends, {ints_str('p.mask')} AS mask
+FROM tscores t JOIN padded p ON p.qid = t.qid AND p.slot = t.slot"""
+
+SQL["p5_gold_file"] = SQL["d5_answer_accuracy"]
 
 SQL["h22_encoder_input"] = f"""
 WITH t AS (SELECT doc_id AS id, {tokens("split_part(text, chr(10), 1)")} AS tt, {tokens('text')} AS xt FROM documents)
 SELECT id, array_to_string(['[CLS]'] || tt || ['[SEP]'] || xt[1:greatest(0, 32 - len(tt) - 3)] || ['[SEP]'], ' ')
          AS tokens FROM t"""
 
+SQL["h22_question_input"] = f"""
+WITH t AS (SELECT item_id AS qid, {tokens("rtrim(text, '?')")} AS qt FROM benchmark)
+SELECT qid, array_to_string(['[CLS]'] || qt[1:14] || ['[SEP]'], ' ') AS tokens FROM t"""
+
+_QV_LIMITED = f"""(SELECT item_id AS qid, array_to_string({tokens("rtrim(text, '?')")}[1:14], ' ') AS qtext FROM benchmark)"""
+_PV_LIMITED = f"""(SELECT id, array_to_string(tt || xt[1:greatest(0, 256 - len(tt) - 3)], ' ') AS ptext FROM (
+  SELECT id, {tokens("coalesce(title, '')")} AS tt, {tokens("coalesce(text, '')")} AS xt FROM {PASSAGES}))"""
+SQL["j1_limited_questions"] = f"""
+SELECT qid, array_to_string(list_transform(embedding, lambda x: x::INT::VARCHAR), ',') AS vec FROM {encoded(_QV_LIMITED, "qid", "qtext")}"""
+SQL["j2_limited_passages"] = f"""
+SELECT id, array_to_string(list_transform(embedding, lambda x: x::INT::VARCHAR), ',') AS vec FROM {encoded(_PV_LIMITED, "id", "ptext")}"""
+
 SQL["d14_merge_shards"] = SQL["d4_classifier_precision"]
 
 

@@ -245,14 +245,15 @@ def h19_reader_input(spark, sf):
     slots = RD.eval_slots(_examples(spark, sf), num_passages=RG.NUM_PASSAGES,
                           max_load_passages=RG.MAX_LOAD_PASSAGES, max_input_length=RG.MAX_INPUT_LENGTH)
     return slots.select("qid", F.col("slot").cast("bigint").alias("slot"), F.col("idx").cast("bigint").alias("idx"),
-                        F.array_join("tokens", " ").alias("tokens"))
+                        F.col("win").cast("bigint").alias("win"), F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("h20_answer_spans")
 def h20_answer_spans(spark, sf):
     rows = RD.ctx_slots(_examples(spark, sf), max_load_passages=RG.MAX_LOAD_PASSAGES,
                         max_input_length=RG.MAX_INPUT_LENGTH)
-    return rows.select("qid", F.col("idx").cast("bigint").alias("idx"), _spans_str("spans").alias("spans"))
+    return rows.select("qid", F.col("idx").cast("bigint").alias("idx"), F.col("win").cast("bigint").alias("win"),
+                       _spans_str("spans").alias("spans"))
 
 
 @query("h4_sublist_positions")
@@ -283,14 +284,14 @@ def _scores(spark, sf):
 @query("j3_reader_logits")
 def j3_reader_logits(spark, sf):
     s = _scores(spark, sf)
-    return s.select("qid", F.col("slot").cast("bigint").alias("slot"),
+    return s.select("qid", F.col("slot").cast("bigint").alias("slot"), F.col("win").cast("bigint").alias("win"),
                     F.col("classifier_logit").alias("classifier_logit"),
                     _ints("start_logits").alias("start_logits"), _ints("end_logits").alias("end_logits"))
 
 
 @query("f4_passages_to_read")
 def f4_passages_to_read(spark, sf):
-    top = RD.top_passages(_scores(spark, sf), 3)
+    top = RD.top_passages(_scores(spark, sf), 3).where(F.col("win") == 0)
     return top.select("qid", F.col("passage_rank").cast("bigint").alias("passage_rank"),
                       F.col("slot").cast("bigint").alias("slot"), F.col("idx").cast("bigint").alias("idx"))
 
@@ -298,16 +299,15 @@ def f4_passages_to_read(spark, sf):
 @query("f5_best_spans")
 def f5_best_spans(spark, sf):
     s = _scores(spark, sf)
-    return s.select("qid", F.col("slot").cast("bigint").alias("slot"),
-                    _spans_str(SP.best_spans("tokens", "start_logits", "end_logits", num_spans=3,
-                                             max_answer_length=RG.MAX_ANSWER_LENGTH)).alias("spans_overlap"),
-                    _spans_str(SP.best_spans("tokens", "start_logits", "end_logits", num_spans=3,
-                                             max_answer_length=RG.MAX_ANSWER_LENGTH,
-                                             allow_overlap=False)).alias("spans_nested_off"))
+    found = {name: _spans_str(SP.best_spans("tokens", "start_logits", "end_logits", num_spans=3, max_answer_length=RG.MAX_ANSWER_LENGTH,
+                                            allow_overlap=overlap, first="first", stop="stop")).alias(name)
+             for name, overlap in (("spans_overlap", True), ("spans_nested_off", False))}
+    return s.select("qid", F.col("slot").cast("bigint").alias("slot"), F.col("win").cast("bigint").alias("win"), *found.values())
 
 
 def _cand_cols(c):
     return c.select("qid", F.col("rank").cast("bigint").alias("rank"), F.col("slot").cast("bigint").alias("slot"),
+                    F.col("win").cast("bigint").alias("win"), F.col("passage_start").cast("bigint").alias("passage_start"),
                     F.col("span_start").cast("bigint").alias("span_start"),
                     F.col("span_end").cast("bigint").alias("span_end"), "answer_text",
                     F.col("answer_start").cast("bigint").alias("answer_start"),
@@ -581,38 +581,29 @@ def i9_plain_batches(spark, sf):
 READER_TRAIN_PASSAGES = 4
 
 
-def _reader_training(spark, sf, gold=None):
-    ex = _examples(spark, sf)
-    loaded = RD.ctx_slots(ex, max_load_passages=RG.MAX_LOAD_PASSAGES, max_input_length=RG.MAX_INPUT_LENGTH)
-    rows = TR.reader_training_rows(loaded, ex, num_passages=READER_TRAIN_PASSAGES, seed=9, epoch=0,
-                                   max_positives=3, max_negatives=10, gold=gold)
-    return ex, loaded, rows
+def _train_table(spark, sf, gold=None):
+    return TR.reader_training_table(_examples(spark, sf), num_passages=READER_TRAIN_PASSAGES, max_input_length=RG.MAX_INPUT_LENGTH,
+                                    max_answer_length=RG.MAX_ANSWER_LENGTH, max_answer_spans=3, max_load_passages=RG.MAX_LOAD_PASSAGES,
+                                    max_positives=3, max_negatives=10, gold=gold, seed=9, epoch=0)
+
+
+def _slot_cols(rows):
+    return rows.select("qid", F.col("slot").cast("bigint").alias("slot"), F.col("idx").cast("bigint").alias("idx"))
 
 
 @query("i6_reader_training_slots")
 def i6_reader_training_slots(spark, sf):
-    _, _, rows = _reader_training(spark, sf)
-    return rows.select("qid", F.col("slot").cast("bigint").alias("slot"), F.col("idx").cast("bigint").alias("idx"))
+    return _slot_cols(_train_table(spark, sf))
 
 
 def _train_scores(spark, sf):
-    ex, loaded, rows = _reader_training(spark, sf)
-    real = rows.join(loaded.select("qid", "idx", F.col("ctx.id").alias("pid"), "q_tokens", "tokens", "spans"),
-                     ["qid", "idx"])
-    empty = F.array().cast("array<string>")
-    pad = rows.where(F.col("idx") < 0).select(
-        "qid", "idx", "slot", F.lit(None).cast("bigint").alias("pid"), empty.alias("q_tokens"),
-        SP.reader_input(empty, empty, empty, RG.MAX_INPUT_LENGTH).alias("tokens"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    return RG.score_slots(real.unionByName(pad))
+    return RG.score_slots(_train_table(spark, sf))
 
 
 @query("h21_padded_spans")
 def h21_padded_spans(spark, sf):
-    s = _train_scores(spark, sf).where(F.col("slot") == 0)
-    p = SP.pad_spans("spans", 3)
-    return s.select("qid", _ints(p["starts"]).alias("starts"), _ints(p["ends"]).alias("ends"),
-                    _ints(p["mask"]).alias("mask"))
+    s = _train_table(spark, sf).where(F.col("slot") == 0)
+    return s.select("qid", _ints("starts").alias("starts"), _ints("ends").alias("ends"), _ints("mask").alias("mask"))
 
 
 @query("d12_classifier_loss")
@@ -622,10 +613,7 @@ def d12_classifier_loss(spark, sf):
 
 @query("d13_span_loss")
 def d13_span_loss(spark, sf):
-    s = _train_scores(spark, sf).where(F.col("slot") == 0)
-    p = SP.pad_spans("spans", 3)
-    return RD.span_loss(s.select("qid", "start_logits", "end_logits", p["starts"].alias("starts"),
-                                 p["ends"].alias("ends"), p["mask"].alias("mask")))
+    return RD.span_loss(_train_scores(spark, sf).where(F.col("slot") == 0))
 
 
 # ---------------------------------------------------------------- evaluation modes, gold passages, P9, K1
@@ -695,8 +683,48 @@ def b9_canonical_question(spark, sf):
 @query("c7_gold_positives")
 def c7_gold_positives(spark, sf):
     gold, _ = FS.read_gold_passages(spark, _gold_file(spark, sf))
-    _, _, rows = _reader_training(spark, sf, gold=gold)
-    return rows.select("qid", F.col("slot").cast("bigint").alias("slot"), F.col("idx").cast("bigint").alias("idx"))
+    return _slot_cols(_train_table(spark, sf, gold=gold))
+
+
+def _item_gold_file(spark, sf):
+    """Gold passages no retrieval run returns: each question's own text, under an id of its own."""
+    item = F.struct(F.col("question"), F.lower("question").alias("question_tokens"), (F.col("qid") + 1000000).alias("example_id"),
+                    F.lit("item").alias("title"), F.col("question").alias("context"))
+    path = scratch_path(spark, "gold-items.jsonl")
+    T.questions(spark, sf).select(F.to_json(F.struct(F.array(item).alias("data"))).alias("value")).write.text(path)
+    return path
+
+
+def _gold_training(spark, sf):
+    """P8 from files: lower-cased questions, canonical forms, and the gold passage as a further positive."""
+    gold, canonical = FS.read_gold_passages(spark, _item_gold_file(spark, sf))
+    asked = _examples(spark, sf).withColumn("question", F.lower("question"))
+    return TR.reader_training_table(asked, num_passages=READER_TRAIN_PASSAGES, max_input_length=RG.MAX_INPUT_LENGTH,
+                                    max_answer_length=RG.MAX_ANSWER_LENGTH, max_load_passages=RG.MAX_LOAD_PASSAGES, max_positives=3,
+                                    max_negatives=10, gold=gold, canonical=canonical, include_gold=True, seed=9, epoch=0)
+
+
+@query("c8_gold_passage")
+def c8_gold_passage(spark, sf):
+    return _slot_cols(_gold_training(spark, sf))
+
+
+@query("p8_reader_training_table")
+def p8_reader_training_table(spark, sf):
+    """The whole training table, nested per question and laid out again by slot."""
+    rows = TR.training_batches(_gold_training(spark, sf)).select("qid", F.inline("inputs"))
+    return rows.select("qid", *[F.col(c).cast("bigint").alias(c) for c in ("slot", "idx", "win")],
+                       F.md5(F.array_join("tokens", " ")).alias("tokens_md5"),
+                       _ints("starts").alias("starts"), _ints("ends").alias("ends"), _ints("mask").alias("mask"))
+
+
+@query("p5_gold_file")
+def p5_gold_file(spark, sf):
+    """P5 on a reader set whose questions are another form of the gold file's (B9 before the inputs are built)."""
+    _, canonical = FS.read_gold_passages(spark, _item_gold_file(spark, sf))
+    asked = _examples_from_file(spark, sf).withColumn("question", F.lower("question"))
+    _, _, acc = RG.reader_eval(asked, canonical=canonical)
+    return RD.mean_metric(acc, "answer_accuracy")
 
 
 @query("h22_encoder_input")
@@ -706,6 +734,26 @@ def h22_encoder_input(spark, sf):
     return p.select("id", F.array_join(toks, " ").alias("tokens"))
 
 
+@query("h22_question_input")
+def h22_question_input(spark, sf):
+    q = T.questions(spark, sf)
+    return q.select("qid", F.array_join(SP.question_input(X.word_tokens(X.clean_question("question")), 16), " ").alias("tokens"))
+
+
+def _vec(v):
+    return F.array_join(F.transform(v, lambda x: x.cast("int").cast("string")), ",").alias("vec")
+
+
+@query("j1_limited_questions")
+def j1_limited_questions(spark, sf):
+    return R.encode_questions(T.questions(spark, sf), TEXT_DIM, max_length=16).select("qid", _vec("embedding"))
+
+
+@query("j2_limited_passages")
+def j2_limited_passages(spark, sf):
+    return R.encode_passages(T.passages(spark, sf), TEXT_DIM, max_length=256).select("id", _vec("embedding"))
+
+
 @query("d14_merge_shards")
 def d14_merge_shards(spark, sf):
     """Per-question precision laid out as 3 replicas would produce it (wrap-around

@@ -1,44 +1,63 @@
-"""Reader jobs: P4 reader-set production, P5 reader evaluation, P6 batch question answering."""
+"""Reader jobs: P4 reader-set production, P5 reader evaluation, P6 batch question answering.
+
+Models are parameters: ``encoder`` (text column -> vector column) and ``reader``
+((pid, tokens, question tokens) -> `READER_TYPE` column) default to the deterministic
+stand-ins of `quarry.functions.inference`; ``codes`` is the stored vector table of P2.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import spans as S
 from quarry.functions.inference import lexical_reader
+from quarry.functions.text import clean_question, word_tokens
 from quarry.operators import knn
 from quarry.operators import reader as RD
+from quarry.operators import training as TR
 from quarry.plans import retrieval as R
 
+Reader = Callable[[Column, Column, Column], Column]
+
+# The reference's lengths of reader inputs and answers.
+MAX_INPUT_LENGTH = 350
+MAX_ANSWER_LENGTH = 10
 # Fixture reader parameters.
 NUM_PASSAGES = 8
 MAX_LOAD_PASSAGES = 20
-MAX_INPUT_LENGTH = 64
-MAX_ANSWER_LENGTH = 10
 
 
-def score_slots(slots: DataFrame) -> DataFrame:
-    """Reader logits for every slot (padding slots get pid -1)."""
+def score_slots(slots: DataFrame, reader: Reader | None = None) -> DataFrame:
+    """Reader logits for every input (padding slots get pid -1)."""
     pid = F.coalesce(F.col("pid"), F.lit(-1).cast("bigint"))
-    cls, st, en = lexical_reader(pid, F.col("tokens"), F.col("q_tokens"))
-    return slots.select("*", cls.alias("classifier_logit"), st.alias("start_logits"), en.alias("end_logits"))
+    logits = (reader or lexical_reader)(pid, F.col("tokens"), F.col("q_tokens"))
+    return slots.withColumn("_logits", logits).select("*", "_logits.*").drop("_logits")
 
 
 def reader_set(questions: DataFrame, passages: DataFrame, *, k: int = 20, binary_k: int = 100,
-               dim: int = 64) -> DataFrame:
+               dim: int = 64, encoder: R.Encoder | None = None, codes: DataFrame | None = None) -> DataFrame:
     """Retrieval hits with has_answer nested per question (reader-set rows)."""
-    hits, _, _ = R.text_retrieval_eval(questions, passages, k=k, binary_k=binary_k, dim=dim, ks=(k,))
+    hits, _, _ = R.text_retrieval_eval(questions, passages, k=k, binary_k=binary_k, dim=dim, ks=(k,), encoder=encoder, codes=codes)
     return RD.nest_hits(hits, questions)
 
 
 def reader_eval(examples: DataFrame, *, num_passages: int = NUM_PASSAGES,
                 max_load_passages: int | None = MAX_LOAD_PASSAGES, max_input_length: int = MAX_INPUT_LENGTH,
-                max_answer_length: int = MAX_ANSWER_LENGTH):
-    """P5: (scores, classifier precision per question, answer accuracy per question)."""
-    loaded = RD.ctx_slots(examples, max_load_passages=max_load_passages, max_input_length=max_input_length)
+                max_answer_length: int = MAX_ANSWER_LENGTH, canonical: DataFrame | None = None, reader: Reader | None = None):
+    """P5: (scores, classifier precision per question, answer accuracy per question).
+
+    ``canonical`` (from a gold-passages file, A13) replaces questions by their canonical
+    form before their inputs are built (B9)."""
+    if canonical is not None:
+        examples = TR.canonical_questions(examples, canonical)
+    loaded = RD.ctx_slots(examples, max_load_passages=max_load_passages, max_input_length=max_input_length,
+                          max_answer_length=max_answer_length)
     slots = RD.eval_slots(examples, num_passages=num_passages, max_load_passages=max_load_passages,
-                          max_input_length=max_input_length, loaded=loaded)
-    scores = score_slots(slots)
+                          max_input_length=max_input_length, max_answer_length=max_answer_length, loaded=loaded)
+    scores = score_slots(slots, reader)
     pos_neg = RD.positive_negative_lists(loaded)
     prec = RD.classifier_precision(scores, pos_neg)
     acc = RD.answer_accuracy(scores, examples, max_answer_length=max_answer_length)
@@ -48,23 +67,24 @@ def reader_eval(examples: DataFrame, *, num_passages: int = NUM_PASSAGES,
 def answer_questions(questions: DataFrame, passages: DataFrame, *, num_retrieval_passages: int = 10,
                      num_passages_to_read: int = 1, num_answer_candidates_per_passage: int = 1,
                      binary_k: int = 100, dim: int = 64, max_input_length: int = MAX_INPUT_LENGTH,
-                     max_answer_length: int = MAX_ANSWER_LENGTH, codes: DataFrame | None = None) -> DataFrame:
+                     max_answer_length: int = MAX_ANSWER_LENGTH, codes: DataFrame | None = None,
+                     encoder: R.Encoder | None = None, reader: Reader | None = None) -> DataFrame:
     """P6 (J4 -> H19 -> J3 -> F4 -> F5 -> H17 -> H18 -> F6) for a whole question table.
 
     ``codes`` is the stored (id, code) table of the passages (P2); when absent
-    the passages are encoded on the fly."""
-    from quarry.functions import spans as S
-    from quarry.functions.text import clean_question, word_tokens
-    qv = R.encode_questions(questions, dim)
+    the passages are encoded on the fly. Passages are read whole, in windows."""
+    qv = R.encode_questions(questions, dim, encoder=encoder)
     if codes is None:
-        codes = R.code_table(R.encode_passages(passages, dim))
+        codes = R.code_table(R.encode_passages(passages, dim, encoder=encoder))
     hits = knn.binary_retrieve(qv, codes, k=num_retrieval_passages, binary_k=binary_k, dim=dim)
     q = questions.select("qid", word_tokens(clean_question("question")).alias("q_tokens"))
     fetched = R.attach_passages(hits.select("qid", "id", "rank").join(q, "qid"), passages)
-    slots = fetched.select(
-        "qid", (F.col("rank") - 1).cast("int").alias("slot"), (F.col("rank") - 1).cast("int").alias("idx"),
-        F.col("id").alias("pid"), "q_tokens",
-        S.reader_input("q_tokens", word_tokens("title"), word_tokens("text"), max_input_length).alias("tokens"))
-    scores = score_slots(slots)
-    return RD.answer_candidates(scores, num_passages_to_read=num_passages_to_read,
+    blank = F.lit("")
+    parts = fetched.select(
+        "qid", (F.col("rank") - 1).cast("int").alias("slot"), F.col("id").alias("pid"), "q_tokens",
+        S.passage_part(word_tokens(F.coalesce("title", blank)), word_tokens(F.coalesce("text", blank))).alias("_p"))
+    windows = S.reader_windows("q_tokens", "_p", max_input_length, max_answer_length - 1)
+    slots = parts.select("qid", "slot", F.col("slot").alias("idx"), "pid", "q_tokens", F.explode(windows).alias("w")) \
+        .select("qid", "slot", "idx", "pid", "q_tokens", "w.*")
+    return RD.answer_candidates(score_slots(slots, reader), num_passages_to_read=num_passages_to_read,
                                 num_spans=num_answer_candidates_per_passage, max_answer_length=max_answer_length)

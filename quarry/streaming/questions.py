@@ -22,7 +22,8 @@ def start_answer_stream(spark: SparkSession, source_dir: str, schema: str, passa
                         max_files_per_trigger: int = 1, available_now: bool = True, **qa_params):
     """Start the stream; returns the StreamingQuery.
 
-    source rows: qid, question. codes: (id, code) of the passages (P2 output)."""
+    source rows: qid, question. codes: (id, code) of the passages (P2 output). Further
+    arguments go to `answer_questions`, models (``encoder``, ``reader``) among them."""
     stream = (spark.readStream.schema(schema).format(file_format)
               .option("maxFilesPerTrigger", max_files_per_trigger).load(source_dir))
 
