@@ -1,20 +1,22 @@
 """Answer matching beyond a hit list: every passage of a corpus that contains an answer.
 
 C5 corpus-wide form for the ``dpr_string`` match type (answer tokens occur
-contiguously among the passage tokens):
-
-1. postings: distinct (passage id, token) pairs, and the document frequency of
-   every token (a partial/final aggregate, so a very common token is reduced
-   map-side instead of landing in one task);
-2. each answer keeps only its rarest token as its join key;
-3. candidates: postings of that token. The answer side (one row per answer) is
-   broadcast when its size is proven small, so the postings are joined where
-   they lie, with no shuffle and no hot-key task; otherwise a shuffle join with
-   AQE skew splitting;
-4. verification of the full token sequence on the candidates only.
-
-An answer without tokens matches every passage (reference semantics); such
-answers are reported by ``empty_answers`` instead of being joined to the corpus.
+contiguously among the passage tokens), by positional postings:
+
+1. the corpus is read once: its tokens with their places, (token, id, position), are
+   cut to the tokens that some answer has where they are made, before any shuffle,
+   and stored;
+2. each answer starts from its token with the fewest postings: every place of it
+   proposes a start (place less the token's place in the answer);
+3. the answer's other tokens are looked up at start + their place, by (id, position,
+   token); a start where all are found is an occurrence.
+
+The answers' tables are stored first, so Spark knows their bytes: it broadcasts them
+below its threshold and shuffles above (a hot token's join is then split by AQE). Only
+the postings of proposed places are compared, never the passages' texts.
+
+An answer without tokens matches every passage (reference semantics): it comes back
+once, with a null id, instead of with every passage.
 """
 
 from __future__ import annotations
@@ -22,13 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import _SEP, nfd, word_tokens
-
-ANSWER_BROADCAST_ROWS = 2_000_000
-
-
-def _joined(tokens):
-    return F.concat(F.lit(_SEP), F.array_join(tokens, _SEP), F.lit(_SEP))
+from quarry.functions.text import nfd, word_tokens
+from quarry.session import ensure_parallelism, stored
 
 
 def answer_tokens(answers: DataFrame, *, a_id: str = "aid", answer: str = "answer") -> DataFrame:
@@ -40,25 +37,33 @@ def empty_answers(answers: DataFrame, *, a_id: str = "aid", answer: str = "answe
     return answer_tokens(answers, a_id=a_id, answer=answer).where(F.size("atoks") == 0).select("aid")
 
 
-def answer_occurrences(answers: DataFrame, passages: DataFrame, *, a_id: str = "aid", answer: str = "answer",
-                       p_id: str = "id", text: str = "text",
-                       broadcast_rows: int = ANSWER_BROADCAST_ROWS) -> DataFrame:
-    """(aid, id) for every non-empty answer and every passage containing it (dpr_string)."""
-    from pyspark import StorageLevel
+def postings(passages: DataFrame, tokens: DataFrame, *, p_id: str = "id", text: str = "text") -> DataFrame:
+    """(tok, id, pos): the places of the given tokens (tok) in the passages; no passage is shuffled for it."""
+    toks = ensure_parallelism(passages).select(F.col(p_id).alias("id"), F.posexplode(word_tokens(nfd(F.col(text)))).alias("pos", "tok"))
+    return toks.join(tokens, "tok", "left_semi").select("tok", "id", "pos")
 
-    from quarry.session import ensure_parallelism
-    # The passage token table is the index all three steps read: build it once.
-    ptoks = ensure_parallelism(passages).select(F.col(p_id).alias("id"), word_tokens(nfd(F.col(text))).alias("ptoks")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    postings = ptoks.select("id", F.explode(F.array_distinct("ptoks")).alias("tok"))
-    freq = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    atoks = answer_tokens(answers, a_id=a_id, answer=answer).where(F.size("atoks") > 0)
-    per_tok = atoks.select("aid", F.explode(F.array_distinct("atoks")).alias("tok")).join(freq, "tok", "left")
-    rare = per_tok.groupBy("aid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok")).alias("m")) \
-        .select("aid", F.col("m.tok").alias("tok"))
-    n_answers = answers.count()  # bounds rare (one row per answer) without running the corpus side
-    keyed = F.broadcast(rare) if n_answers <= broadcast_rows else rare
-    cands = postings.join(keyed, "tok").select("aid", "id")
-    verified = (cands.join(atoks, "aid").join(ptoks, "id")
-                .where(F.contains(_joined(F.col("ptoks")), _joined(F.col("atoks")))))
-    return verified.select(F.col("aid").alias(a_id), F.col("id").alias(p_id))
+
+def answer_occurrences(answers: DataFrame, passages: DataFrame, *, a_id: str = "aid", answer: str = "answer",
+                       p_id: str = "id", text: str = "text") -> DataFrame:
+    """(aid, id) for every answer and every passage containing it (dpr_string); (aid, null) for
+    an answer without tokens, which every passage contains. Jobs run here: two tables are
+    stored. The key ``a_id`` may be a struct; passage ids are unique."""
+    atoks = stored(answer_tokens(answers, a_id=a_id, answer=answer), "answer-tokens")
+    parts = atoks.select("aid", F.posexplode("atoks").alias("at", "tok"))
+    posts = stored(postings(passages, stored(parts.select("tok").distinct(), "tokens"), p_id=p_id, text=text), "postings")
+    counts = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    # An answer with a token that no passage has is out here: its token has no count.
+    counted = parts.join(counts, "tok", "left")
+    rarest = counted.groupBy("aid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "tok")).alias("m"))
+    rarest = rarest.where(F.col("m.n") > 0).select("aid", F.col("m.at").alias("at"), F.col("m.tok").alias("tok"))
+    starts = posts.join(rarest, "tok").where(F.col("pos") >= F.col("at")).select("aid", "id", (F.col("pos") - F.col("at")).alias("start"), "at")
+    proposed = starts.join(atoks, "aid")
+    alone = proposed.where(F.size("atoks") == 1).select("aid", "id")
+    others = (proposed.where(F.size("atoks") > 1)
+              .select("aid", "id", "start", F.col("at").alias("own"), (F.size("atoks") - 1).alias("wanted"), F.posexplode("atoks").alias("at", "tok"))
+              .where(F.col("at") != F.col("own"))
+              .select("aid", "id", "start", "wanted", "tok", (F.col("start") + F.col("at")).alias("pos")))
+    found = (others.join(posts, ["id", "pos", "tok"], "left_semi").groupBy("aid", "id", "start", "wanted")
+             .agg(F.countDistinct("pos").alias("n")).where(F.col("n") == F.col("wanted")).select("aid", "id"))
+    every = atoks.where(F.size("atoks") == 0).select("aid", F.lit(None).cast(passages.schema[p_id].dataType).alias("id"))
+    return alone.unionByName(found).distinct().unionByName(every).select(F.col("aid").alias(a_id), F.col("id").alias(p_id))

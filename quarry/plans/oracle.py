@@ -780,15 +780,16 @@ SELECT round(sum(rank_sum) / sum(nq), 6) AS avg_rank, round(avg(dpr), 6) AS dpr_
        round(avg(rer), 6) AS rerank_loss, round(avg(cand + rer), 6) AS total_loss, count(*)::BIGINT AS n_batches
 FROM bm"""
 
-SQL["k1_question_stream"] = p6_sql("""(SELECT conv_id * 1000 + turn AS qid, text AS question, []::VARCHAR[] AS answers
+SQL["k1_question_stream"] = p6_sql("""(SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS qid, text AS question, []::VARCHAR[] AS answers
    FROM conversations WHERE role = 'user')""")
 
 SQL["c5_corpus_answer_search"] = f"""
-WITH a AS (SELECT qid * 10 + idx AS aid, answer FROM (
-             SELECT qid, unnest(answers) AS answer, generate_subscripts(answers, 1) - 1 AS idx FROM {QUESTIONS})),
-atk AS (SELECT aid, {tokens(nfd('answer'))} AS atoks FROM a),
+WITH a AS (SELECT qid, unnest(answers) AS answer, generate_subscripts(answers, 1) - 1 AS idx FROM (
+             SELECT qid, answers || CASE WHEN qid % 10 = 0 THEN [' '] ELSE [] END AS answers FROM {QUESTIONS})),
+atk AS (SELECT qid, idx, {tokens(nfd('answer'))} AS atoks FROM a),
 pt AS (SELECT doc_id AS id, {joined(tokens(nfd('text')))} AS pj FROM documents)
-SELECT atk.aid, pt.id FROM atk, pt WHERE len(atk.atoks) > 0 AND contains(pt.pj, {joined('atk.atoks')})"""
+SELECT atk.qid, atk.idx::BIGINT AS idx, pt.id FROM atk, pt WHERE len(atk.atoks) > 0 AND contains(pt.pj, {joined('atk.atoks')})
+UNION ALL SELECT qid, idx::BIGINT, NULL FROM atk WHERE len(atoks) = 0"""
 
 SQL["j4_dense_text_retrieval"] = f"""
 WITH qs AS {QUESTIONS}, ps AS {PASSAGES},

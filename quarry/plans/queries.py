@@ -789,8 +789,9 @@ def k1_question_stream(spark, sf):
     """User turns arrive as two files, one per micro-batch; each micro-batch is
     answered against the stored code table."""
     from quarry.streaming.questions import read_answers, start_answer_stream
-    conv = T.table(spark, sf, "conversations").where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+    asked = T.table(spark, sf, "conversations").where(F.col("role") == "user")
+    keys = FS.with_line_numbers(asked.select("conv_id", "turn").orderBy("conv_id", "turn"), "qid")
+    conv = asked.join(keys, ["conv_id", "turn"]).select("qid", F.col("text").alias("question"))
     src = scratch_path(spark, "question-stream")
     conv.repartitionByRange(2, "qid").write.parquet(src)
     p = T.passages(spark, sf)
@@ -809,11 +810,13 @@ def k1_question_stream(spark, sf):
 
 @query("c5_corpus_answer_search")
 def c5_corpus_answer_search(spark, sf):
-    """Every document containing each benchmark answer (dpr_string), without a hit list."""
-    ans = T.questions(spark, sf).select("qid", F.posexplode("answers").alias("idx", "answer")) \
-        .select((F.col("qid") * 10 + F.col("idx")).alias("aid"), "answer")
-    occ = MT.answer_occurrences(ans, T.passages(spark, sf))
-    return occ.select("aid", "id")
+    """Every document containing each benchmark answer (dpr_string), without a hit list; every tenth
+    question has one more answer without tokens, which comes back with a null id."""
+    q = T.questions(spark, sf)
+    blank = F.when(F.pmod("qid", F.lit(10)) == 0, F.array(F.lit(" "))).otherwise(F.array().cast("array<string>"))
+    ans = q.select("qid", F.posexplode(F.concat("answers", blank)).alias("idx", "answer"))
+    occ = MT.answer_occurrences(ans.select(F.struct("qid", "idx").alias("aid"), "answer"), T.passages(spark, sf))
+    return occ.select("aid.qid", F.col("aid.idx").cast("bigint").alias("idx"), "id")
 
 
 @query("j4_dense_text_retrieval")

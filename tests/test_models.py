@@ -15,26 +15,33 @@ from quarry.sources import tables as T
 SF = "/root/testdata/sf0.001"
 
 
-def vowels():
-    """A second encoder: signed counts of letters, nothing to do with the hash encoder."""
-    def predict(texts):
-        out = np.zeros((len(texts), 32), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for ch in str(t).lower():
-                if "a" <= ch <= "z":
-                    out[i, ord(ch) - 97] += 1.0 if ch in "aeiou" else -0.5
-        return out
-    return predict
-
-
-def word_lengths():
-    """A second reader: logits are token lengths, the passage's is the number of distinct tokens."""
-    def predict(pids, inputs, questions):
-        toks = [str(x).split(" ") for x in inputs]
-        lengths = [np.array([float(len(t)) for t in ts]) for ts in toks]
-        return {"classifier_logit": np.array([float(len(set(ts))) for ts in toks]), "start_logits": np.stack(lengths),
-                "end_logits": np.stack(lengths)}
-    return predict
+def _factories():
+    """Models as local functions, so that workers get them by value."""
+    def vowels():
+        """A second encoder: signed counts of letters, nothing to do with the hash encoder."""
+        def predict(texts):
+            out = np.zeros((len(texts), 32), dtype=np.float32)
+            for i, t in enumerate(texts):
+                for ch in str(t).lower():
+                    if "a" <= ch <= "z":
+                        out[i, ord(ch) - 97] += 1.0 if ch in "aeiou" else -0.5
+            return out
+        return predict
+
+
+    def word_lengths():
+        """A second reader: logits are token lengths, the passage's is the number of distinct tokens."""
+        def predict(pids, inputs, questions):
+            toks = [str(x).split(" ") for x in inputs]
+            lengths = [np.array([float(len(t)) for t in ts]) for ts in toks]
+            return {"classifier_logit": np.array([float(len(set(ts))) for ts in toks]), "start_logits": np.stack(lengths),
+                    "end_logits": np.stack(lengths)}
+        return predict
+
+    return vowels, word_lengths
+
+
+vowels, word_lengths = _factories()
 
 
 def test_hash_encoder_behind_the_model_hook_gives_the_same_hits(spark):
