@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.checks import guard
+
 
 def first_positive_rank(questions: DataFrame, hits: DataFrame, *, q_id: str = "qid",
                         rank: str = "rank", is_positive: str = "is_positive") -> DataFrame:
@@ -89,17 +91,26 @@ def in_batch_metrics(rows: DataFrame, *, n_passages: int, margin: float = 0.1,
     return rows.groupBy("batch_id").applyInPandas(per_batch, IN_BATCH_SCHEMA)
 
 
-def epoch_summary(per_batch: DataFrame, *, binary: bool = True) -> DataFrame:
-    """D6 + D11: average rank over questions; losses as the mean of per-batch values.
-    In binary mode the total is candidate + rerank loss, otherwise the dense loss."""
+#: The average rank that stands for "not measured yet" before the start epoch.
+NO_RANK = 1e7
+
+
+def epoch_summary(per_batch: DataFrame, *, binary: bool = True, epoch: int = 0, rank_start_epoch: int = 0) -> DataFrame:
+    """D6 + D11: average rank over questions (`NO_RANK` before ``rank_start_epoch``); losses as
+    the mean of per-batch values. In binary mode the total is candidate + rerank loss,
+    otherwise the dense loss."""
+    rank = F.round(F.sum("rank_sum") / F.sum("n_questions"), 6) if epoch >= rank_start_epoch else F.lit(NO_RANK)
     total = (F.col("cand_loss") + F.col("rerank_loss")) if binary else F.col("dpr_loss")
     return per_batch.agg(
-        F.round(F.sum("rank_sum") / F.sum("n_questions"), 6).alias("avg_rank"),
+        rank.alias("avg_rank"),
         F.round(F.avg("dpr_loss"), 6).alias("dpr_loss"), F.round(F.avg("cand_loss"), 6).alias("cand_loss"),
         F.round(F.avg("rerank_loss"), 6).alias("rerank_loss"), F.round(F.avg(total), 6).alias("total_loss"),
         F.count(F.lit(1)).cast("bigint").alias("n_batches"))
 
 
 def merge_shards(per_example: DataFrame, *, idx: str = "example_idx") -> DataFrame:
-    """Drop wrap-around duplicates of a distributed sampler (same example index)."""
-    return per_example.dropDuplicates([idx])
+    """Drop wrap-around duplicates of a distributed sampler (same example index); the
+    indices that are left must be 0 to n-1, or the query fails."""
+    merged = per_example.dropDuplicates([idx])
+    whole = merged.agg(F.coalesce((F.min(idx) == 0) & (F.max(idx) == F.count(F.lit(1)) - 1), F.lit(True)).alias("whole")).scalar()
+    return merged.withColumn(idx, guard(idx, whole, "a shard is missing: the example indices are not 0 to n-1"))

@@ -170,9 +170,9 @@ def answer_accuracy(scores: DataFrame, examples: DataFrame, *, max_answer_length
 
 def mean_metric(per_question: DataFrame, name: str) -> DataFrame:
     """D14 tail: one value over questions; shards that overlap are merged before (`metrics.merge_shards`)."""
-    return per_question.agg(
-        F.round(F.avg(F.col("correct").cast("double")), 6).alias(name),
-        F.count(F.lit(1)).cast("bigint").alias("n_questions"))
+    # The index is counted where there is one, so that a check on it is not pruned away.
+    n = F.count("example_idx" if "example_idx" in per_question.columns else F.lit(1))
+    return per_question.agg(F.round(F.avg(F.col("correct").cast("double")), 6).alias(name), n.cast("bigint").alias("n_questions"))
 
 
 def classifier_loss(scores: DataFrame, *, label_slot: int = 0, mask_value: float = -1e8) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from quarry.functions import spans as S
 from quarry.functions.checks import guard
 from quarry.operators import reader as RD
-from quarry.sources.files import with_line_numbers
+from quarry.session import stored
+from quarry.sources.files import INPUT_ORDER, numbered_by, with_line_numbers
 
 PASSAGE_TYPE = "struct<id:string,title:string,text:string>"
 
@@ -48,26 +49,27 @@ def retriever_examples(items: DataFrame, *, max_positives: int | None = None,
                        dataset_keys: Sequence[str] | None = None) -> DataFrame:
     """A11 + B6 + B7 + B2 + B3: parsed, capped and filtered retriever examples.
 
-    items: question, answers, [dataset], positive_ctxs, hard_negative_ctxs,
-    negative_ctxs, any further fields, file_no, line_no. Returns question,
-    answers, dataset ('' when absent), positives, hard_negatives,
-    normal_negatives (array<struct<id,title,text>>), metadata (JSON of the
-    unconsumed fields), file_no, line_no."""
-    consumed = {"question", "answers", "dataset", "positive_ctxs", "hard_negative_ctxs", "negative_ctxs",
-                "file_no", "src_file", "line_no"}
-    rest = [c for c in items.columns if c not in consumed]
-    dataset = F.coalesce(F.col("dataset"), F.lit("")) if "dataset" in items.columns else F.lit("")
+    items: `read_variant_items` output with file_no. Returns question, answers, dataset (''
+    when absent), positives, hard_negatives, normal_negatives
+    (array<struct<id,title,text>>), metadata (JSON of every field that is not consumed,
+    whatever it is), file_no, src_file, line_no."""
+    consumed = ", ".join(f"'{c}'" for c in ("question", "answers", "dataset", "positive_ctxs", "hard_negative_ctxs", "negative_ctxs"))
+    meta = F.to_json(F.expr(f"map_filter(CAST(item AS MAP<STRING, VARIANT>), (k, v) -> k NOT IN ({consumed}))"))
+    ctx = "array<struct<passage_id:string,title:string,text:string>>"
+    fields = {"question": "string", "answers": "array<string>", "positive_ctxs": ctx, "hard_negative_ctxs": ctx, "negative_ctxs": ctx}
+    items = items.select(*[F.expr(f"variant_get(item, '$.{c}', '{t}')").alias(c) for c, t in fields.items()],
+                         F.coalesce(F.expr("variant_get(item, '$.dataset', 'string')"), F.lit("")).alias("dataset"),
+                         meta.alias("metadata"), "file_no", "src_file", "line_no")
 
     def cap(col, n):
         c = _ctx_list(col)
         return c if n is None else F.slice(c, 1, n) if n > 0 else F.array().cast(f"array<{PASSAGE_TYPE}>")
 
-    meta = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
-    ex = items.select("question", "answers", dataset.alias("dataset"),
+    ex = items.select("question", "answers", "dataset",
                       cap("positive_ctxs", max_positives).alias("positives"),
                       cap("hard_negative_ctxs", max_hard_negatives).alias("hard_negatives"),
                       cap("negative_ctxs", max_normal_negatives).alias("normal_negatives"),
-                      meta.alias("metadata"), "file_no", "src_file", "line_no")
+                      "metadata", "file_no", "src_file", "line_no")
     ex = ex.where(F.size("positives") > 0).where(F.size("hard_negatives") + F.size("normal_negatives") > 0)
     if dataset_keys is not None:
         ex = ex.where(F.col("dataset").isin(list(dataset_keys)))
@@ -76,7 +78,7 @@ def retriever_examples(items: DataFrame, *, max_positives: int | None = None,
 
 def number_examples(examples: DataFrame, col: str = "index") -> DataFrame:
     """Re-number kept examples 0..n-1 in input order (file_no, src_file, line_no)."""
-    return with_line_numbers(examples.orderBy("file_no", "src_file", "line_no"), col)
+    return numbered_by(examples, INPUT_ORDER, col)
 
 
 # ------------------------------------------------------------------ I3, I4, C9, I5
@@ -115,15 +117,21 @@ def flatten_pairs(picked: DataFrame, keep: Sequence[str] = ("index", "question")
 
 
 def backfill_from_store(pairs: DataFrame, store: DataFrame, *, strict: bool = True) -> DataFrame:
-    """Take title/text from the passage store where the set has none; fail if still missing."""
-    s = store.select(F.col("id").cast("string").alias("passage_id"), F.col("title").alias("_st"),
-                     F.col("text").alias("_sx"))
-    out = pairs.join(s, "passage_id", "left").withColumn("title", F.coalesce("title", "_st")) \
-        .withColumn("text", F.coalesce("text", "_sx")).drop("_st", "_sx")
+    """Take title/text from the passage store where the set has none; fail if still missing.
+
+    Only incomplete pairs meet the store, by numeric id; complete ones pass by. The ids
+    that are wanted are stored first, so Spark knows their size: below its broadcast
+    threshold the store is filtered where it lies and its texts are not shuffled."""
+    whole = F.col("title").isNotNull() & F.col("text").isNotNull()
+    missing = pairs.where(~whole)
+    wanted = stored(missing.select(F.col("passage_id").cast("bigint").alias("id")).where(F.col("id").isNotNull()).distinct(), "wanted-ids")
+    found = store.join(wanted, "id", "left_semi").select("id", F.col("title").alias("_st"), F.col("text").alias("_sx"))
+    filled = missing.withColumn("id", F.col("passage_id").cast("bigint")).join(found, "id", "left").drop("id")
+    filled = filled.withColumn("title", F.coalesce("title", "_st")).withColumn("text", F.coalesce("text", "_sx")).drop("_st", "_sx")
     if strict:
-        out = out.withColumn("text", guard("text", F.col("title").isNotNull() & F.col("text").isNotNull(),
-                                           "passage has no title/text and the store lacks it"))
-    return out
+        filled = filled.withColumn("text", guard("text", F.col("title").isNotNull() & F.col("text").isNotNull(),
+                                                 "passage has no title/text and the store lacks it"))
+    return pairs.where(whole).unionByName(filled)
 
 
 # ------------------------------------------------------------------ I9, I1, I2, E5, D7
@@ -136,7 +144,7 @@ def plain_batches(examples: DataFrame, batch_size: int, *, shuffle: bool, seed:
     if not 0 <= rank < num_replicas:
         raise ValueError(f"invalid rank {rank}, must be in [0, {num_replicas - 1}]")
     key = seeded_hash(seed, epoch, F.col("index")) if shuffle else F.col("index")
-    ordered = with_line_numbers(examples.withColumn("_k", key).orderBy("_k", "index"), "_pos").drop("_k")
+    ordered = numbered_by(examples.withColumn("_k", key), ("_k", "index"), "_pos").drop("_k")
     mine = ordered.where(F.pmod(F.col("_pos"), F.lit(num_replicas)) == rank) \
         .withColumn("_pos", F.floor(F.col("_pos") / num_replicas))
     return mine.withColumn("batch_id", F.floor(F.col("_pos") / batch_size).cast("bigint")) \

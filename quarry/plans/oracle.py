@@ -431,6 +431,17 @@ SELECT qid, slot::BIGINT AS slot, win::BIGINT AS win, {spans_str('found[1:3]')}
        {spans_str(greedy_spans('found', 3))} AS spans_nested_off
 FROM ranked"""
 
+_SUB = "starts_with(tok[p + 1], '##')"
+SQL["h17_subword_edges"] = f"""
+WITH w AS (SELECT item_id AS qid, {tokens('text')} AS words FROM benchmark),
+t AS (SELECT qid, flatten(list_transform(words, lambda w: CASE WHEN length(w) > 4 THEN [w[1:4], '##' || w[5:]] ELSE [w] END)) AS tok FROM w),
+l AS (SELECT *, {logits('qid', 'tok', '[]::VARCHAR[]', 7, 13, 17)} AS st, {logits('qid', 'tok', '[]::VARCHAR[]', 11, 5, 19)} AS en FROM t),
+r AS MATERIALIZED (SELECT qid, tok, {ranked_spans('st', 'en', '0', 'len(tok)').replace(f"s + {MAX_ANS}", "s + 5")}[1:3] AS found FROM l),
+f AS (SELECT qid, tok, unnest(found) AS s, generate_subscripts(found, 1) - 1 AS nth FROM r),
+g AS (SELECT qid, tok, nth, list_max(list_filter(range(0, s.start + 1), lambda p: p = 0 OR NOT {_SUB})) AS b,
+             coalesce(list_min(list_filter(range(s."end" + 1, len(tok)), lambda p: NOT {_SUB})), len(tok)) - 1 AS e FROM f)
+SELECT qid, nth::BIGINT AS nth, b::BIGINT AS span_start, e::BIGINT AS span_end, {detok('tok[b + 1 : e + 1]')} AS answer_text FROM g"""
+
 SQL["f6_answer_candidates"] = READER + candidates(2, 2) + f"\nSELECT {CAND_COLS} FROM cands"
 
 _HL = "input_text[:answer_start] || '**' || answer_text || '**' || input_text[answer_start + length(answer_text) + 1:]"
@@ -561,9 +572,14 @@ FROM items i JOIN qs q ON q.qid = i.qid"""
 SQL["a11_retriever_examples"] = f"""
 WITH {text_hits(20, 100)},{RETRIEVER_ITEMS}
 SELECT index::BIGINT AS index, dataset, {_ids('positives')} AS positives, {_ids('hard')} AS hard_negatives,
-       {_ids('normal')} AS normal_negatives, '{{"qid":' || qid || '}}' AS metadata
+       {_ids('normal')} AS normal_negatives, '{{"extra":{{"list":[' || qid || ',null],"note":"free"}},"qid":' || qid || '}}' AS metadata
 FROM nex"""
 
+SQL["b3_dataset_keys"] = f"""
+WITH {text_hits(20, 100)},{RETRIEVER_ITEMS}
+SELECT (row_number() OVER (ORDER BY qid) - 1)::BIGINT AS index, dataset, md5(question) AS q_md5
+FROM ex WHERE dataset IN ('src0', 'src2')"""
+
 SQL["p7_biencoder_pairs"] = f"""
 WITH {text_hits(20, 100)},{RETRIEVER_ITEMS},
 picked AS (SELECT index, positives[({H("11", "1", "'pos'", "index")} % len(positives)) + 1] AS pos,
@@ -676,6 +692,35 @@ f AS (SELECT h.qid, h.rank, list_contains(p.pids, h.id::VARCHAR) AS is_positive
 ranks AS (SELECT q.qid, min(f.rank) FILTER (WHERE f.is_positive)::BIGINT AS positive_rank
           FROM qs q LEFT JOIN f ON f.qid = q.qid GROUP BY q.qid)""" + recall_sql("ranks", "[1, 5, 20]")
 
+_HELD = f"""
+held AS (SELECT q.qid, list(d.doc_id) AS ids, arg_min(d.source, d.doc_id) AS dataset FROM qs q JOIN documents d
+         ON contains({joined(tokens(nfd('d.text')))}, {joined(tokens(nfd('q.question')))}) GROUP BY q.qid)"""
+_PLACED = "placed AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS place FROM qs)"
+SQL["p3_labelled_positives"] = f"""
+WITH {text_hits(20, 100)},{_HELD},
+ranks AS (SELECT q.qid, min(h.rank) FILTER (WHERE list_contains(l.ids, h.id)) AS positive_rank
+          FROM qs q LEFT JOIN thits0 h ON h.qid = q.qid LEFT JOIN held l ON l.qid = q.qid GROUP BY q.qid)""" + recall_sql("ranks", "[1, 5, 20]")
+SQL["p3_same_dataset"] = f"""
+WITH {text_hits(20, 100)},{_HELD},{_PLACED},
+kept AS (SELECT h.qid, row_number() OVER (PARTITION BY h.qid ORDER BY h.rank) AS rank,
+                coalesce(list_bool_or(list_transform(h.answers, lambda a: {dpr_string('a', 'h.text')})), false) AS has_answer
+         FROM thits h JOIN ps p ON p.id = h.id LEFT JOIN held l ON l.qid = h.qid WHERE p.dataset = coalesce(l.dataset, 'src1'))
+SELECT p.place AS qid, min(k.rank) FILTER (WHERE k.has_answer)::BIGINT AS positive_rank
+FROM placed p LEFT JOIN kept k ON k.qid = p.qid GROUP BY p.place"""
+SQL["p3_qa_files"] = f"""
+WITH qs AS {QUESTIONS}, ps AS {PASSAGES},
+qv AS {encoded("(SELECT qid, rtrim(question, '?') AS qtext FROM qs)", "qid", "qtext")},
+pv AS {encoded("(SELECT id, concat_ws(' ', title, text) AS ptext FROM ps)", "id", "ptext")},
+pairs AS (SELECT q.qid, p.id, {ip('q.embedding', 'p.embedding')} AS score FROM qv q, pv p),
+best AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM pairs QUALIFY rank <= 20),
+asked AS (SELECT b.qid, b.rank, concat_ws(' ', p.title, p.text) AS passage, unnest(q.answers) AS answer
+          FROM best b JOIN ps p ON p.id = b.id JOIN qs q ON q.qid = b.qid),
+ranks AS (SELECT q.qid, min(a.rank) FILTER (WHERE {dpr_string('a.answer', 'a.passage')}) AS positive_rank
+          FROM qs q LEFT JOIN asked a ON a.qid = q.qid GROUP BY q.qid)
+SELECT k::BIGINT AS k, sum(CASE WHEN positive_rank <= k THEN 1 ELSE 0 END)::BIGINT AS n_correct, count(*)::BIGINT AS n_questions,
+       round(sum(CASE WHEN positive_rank <= k THEN 1 ELSE 0 END) / count(*), 6) AS recall, (SELECT count(*) FROM best)::BIGINT AS n_ctxs
+FROM ranks, (SELECT unnest([1, 5, 20]) AS k) ks GROUP BY k"""
+
 SQL["b4_same_dataset_hits"] = f"""
 WITH {text_hits(20, 100)},{RETRIEVER_ITEMS},{QMAP},
 kept AS (SELECT h.qid, h.id, h.rank FROM tflag h JOIN ps p ON p.id = h.id JOIN items i ON i.qid = h.qid
@@ -780,6 +825,8 @@ SELECT round(sum(rank_sum) / sum(nq), 6) AS avg_rank, round(avg(dpr), 6) AS dpr_
        round(avg(rer), 6) AS rerank_loss, round(avg(cand + rer), 6) AS total_loss, count(*)::BIGINT AS n_batches
 FROM bm"""
 
+SQL["p9_before_rank_epoch"] = SQL["p9_biencoder_eval"].replace("round(sum(rank_sum) / sum(nq), 6) AS avg_rank", "10000000.0::DOUBLE AS avg_rank")
+
 SQL["k1_question_stream"] = p6_sql("""(SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS qid, text AS question, []::VARCHAR[] AS answers
    FROM conversations WHERE role = 'user')""")
 

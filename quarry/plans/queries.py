@@ -316,6 +316,20 @@ def _cand_cols(c):
                     _r6("span_score").alias("span_score"))
 
 
+@query("h17_subword_edges")
+def h17_subword_edges(spark, sf):
+    """Words of more than four letters in pieces (`##` goes on): span edges grow over whole words."""
+    q = T.questions(spark, sf).select(F.col("qid").alias("pid"), X.word_tokens("question").alias("words"))
+    pieces = F.flatten(F.transform("words", lambda w: F.when(F.length(w) > 4, F.array(F.substring(w, 1, 4), F.concat(F.lit(SP.SUBWORD_PREFIX), F.substring(w, 5, 100000))))
+                                   .otherwise(F.array(w))))
+    scored = RG.score_slots(q.select("pid", pieces.alias("tokens"), F.array().cast("array<string>").alias("q_tokens")))
+    best = SP.best_spans("tokens", "start_logits", "end_logits", num_spans=3, max_answer_length=5)
+    found = scored.select(F.col("pid").alias("qid"), "tokens", F.posexplode(best).alias("nth", "s"))
+    texts = SP.answer_texts("tokens", F.col("s.start"), F.col("s.end"))
+    return found.select("qid", F.col("nth").cast("bigint").alias("nth"), F.col("s.start").cast("bigint").alias("span_start"),
+                        F.col("s.end").cast("bigint").alias("span_end"), texts["answer_text"].alias("answer_text"))
+
+
 @query("f6_answer_candidates")
 def f6_answer_candidates(spark, sf):
     c = RD.answer_candidates(_scores(spark, sf), num_passages_to_read=2, num_spans=2,
@@ -361,15 +375,11 @@ def p6_batch_qa(spark, sf):
 # ---------------------------------------------------------------- sources, store
 
 
-def _ordered_pos(df, col="pos"):
-    return FS.dense_index(df, list(FS.INPUT_ORDER), col)
-
-
 @query("a1_passage_tsv")
 def a1_passage_tsv(spark, sf):
     path = scratch_path(spark, "passages.tsv")
     FS.write_passage_tsv(T.passages(spark, sf).orderBy("id"), path)
-    df = _ordered_pos(FS.read_passage_tsv(spark, path))
+    df = FS.global_line_no(FS.read_passage_tsv(spark, path))
     return df.select("id", "title", "dataset", F.md5("text").alias("text_md5"), "pos")
 
 
@@ -397,8 +407,7 @@ def a4_passage_store(spark, sf):
 
 @query("a5_store_key_order")
 def a5_store_key_order(spark, sf):
-    s = PS.scan_store(spark, _store(spark, sf), key_order=True)
-    return FS.with_line_numbers(s, "pos").select("id", "pos")
+    return PS.key_order_positions(PS.scan_store(spark, _store(spark, sf))).select("id", "pos")
 
 
 @query("a6_store_size")
@@ -426,7 +435,7 @@ def a8_passage_table(spark, sf):
 def a9_qa_tsv(spark, sf):
     path = scratch_path(spark, "qa.tsv")
     FS.write_qa_tsv(T.questions(spark, sf).orderBy("qid"), path)
-    df = _ordered_pos(FS.read_qa_tsv(spark, path).withColumn("file_no", F.lit(0)))
+    df = FS.global_line_no(FS.read_qa_tsv(spark, path).withColumn("file_no", F.lit(0)))
     return df.select("pos", "question", F.array_join("answers", "|").alias("answers"),
                      F.size("answers").cast("bigint").alias("n_answers"))
 
@@ -448,7 +457,7 @@ def a15_concat_files(spark, sf):
 def a16_batches(spark, sf):
     path = scratch_path(spark, "qa-batches.tsv")
     FS.write_qa_tsv(T.questions(spark, sf).orderBy("qid"), path)
-    df = _ordered_pos(FS.read_qa_tsv(spark, path).withColumn("file_no", F.lit(0)), "pos")
+    df = FS.global_line_no(FS.read_qa_tsv(spark, path).withColumn("file_no", F.lit(0)))
     b = FS.batch_ids(df, 7, order_col="pos")
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                      F.min("pos").cast("bigint").alias("first_pos"))
@@ -510,14 +519,14 @@ def _retriever_file(spark, sf):
         F.min_by("dataset", "rank").alias("dataset"))
     q = T.questions(spark, sf)
     path = scratch_path(spark, "retriever.jsonl")
-    FS.write_json_items(q.join(items, "qid").orderBy("qid"), path)
+    more = F.struct(F.array(F.col("qid"), F.lit(None).cast("bigint")).alias("list"), F.lit("free").alias("note")).alias("extra")
+    FS.write_json_items(q.join(items, "qid").select("*", more).orderBy("qid"), path)
     return path
 
 
 def _retriever_examples(spark, sf):
-    path = _retriever_file(spark, sf)
-    schema = FS.RETRIEVER_SCHEMA + ", qid bigint"
-    items = FS.read_json_items(spark, path, schema=schema).withColumn("file_no", F.lit(0))
+    """Fields that no schema names (qid, extra) end up in metadata."""
+    items = FS.read_variant_items(spark, _retriever_file(spark, sf)).withColumn("file_no", F.lit(0))
     ex = TR.retriever_examples(items, max_positives=3, max_hard_negatives=5, max_normal_negatives=5)
     return TR.number_examples(ex)
 
@@ -539,6 +548,14 @@ def a11_retriever_examples(spark, sf):
                      "metadata")
 
 
+@query("b3_dataset_keys")
+def b3_dataset_keys(spark, sf):
+    """The examples of two datasets only, numbered among themselves."""
+    items = FS.read_variant_items(spark, _retriever_file(spark, sf)).withColumn("file_no", F.lit(0))
+    ex = TR.number_examples(TR.retriever_examples(items, max_positives=3, max_hard_negatives=5, max_normal_negatives=5, dataset_keys=["src0", "src2"]))
+    return ex.select("index", "dataset", F.md5("question").alias("q_md5"))
+
+
 @query("p7_biencoder_pairs")
 def p7_biencoder_pairs(spark, sf):
     ex = _retriever_examples(spark, sf)
@@ -636,6 +653,47 @@ def c6_labelled_positive_recall(spark, sf):
     return M.recall_at_k(M.first_positive_rank(q, flagged), (1, 5, 20))
 
 
+def _labelled_file(spark, sf):
+    """A retriever file whose positives come from no retrieval run: every document that holds the question's whole text."""
+    q, p = T.questions(spark, sf), T.passages(spark, sf)
+    held = MT.answer_occurrences(q.select("qid", "question"), p, a_id="qid", answer="question")
+    ctx = F.struct(F.col("id").cast("string").alias("passage_id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"))
+    listed = held.join(p.select("id", "dataset"), "id").groupBy("qid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", ctx.alias("c")))), lambda x: x["c"]).alias("positive_ctxs"),
+        F.min_by("dataset", "id").alias("dataset"))
+    path = scratch_path(spark, "labelled.jsonl")
+    items = q.join(listed, "qid", "left").withColumn("dataset", F.coalesce("dataset", F.lit("src1")))
+    FS.write_json_items(items.orderBy("qid").drop("qid"), path)
+    return path
+
+
+@query("p3_labelled_positives")
+def p3_labelled_positives(spark, sf):
+    _, _, recall = R.evaluate_retriever(spark, T.passages(spark, sf), retriever_files=[_labelled_file(spark, sf)], top_k=(1, 5, 20),
+                                        binary_k=100, eval_mode="is_labeled_positive")
+    return recall
+
+
+@query("p3_same_dataset")
+def p3_same_dataset(spark, sf):
+    """Recall by answers among the hits of the question's own dataset; the title does not count."""
+    _, ranks, _ = R.evaluate_retriever(spark, T.passages(spark, sf), retriever_files=[_labelled_file(spark, sf)], top_k=(1, 5, 20),
+                                       binary_k=100, restrict_to_same_dataset=True)
+    return ranks
+
+
+@query("p3_qa_files")
+def p3_qa_files(spark, sf):
+    """Two QA files, dense retrieval, the reader set written on the way and read back."""
+    q = T.questions(spark, sf)
+    paths, out = [scratch_path(spark, f"qa-{i}.tsv") for i in (0, 1)], scratch_path(spark, "reader-set.jsonl")
+    for i, path in enumerate(paths):
+        FS.write_qa_tsv(q.where(F.pmod("qid", F.lit(2)) == i).orderBy("qid"), path)
+    _, _, recall = R.evaluate_retriever(spark, T.passages(spark, sf), qa_files=paths, top_k=(1, 5, 20), binary=False, include_title=True, output=out)
+    ctxs = FS.read_json_items(spark, out, schema=f"ctxs array<{RD.CTX_TYPE}>").agg(F.sum(F.size("ctxs")).cast("bigint").alias("n_ctxs"))
+    return recall.join(F.broadcast(ctxs))
+
+
 @query("b4_same_dataset_hits")
 def b4_same_dataset_hits(spark, sf):
     q = _retriever_questions(spark, sf)
@@ -771,8 +829,7 @@ def d14_merge_shards(spark, sf):
 P9_BATCH = 4
 
 
-@query("p9_biencoder_eval")
-def p9_biencoder_eval(spark, sf):
+def _in_batch(spark, sf):
     ex = _retriever_examples(spark, sf)
     picked = TR.pick_pairs(ex, num_negatives=P7_NEG, training=False)
     pairs = TR.backfill_from_store(TR.flatten_pairs(picked, keep=("index",)), T.passages(spark, sf))
@@ -781,7 +838,18 @@ def p9_biencoder_eval(spark, sf):
     rows = pairs.join(batches, "index").join(qv, "index").select(
         "batch_id", "batch_pos", "slot", "q_vec",
         INF.hash_encoder(INF.passage_encoder_input(F.col("title"), F.col("text")), TEXT_DIM).alias("p_vec"))
-    return M.epoch_summary(M.in_batch_metrics(rows, n_passages=1 + P7_NEG))
+    return M.in_batch_metrics(rows, n_passages=1 + P7_NEG)
+
+
+@query("p9_biencoder_eval")
+def p9_biencoder_eval(spark, sf):
+    return M.epoch_summary(_in_batch(spark, sf))
+
+
+@query("p9_before_rank_epoch")
+def p9_before_rank_epoch(spark, sf):
+    """The same in an epoch before ranks are measured."""
+    return M.epoch_summary(_in_batch(spark, sf), epoch=1, rank_start_epoch=2)
 
 
 @query("k1_question_stream")

@@ -1,24 +1,30 @@
 """File sources and sinks: TSV passages, QA files, JSON items, gold passages, vector tables.
 
 Readers return DataFrames with the reference's record layouts; writers take
-DataFrames. Input order ("line order") is kept as an explicit ``line_no``
-column computed without a single-partition window (see ``with_line_numbers``).
+DataFrames. Input order ("line order") is kept as explicit columns (file_no, src_file,
+line_no) computed without a single-partition window; rows with text are not moved for it.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from quarry.session import stored
+
 # ------------------------------------------------------------------ ordering helpers
 
 def with_line_numbers(df: DataFrame, col: str = "line_no") -> DataFrame:
-    """A16/E4 building block: 0-based global position in partition order.
+    """A16/E4 building block: 0-based global position in partition order; for narrow rows.
 
     Offsets per partition come from a per-partition count (a tiny aggregate,
     one row per partition); no global window, no single-partition sort. The
@@ -32,17 +38,30 @@ def with_line_numbers(df: DataFrame, col: str = "line_no") -> DataFrame:
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    # One row per partition of the sorted input: bounded by its partition count.
     return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn(col, (F.col("_off") + local).cast("bigint"))
             .drop("_pid", "_mono", "_off"))
 
 
+def numbered_by(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """`df` with the 0-based place of each row in the order of ``keys``, which name it (unique, no nulls).
+
+    Only the keys are sorted and numbered; the numbers come back by key in a hash join, so
+    rows with text are neither sorted nor checkpointed."""
+    places = with_line_numbers(df.select(*keys).orderBy(*keys), col)
+    if set(df.columns) == set(keys):
+        return places
+    return df.join(places.hint("shuffle_hash"), list(keys))
+
+
 def with_file_line_numbers(df: DataFrame, col: str = "line_no") -> DataFrame:
     """Line numbers for a DataFrame read straight from files: (src_file, line_no).
 
     Spark packs scan partitions by file size, so partition order is not file
     order; the position is rebuilt from (file, split start, row within split)
-    with a per-split count and a per-file running sum over its few splits."""
+    with a per-split count and a per-file running sum over its few splits. The sums (a row per
+    split) are stored, so the join knows their bytes; a job runs here."""
     tagged = (df.withColumn("src_file", F.input_file_name())
               .withColumn("_blk", F.input_file_block_start())
               .withColumn("_mono", F.monotonically_increasing_id()))
@@ -50,11 +69,20 @@ def with_file_line_numbers(df: DataFrame, col: str = "line_no") -> DataFrame:
     offs = blocks.select("src_file", "_blk", "_m0",
                          (F.sum("_n").over(Window.partitionBy("src_file").orderBy("_blk")) - F.col("_n"))
                          .alias("_off"))
-    return (tagged.join(F.broadcast(offs), ["src_file", "_blk"])
+    return (tagged.join(stored(offs, "splits"), ["src_file", "_blk"])
             .withColumn(col, (F.col("_off") + F.col("_mono") - F.col("_m0")).cast("bigint"))
             .drop("_blk", "_mono", "_m0", "_off"))
 
 
+def global_line_no(df: DataFrame, col: str = "pos") -> DataFrame:
+    """The place of each row over all files: lines of the files before plus line_no. The sums
+    (a row per file) are stored, so the join knows their bytes; a job runs here."""
+    files = df.groupBy("file_no", "src_file").agg((F.max("line_no") + 1).alias("_n"))
+    before = Window.orderBy("file_no", "src_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("file_no", "src_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return df.join(stored(offsets, "files"), ["file_no", "src_file"]).withColumn(col, F.col("_off") + F.col("line_no")).drop("_off")
+
+
 def batch_ids(df: DataFrame, batch_size: int, order_col: str = "line_no", col: str = "batch_id") -> DataFrame:
     """Consecutive batches of ``batch_size`` in input order, last one partial."""
     if batch_size <= 0:
@@ -64,10 +92,120 @@ def batch_ids(df: DataFrame, batch_size: int, order_col: str = "line_no", col: s
 
 # ------------------------------------------------------------------ TSV
 
-def _tsv_reader(spark: SparkSession, header: bool):
-    return (spark.read.option("sep", "\t").option("header", str(header).lower())
-            .option("quote", '"').option("escape", '"').option("multiLine", "true")
-            .option("mode", "PERMISSIVE"))
+TSV = {"sep": "\t", "quote": '"', "escape": '"'}
+# What is left of a quoted field up to its closing quote.
+_CLOSING = re.compile(r'[^"]*(?:""[^"]*)*"(?!")')
+
+
+def _end_state(line: str, inside: bool) -> bool:
+    """Whether the text behind a line is inside a quoted field, given that the line's start is.
+
+    A quote opens a field only where the field starts; any other is text."""
+    at = 0
+    while True:
+        if inside:
+            close = _CLOSING.match(line, at)
+            if close is None:
+                return True
+            at, inside = close.end(), False
+        elif line.startswith('"', at):
+            at, inside = at + 1, True
+            continue
+        at = line.find("\t", at) + 1
+        if not at:
+            return False
+
+
+_LINES = ("value string, src_file string, blk long, n long, in0 boolean, in1 boolean, out0 boolean, out1 boolean, "
+          "rec0 long, rec1 long, blank boolean")
+
+
+def _line_states(batches):
+    """Lines of splits (value, src_file, blk) with their place in the split, and for either state that the split may
+    start in: the states before and behind the line and the record of the split that it belongs to (-1: one from before)."""
+    key, n, states, records = None, 0, [False, True], [-1, -1]
+    for batch in batches:
+        values = pc.fill_null(batch.column(0), "")
+        quoted = pc.match_substring(values, '"').to_numpy(zero_copy_only=False)
+        blank = pc.is_in(values, value_set=pa.array(["", "\r"])).to_numpy(zero_copy_only=False)
+        files, starts = batch.column(1), batch.column(2).to_numpy()
+        coded = files.dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (coded[1:] != coded[:-1]) | (starts[1:] != starts[:-1])]).tolist() if len(starts) else []
+        size = len(values)
+        before, behind = np.zeros((2, size), bool), np.zeros((2, size), bool)
+        place, record = np.zeros(size, np.int64), np.zeros((2, size), np.int64)
+        for low, high in zip(cuts, cuts[1:] + [size], strict=True):
+            here = (files[low].as_py(), int(starts[low]))
+            if here != key:
+                key, n, states, records = here, 0, [False, True], [-1, -1]
+            changes = (low + np.flatnonzero(quoted[low:high])).tolist()
+            lines = [values[i].as_py() for i in changes]
+            place[low:high] = n + np.arange(high - low)
+            for h in (0, 1):
+                at, state = low, states[h]
+                for i, line in zip(changes, lines, strict=True):
+                    before[h, at:i + 1] = behind[h, at:i] = state
+                    state = behind[h, i] = _end_state(line, state)
+                    at = i + 1
+                before[h, at:high] = behind[h, at:high] = state
+                states[h] = state
+                record[h, low:high] = records[h] + np.cumsum(~before[h, low:high] & ~blank[low:high])
+                records[h] = int(record[h, high - 1])
+            n += high - low
+        yield pa.record_batch([values, files, batch.column(2), *map(pa.array, (place, before[0], before[1], behind[0], behind[1], record[0], record[1], blank))],
+                              names=[f.split(" ")[0] for f in _LINES.split(", ")])
+
+
+def read_tsv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(src_file, line_no, record): the records of quoted TSV files, numbered per file; jobs run here.
+
+    Files are read once, in splits. A split can't know whether it starts inside a quoted
+    field, so its lines are stored with what either case makes of them; the splits'
+    summaries (one row each) then tell, by a running sum, which case holds and how many
+    records come before. A record on one line stays where it is; only the lines of a
+    record with line feeds are brought together, by record."""
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.input_file_name().alias("src_file"),
+                                                               F.input_file_block_start().alias("blk"))
+    lines = stored(raw.mapInArrow(_line_states, _LINES), "lines")
+    blocks = lines.groupBy("src_file", "blk").agg(
+        F.max_by("out0", "n").alias("out0"), F.max_by("out1", "n").alias("out1"),
+        (F.max("rec0") + 1).alias("n0"), (F.max("rec1") + 1).alias("n1"))
+    # A split either settles the state behind it or keeps or swaps the one before: the state at a start is the last
+    # settled one, swapped as often as splits since then swap.
+    order = Window.partitionBy("src_file").orderBy("blk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    settled = F.col("out0") == F.col("out1")
+    swaps = F.when(~settled & F.col("out0"), 1).otherwise(0)
+    blocks = blocks.withColumn("_swaps", F.sum(swaps).over(order))
+    last = F.last(F.when(settled, F.struct("out0", "_swaps")), ignorenulls=True).over(before)
+    blocks = blocks.withColumn("_last", last).withColumn("_before", F.coalesce(F.lag("_swaps").over(order), F.lit(0)))
+    since = F.col("_before") - F.coalesce(F.col("_last._swaps"), F.lit(0))
+    blocks = blocks.withColumn("inside", F.coalesce(F.col("_last.out0"), F.lit(False)) != (since % 2 == 1))
+    records = F.when(F.col("inside"), F.col("n1")).otherwise(F.col("n0"))
+    starts = blocks.select("src_file", "blk", "inside", F.coalesce(F.sum(records).over(before), F.lit(0)).alias("base"))
+
+    def real(name: str) -> Column:
+        return F.when(F.col("inside"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+
+    placed = lines.join(stored(starts, "splits"), ["src_file", "blk"]).select(
+        "src_file", "blk", "n", "value", real("in").alias("in"), real("out").alias("out"), (F.col("base") + real("rec")).alias("line_no"), "blank")
+    whole = placed.where(~F.col("in") & ~F.col("out") & ~F.col("blank")).select("src_file", "line_no", F.col("value").alias("record"))
+    parts = placed.where(F.col("in") | F.col("out"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "n", "value"))), lambda x: x["value"]), "\n")
+    both = whole.unionByName(parts.groupBy("src_file", "line_no").agg(joined.alias("record")))
+    return both.withColumn("record", F.regexp_replace("record", r"\r\z", ""))
+
+
+def _tsv_columns(spark: SparkSession, path: str, names: Sequence[str] | None) -> DataFrame:
+    """src_file, line_no and the fields of every record; without ``names`` each file's first record is its header."""
+    header = names is None
+    if header:
+        names = spark.read.options(**TSV).option("header", "true").csv(path).columns
+    schema = ", ".join(f"`{n}` string" for n in names)
+    records = read_tsv_records(spark, path)
+    if header:
+        records = records.where(F.col("line_no") > 0).withColumn("line_no", F.col("line_no") - 1)
+    return records.select("src_file", "line_no", F.from_csv("record", schema, TSV).alias("r")).select("src_file", "line_no", "r.*")
 
 
 def read_passage_tsv(spark: SparkSession, path) -> DataFrame:
@@ -78,15 +216,14 @@ def read_passage_tsv(spark: SparkSession, path) -> DataFrame:
     order. Returns id, title, text, dataset, file_no, src_file, line_no."""
     if not isinstance(path, str):
         return concat_files([read_passage_tsv(spark, p).drop("file_no") for p in path])
-    raw = _tsv_reader(spark, True).csv(path)
+    raw = _tsv_columns(spark, path, None)
     cols = {c.lower(): c for c in raw.columns}
     for need in ("id", "text", "title"):
         if need not in cols:
             raise ValueError(f"passage file lacks a '{need}' column")
     ds = F.col(cols["dataset"]) if "dataset" in cols else F.lit(None).cast("string")
-    out = raw.select(F.col(cols["id"]).cast("bigint").alias("id"), F.col(cols["title"]).alias("title"),
-                     F.col(cols["text"]).alias("text"), ds.alias("dataset"))
-    return with_file_line_numbers(out).withColumn("file_no", F.lit(0))
+    return raw.select(F.col(cols["id"]).cast("bigint").alias("id"), F.col(cols["title"]).alias("title"),
+                      F.col(cols["text"]).alias("text"), ds.alias("dataset"), F.lit(0).alias("file_no"), "src_file", "line_no")
 
 
 def write_passage_tsv(passages: DataFrame, path: str) -> None:
@@ -114,7 +251,7 @@ def read_qa_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Header-less TSV (question, answers); answers is a Python list literal.
 
     Returns question, answers, positive_ids (null), dataset (null), line_no."""
-    raw = with_file_line_numbers(_tsv_reader(spark, False).schema("question string, answers string").csv(path))
+    raw = _tsv_columns(spark, path, ("question", "answers"))
     return raw.select("question", _parse_literal(F.col("answers")).alias("answers"),
                       F.lit(None).cast("array<string>").alias("positive_ids"),
                       F.lit(None).cast("string").alias("dataset"), "src_file", "line_no")
@@ -151,11 +288,21 @@ def read_json_items(spark: SparkSession, path: str, schema=None, lines: bool | N
     return with_file_line_numbers(reader.option("multiLine", str(not _is_lines(path, lines)).lower()).json(path))
 
 
-def write_json_items(df: DataFrame, path: str, lines: bool | None = None, *, max_array_rows: int = 1_000_000) -> None:
-    """A3: JSON Lines directory (gzip when the name ends in .gz), nulls kept.
+def read_variant_items(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """A2 without a schema: (item VARIANT, src_file, line_no), every field of every item kept."""
+    whole = not _is_lines(path, lines)
+    read = spark.read.option("singleVariantColumn", "item").option("multiLine", str(whole).lower())
+    items = with_file_line_numbers(read.json(path))
+    if not whole:
+        return items
+    # A file holds one array: its items are its lines.
+    return items.select("src_file", F.posexplode(F.expr("CAST(item AS ARRAY<VARIANT>)")).alias("line_no", "item")) \
+        .select("item", "src_file", F.col("line_no").cast("bigint").alias("line_no"))
 
-    The indented-array form puts every item into one document and therefore
-    through one task: it is refused above ``max_array_rows`` items."""
+
+def write_json_items(df: DataFrame, path: str, lines: bool | None = None) -> None:
+    """A3: JSON Lines directory (gzip when the name ends in .gz), nulls kept; or the indented-array
+    form, where each partition is one file with an array of its items, written as a stream."""
     gz = path.rstrip("/").endswith(".gz")
     if _is_lines(path, lines):
         w = df.write.mode("errorifexists").option("ignoreNullFields", "false")
@@ -163,16 +310,29 @@ def write_json_items(df: DataFrame, path: str, lines: bool | None = None, *, max
             w = w.option("compression", "gzip")
         w.json(path)
         return
-    n = df.count()
-    if n > max_array_rows:
-        raise ValueError(f"{n} items is too many for a single JSON array; write JSON Lines instead")
-    doc = df.agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"ignoreNullFields": "false"}).alias("value"))
-    w = doc.write.mode("errorifexists")
+    items = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+    w = items.mapInArrow(_array_lines, "value string").write.mode("errorifexists")
     if gz:
         w = w.option("compression", "gzip")
     w.text(path)
 
 
+def _array_lines(batches):
+    """The text lines of one JSON array: an opening bracket, the items with commas between, a closing bracket."""
+    held = "["
+    for batch in batches:
+        out = []
+        for value in batch.column(0).to_pylist():
+            out.append(held)
+            comma = "" if held == "[" else ","
+            if comma:
+                out[-1] += comma
+            held = value
+        if out:
+            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
+    yield pa.record_batch([pa.array([held, "]"], pa.string())], names=["value"])
+
+
 CTX_SCHEMA = "array<struct<passage_id:string,title:string,text:string>>"
 RETRIEVER_SCHEMA = (f"question string, answers array<string>, dataset string, positive_ctxs {CTX_SCHEMA}, "
                     f"hard_negative_ctxs {CTX_SCHEMA}, negative_ctxs {CTX_SCHEMA}")
@@ -197,24 +357,38 @@ def read_gold_passages(spark: SparkSession, path: str, lines: bool | None = None
               "context:string>>")
     doc = with_file_line_numbers(
         spark.read.schema(schema).option("multiLine", str(not _is_lines(path, lines)).lower()).json(path))
-    items = doc.select("src_file", "line_no", F.posexplode("data").alias("pos", "d")).select(
-        "src_file", "line_no", "pos", F.col("d.question").alias("question"),
+    items = doc.select(F.lit(0).alias("file_no"), "src_file", "line_no", F.posexplode("data").alias("pos", "d")).select(
+        "file_no", "src_file", "line_no", "pos", F.col("d.question").alias("question"),
         F.coalesce(F.col("d.question_tokens"), F.col("d.question")).alias("question_tokens"),
         F.col("d.example_id").alias("id"), F.col("d.title").alias("title"), F.col("d.context").alias("text"))
-    keyed = items.select(F.col("question").alias("key"), "src_file", "line_no", (F.col("pos") * 2).alias("ord"),
+    keyed = items.select(F.col("question").alias("key"), "file_no", "src_file", "line_no", (F.col("pos") * 2).alias("ord"),
                          "id", "title", "text") \
-        .unionByName(items.select(F.col("question_tokens").alias("key"), "src_file", "line_no",
+        .unionByName(items.select(F.col("question_tokens").alias("key"), "file_no", "src_file", "line_no",
                                   (F.col("pos") * 2 + 1).alias("ord"), "id", "title", "text"))
-    # later items win: a max over (file, line, position, value) per key, combined map-side
-    gold = keyed.groupBy("key").agg(
-        F.max(F.struct("src_file", "line_no", "ord", "id", "title", "text")).alias("b")) \
-        .select("key", "b.id", "b.title", "b.text")
-    canon = items.groupBy(F.col("question_tokens").alias("key")) \
-        .agg(F.max(F.struct("src_file", "line_no", "pos", "question")).alias("b")) \
-        .select("key", F.col("b.question").alias("canonical"))
+    # Later items win; their place is one number, so the winners are found without moving texts.
+    gold = last_wins(keyed, "key", _item_place("ord")).select("key", "id", "title", "text")
+    canon = last_wins(items.select(F.col("question_tokens").alias("key"), F.col("question").alias("canonical"), "file_no", "src_file",
+                                   "line_no", "pos"), "key", _item_place("pos")).select("key", "canonical")
     return gold, canon
 
 
+def _item_place(ord_col: str):
+    """The place of an item of a document over all files: the document's place, then the item's in it."""
+    return lambda df: global_line_no(df, "_doc").withColumn("_pos", F.shiftleft("_doc", 32) + F.col(ord_col)).drop("_doc")
+
+
+def last_wins(df: DataFrame, key: str = "id", place=lambda df: global_line_no(df, "_pos")) -> DataFrame:
+    """Keyed upsert, the row latest in input order wins.
+
+    ``place`` adds ``_pos``, the row's place as one long. A hash aggregate finds the last
+    place per key (combined map-side, so a key on a third of all rows is reduced before the
+    shuffle), and a hash semi-join on the place keeps the winners' rows: texts are
+    shuffled once and never sorted."""
+    placed = place(df)
+    winners = placed.groupBy(key).agg(F.max("_pos").alias("_pos")).select("_pos")
+    return placed.join(winners.hint("shuffle_hash"), "_pos", "left_semi").drop("_pos")
+
+
 # ------------------------------------------------------------------ vector tables
 
 def write_vector_table(df: DataFrame, path: str) -> None:
@@ -242,7 +416,5 @@ INPUT_ORDER = ("file_no", "src_file", "line_no")
 
 
 def dense_index(df: DataFrame, order_cols: Sequence[str], col: str = "index") -> DataFrame:
-    """0-based running index over the kept rows in (order_cols) order.
-
-    A distributed range sort followed by per-partition offsets; never one task."""
-    return with_line_numbers(df.orderBy(*order_cols), col)
+    """0-based running index over the kept rows in (order_cols) order; these name a row."""
+    return numbered_by(df, order_cols, col)

@@ -6,19 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.checks import guard
-from quarry.sources.files import read_passage_tsv
-
-
-def last_wins(df: DataFrame, key: str = "id", order=("file_no", "src_file", "line_no")) -> DataFrame:
-    """Keyed upsert, the row latest in input order wins.
-
-    A max over a struct(order..., row) per key, partial then final, so even a key
-    repeated on a third of all rows is reduced before the shuffle. With strings
-    in the row both steps are sort aggregates."""
-    cols = [c for c in df.columns if c != key]
-    best = F.max(F.struct(*[F.col(o) for o in order], *[F.col(c).alias(f"_v_{c}") for c in cols])).alias("_b")
-    agg = df.groupBy(key).agg(best)
-    return agg.select(key, *[F.col(f"_b._v_{c}").alias(c) for c in cols])
+from quarry.sources.files import last_wins, read_passage_tsv, with_line_numbers
 
 
 def build_passage_store(spark: SparkSession, tsv_path: str, store_path: str) -> int:
@@ -36,6 +24,12 @@ def scan_store(spark: SparkSession, store_path: str, key_order: bool = False) ->
     return df.orderBy(F.col("id").cast("string")) if key_order else df
 
 
+def key_order_positions(store: DataFrame, col: str = "pos") -> DataFrame:
+    """A5: (id, place in key order) from the ids alone; texts stay where they are."""
+    keys = store.select("id", F.col("id").cast("string").alias("_key")).orderBy("_key", "id")
+    return with_line_numbers(keys, col).drop("_key")
+
+
 def store_size(store: DataFrame) -> DataFrame:
     """Number of passages."""
     return store.agg(F.count(F.lit(1)).cast("bigint").alias("n_passages"))

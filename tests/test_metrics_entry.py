@@ -70,3 +70,22 @@ def test_model_encoder_hook_matches_hash_encoder(spark):
         assert list(r["a"]) == list(r["b"])
     assert all(x == 0 for x in got[1]["b"])              # no tokens -> zero vector
     assert 0 < sum(abs(x) for x in got[0]["b"]) <= 5       # five tokens, signed counts
+
+
+def test_merged_shards_must_be_whole(spark):
+    import pytest
+
+    from quarry.operators import metrics as M
+    from quarry.operators import reader as RD
+    shards = spark.createDataFrame([(0, True), (1, False), (2, True), (0, True)], "example_idx long, correct boolean")
+    assert RD.mean_metric(M.merge_shards(shards), "x").first()["n_questions"] == 3
+    with pytest.raises(Exception, match="a shard is missing"):
+        RD.mean_metric(M.merge_shards(shards.where("example_idx <> 1")), "x").collect()
+    assert M.merge_shards(shards.limit(0)).count() == 0
+
+
+def test_average_rank_before_its_start_epoch(spark):
+    from quarry.operators import metrics as M
+    per_batch = spark.createDataFrame([(0, 2, 3.0, 0.1, 0.2, 0.3)], M.IN_BATCH_SCHEMA)
+    assert M.epoch_summary(per_batch, epoch=1, rank_start_epoch=2).first()["avg_rank"] == 1e7
+    assert M.epoch_summary(per_batch, epoch=2, rank_start_epoch=2).first()["avg_rank"] == 1.5

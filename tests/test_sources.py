@@ -1,8 +1,12 @@
 import csv
 import gzip
+import io
+import json
 import os
+import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.sources import files as FS
@@ -104,3 +108,113 @@ def test_json_lines_gzip_line_order(spark):
             f.write('{"question": "q%d", "answers": ["a"]}\n' % i)
     df = FS.read_json_items(spark, path, schema="question string, answers array<string>")
     assert [r["question"] for r in df.orderBy("line_no").collect()] == [f"q{i}" for i in range(50)]
+
+
+def _random_tsv(seed, n, crlf=False):
+    """Records with quoted line feeds, doubled and stray quotes, empty fields, blank lines; as text and as csv reads it."""
+    rng = random.Random(seed)
+    lines = []
+    for i in range(n):
+        fields = [str(i)]
+        for _ in range(2):
+            kind = rng.random()
+            body = "".join(rng.choices(["a", "word ", "\n", "\t", '""', "é", "\n\n", " "], k=rng.randint(1, 12)))
+            if kind < 0.5:
+                fields.append('"' + body + 'z"')
+            elif kind < 0.8:
+                fields.append("plain" + rng.choice(["", ' say "hi"', 'x"y']))
+            else:
+                fields.append('"' + "q" * rng.randint(1, 40) + '"')
+        lines.append("\t".join(fields))
+        if rng.random() < 0.1:
+            lines.append("")
+    return "id\ttext\ttitle\n" + "\n".join(lines) + ("\n" if seed % 2 else "")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_quoted_tsv_is_the_same_from_one_and_from_many_splits(spark, tmp_path, seed):
+    text = _random_tsv(seed, 150)
+    path = tmp_path / "p.tsv"
+    path.write_text(text, newline="")
+    want = [tuple(r) for r in list(csv.reader(io.StringIO(text, newline=""), delimiter="\t"))[1:] if r]
+    seen = []
+    for size, cost in ((1 << 20, 1 << 20), (len(text.encode()) // 60, 0)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", str(cost))
+        try:
+            seen.append(spark.read.text(str(path)).rdd.getNumPartitions())
+            records = FS.read_passage_tsv(spark, str(path))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        got = records.orderBy("line_no").collect()
+        assert [(str(r["id"]), r["text"], r["title"]) for r in got] == want
+        assert [r["line_no"] for r in got] == list(range(len(want)))
+    assert seen[0] == 1 and seen[1] >= 50
+
+
+def test_carriage_returns_stay_inside_quotes_only(spark, tmp_path):
+    path = tmp_path / "p.tsv"
+    path.write_bytes(b'id\ttext\ttitle\r\n1\t"a\r\nb"\tt\r\n2\tx\ty\r\n')
+    got = FS.read_tsv_records(spark, str(path)).orderBy("line_no").collect()
+    assert [r["record"] for r in got] == ["id\ttext\ttitle", '1\t"a\r\nb"\tt', "2\tx\ty"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _text_rows(plan, operator):
+    """The plan lines of an operator whose output carries a text column."""
+    return [x for x in plan.split("\n") if operator in x and "text" in x]
+
+
+def test_numbering_moves_keys_not_texts(spark, tmp_path):
+    store = str(tmp_path / "store")
+    spark.range(300).select("id", F.lit("t").alias("title"), F.concat(F.lit("text "), "id").alias("text"), F.lit("d").alias("dataset")).write.parquet(store)
+    s = PS.scan_store(spark, store)
+    got = PS.key_order_positions(s)
+    assert [r["id"] for r in got.orderBy("pos").collect()] == sorted(range(300), key=str)
+    assert "text" not in _plan(got)
+    df = s.select(F.lit(0).alias("file_no"), F.lit("f").alias("src_file"), (F.col("id") * 7).alias("line_no"), "text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = FS.dense_index(df, list(FS.INPUT_ORDER), "index")
+        plan = _plan(numbered)
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and not _text_rows(plan, "Sort [")
+        assert "Scan parquet" in plan                    # the rows come from the file, not from a checkpoint
+        assert all(r["text"] == f"text {r['index']}" for r in numbered.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_last_wins_aggregates_numbers_only(spark):
+    rows = [(i % 7, f"text {i}", 0, "f", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, text string, file_no int, src_file string, line_no long")
+    best = FS.last_wins(df)
+    plan = _plan(best)
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and "LeftSemi" in plan
+    assert sorted((r["id"], r["text"]) for r in best.collect()) == sorted((i % 7, f"text {i}") for i in range(93, 100))
+
+
+def test_json_array_files_are_streams_of_their_partitions(spark, tmp_path):
+    df = spark.range(1000).repartition(5).select("id", F.concat(F.lit('quote " and\\nline '), "id").alias("s"), F.lit(None).cast("string").alias("n"))
+    path = str(tmp_path / "items.json")
+    FS.write_json_items(df, path)
+    items = []
+    for name in sorted(os.listdir(path)):
+        if name.startswith("part-"):
+            items += json.load(open(os.path.join(path, name)))
+    assert sorted(i["id"] for i in items) == list(range(1000)) and all(i["n"] is None for i in items)
+    back = FS.read_json_items(spark, path, schema="id long, s string, n string")
+    assert back.count() == 1000 and back.where(F.col("s") != F.concat(F.lit('quote " and\\nline '), "id")).count() == 0
+    assert "Exchange SinglePartition" not in _plan(df)
+
+
+def test_variant_items_from_lines_and_arrays(spark, tmp_path):
+    items = [{"question": f"q{i}", "free": {"deep": [i, None]}} for i in range(5)]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, items)))
+    (tmp_path / "b.json").write_text(json.dumps(items, indent=1))
+    for name in ("a.jsonl", "b.json"):
+        got = FS.read_variant_items(spark, str(tmp_path / name)).orderBy("line_no")
+        assert [(r[0], json.loads(r[1])) for r in got.select("line_no", F.to_json("item")).collect()] == list(enumerate(items))

@@ -64,9 +64,12 @@ def _items(spark):
         ("q2", ["a"], "d", [("1", "t", "x")], [], [], 0, "f", 2),                        # no negative
         ("q3", ["a"], "d", [("4", "t", "x")], None, [("5", None, None)], 0, "f", 3),     # null list
     ]
-    return spark.createDataFrame(rows, f"question string, answers array<string>, dataset string, "
+    df = spark.createDataFrame(rows, f"question string, answers array<string>, dataset string, "
                                        f"positive_ctxs {CTX}, hard_negative_ctxs {CTX}, negative_ctxs {CTX}, "
                                        f"file_no int, src_file string, line_no long")
+    fields = F.struct("question", "answers", "dataset", "positive_ctxs", "hard_negative_ctxs", "negative_ctxs",
+                      F.struct(F.array(F.lit(1), F.lit(2)).alias("list"), F.lit(None).cast("string").alias("none")).alias("own"), F.lit(2.5).alias("weight"))
+    return df.select(F.parse_json(F.to_json(fields, {"ignoreNullFields": "false"})).alias("item"), "file_no", "src_file", "line_no")
 
 
 def test_retriever_examples_filters_and_renumbers(spark):
@@ -111,3 +114,26 @@ def test_append_gold_passage(spark):
     got = df.select(TR.append_gold_passage(F.col("ctxs"), F.col("pos"), F.col("gold"), F.col("span")).alias("r")) \
         .collect()
     assert [(len(r["r"]["ctxs"]), r["r"]["positive_idxs"]) for r in got] == [(3, [0, 2]), (2, [1]), (1, [0]), (1, [0])]
+
+
+def test_metadata_keeps_fields_that_no_schema_names(spark):
+    import json
+    ex = TR.retriever_examples(_items(spark)).collect()
+    assert [json.loads(r["metadata"]) for r in ex] == [{"own": {"list": [1, 2], "none": None}, "weight": 2.5}] * 2
+
+
+def test_complete_pairs_never_meet_the_store(spark, tmp_path):
+    pairs = spark.createDataFrame([(0, "1", "t", "x"), (1, "5", None, None), (2, "6", "own", None), (3, "007", "t", "x")],
+                                  "index long, passage_id string, title string, text string")
+    store_path, pairs_path = str(tmp_path / "store"), str(tmp_path / "pairs")
+    spark.createDataFrame([(i, f"T{i}", f"X{i}") for i in range(10)], "id long, title string, text string").write.parquet(store_path)
+    pairs.write.parquet(pairs_path)
+    pairs = spark.read.parquet(pairs_path)
+    out = TR.backfill_from_store(pairs, spark.read.parquet(store_path))
+    assert sorted((r["index"], r["title"], r["text"]) for r in out.collect()) == [(0, "t", "x"), (1, "T5", "X5"), (2, "own", "X6"), (3, "t", "x")]
+    plan = TR.backfill_from_store(pairs, spark.read.parquet(store_path))._jdf.queryExecution().executedPlan().toString()
+    whole, joined = plan.split("Union")[1].split("Join", 1)[0], plan
+    assert "isnotnull(title" in whole and "BroadcastHashJoin" in joined
+    assert "Exchange hashpartitioning" not in joined          # neither the pairs nor the store's texts are shuffled
+    with pytest.raises(Exception, match="store lacks it"):
+        TR.backfill_from_store(pairs.withColumn("passage_id", F.lit("77")), spark.read.parquet(store_path)).collect()
