@@ -48,7 +48,7 @@ LEAST = 12
 #: A round takes pairs down to this share of the highest count.
 SHARE = 1 / 256
 #: Rounds stop when one replaces less than this share of the symbols.
-WORTH = 0.001
+WORTH = 0.01
 _BUCKETS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
