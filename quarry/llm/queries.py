@@ -44,7 +44,7 @@ def op6_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return attribution.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), by_line=True)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
