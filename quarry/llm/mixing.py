@@ -33,10 +33,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, n_words
+from quarry.llm.common import WORD, materialise, n_words
 
 ROWS_PER_BUCKET = 8192
 
@@ -136,11 +137,12 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
     more than one piece where a shard boundary or the quota's end cuts it, or
     where it is taken again in the second epoch.
     """
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-                         *([F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []))
     # The non-null key makes the null source joinable; the order is that of the md5, whatever the number of buckets.
-    narrow = (narrow.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-              .withColumn("draw", F.md5(F.concat_ws("|", F.lit(str(int(seed))), F.col("doc_id").cast("string")).cast("binary"))))
+    # With the text's digest in the draw, rows of one id spread, and their order is fixed between reruns.
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+                         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("source_key"),
+                         F.md5(F.concat_ws("|", F.lit(str(int(seed))), F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary"))).cast("binary"))
+                         .alias("draw"), *([F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []))
     narrow = materialise(narrow, "mix-sizes")
     buckets = max(1, narrow.count() // ROWS_PER_BUCKET)
     bucket = F.expr(f"CAST(conv(substr(draw, 1, 8), 16, 10) AS BIGINT) * {buckets} div 4294967296").cast("int")
@@ -192,3 +194,35 @@ def shard_pieces(mixed: DataFrame) -> DataFrame:
     flat = mixed.select("doc_id", "source", "size", F.explode("pieces").alias("p"), *[c for c in mixed.columns if c == "carried"])
     return (flat.select("p.*", *[c for c in flat.columns if c != "p"])
             .repartition("shard", F.substring("shuffle_key", 1, 1)).sortWithinPartitions("shard", "shuffle_key"))
+
+
+def piece_text(text: Column, size: Column, start: Column, n_words: Column) -> Column:
+    """Words [start, start + n_words) of a text of `size` words, each with the white space before it, and behind the last word
+    the rest: so the pieces of a text, end to end, are the text."""
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), 0)
+    cut = F.array_join(F.slice(words, (start + 1).cast("int"), n_words.cast("int")), "")
+    tail = F.when(start + n_words == size, F.regexp_extract(text, r"[\x20\x09-\x0D]*\z", 0)).otherwise(F.lit(""))
+    return F.when((start == 0) & (n_words == size), text).otherwise(F.concat(cut, tail))
+
+
+def mixture(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
+    """(shard, shuffle_key, docs): the mixture's pieces in shard order, each with its row of `docs`, the text cut to the piece.
+
+    `docs` is read from files (or written first): a row's file and place there are its key. Places on the
+    line and pieces are worked out on narrow rows; the texts are read again for the
+    join by key, cut, and then shuffled by shard: no more than the mixture moves.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = materialise(docs, "mix-docs")
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.struct("_metadata.file_name", "_metadata.row_index").alias("row_key"))
+    narrow = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    pieces = mix_documents(narrow, text_col=text_col, carry=("_file", "_row"), **params)
+    flat = pieces.select("size", F.struct(F.col("carried._file").alias("file_name"), F.col("carried._row").alias("row_index")).alias("row_key"),
+                         F.explode("pieces").alias("p"))
+    # The narrow side is hashed, so texts aren't sorted for the join.
+    met = keyed.join(flat.hint("shuffle_hash"), "row_key")
+    cut = piece_text(F.col(f"row.{text_col}"), F.col("size"), F.col("p.start"), F.col("p.n_words"))
+    return (met.select("p.shard", "p.shuffle_key", F.col("row").withField(text_col, cut).alias("row"))
+            .repartition("shard", F.substring("shuffle_key", 1, 1)).sortWithinPartitions("shard", "shuffle_key"))

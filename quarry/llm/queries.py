@@ -146,7 +146,7 @@ def _manifest_sql(levels: int = 10, group_levels: int = 5) -> str:
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": """
         WITH sized AS (
-            SELECT doc_id, source, md5('17' || coalesce('|' || CAST(doc_id AS VARCHAR), '')) AS draw,
+            SELECT doc_id, source, md5('17' || coalesce('|' || CAST(doc_id AS VARCHAR), '') || coalesce('|' || md5(text), '')) AS draw,
                    CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
             FROM documents),
         sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
