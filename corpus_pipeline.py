@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame, which is written as Parquet and read again as the next
 stage's `docs`. All but the last return the columns of `documents`.
+
+Defined cases, in every stage: a null or empty text fails the quality rules, so
+it goes in the first stage; given to a later one it has fingerprint zero, gives the
+mixture no words, and is packed as its end id. Null ids are kept like others:
+of a near-duplicate component one row stays, chosen by id (nulls last), then text.
+Repeated rows are one component. A null source is a source of its own. Very long
+texts are handled whole. An empty table gives an empty result. Further columns ride
+along to the mixing stage and may have any names.
 """
 
 from __future__ import annotations
@@ -25,15 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's pieces as documents: a document's row per piece that a shard takes of it, with the piece's words as text."""
-    columns = docs.columns
-    pieces = mixing.shard_pieces(mixing.mix_documents(docs, carry=tuple(columns)))
-    words = F.expr(r"slice(regexp_extract_all(carried.text, '[^\\x20\\x09-\\x0D]+', 0), CAST(start + 1 AS INT), CAST(n_words AS INT))")
-    whole = (F.col("start") == 0) & (F.col("n_words") == F.col("size"))
-    text = F.when(whole, F.col("carried.text")).otherwise(F.array_join(words, " "))
-    cut = pieces.select("carried", text.alias("text"))
-    return cut.select(*[(F.col("text") if c == "text" else F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-                         if c == "n_chars" else F.col("carried")[c].alias(c)) for c in columns])
+    """The mixture's pieces as documents: a document's row per piece that a shard takes of it, with the piece's part of the text."""
+    pieces = mixing.mixture(docs).select("row.*")
+    return pieces.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
