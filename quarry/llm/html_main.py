@@ -2,8 +2,9 @@
 
 A page is read into leaf blocks: runs of text between the boundaries of block
 elements, each with the elements above it. A block's features are its ancestors'
-tags, the word classes of their class, id and role attributes, and the shape of
-its text (length, link share, end of a sentence). The field has two states,
+tags, the word classes of their class, id and role attributes, the shape of
+its and its neighbours' text (length, link share, end of a sentence), and whether
+an announced article holds it, is elsewhere on the page, or is missing. The field has two states,
 main and other, weights per feature and state, and weights per pair of
 neighbouring states. It is trained by gradient ascent on the log-likelihood of
 labelled pages (`labelled_pages`: generated from a grammar of page layouts,
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_PAGES, EPOCHS, RATE, DECAY = 400, 12, 0.3, 1e-4
+TRAINING_PAGES, EPOCHS, RATE, DECAY = 700, 12, 0.3, 1e-4
 
 # Element kinds of HTML, by name.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -167,15 +168,39 @@ def leaf_blocks(html: str) -> list[Block]:
     return reader.blocks
 
 
-def features(block: Block) -> list[str]:
+#: Elements and word classes that announce something else than the article, and those that announce it.
+_OTHER_TAGS = set("nav header footer aside form menu dialog fieldset".split())
+_OTHER_KINDS = set(_CLASSES) - {"main", "header"}
+_MAIN_TAGS = {"article", "main"}
+
+
+def _shape(block: Block) -> str:
+    """Length, link share and end of a block's text."""
     n = len(block.text)
-    found = ["bias", f"leaf:{block.tags[-1] if block.tags else ''}", f"size:{min(max(n.bit_length(), 5), 9)}",
-             f"links:{min(3, 4 * block.linked // max(n, 1))}", "sentence" if block.text[-1] in ".!?…。\"”»" else "no-sentence"]
-    found += [f"in:{t}" for t in set(block.tags) if t not in ("html", "body")]
-    found += [f"class:{k}" for k in block.kinds]
-    if "©" in block.text[:40]:
-        found.append("copyright")
-    return found
+    ends = "s" if block.text[-1] in ".!?…。\"”»" else "n"
+    return f"{min(max(n.bit_length(), 5), 9)}{'l' if 2 * block.linked > n else ''}{ends}"
+
+
+def features(blocks: list[Block]) -> list[list[str]]:
+    """The features of each block of a page: its own, its neighbours' shapes, and where it stands to an announced article."""
+    shapes = [_shape(b) for b in blocks]
+    announced = [bool(_MAIN_TAGS.intersection(b.tags)) or "main" in b.kinds for b in blocks]
+    marked = [bool(_OTHER_TAGS.intersection(b.tags)) or bool(_OTHER_KINDS & b.kinds) for b in blocks]
+    some = any(announced)
+    out = []
+    for i, block in enumerate(blocks):
+        n = len(block.text)
+        place = "in" if announced[i] else "out" if some else "none"
+        found = ["bias", f"leaf:{block.tags[-1] if block.tags else ''}", f"size:{min(max(n.bit_length(), 5), 9)}",
+                 f"links:{min(3, 4 * block.linked // max(n, 1))}", "sentence" if shapes[i][-1] == "s" else "no-sentence",
+                 f"place:{place}", f"marked:{marked[i]}", f"place:{place}:marked:{marked[i]}", f"shape:{shapes[i]}:marked:{marked[i]}",
+                 f"before:{shapes[i - 1] if i else 'start'}", f"after:{shapes[i + 1] if i + 1 < len(blocks) else 'end'}"]
+        found += [f"in:{t}" for t in set(block.tags) if t not in ("html", "body", "div", "span")]
+        found += [f"class:{k}" for k in block.kinds]
+        if "©" in block.text[:40]:
+            found.append("copyright")
+        out.append(found)
+    return out
 
 
 @dataclass
@@ -191,9 +216,9 @@ class Field:
         back, best = [], None
         (a00, a01), (a10, a11) = self.step
         get, none = self.unary.get, (0.0, 0.0)
-        for block in blocks:
+        for own in features(blocks):
             s0 = s1 = 0.0
-            for f in features(block):
+            for f in own:
                 w = get(f, none)
                 s0 += w[0]
                 s1 += w[1]
@@ -214,9 +239,10 @@ class Field:
 
 def train(pages: list[list[Block]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 17) -> Field:
     """Stochastic gradient ascent on the conditional log-likelihood, by forward and backward sums."""
-    names = {f: i for i, f in enumerate(sorted({f for p in pages for b in p for f in features(b)}))}
+    seen = [features(p) for p in pages]
+    names = {f: i for i, f in enumerate(sorted({f for p in seen for b in p for f in b}))}
     w, first, step = np.zeros((len(names), 2)), np.zeros(2), np.zeros((2, 2))
-    data = [([np.array([names[f] for f in features(b)]) for b in p], np.array([b.label for b in p])) for p in pages if p]
+    data = [([np.array([names[f] for f in b]) for b in own], np.array([b.label for b in p])) for p, own in zip(pages, seen, strict=True) if p]
     order = random.Random(seed)
     for epoch in range(epochs):
         order.shuffle(data)
@@ -273,27 +299,37 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 17) -> list[str]:
         cls = r.choice(["class", "id"]) + f'="{r.choice(_CLASSES[kind].split())}"'
         return f'<{r.choice(["div", "div", "section", "ul" if kind == "menu" else "div"])} data-label="0" {cls}>{body}</div>'
 
+    def plain_name() -> str:
+        """No class, or one that announces nothing."""
+        return "" if r.random() < 0.4 else f'class="{r.choice(["css", "x", "sc", "block", "col", "wrap"])}-{words(1, 1)[:3]}{r.randint(0, 99)}"'
+
     def article() -> str:
-        parts = [f"<h1>{words(2, 10)}</h1>"] if r.random() < 0.8 else []
+        parts = [f"<h1>{words(2, 10)}</h1>"] if r.random() < 0.6 else []
         for _ in range(r.randint(0, 8)):
             x = r.random()
             parts.append(f"<p>{sentence(1, 3) if x < 0.12 else sentence(1, 120)}</p>" if x < 0.6 else f"<p><b>{sentence(2, 90)}<br>" if x < 0.72 else f"<h2>{words(1, 7)}</h2>" if x < 0.82
                          else "<ul>" + "".join(f"<li>{sentence(2, 20)}</li>" for _ in range(r.randint(1, 5))) + "</ul>" if x < 0.9
-                         else f"<blockquote>{sentence()}</blockquote>" if x < 0.95 else f"<pre>{words(3, 20)}</pre>")
+                         else f"<blockquote>{sentence()}</blockquote>" if x < 0.94 else f"<pre>{words(3, 20)}</pre>" if x < 0.97
+                         else f"<p><a href='/y'>{sentence(3, 20)}</a></p>")
             if r.random() < 0.08:
                 parts.append(other(r.choice(["advert", "side", "share", "form", "notice"])))
         if r.random() < 0.12:
             parts.append(other("comment"))
         body = "".join(parts) or f"<p>{sentence()}</p>"
+        if r.random() < 0.25:  # nothing announces the article
+            wrapped = f"<div {plain_name()}>{body}</div>" if r.random() < 0.6 else f"<p>{sentence(4, 60)}</p>" + body
+            return wrapped if r.random() < 0.7 else f"<div {plain_name()}>{wrapped}</div>"
         tag = r.choice(["article"] * 5 + ["main", "div", "section"])
         cls = r.choice(["class", "id"]) + f'="{r.choice(_CLASSES["main"].split())}"' if tag in ("div", "section") or r.random() < 0.2 else ""
-        return f'<{tag} data-label="1" {cls}>{body}</{tag}>'
+        return f'<{tag} {cls}>{body}</{tag}>'
 
     pages = []
     for _ in range(n):
-        before = [other(k) for k in ("header", "menu", "notice", "advert", "side", "form", "share") if r.random() < 0.4]
-        after = [other(k) for k in ("share", "comment", "side", "advert", "form", "footer", "notice") if r.random() < 0.4]
-        pages.append("<html><head><title>x</title></head><body data-label='0'>" + "".join([*before, article(), *after]) + "</body></html>")
+        # Some pages start or end with the article, and some are nothing else.
+        many, few = r.choice([0.0, 0.25, 0.4, 0.4]), r.choice([0.0, 0.25, 0.4, 0.4])
+        before = [other(k) for k in ("header", "menu", "notice", "advert", "side", "form", "share") if r.random() < many]
+        after = [other(k) for k in ("share", "comment", "side", "advert", "form", "footer", "notice") if r.random() < few]
+        pages.append("<html><head><title>x</title></head><body data-label='1'>" + "".join([*before, article(), *after]) + "</body></html>")
     return pages
 
 
