@@ -22,9 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct parts that a worker remembers (some 40 bytes each).
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: Text that is looked at together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 10 << 20
 _JOINED = 512
 _MARK = "\x01"
 #: Letters that normalizers for lower case leave alone, and punctuation that ends a word.
@@ -50,7 +50,8 @@ class Encoder:
         normalizer = self.tokenizer.normalizer
         capitals = "".join(map(chr, range(65, 91)))
         self.lowers = normalizer is not None and normalizer.normalize_str(capitals) == capitals.lower()
-        self.special = pa.array([t.content for t in self.tokenizer.get_added_tokens_decoder().values()], pa.string())
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = os.path.commonprefix(added) if added else "\x00"
         self.by_part = self._ids("a b \t\na") == self._ids("a") + self._ids("b") + self._ids("a")
         mark = self._ids(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
@@ -160,10 +161,11 @@ class Encoder:
             place(np.flatnonzero(~plain), 0, parts.filter(pa.array(~plain)), self._joined, False)
         return np.concatenate(pools)[gather(starts.reshape(-1), lengths.reshape(-1))], lengths.sum(axis=1)
 
-    def _remember(self, new: pa.Array) -> None:
-        """Put `new` parts behind the known ones; the oldest half goes when there are too many."""
+    def _remember(self, new: pa.Array) -> bool:
+        """Put `new` parts behind the known ones; the oldest half goes when there are too many. Whether any went."""
         ids, lengths = self._new(new)
-        if len(self.parts) + len(new) > REMEMBERED and len(self.parts):
+        full = len(self.parts) + len(new) > REMEMBERED and len(self.parts) > 0
+        if full:
             keep = len(self.parts) // 2
             first = int(self.starts[keep])
             self.parts = pa.concat_arrays([self.parts.slice(keep)])
@@ -172,6 +174,21 @@ class Encoder:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.pool = np.concatenate([self.pool, ids])
         self.parts = pa.concat_arrays([self.parts, new])
+        return full
+
+    def _places(self, words: pa.Array) -> np.ndarray | None:
+        """The places of parts among the known ones, new ones encoded first; None if there are more than are remembered."""
+        for _ in range(2):
+            at = pc.index_in(words, value_set=self.parts)
+            if not at.null_count:
+                return at.to_numpy()
+            known = len(self.parts)
+            if not self._remember(words.filter(at.is_null())):
+                at = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+                at[at < 0] = known + np.arange(int((at < 0).sum()))
+                return at
+        at = pc.index_in(words, value_set=self.parts)
+        return None if at.null_count else at.to_numpy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each) of a string array without nulls."""
@@ -180,23 +197,16 @@ class Encoder:
         if self.lowers:
             lowered = pc.ascii_lower(texts)
             # Lowering must not make a special token of a text that has none.
-            if not any(pc.any(pc.match_substring(lowered, s.as_py())).as_py() for s in self.special):
+            if self.special and not pc.any(pc.match_substring(lowered, self.special)).as_py():
                 texts = lowered
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary
-        at = pc.index_in(words, value_set=self.parts)
-        if at.null_count:
-            self._remember(words.filter(at.is_null()))
-            at = pc.index_in(words, value_set=self.parts)
-            if at.null_count:  # the oldest parts went, and this slice has some of them
-                self._remember(words.filter(at.is_null()))
-                at = pc.index_in(words, value_set=self.parts)
-        if at.null_count:  # more parts in one slice than are remembered
+        at = self._places(words)
+        if at is None:
             ids, lengths = self._new(words)
             starts, pool = np.cumsum(lengths) - lengths, ids
         else:
-            at = at.to_numpy()
             starts, lengths, pool = self.starts[at], self.lengths[at], self.pool
         index = coded.indices.to_numpy()
         n = lengths[index]

@@ -44,9 +44,9 @@ from quarry.session import scratch_path
 END_ID = 1
 BLOCK_IDS = 1 << 20
 #: A rule must replace so many pairs of its block.
-LEAST = 12
+LEAST = 16
 #: A round takes pairs down to this share of the highest count.
-SHARE = 1 / 256
+SHARE = 1 / 1024
 #: Rounds stop when one replaces less than this share of the symbols.
 WORTH = 0.01
 _BUCKETS = 1 << 20
