@@ -12,7 +12,8 @@ log10 p(w | u), and a failure arc to the root, weighing log10(mu / (c(u) + mu));
 the root has an arc per word, weighing log10 p1(w), and one for unknown words.
 A text starts in the start state, ends with an end token, and is read from left
 to right once: at each token its arc is taken or else the failure arc and the
-root's arc, and the state is then that token's.
+root's arc, and the state is then that token's. A block's texts are walked side by
+side, a token each at a time.
 
 Scale: counts grow with the corpus and are never broadcast or gathered.
 Documents are in blocks of `BLOCK_BYTES` of consecutive text. A block counts its
@@ -102,8 +103,8 @@ class _Block:
         ids = [(s[:-1] << 32) | s[1:] for _, _, s in self.rows]
         weight = np.repeat([0 if h else 1 for _, h, _ in self.rows], [len(x) for x in ids])
         codes = np.concatenate(ids)
-        self.pairs, self.at = np.unique(codes, return_inverse=True)
-        self.n_pair = np.bincount(self.at, weight, len(self.pairs)).astype(np.int64)
+        self.pairs, at = np.unique(codes, return_inverse=True)
+        self.n_pair = np.bincount(at, weight, len(self.pairs)).astype(np.int64)
         self.n_word = np.bincount(codes & 0xFFFFFFFF, weight, len(self.words)).astype(np.int64)
         self.first, self.second = self.pairs >> 32, self.pairs & 0xFFFFFFFF
 
@@ -126,19 +127,54 @@ class _Block:
     def score(self, n: int, v: int, mu: float) -> Iterator[tuple]:
         """(doc_id, held_out, n_tokens, n_known, base_score, score) by one traversal of each sequence."""
         root = (self.n_word + 1) / (n + v + 1)
-        base = np.log10(root)
         context = self.n_word.copy()
         context[_START] = self.n_word[_END]  # as many starts as ends
-        arc = np.log10((self.n_pair + mu * root[self.second]) / (context[self.first] + mu))
-        fail = np.log10(mu / (context + mu))
-        # The step's weight per distinct pair: its arc, or the failure arc and then the root's arc.
-        step = np.where(self.n_pair > 0, arc, fail[self.first] + base[self.second])
-        begin = 0
-        for doc_id, held_out, s in self.rows:
+        seen = self.n_pair > 0
+        first, second = self.first[seen], self.second[seen]
+        arcs = np.log10((self.n_pair[seen] + mu * root[second]) / (context[first] + mu))
+        automaton = Automaton(self.pairs[seen], arcs, np.log10(mu / (context + mu)), np.log10(root))
+        scores = automaton.walk([s for _, _, s in self.rows])
+        for (doc_id, held_out, s), score in zip(self.rows, scores.tolist(), strict=True):
             tokens = s[1:]
-            path = self.at[begin:begin + len(tokens)]
-            begin += len(tokens)
-            yield (doc_id, held_out, len(tokens), int((self.n_word[tokens] > 0).sum()), float(base[tokens].sum()), float(step[path].sum()))
+            yield (doc_id, held_out, len(tokens), int((self.n_word[tokens] > 0).sum()), float(automaton.root[tokens].sum()), score)
+
+
+class Automaton:
+    """States with weighted arcs and a failure arc each, the part that a block's texts can reach.
+
+    A state is a context word. Its arcs lie together in order: `codes` holds state << 32 | word
+    ascending, `weights` the arcs' log-probabilities. A word without an arc takes the
+    state's failure arc to the root (`failure`) and the root's arc (`root`). Either way the
+    state behind it is the word's.
+    """
+
+    def __init__(self, codes: np.ndarray, weights: np.ndarray, failure: np.ndarray, root: np.ndarray) -> None:
+        self.codes, self.weights, self.failure, self.root = codes, weights, failure, root
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of reading one word in each of several states."""
+        code = (state << 32) | word
+        at = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
+        found = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
+        weight = self.failure[state] + self.root[word]
+        weight[found] = self.weights[at[found]]
+        return weight, word
+
+    def walk(self, sequences: list[np.ndarray]) -> np.ndarray:
+        """The accumulated weight of each sequence, whose first item is the state it starts in: all are read from left to
+        right once, a word each at a time, the longest first so that those that are done fall off the end."""
+        lengths = np.array([len(s) - 1 for s in sequences], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        flat = np.concatenate(sequences)
+        place = (np.cumsum(lengths + 1) - lengths - 1)[order]
+        state, total = flat[place], np.zeros(len(sequences))
+        going = np.searchsorted(-lengths[order], -np.arange(1, int(lengths.max(initial=0)) + 1), side="right")
+        for t, n in enumerate(going.tolist(), 1):
+            weight, state = self.step(state[:n], flat[place[:n] + t])
+            total[:n] += weight
+        out = np.empty(len(sequences))
+        out[order] = total
+        return out
 
 
 def _planes(values: np.ndarray) -> bytes:
