@@ -15,8 +15,8 @@ too: 1 for equal texts, 0 for texts without a common chunk.
 The gear table follows from a rule: entry i is the low half of the XXH64 of the
 byte i under the seed.
 
-Neighbours in id order (`fingerprint_edits`): ids are cut into ranges of equal
-width, at most `MAX_RANGES`; texts are shuffled once, by range, and each range
+Neighbours in id order (`fingerprint_edits`): ids are cut into ranges of about
+equal rows, at most `MAX_RANGES`; texts are shuffled once, by range, and each range
 also receives the first document of the next one, so each task streams its
 documents in order and holds two of them.
 
@@ -33,6 +33,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -126,12 +127,20 @@ def edit(text: str, following: str) -> str:
 
 def _with_next(docs: DataFrame) -> DataFrame:
     """(range, tail, doc_id, text): `docs` by range of ids, and per range the document that follows its last one (tail 1)."""
-    # Three numbers of the narrow id column decide the width of a range.
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = (low, high) if low is not None else (0, 0)
+    # Quantiles of the ids, at most MAX_RANGES of them, cut ranges of about equal rows, however the ids lie.
+    n = docs.count()
     ranges = max(1, min(MAX_RANGES, n // ROWS_PER_RANGE))
-    width = max(1, -(-(high - low + 1) // ranges))
-    at = F.coalesce(F.expr(f"CAST((CAST(doc_id AS DECIMAL(20, 0)) - {low}) div {width} AS BIGINT)"), F.lit(-1))
+    shares = ", ".join(f"{i / ranges:.9f}D" for i in range(1, ranges))
+    cuts = docs.select(F.expr(f"percentile_approx(doc_id, array({shares}), {max(10000, 2 * ranges)})")).first()[0] if ranges > 1 else None
+    cuts = np.array(cuts or [], np.int64)
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="right"))
+
+    at = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place(F.coalesce("doc_id", F.lit(0)))) if len(cuts) else \
+        F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
+    at = at.cast("long")
     dealt = docs.withColumn("range", at)
     # At most MAX_RANGES rows from here on.
     firsts = dealt.groupBy("range").agg(F.min("doc_id").alias("first_id"))

@@ -205,7 +205,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     rows = (with_statistics(texts.select("doc_id", "text")).where(~base_failed())
             .join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
             .select("label", "doc_id", *[a.alias(n) for n, a in attributes().items()])
-            .dropDuplicates().toPandas().sort_values(["doc_id", *names], ignore_index=True))
+            # An id may be on many rows, so the rows that come to the driver are bounded, not the ids alone.
+            .dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(max_labelled)
+            .toPandas().sort_values(["doc_id", *names], ignore_index=True))
     if rows.empty:
         return []
     return learn({n: rows[n].to_numpy(np.float64) for n in names}, (rows["label"] == 0).to_numpy())

@@ -197,7 +197,9 @@ def links(distinct: DataFrame, max_distance: int = 4, run_limit: int = RUN_LIMIT
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
         # A key names its segment: all other bits are replaced by the segment's number, hashed.
         tables.append(F.transform(ball, _segment_key(s, mask)))
-    keyed = distinct.select(F.explode(F.concat(*tables)).alias("key"), "fp")
+    # Every row makes many: narrow rows are spread first, by a number that AQE keeps.
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.select(F.explode(F.concat(*tables)).alias("key"), "fp")
     met = (keyed.repartition("key").sortWithinPartitions("key", "fp")
            .mapInArrow(_linked_runs(max_distance, run_limit), "a long, b long"))
     met = materialise(met, "simhash-met")
