@@ -143,11 +143,13 @@ def model_reader(make_predict_fn, *, batch_size: int = 64):
 # Integer arithmetic only, so any engine reproduces it exactly.
 
 def lexical_reader(pid: Column, tokens: Column, question_tokens: Column) -> Column:
-    def in_q(t):
-        return F.when(F.array_contains(question_tokens, t), F.lit(5)).otherwise(F.lit(0))
+    def logits(t: Column, i: Column) -> Column:
+        asked = F.when(F.array_contains(question_tokens, t), F.lit(5)).otherwise(F.lit(0))
+        return F.struct((F.pmod(pid * 7 + i * 13, F.lit(17)) + asked).cast("double").alias("s"),
+                        (F.pmod(pid * 11 + i * 5, F.lit(19)) + asked).cast("double").alias("e"))
 
-    start = F.transform(tokens, lambda t, i: (F.pmod(pid * 7 + i * 13, F.lit(17)) + in_q(t)).cast("double"))
-    end = F.transform(tokens, lambda t, i: (F.pmod(pid * 11 + i * 5, F.lit(19)) + in_q(t)).cast("double"))
     overlap = F.size(F.array_intersect(F.array_distinct(question_tokens), tokens))
     classifier = (F.pmod(pid, F.lit(23)) + overlap).cast("double")
-    return F.struct(classifier.alias("classifier_logit"), start.alias("start_logits"), end.alias("end_logits"))
+    # A one-element transform, so that each token is looked at once for both logits.
+    return F.transform(F.array(F.transform(tokens, logits)), lambda p: F.struct(
+        classifier.alias("classifier_logit"), p["s"].alias("start_logits"), p["e"].alias("end_logits")))[0]

@@ -122,22 +122,26 @@ def answer_candidates(scores: DataFrame, *, num_passages_to_read: int = 1, num_s
     edges); order: score desc, then passage order, then span order. span_start and span_end
     are places in the window's input, passage_start is the place among the passage's tokens
     (title, separator, text; null for a span that starts before them)."""
-    read = top_passages(scores, num_passages_to_read)
     best = S.best_spans("tokens", "start_logits", "end_logits", num_spans=num_spans,
                         max_answer_length=max_answer_length, allow_overlap=allow_overlap, first="first", stop="stop")
-    found = read.select("qid", "slot", "idx", "win", "offset", "passage_rank", "q_tokens", "tokens", "classifier_logit",
-                        F.posexplode(best).alias("nth", "span"))
+    # Spans are searched where the inputs were scored: token and logit arrays are never shuffled.
+    found = scores.select("qid", "slot", "idx", "win", "offset", F.size("q_tokens").alias("q_size"), "tokens", "classifier_logit", best.alias("spans"))
+    texts = F.transform("spans", lambda sp: S.answer_texts("tokens", sp["start"], sp["end"]))
+    found = found.select("qid", "slot", "idx", "win", "offset", "q_size", "classifier_logit", "spans", texts.alias("texts"))
+    read = top_passages(found, num_passages_to_read)
+    found = read.select("qid", "slot", "idx", "win", "offset", "q_size", "passage_rank", "classifier_logit",
+                        F.posexplode(F.arrays_zip("spans", "texts")).alias("nth", "x"))
+    found = found.select("*", "x.spans", "x.texts").withColumnsRenamed({"spans": "span", "texts": "t"})
     total = F.col("classifier_logit") + F.col("span.start_logit") + F.col("span.end_logit")
     per_passage = Window.partitionBy("qid", "slot").orderBy(total.desc(), F.col("win").asc(), F.col("nth").asc())
     cands = found.withColumn("span_rank", F.row_number().over(per_passage)).where(F.col("span_rank") <= num_spans)
-    texts = S.answer_texts("tokens", F.col("span.start"), F.col("span.end"))
-    place = F.col("span.start") - F.size("q_tokens") - 2 + F.col("offset")
+    place = F.col("span.start") - F.col("q_size") - 2 + F.col("offset")
     cands = cands.select(
-        "qid", "slot", "idx", "win", "passage_rank", "span_rank", texts.alias("t"),
+        "qid", "slot", "idx", "win", "passage_rank", "span_rank", "t",
         F.col("classifier_logit").alias("classifier_score"),
         (F.col("span.start_logit") + F.col("span.end_logit")).alias("span_score"),
         F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"),
-        F.when(F.col("span.start") >= F.size("q_tokens") + 2, place).alias("passage_start"))
+        F.when(F.col("span.start") >= F.col("q_size") + 2, place).alias("passage_start"))
     cands = cands.withColumn("score", F.col("classifier_score") + F.col("span_score"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("passage_rank").asc(),
                                           F.col("span_rank").asc())
