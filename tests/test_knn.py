@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
 from quarry.operators import knn

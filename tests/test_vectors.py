@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
 from quarry.operators.knn import sign_matrix, unpack_sign_matrix
