@@ -22,9 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct parts that a worker remembers (some 40 bytes each).
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: Text that is looked at together.
-SLICE_BYTES = 10 << 20
+SLICE_BYTES = 16 << 20
 _JOINED = 512
 _MARK = "\x01"
 #: Letters that normalizers for lower case leave alone, and punctuation that ends a word.
@@ -38,7 +38,11 @@ _encoders: dict[str, "Encoder"] = {}
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indexes start, start + 1, ... (length of them) of every range, one range after the other."""
     ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and int(starts.max(initial=0)) < 1 << 30 else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Encoder:

@@ -48,25 +48,24 @@ LEAST = 16
 #: A round takes pairs down to this share of the highest count.
 SHARE = 1 / 1024
 #: Rounds stop when one replaces less than this share of the symbols.
-WORTH = 0.01
+WORTH = 0.03
 _BUCKETS = 1 << 20
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
-def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, keys there) of the pairs whose bucket holds at least `least` pairs: all frequent ones and few others."""
-    buckets = ((keys * _MIX) >> np.uint64(44)).view(np.int64)
+    buckets = (left * _MIX[0] + right * _MIX[1]) >> np.uint32(12)
     hot = np.bincount(buckets, minlength=_BUCKETS) >= least
     places = np.flatnonzero(hot[buckets])
-    return places, keys[places]
+    return places, (left[places].astype(np.uint64) << np.uint64(32)) | right[places]
 
 
 def _round(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray] | None:
     """The symbols with the most frequent pairs replaced by new ones from `base` on, and the pairs; None if none is frequent."""
     if len(symbols) < 2:
         return None
-    keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-    places, found = _frequent(keys, LEAST)
+    places, found = _frequent(symbols[:-1], symbols[1:], LEAST)
     which, pairs = pd.factorize(found)
     counts = np.bincount(which, minlength=len(pairs))
     if not len(pairs) or counts.max() < LEAST:
