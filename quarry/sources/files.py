@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from quarry.session import stored
+from quarry.session import plan_bytes, stored
 
 # ------------------------------------------------------------------ ordering helpers
 
@@ -116,57 +116,101 @@ def _end_state(line: str, inside: bool) -> bool:
             return False
 
 
-_LINES = ("value string, src_file string, blk long, n long, in0 boolean, in1 boolean, out0 boolean, out1 boolean, "
-          "rec0 long, rec1 long, blank boolean")
+_STATES = "src_file string, blk long, n long, out0 boolean, out1 boolean, rec0 long, rec1 long"
+_RECORDS = "src_file string, blk long, line_no long, part boolean, record string"
 
 
-def _line_states(batches):
-    """Lines of splits (value, src_file, blk) with their place in the split, and for either state that the split may
-    start in: the states before and behind the line and the record of the split that it belongs to (-1: one from before)."""
+def _runs(batch: pa.RecordBatch):
+    """(file, start, from, to) of the rows of a batch that are of one split."""
+    files, starts = batch.column(1), batch.column(2).to_numpy()
+    coded = files.dictionary_encode().indices.to_numpy()
+    cuts = np.flatnonzero(np.r_[True, (coded[1:] != coded[:-1]) | (starts[1:] != starts[:-1])]).tolist() if len(starts) else []
+    for low, high in zip(cuts, cuts[1:] + [len(starts)], strict=True):
+        yield files[low].as_py(), int(starts[low]), low, high
+
+
+def _split_states(batches):
+    """For either state that a split (value, src_file, blk) may start in: the state behind its last line so far and the record
+    of the split that it belongs to (-1: one from before); a row per split and batch, n being the lines so far."""
     key, n, states, records = None, 0, [False, True], [-1, -1]
     for batch in batches:
         values = pc.fill_null(batch.column(0), "")
         quoted = pc.match_substring(values, '"').to_numpy(zero_copy_only=False)
-        blank = pc.is_in(values, value_set=pa.array(["", "\r"])).to_numpy(zero_copy_only=False)
-        files, starts = batch.column(1), batch.column(2).to_numpy()
-        coded = files.dictionary_encode().indices.to_numpy()
-        cuts = np.flatnonzero(np.r_[True, (coded[1:] != coded[:-1]) | (starts[1:] != starts[:-1])]).tolist() if len(starts) else []
-        size = len(values)
-        before, behind = np.zeros((2, size), bool), np.zeros((2, size), bool)
-        place, record = np.zeros(size, np.int64), np.zeros((2, size), np.int64)
-        for low, high in zip(cuts, cuts[1:] + [size], strict=True):
-            here = (files[low].as_py(), int(starts[low]))
-            if here != key:
-                key, n, states, records = here, 0, [False, True], [-1, -1]
+        filled = ~pc.is_in(values, value_set=pa.array(["", "\r"])).to_numpy(zero_copy_only=False)
+        out = []
+        for file, start, low, high in _runs(batch):
+            if (file, start) != key:
+                key, n, states, records = (file, start), 0, [False, True], [-1, -1]
             changes = (low + np.flatnonzero(quoted[low:high])).tolist()
             lines = [values[i].as_py() for i in changes]
-            place[low:high] = n + np.arange(high - low)
             for h in (0, 1):
-                at, state = low, states[h]
+                at, state, inside = low, states[h], np.zeros(high - low, bool)
                 for i, line in zip(changes, lines, strict=True):
-                    before[h, at:i + 1] = behind[h, at:i] = state
-                    state = behind[h, i] = _end_state(line, state)
-                    at = i + 1
-                before[h, at:high] = behind[h, at:high] = state
+                    inside[at - low:i + 1 - low] = state
+                    state, at = _end_state(line, state), i + 1
+                inside[at - low:] = state
                 states[h] = state
-                record[h, low:high] = records[h] + np.cumsum(~before[h, low:high] & ~blank[low:high])
-                records[h] = int(record[h, high - 1])
+                records[h] += int(np.count_nonzero(~inside & filled[low:high]))
             n += high - low
-        yield pa.record_batch([values, files, batch.column(2), *map(pa.array, (place, before[0], before[1], behind[0], behind[1], record[0], record[1], blank))],
-                              names=[f.split(" ")[0] for f in _LINES.split(", ")])
+            out.append((file, start, n, *states, *records))
+        if out:
+            yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], names=[f.split(" ")[0] for f in _STATES.split(", ")])
+
+
+# Characters of records that are sent on together.
+_SENT_CHARS = 1 << 22
+
+
+def _records(batches):
+    """The records of splits (value, src_file, blk, inside, base: the state at its start, the records before it); part: of a record that
+    goes on before or behind the split."""
+    key, inside, number, held, cut, out, size = None, False, -1, [], False, [], 0
+    names = [f.split(" ")[0] for f in _RECORDS.split(", ")]
+
+    def sent():
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True)], names=names)
+
+    for batch in batches:
+        values = pc.fill_null(batch.column(0), "")
+        quoted = pc.match_substring(values, '"').to_numpy(zero_copy_only=False).tolist()
+        for file, start, low, high in _runs(batch):
+            if (file, start) != key:
+                if held:
+                    out.append((*key, number, True, "\n".join(held)))
+                key, held = (file, start), []
+                inside = cut = batch.column(3)[low].as_py()
+                number = batch.column(4)[low].as_py() - 1
+            for value, marked in zip(values.slice(low, high - low).to_pylist(), quoted[low:high], strict=True):
+                if not inside:
+                    if value in ("", "\r"):
+                        continue
+                    number, cut = number + 1, False
+                inside = _end_state(value, inside) if marked else inside
+                held.append(value)
+                if not inside:
+                    record = "\n".join(held)
+                    out.append((file, start, number, cut, record))
+                    held, size = [], size + len(record)
+                    if size > _SENT_CHARS:
+                        yield sent()
+                        out, size = [], 0
+    if held:
+        out.append((*key, number, True, "\n".join(held)))
+    if out:
+        yield sent()
 
 
 def read_tsv_records(spark: SparkSession, path: str) -> DataFrame:
     """(src_file, line_no, record): the records of quoted TSV files, numbered per file; jobs run here.
 
-    Files are read once, in splits. A split can't know whether it starts inside a quoted
-    field, so its lines are stored with what either case makes of them; the splits'
-    summaries (one row each) then tell, by a running sum, which case holds and how many
-    records come before. A record on one line stays where it is; only the lines of a
-    record with line feeds are brought together, by record."""
+    Files are read twice, in splits. A split can't know whether it starts inside a quoted
+    field, so the first pass finds what either case makes of it (a row per split); a running
+    sum over these rows tells which case holds and how many records come before. The second
+    pass makes the records where their lines lie and stores them; only the parts of a
+    record that lies in several splits are brought together."""
     raw = spark.read.option("lineSep", "\n").text(path).select("value", F.input_file_name().alias("src_file"),
                                                                F.input_file_block_start().alias("blk"))
-    lines = stored(raw.mapInArrow(_line_states, _LINES), "lines")
+    lines = raw.mapInArrow(_split_states, _STATES)
     blocks = lines.groupBy("src_file", "blk").agg(
         F.max_by("out0", "n").alias("out0"), F.max_by("out1", "n").alias("out1"),
         (F.max("rec0") + 1).alias("n0"), (F.max("rec1") + 1).alias("n1"))
@@ -184,15 +228,12 @@ def read_tsv_records(spark: SparkSession, path: str) -> DataFrame:
     records = F.when(F.col("inside"), F.col("n1")).otherwise(F.col("n0"))
     starts = blocks.select("src_file", "blk", "inside", F.coalesce(F.sum(records).over(before), F.lit(0)).alias("base"))
 
-    def real(name: str) -> Column:
-        return F.when(F.col("inside"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
-
-    placed = lines.join(stored(starts, "splits"), ["src_file", "blk"]).select(
-        "src_file", "blk", "n", "value", real("in").alias("in"), real("out").alias("out"), (F.col("base") + real("rec")).alias("line_no"), "blank")
-    whole = placed.where(~F.col("in") & ~F.col("out") & ~F.col("blank")).select("src_file", "line_no", F.col("value").alias("record"))
-    parts = placed.where(F.col("in") | F.col("out"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "n", "value"))), lambda x: x["value"]), "\n")
-    both = whole.unionByName(parts.groupBy("src_file", "line_no").agg(joined.alias("record")))
+    # A row per split. The lines keep their order in a broadcast join, which is what the records are made by.
+    placed = raw.join(F.broadcast(stored(starts, "splits")), ["src_file", "blk"]).select("value", "src_file", "blk", "inside", "base")
+    records = stored(placed.mapInArrow(_records, _RECORDS), "records", compression="zstd")
+    whole = records.where(~F.col("part")).select("src_file", "line_no", "record")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "record"))), lambda x: x["record"]), "\n")
+    both = whole.unionByName(records.where("part").groupBy("src_file", "line_no").agg(joined.alias("record")))
     return both.withColumn("record", F.regexp_replace("record", r"\r\z", ""))
 
 
@@ -377,15 +418,29 @@ def _item_place(ord_col: str):
     return lambda df: global_line_no(df, "_doc").withColumn("_pos", F.shiftleft("_doc", 32) + F.col(ord_col)).drop("_doc")
 
 
-def last_wins(df: DataFrame, key: str = "id", place=lambda df: global_line_no(df, "_pos")) -> DataFrame:
+# Bytes of the winners' bitmaps (a bit per row of the input) that every executor may hold.
+_MARKS_BYTES = 64 * 1024 * 1024
+
+
+def last_wins(df: DataFrame, key: str = "id", place=None) -> DataFrame:
     """Keyed upsert, the row latest in input order wins.
 
-    ``place`` adds ``_pos``, the row's place as one long. A hash aggregate finds the last
-    place per key (combined map-side, so a key on a third of all rows is reduced before the
-    shuffle), and a hash semi-join on the place keeps the winners' rows: texts are
-    shuffled once and never sorted."""
-    placed = place(df)
+    ``place`` adds ``_pos``, the row's place as one long (default: its line over all files). A hash
+    aggregate finds the last place per key (combined map-side, so a key on a third of all rows
+    is reduced before the shuffle). Places over all files have no gaps, so the winners are stored as
+    bitmaps, which go to the rows where these lie: no text is shuffled. A job runs for it. Where the
+    bitmaps are too large, and for other places, a hash semi-join keeps the winners' rows:
+    texts are shuffled once. They are never sorted."""
+    placed = place(df) if place else global_line_no(df, "_pos")
     winners = placed.groupBy(key).agg(F.max("_pos").alias("_pos")).select("_pos")
+    if place is None:
+        marks = stored(winners.groupBy(F.bitmap_bucket_number("_pos").alias("_bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("_pos")).alias("_marks")), "winners", compression="uncompressed")
+        if plan_bytes(marks) <= _MARKS_BYTES:
+            bit = F.bitmap_bit_position("_pos")
+            held = F.conv(F.hex(F.substring("_marks", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            wins = (F.bitmap_bucket_number("_pos") == F.col("_bucket")) & F.getbit(held, (bit % 8).cast("int")).eqNullSafe(1)
+            return placed.join(F.broadcast(marks), wins, "left_semi").drop("_pos")
     return placed.join(winners.hint("shuffle_hash"), "_pos", "left_semi").drop("_pos")
 
 

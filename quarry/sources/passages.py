@@ -38,7 +38,8 @@ def store_size(store: DataFrame) -> DataFrame:
 def lookup(ids: DataFrame, store: DataFrame, *, id_col: str = "id", strict: bool = True) -> DataFrame:
     """Fetch passages for a table of ids. Strict mode fails on an unknown id
     (the batch form of a KeyError); otherwise missing ids come back with nulls."""
-    joined = ids.join(store.withColumn("_found", F.lit(True)), id_col, "left")
+    # The ids are what a task holds; the texts stream past them and are not sorted.
+    joined = ids.hint("shuffle_hash").join(store.withColumn("_found", F.lit(True)), id_col, "left")
     if strict:
         joined = joined.withColumn("title", guard("title", F.col("_found").isNotNull(),
                                                   F.concat(F.lit("invalid passage id: "), F.col(id_col).cast("string"))))

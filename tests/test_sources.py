@@ -218,3 +218,35 @@ def test_variant_items_from_lines_and_arrays(spark, tmp_path):
     for name in ("a.jsonl", "b.json"):
         got = FS.read_variant_items(spark, str(tmp_path / name)).orderBy("line_no")
         assert [(r[0], json.loads(r[1])) for r in got.select("line_no", F.to_json("item")).collect()] == list(enumerate(items))
+
+
+def test_store_of_copies_shuffles_no_text(spark, tmp_path):
+    """Records with line feeds over three files: the last file's copy wins, and no exchange or sort carries a text."""
+    paths = [str(tmp_path / f"v{i}.tsv") for i in range(3)]
+    for i, path in enumerate(paths):
+        spark.range(200).repartition(3).select("id", F.lit("t").alias("title"), F.concat(F.lit('a "quoted"\nline\n\n'), "id", F.lit(f" v{i}")).alias("text"),
+                                F.lit("d").alias("dataset")).createOrReplaceTempView("copies")
+        FS.write_passage_tsv(spark.table("copies"), path)
+    split = str(max(f.stat().st_size for f in (tmp_path / "v0.tsv").iterdir()) // 7)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        best = FS.last_wins(FS.read_passage_tsv(spark, paths))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = _plan(best)
+    assert "LeftSemi" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert sorted((r["id"], r["text"]) for r in best.collect()) == [(i, f'a "quoted"\nline\n\n{i} v2') for i in range(200)]
+
+
+def test_lookup_sorts_no_texts(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.range(50).select("id", F.lit("t").alias("title"), F.lit("x").alias("text"), F.lit(None).cast("string").alias("dataset")).write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = PS.lookup(spark.range(0, 50, 7), spark.read.parquet(path))
+        assert "SortMergeJoin" not in _plan(got) and "Sort [" not in _plan(got)
+        assert sorted(r["id"] for r in got.collect()) == list(range(0, 50, 7))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
