@@ -268,10 +268,12 @@ def read_passage_tsv(spark: SparkSession, path) -> DataFrame:
 
 
 def write_passage_tsv(passages: DataFrame, path: str) -> None:
-    """Passage TSV with header (id, text, title, dataset), doubled quotes inside quoted fields."""
+    """Passage TSV with header (id, text, title, dataset), doubled quotes inside quoted fields; gzip when the
+    name ends in .gz (a file, which a task writes, is then read as one split)."""
     (passages.select(F.col("id").cast("string").alias("id"), "text", "title", "dataset")
      .write.mode("errorifexists").option("sep", "\t").option("header", "true")
-     .option("quote", '"').option("escape", '"').option("quoteAll", "true").csv(path))
+     .option("quote", '"').option("escape", '"').option("quoteAll", "true")
+     .option("compression", "gzip" if path.rstrip("/").endswith(".gz") else "none").csv(path))
 
 
 def _literal_list(values: pd.Series) -> pd.Series:

@@ -250,3 +250,18 @@ def test_lookup_sorts_no_texts(spark, tmp_path):
         assert sorted(r["id"] for r in got.collect()) == list(range(0, 50, 7))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_store_inputs_are_written_compressed(spark, tmp_path):
+    """A name ending in .gz gives gzip parts, which read back as they were, with the last file's copies winning."""
+    rows = [(1, 'say "x"', "two\nlines," * 400, "d"), (2, None, "tab\there", None), (3, "t", "", "d")]
+    passages = spark.createDataFrame(rows, "id long, title string, text string, dataset string")
+    paths = [str(tmp_path / f"v{i}.tsv.gz") for i in (1, 2)]
+    for path, df in zip(paths, (passages, passages.where("id > 1").withColumn("title", F.lit("later"))), strict=True):
+        FS.write_passage_tsv(df, path)
+    parts = [f for f in os.listdir(paths[0]) if f.startswith("part-")]
+    assert parts and all(f.endswith(".gz") for f in parts)
+    assert sum(os.path.getsize(os.path.join(paths[0], f)) for f in parts) < 1000
+    PS.build_passage_store(spark, paths, str(tmp_path / "store"))
+    got = {r["id"]: (r["title"], r["text"]) for r in PS.scan_store(spark, str(tmp_path / "store")).collect()}
+    assert got[1] == ('say "x"', rows[0][2]) and got[2] == ("later", "tab\there") and got[3][0] == "later"
