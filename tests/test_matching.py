@@ -45,3 +45,26 @@ def test_postings_are_cut_before_any_shuffle(spark):
     tokens = spark.createDataFrame([("words",)], "tok string")
     plan = MT.postings(passages, F.broadcast(tokens))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_pair_postings_hold_the_answers_pairs_only(spark):
+    """Of common words only the places where some answer's pair stands are kept, and the texts' tokens are made once."""
+    passages = spark.createDataFrame([(i, "the of and " * 50 + "the end.") for i in range(20)] + [(30, "the"), (31, None)], "id long, text string")
+    pairs = spark.createDataFrame([("the", "end"), ("end", ".")], "tok string, nxt string")
+    places = MT.pair_postings(passages, pairs)
+    assert sorted(map(tuple, places.collect())) == sorted([("the", "end", i, 150) for i in range(20)] + [("end", ".", i, 151) for i in range(20)])
+    plan = MT.pair_postings(passages, F.broadcast(pairs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "SortMergeJoin" not in plan
+    both = spark.createDataFrame([("the", ""), ("the", "end")], "tok string, nxt string")
+    got = MT.pair_postings(passages.where("id in (0, 30)"), both).collect()
+    assert sorted((r.id, r.pos) for r in got if r.nxt == "") == [(0, 3 * i) for i in range(51)] + [(30, 0)]
+    assert [(r.id, r.pos) for r in got if r.nxt == "end"] == [(0, 150)]
+
+
+def test_two_and_more_tokens_against_a_scan(spark):
+    rng = random.Random(3)
+    passages = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 30)))) for i in range(80)]
+    answers = [(j, " ".join(rng.choices("abc", k=1 + j % 6))) for j in range(60)] + [(70, "a a"), (71, "a a a a")]
+    got = MT.answer_occurrences(spark.createDataFrame(answers, "aid long, answer string"), spark.createDataFrame(passages, "id long, text string"))
+    want = [(j, i) for j, a in answers for i, t in passages if _contains(t.split(), a.split())]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
